@@ -16,7 +16,7 @@ AUDIT_LIMIT = 100
 CATEGORY_LEADS_LIMIT = 100
 HISTORY_LIMIT = 5
 SEARCH_TEXT = "1_3"                    # '_' is a live LIKE wildcard here
-BOOKING_SEARCH_TEXT = "bank"           # literal, case-insensitive
+BOOKING_SEARCH_TEXT = "nation_1"             # literal, case-insensitive ("_" is plain)
 ACTIVITY_SEARCH_TEXT = "_conv"         # literal: '_' is a plain character
 STAFF_USER = 7                          # a staff member (id % 10 not in {0, 1})
 FILTER_STATUS = "Follow-up"
