@@ -55,10 +55,13 @@ def bucket_predicate(day_col: Column, today: str, bucket: str | None) -> Column:
 
 
 def age_label(ts_col: Column, as_of: str) -> Column:
-    """Minutes under an hour, hours under a day, else days (floored)."""
-    secs = F.unix_timestamp(ts_lit(as_of).cast("timestamp")) - \
-        F.unix_timestamp(ts_col.cast("timestamp"))
-    mins = F.floor(secs / 60)
+    """Minutes under an hour, hours under a day, else days (all floored).
+
+    Differences are taken in whole milliseconds, as a browser clock does.
+    """
+    now_ms = F.unix_micros(ts_lit(as_of).cast("timestamp")) / 1000
+    then_ms = F.floor(F.unix_micros(ts_col.cast("timestamp")) / 1000)
+    mins = F.floor((now_ms - then_ms) / 60000)
     hrs = F.floor(mins / 60)
     return (F.when(mins < 60, F.concat(mins.cast("string"), F.lit("m ago")))
              .when(hrs < 24, F.concat(hrs.cast("string"), F.lit("h ago")))

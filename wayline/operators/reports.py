@@ -235,12 +235,19 @@ def category_stats(categories: DataFrame, subcategories: DataFrame,
         .orderBy(F.asc_nulls_first("sort_order"), F.asc_nulls_first("name")))
 
 
-def category_totals(stats: DataFrame) -> DataFrame:
-    """Category page totals."""
-    return stats.agg(
+def category_totals(stats: DataFrame, subcategories: DataFrame) -> DataFrame:
+    """Category page totals.
+
+    The sub-category total counts every listed sub-category, inactive ones
+    included (the page sums the nested lists, not the active counts).
+    """
+    per_cat = (subcategories.groupBy(F.col("category_id").alias("cid"))
+               .agg(F.count(F.lit(1)).alias("n_all")))
+    s = stats.join(per_cat, stats["id"] == per_cat["cid"], "left")
+    return s.agg(
         F.count(F.lit(1)).alias("categories"),
         F.count_if(F.col("is_active") == 1).alias("active_categories"),
-        F.coalesce(F.sum("subcat_count"), F.lit(0)).cast("bigint").alias("subcategories"),
+        F.coalesce(F.sum("n_all"), F.lit(0)).cast("bigint").alias("subcategories"),
         F.coalesce(F.sum("lead_count"), F.lit(0)).cast("bigint").alias("leads"))
 
 
