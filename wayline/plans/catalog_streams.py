@@ -1,5 +1,54 @@
-"""Registered streams queries."""
+"""Registered streaming queries (T1, T2) and the batch twin of T1."""
 
 from __future__ import annotations
 
-from wayline.plans.registry import register  # noqa: F401
+import uuid
+
+from wayline.plans import params as P
+from wayline.plans.registry import register
+from wayline.session import scratch_path
+from wayline.sources.store import TableStore
+from wayline.streaming import audit_counts as A
+from wayline.streaming import change_stream as CS
+
+_DAILY = """
+SELECT date_trunc('day', created_at) AS window_start,
+       date_trunc('day', created_at) + INTERVAL 1 DAY AS window_end,
+       action, COUNT(*) AS cnt
+FROM crm_activity_logs GROUP BY ALL"""
+
+
+@register("activity_daily_counts", family="streams", oracle=_DAILY)
+def activity_daily_counts(t):
+    return A.batch_counts(t.activity_logs)
+
+
+@register("activity_tumbling_counts", family="streams", oracle=_DAILY)
+def activity_tumbling_counts(t):
+    """The same counts computed by a watermarked streaming aggregation."""
+    base = scratch_path(t.spark, "audit-stream")
+    agg = A.tumbling_counts(A.audit_stream(t.spark, t.data_dir))
+    A.run_available_now(agg, f"{base}/out", f"{base}/checkpoint")
+    return A.final_counts(t.spark, f"{base}/out")
+
+
+@register("stream_conversations", family="streams", oracle="""
+SELECT c.id, c.lead_id, c.user_id, c.next_followup_date AS followup_date, c.call_result AS notes,
+       'Pending' AS status, c.created_at
+FROM crm_conversations c
+WHERE c.next_followup_date IS NOT NULL AND c.lead_id IN (SELECT id FROM crm_leads)""")
+def stream_conversations(t):
+    """Conversation requests streamed through the M7 operator; returns the
+    follow-ups committed by the micro-batches."""
+    spark = t.spark
+    base = scratch_path(spark, "conv-stream")
+    events_schema = t.base("events").schema
+    events = (spark.readStream.schema(events_schema).option("pathGlobFilter", "events.parquet")
+              .parquet(t.data_dir))
+    # Key ranges of the stand-in feed (the view mapping's modulus), from table metadata.
+    n_orders, n_users = t.base("orders").count(), t.base("supplier").count()
+    requests = CS.conversation_requests(events, n_orders, n_users)
+    store = TableStore(spark, f"{base}/store")
+    CS.run_conversation_stream(spark, requests, t.leads, store, f"{base}/checkpoint",
+                               uuid.uuid4().hex[:8], P.ACTIVITY_AS_OF)
+    return store.read("followups")
