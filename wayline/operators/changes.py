@@ -329,10 +329,9 @@ def apply_packages(packages: DataFrame, changes: DataFrame, as_of: str) -> dict[
             num("discount").alias("discount"), num("final_price").alias("final_price"),
             txt("notes").alias("notes")]
     creates = changes.where(F.col("op") == "create").withColumn("_one", F.lit(1))
-    max_id = packages.agg(F.max("id").alias("_max")).withColumn("_one", F.lit(1))
+    max_id = packages.select(F.max("id")).scalar()
     creates = position_within(creates, "_one", "seq", out_col="_pos")
-    creates = creates.join(max_id, "_one", "left")
-    new_rows = creates.select((F.coalesce("_max", F.lit(0)) + F.col("_pos")).alias("id"),
+    new_rows = creates.select((F.coalesce(max_id, F.lit(0)) + F.col("_pos")).alias("id"),
                               F.col("lead_pk").alias("lead_id"), F.col("actor_id").alias("user_id"),
                               *body)
     upd = changes.where(F.col("op") == "update")
@@ -374,18 +373,17 @@ def apply_bookings(tables: dict[str, DataFrame], changes: DataFrame, as_of: str)
          .join(existing, F.col("lead_pk") == F.col("_bl"), "left"))
     found = F.col("_live").isNotNull()
     acc = c.where(found & F.col("_bl").isNull() & F.col("_first"))
-    base = bookings.agg(
-        F.max("id").alias("_max_id"),
-        F.max(F.when(F.col("booking_id").rlike(BOOKING_CODE_RE) &
-                     (code_year(F.col("booking_id")) == year), code_suffix(F.col("booking_id"))))
-        .alias("_max_seq")).withColumn("_y", F.lit(year))
+    # Current maxima as scalar sub-queries (one value each, no join).
+    max_id = bookings.select(F.max("id")).scalar()
+    max_seq = bookings.where(F.col("booking_id").rlike(BOOKING_CODE_RE) &
+                             (code_year(F.col("booking_id")) == year)).select(
+        F.max(code_suffix(F.col("booking_id")))).scalar()
     acc = position_within(acc.withColumn("_y", F.lit(year)), "_y", "seq", out_col="_pos")
-    acc = acc.join(base, "_y", "left")
-    seq_no = F.coalesce(F.col("_max_seq"), F.lit(0)) + F.col("_pos")
+    seq_no = F.coalesce(max_seq, F.lit(0)) + F.col("_pos")
     dec = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("decimal(10,2)")
     pay_date = F.coalesce(F.try_to_date(F.col("payment_date"), "yyyy-M-d"), date_lit(as_of[:10]))
     new_b = acc.select(
-        (F.coalesce(F.col("_max_id"), F.lit(0)) + F.col("_pos")).cast("bigint").alias("id"),
+        (F.coalesce(max_id, F.lit(0)) + F.col("_pos")).cast("bigint").alias("id"),
         format_code("BOOKING", F.lit(year), seq_no).alias("booking_id"),
         F.col("lead_pk").cast("bigint").alias("lead_id"), F.col("actor_id").cast("bigint").alias("user_id"),
         dec("total_amount").alias("total_amount"), dec("discount").alias("discount"),

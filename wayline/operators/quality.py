@@ -38,16 +38,15 @@ REQUEST_DEFAULTS = {
     "children": "int", "hotel_category": "string", "meal_plan": "string",
     "vehicle_type": "string", "lead_source": "string", "assigned_to": "bigint",
     "status": "string", "enquiry_date": "string", "notes": "string",
+    "created_at": "timestamp_ntz",
 }
 
 
 def conform_requests(requests: DataFrame) -> DataFrame:
     """Add absent request fields as NULL so every rule sees every column."""
-    out = requests
-    for name, typ in REQUEST_DEFAULTS.items():
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit(None).cast(typ))
-    return out
+    missing = [F.lit(None).cast(typ).alias(name) for name, typ in REQUEST_DEFAULTS.items()
+               if name not in requests.columns]
+    return requests.select("*", *missing)
 
 
 def _falsy(c: Column) -> Column:

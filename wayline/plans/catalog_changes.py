@@ -21,11 +21,6 @@ N_USERS = "(SELECT count(*) FROM supplier)"
 CATEGORY_DELETE_ID = 4
 
 
-def _n_users(t):
-    """The user count as a one-row DataFrame column source (no driver round trip)."""
-    return t.users.agg(F.count(F.lit(1)).alias("_n"))
-
-
 # -- change-set builders (stand-in request batches) ----------------------------------
 
 def lead_update_changes(t):
@@ -56,11 +51,11 @@ def hard_delete_changes(t):
 
 def reassign_changes(t):
     l = t.leads.where(F.col("id") % 9 == 0)
-    n = _n_users(t)
-    return l.join(F.broadcast(n), how="left").select(   # n: one row by construction
+    n_users = t.row_count("supplier")   # the mapping's user count, bound once
+    return l.select(
         F.col("id").alias("lead_pk"), F.col("id").alias("seq"), F.lit(0).cast("bigint").alias("actor_id"),
         F.lit("admin").alias("role"),
-        ((F.coalesce("assigned_to", F.lit(0)) + 1) % F.col("_n")).alias("new_assignee"),
+        ((F.coalesce("assigned_to", F.lit(0)) + 1) % F.lit(n_users)).alias("new_assignee"),
         F.lit(None).cast("string").alias("notes"))
 
 

@@ -47,12 +47,12 @@ def _load_all() -> None:
 
 def run(name: str, spark: SparkSession, data_dir: str) -> DataFrame:
     _load_all()
-    return REGISTRY[name].fn(Tables(spark, data_dir))
+    return REGISTRY[name].fn(Tables.of(spark, data_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
-    return {n: (lambda spark, d, _e=e: _e.fn(Tables(spark, d))) for n, e in REGISTRY.items()}
+    return {n: (lambda spark, d, _e=e: _e.fn(Tables.of(spark, d))) for n, e in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,8 +24,31 @@ BASE_TABLES = (
     "conversations",
 )
 
-_N_USERS = "(SELECT count(*) FROM {supplier})"
-_N_ORDERS = "(SELECT count(*) FROM {orders})"
+# Row counts used by the mapping's modulus.  The oracle computes them with a
+# scalar sub-query; Spark binds the same numbers once per data folder.
+_N_USERS = "{n_supplier}"
+_N_ORDERS = "{n_orders}"
+COUNT_MARKERS = {"n_supplier": "supplier", "n_orders": "orders"}
+
+# The driver tables' column types (TESTDATA), declared so a
+# scan needs no footer-based schema inference.
+BASE_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
 
 
 def _code(prefix: str) -> str:
@@ -223,12 +246,18 @@ def view_sql(name: str) -> str:
 
 
 def base_tables_of(name: str) -> list[str]:
-    return sorted(set(_PLACEHOLDER.findall(view_sql(name))))
+    return sorted(set(_PLACEHOLDER.findall(view_sql(name))) - set(COUNT_MARKERS))
+
+
+def counts_of(name: str) -> list[str]:
+    return sorted(set(_PLACEHOLDER.findall(view_sql(name))) & set(COUNT_MARKERS))
 
 
 def oracle_view_sql(name: str) -> str:
     """The view text with base tables bound to DuckDB's registered names."""
-    return view_sql(name).format(**{t: t for t in BASE_TABLES})
+    binds = {t: t for t in BASE_TABLES}
+    binds.update({m: f"(SELECT count(*) FROM {t})" for m, t in COUNT_MARKERS.items()})
+    return view_sql(name).format(**binds)
 
 
 def oracle_with(body: str) -> str:
@@ -247,25 +276,48 @@ class Tables:
     """Lazily loaded base tables and CRM views of one data folder.
 
     ``tables.leads`` is the ``crm_leads`` view, ``tables.base('orders')`` the
-    raw Parquet table.  Views are plain lazy DataFrames (nothing cached), so
-    each query's plan reaches down to the Parquet scans and Catalyst can push
-    filters and prune columns through the mapping.
+    raw Parquet table.  Views are lazy DataFrames (no data is cached), so each
+    query's plan reaches down to the Parquet scans and Catalyst can push
+    filters and prune columns through the mapping.  ``Tables.of`` shares one
+    instance per (session, folder), like a catalog: file listings and the
+    analysed view plans are built once.
     """
 
+    _shared: dict[tuple[str, str], "Tables"] = {}
+
     def __init__(self, spark: SparkSession, data_dir: str):
         self.spark = spark
         self.data_dir = data_dir.rstrip("/")
         self._base: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
+        self._counts: dict[str, int] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, data_dir: str) -> "Tables":
+        key = (spark.sparkContext.applicationId, data_dir.rstrip("/"))
+        t = cls._shared.get(key)
+        if t is None or t.spark is not spark:
+            t = cls._shared[key] = cls(spark, data_dir)
+        return t
 
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
-            self._base[name] = self.spark.read.parquet(f"{self.data_dir}/{name}.parquet")
+            reader = self.spark.read
+            if name in BASE_SCHEMAS:
+                reader = reader.schema(BASE_SCHEMAS[name])
+            self._base[name] = reader.parquet(f"{self.data_dir}/{name}.parquet")
         return self._base[name]
 
+    def row_count(self, name: str) -> int:
+        """Row count of a base table (Parquet answers it from footers)."""
+        if name not in self._counts:
+            self._counts[name] = self.base(name).count()
+        return self._counts[name]
+
     def view(self, name: str) -> DataFrame:
         if name not in self._views:
-            binds = {t: self.base(t) for t in base_tables_of(name)}
+            binds: dict = {t: self.base(t) for t in base_tables_of(name)}
+            binds.update({m: str(self.row_count(COUNT_MARKERS[m])) for m in counts_of(name)})
             self._views[name] = self.spark.sql(view_sql(name), **binds)
         return self._views[name]
 
