@@ -226,3 +226,20 @@ def test_lead_document_parts_reassemble(spark):
     ids = sorted(json.loads(x)["id"] for r in c for x in r["items"])
     assert ids == list(range(1, 8))
     assert docs.where(F.col("member") == "lead").count() == 2
+
+
+def test_with_previous_equals_lag_on_skewed_keys(spark):
+    from wayline.operators.sequence import ordered_position, with_previous
+
+    # key 0 holds a third of the rows; timestamps repeat so the id breaks ties
+    data = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
+        (F.col("id") % 500).alias("t"), F.col("id"), (F.col("id") * 13 % 101).alias("v"))
+    got = with_previous(data, ["k"], ["t", "id"], ["v"], prefix="p_").select("id", "p_v", "has_prev")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = data.select("id", F.lag("v").over(w).alias("p_v"),
+                       F.lag("id").over(w).isNotNull().alias("has_prev"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 6000
+    pos = ordered_position(data, ["k"], ["t", "id"], n_ranges=16).select("id", "pos")
+    rn = data.select("id", F.row_number().over(w).cast("bigint").alias("pos"))
+    assert pos.exceptAll(rn).count() == 0

@@ -27,7 +27,7 @@ from wayline.functions.codes import BOOKING_CODE_RE, code_suffix, code_year, for
 from wayline.functions.dates import date_lit, ts_lit
 from wayline.functions.jsonpkg import SCHEMAS
 from wayline.functions.predicates import py_strip
-from wayline.operators.codes import position_within
+from wayline.operators.sequence import position_within
 
 AUDIT_COLUMNS = ["user_id", "action", "entity_type", "entity_id", "details", "created_at"]
 
@@ -66,6 +66,42 @@ def _rejects(df: DataFrame, key: str, reason: Column) -> DataFrame:
                      F.col("seq").cast("bigint").alias("seq"), reason.alias("reason"))
 
 
+# -- M1 lead creation -------------------------------------------------------------
+
+def apply_create_leads(leads: DataFrame, users: DataFrame, requests: DataFrame,
+                       as_of: str) -> dict[str, DataFrame]:
+    """M1: validate (V2), coerce (V1), default (V3) and insert new leads.
+
+    Codes continue the ``LEAD-<year of as_of>-%05d`` sequence after the code
+    of the highest existing id of that year; new ids continue after the
+    largest id.  Both follow request order (``request_id``), computed with
+    bounded blocks rather than one window over the batch.
+    """
+    from wayline.operators.quality import lead_intake_good, validate_lead_requests
+
+    year = int(as_of[:4])
+    checked = validate_lead_requests(requests, users)
+    rejects = checked.where(F.col("reject_reason").isNotNull()).select(
+        F.col("request_id").cast("bigint").alias("request_key"),
+        F.col("request_id").cast("bigint").alias("seq"), F.col("reject_reason").alias("reason"))
+    good = lead_intake_good(requests, users, as_of[:10]).withColumn("_y", F.lit(year))
+    good = position_within(good, "_y", "request_id", out_col="_pos")
+    max_id = leads.select(F.max("id")).scalar()
+    last_code = (leads.where(F.col("lead_id").startswith(f"LEAD-{year}-"))
+                 .select(F.max_by("lead_id", "id")).scalar())
+    base = F.coalesce(code_suffix(last_code), F.lit(0))
+    new = good.select(
+        (F.coalesce(max_id, F.lit(0)) + F.col("_pos")).cast("bigint").alias("id"),
+        format_code("LEAD", F.lit(year), base + F.col("_pos")).alias("lead_id"),
+        "customer_name", "mobile", "alt_mobile", "email", "city", "tour_name", "travel_date",
+        "adults", "children", "hotel_category", "meal_plan", "vehicle_type", "lead_source",
+        "assigned_to", "status", "enquiry_date", "notes", ts_lit(as_of).alias("created_at"),
+        F.lit(0).alias("is_deleted"), F.col("actor_id"), F.col("request_id"))
+    aud = audit(new, F.col("actor_id"), "CREATE_LEAD", "lead", F.col("id"),
+                F.concat(F.lit("Created lead "), F.col("lead_id")), as_of)
+    return {"leads_new": new.drop("actor_id"), "rejects": rejects, "audit": aud}
+
+
 # -- M2 partial update ---------------------------------------------------------
 
 def apply_lead_updates(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str, DataFrame]:

@@ -2,39 +2,20 @@
 
 Numbering a batch ("the n-th new lead of 2001") needs each row's position
 within its year.  A plain ``row_number()`` over ``partitionBy(year)`` would
-send a whole year to one task, so positions are computed in two levels:
-
-1. rows are grouped into (year, block) where block = order_key // block_size;
-   with unique integer order keys a block holds at most ``block_size`` rows;
-2. per-block row counts (a small table) are turned into running offsets
-   per year, and each row's position = offset of its block + its rank in
-   the block.
-
-Both windows work on bounded groups: a block, or the per-year list of block
-counts (rows / block_size entries).
+send a whole year to one task, so positions come from
+``wayline.operators.sequence.position_within`` (bounded blocks plus running
+block offsets).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.codes import BOOKING_CODE_RE, code_suffix, code_year, format_code
+from wayline.operators.sequence import position_within
 
-
-def position_within(df: DataFrame, part_col: str, order_col: str,
-                    block_size: int = 1 << 16, out_col: str = "pos") -> DataFrame:
-    """1-based position of each row within ``part_col`` by unique integer ``order_col``."""
-    blk = F.floor(F.col(order_col) / F.lit(block_size)).cast("bigint")
-    d = df.withColumn("_blk", blk)
-    counts = d.groupBy(part_col, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(part_col).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(part_col).alias("_p"), F.col("_blk").alias("_b"),
-                            F.coalesce(F.sum("_n").over(run), F.lit(0)).cast("bigint").alias("_off"))
-    local = F.row_number().over(Window.partitionBy(part_col, "_blk").orderBy(order_col))
-    d = d.withColumn("_loc", local.cast("bigint"))
-    joined = d.join(offsets, (d[part_col].eqNullSafe(offsets["_p"])) & (d["_blk"] == offsets["_b"]), "left")
-    return joined.withColumn(out_col, F.col("_off") + F.col("_loc")).drop("_blk", "_loc", "_p", "_b", "_off")
+__all__ = ["assign_codes", "booking_code_max", "lead_code_last", "position_within"]
 
 
 def booking_code_max(bookings: DataFrame) -> DataFrame:

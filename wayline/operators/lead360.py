@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators.sequence import with_previous
+
 HISTORY_COLUMNS = ["id", "lead_id", "customer_name", "tour_name", "status", "created_at"]
 
 
@@ -154,12 +156,11 @@ def category_tree(categories: DataFrame, subcategories: DataFrame) -> DataFrame:
 def assignment_chain_breaks(assignments: DataFrame) -> DataFrame:
     """Reassignment rows whose ``assigned_from`` is not the previous ``assigned_to``.
 
-    The previous row is found with ``lag`` over each lead's history ordered by
-    time (then id).  The first row of a lead has no predecessor and is skipped.
+    The previous row of a lead's history (ordered by time, then id) is
+    attached with ``with_previous`` -- the same result as ``lag`` over
+    ``partitionBy(lead_id)``, computed without sending a lead's whole history
+    to one task.  The first row of a lead has no predecessor and is skipped.
     """
-    w = Window.partitionBy("lead_id").orderBy(F.asc_nulls_first("created_at"), F.asc("id"))
-    prev = assignments.withColumn("prev_assigned_to", F.lag("assigned_to").over(w))
-    has_prev = F.lag("id").over(w).isNotNull()
-    return (prev.withColumn("_has_prev", has_prev)
-            .where(F.col("_has_prev") & ~F.col("assigned_from").eqNullSafe(F.col("prev_assigned_to")))
+    prev = with_previous(assignments, ["lead_id"], ["created_at", "id"], ["assigned_to"])
+    return (prev.where(F.col("has_prev") & ~F.col("assigned_from").eqNullSafe(F.col("prev_assigned_to")))
             .select("id", "lead_id", "created_at", "assigned_from", "prev_assigned_to"))

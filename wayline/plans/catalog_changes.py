@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.jsonpkg import parse
 from wayline.operators import changes as M
+from wayline.plans import catalog_quality as Qc
 from wayline.plans import params as P
 from wayline.plans.registry import register
 
@@ -403,3 +404,22 @@ def audit_rows_from_changes(t):
         M.apply_conversations(t.leads, conversation_changes(t), ACT_AS_OF)["audit"],
         M.apply_whatsapp(w, ACT_AS_OF)["audit"])
     return audits.groupBy("action").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@register("apply_create_leads", family="changes", oracle=f"""
+WITH {Qc.REQ_REASON},
+good AS ({Qc.GOOD_SQL}),
+g AS (SELECT *, row_number() OVER (ORDER BY request_id) AS rn FROM good),
+b AS (SELECT MAX(id) AS max_id,
+             (SELECT TRY_CAST(split_part(arg_max(lead_id, id), '-', 3) AS BIGINT) FROM crm_leads
+              WHERE lead_id LIKE 'LEAD-{AS_OF[:4]}-%') AS last_seq
+      FROM crm_leads)
+SELECT CAST(b.max_id + g.rn AS BIGINT) AS id,
+       printf('LEAD-%d-%05d', {int(AS_OF[:4])}, COALESCE(b.last_seq, 0) + g.rn) AS lead_id,
+       customer_name, mobile, alt_mobile, email, city, tour_name, travel_date, adults, children,
+       hotel_category, meal_plan, vehicle_type, lead_source, assigned_to, status, enquiry_date,
+       notes, TIMESTAMP '{AS_OF}' AS created_at, 0 AS is_deleted, request_id
+FROM g, b""")
+def apply_create_leads(t):
+    """M1: the intake batch (all lead requests) inserted as new leads."""
+    return M.apply_create_leads(t.leads, t.users, t.lead_requests, AS_OF)["leads_new"]

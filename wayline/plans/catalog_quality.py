@@ -52,7 +52,7 @@ def lead_intake_rejects(t):
     return Q.lead_intake_rejects(t.lead_requests, t.users)
 
 
-_GOOD_SQL = f"""
+GOOD_SQL = f"""
 SELECT request_id, actor_id, customer_name, mobile, NULL AS alt_mobile, NULL AS email,
        NULL AS city, NULL AS tour_name,
        CAST(try_strptime(NULLIF(travel_date, ''), '%Y-%m-%d') AS DATE) AS travel_date,
@@ -62,7 +62,7 @@ SELECT request_id, actor_id, customer_name, mobile, NULL AS alt_mobile, NULL AS
 FROM req WHERE reject_reason IS NULL"""
 
 
-@register("lead_intake_good", family="quality", oracle=f"WITH {REQ_REASON}\n{_GOOD_SQL}")
+@register("lead_intake_good", family="quality", oracle=f"WITH {REQ_REASON}\n{GOOD_SQL}")
 def lead_intake_good(t):
     return Q.lead_intake_good(t.lead_requests, t.users, P.AS_OF_DAY)
 
@@ -82,7 +82,7 @@ def lead_code_last(t):
 
 @register("assign_lead_codes", family="quality", oracle=f"""
 WITH {REQ_REASON}, {_LEAD_BASE},
-good AS ({_GOOD_SQL}),
+good AS ({GOOD_SQL}),
 g AS (SELECT request_id, CAST(year(created_at) AS INTEGER) AS y,
              row_number() OVER (PARTITION BY year(created_at) ORDER BY request_id) AS rn FROM good)
 SELECT g.request_id,
