@@ -54,12 +54,19 @@ def ordered_position(df: DataFrame, part_cols: list[str], order_cols: list[str],
     (ascending, NULLs first; the order columns must make rows unique).
 
     Blocks are range partitions over (group, order); Spark samples the key
-    distribution, so a hot group is spread over many partitions.
+    distribution, so a hot group is spread over many partitions.  The block
+    assignment is checkpointed (shared checkpoint folder) before it is used
+    twice: a range partitioner re-planned in each branch would sample its
+    own boundaries and the two branches would disagree on the blocks.
     """
+    from wayline.session import checkpoint_dir
+
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc_nulls_first() for c in [*part_cols, *order_cols]]
     d = df.repartitionByRange(n, *keys).withColumn("_blk", F.spark_partition_id())
+    d = d.checkpoint(eager=True)
     return _positions(d, part_cols, [F.col(c).asc_nulls_first() for c in order_cols], out_col)
 
 
