@@ -107,3 +107,20 @@ def test_load_typed_keeps_corrupt_rows(spark, tmp_path):
     assert df.count() == 3
     bad = df.where(F.col(CORRUPT).isNotNull()).collect()
     assert len(bad) == 1 and bad[0]["id"] is None
+
+
+def test_lead_documents_hold_every_child(spark):
+    from wayline.plans.registry import queries
+
+    q = queries()
+    docs = q["lead_360"](spark, SF01)
+    got = (docs.where(F.col("member") != "lead")
+           .groupBy("lead_pk", "member").agg(F.sum(F.size("items")).alias("n")))
+    counts = q["lead_360_counts"](spark, SF01)
+    members = ["conversations", "followups", "packages", "bookings", "payments",
+               "whatsapp_logs", "pinned_notes", "history"]
+    stack = ", ".join(f"'{m}', n_{m}" for m in members)
+    want = (counts.selectExpr("id AS lead_pk", f"stack({len(members)}, {stack}) AS (member, n)")
+            .where("n > 0"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert docs.where(F.col("member") == "lead").count() == counts.count()

@@ -94,12 +94,15 @@ def lead_360_counts(leads: DataFrame, counts: DataFrame, history_limit: int = 5)
 
 
 def document_parts(leads: DataFrame, users: DataFrame,
-                   members: dict[str, tuple[DataFrame, str, list, bool]],
+                   members: dict[str, tuple],
                    counts: DataFrame, part_size: int = 1000) -> DataFrame:
     """J8/S5 nested lead document, emitted in parts of at most ~``part_size``.
 
     ``members`` maps a member name to ``(child_df, lead_key, sort_columns,
-    ascending)``.
+    ascending[, max_items])``; a member with a known bound ``max_items`` no
+    larger than ``part_size`` (e.g. the top-5 history) is one part per lead
+    and needs no count.  ``counts`` has ``lead_pk`` and ``n_<member>`` for
+    the other members.
     Every child row is serialised with ``to_json`` and routed to part
     ``pmod(xxhash64(row), parts)`` where ``parts = ceil(n / part_size)`` for
     that lead and member, so a lead with millions of children becomes many
@@ -115,13 +118,17 @@ def document_parts(leads: DataFrame, users: DataFrame,
         F.col("id").alias("lead_pk"), F.lit("lead").alias("member"), F.lit(0).alias("part"),
         F.lit(1).alias("parts"), F.array(F.to_json(F.struct(*head.columns))).alias("items")))
     live_ids = live.select(F.col("id").alias("_lid"))
-    for member, (child, key, sort_cols, ascending) in members.items():
-        n_col = f"n_{member}"
-        sizes = counts.select(F.col("lead_pk").alias("_cp"),
-                              F.greatest(F.ceil(F.col(n_col) / F.lit(part_size)), F.lit(1))
-                              .cast("int").alias("parts"))
-        c = (child.join(live_ids, child[key] == live_ids["_lid"], "left_semi")
-             .join(sizes, child[key] == sizes["_cp"], "left").drop("_cp"))
+    for member, spec in members.items():
+        child, key, sort_cols, ascending = spec[:4]
+        bound = spec[4] if len(spec) > 4 else None
+        c = child.join(live_ids, child[key] == live_ids["_lid"], "left_semi")
+        if bound is not None and bound <= part_size:
+            c = c.withColumn("parts", F.lit(1))
+        else:
+            sizes = counts.select(F.col("lead_pk").alias("_cp"),
+                                  F.greatest(F.ceil(F.col(f"n_{member}") / F.lit(part_size)), F.lit(1))
+                                  .cast("int").alias("parts"))
+            c = c.join(sizes, child[key] == sizes["_cp"], "left").drop("_cp")
         payload = F.struct(*[F.col(x) for x in child.columns])
         c = c.select(F.col(key).alias("lead_pk"), F.coalesce("parts", F.lit(1)).alias("parts"),
                      F.struct(*[F.col(s) for s in sort_cols], F.to_json(payload).alias("j")).alias("s"),

@@ -50,8 +50,7 @@ def lead_360(t):
     pay = t.payments.join(t.bookings.select(F.col("id").alias("_b"), F.col("lead_id")),
                           F.col("booking_id") == F.col("_b"), "inner").drop("_b")
     history = N.customer_history(t.leads, P.HISTORY_LIMIT)
-    hist_counts = history.groupBy("lead_pk").agg(F.count(F.lit(1)).alias("n_history"))
-    counts = _counts(t).join(hist_counts, "lead_pk", "full")
+    counts = _counts(t)
     members = {
         "conversations": (t.conversations, "lead_id", ["created_at", "id"], False),
         "followups": (t.followups, "lead_id", ["followup_date", "id"], True),
@@ -60,7 +59,7 @@ def lead_360(t):
         "payments": (pay, "lead_id", ["payment_date"], False),
         "whatsapp_logs": (t.whatsapp_logs, "lead_id", ["id"], False),
         "pinned_notes": (t.lead_notes, "lead_id", ["id"], False),
-        "history": (history, "lead_pk", ["rnk"], True),
+        "history": (history, "lead_pk", ["rnk"], True, P.HISTORY_LIMIT),
     }
     return N.document_parts(t.leads, t.users, members, counts)
 
