@@ -243,3 +243,90 @@ def test_with_previous_equals_lag_on_skewed_keys(spark):
     pos = ordered_position(data, ["k"], ["t", "id"], n_ranges=16).select("id", "pos")
     rn = data.select("id", F.row_number().over(w).cast("bigint").alias("pos"))
     assert pos.exceptAll(rn).count() == 0
+
+
+def test_package_update_overwrites_all_fields_and_create_appends(spark):
+    p = df(spark, PACKAGES_DDL, [
+        (1, 10, 2, "Old", '[{"day": 1, "description": "x"}]', "[]", '{"type": "SUV", "price": 5}', "[]",
+         money(100), money(10)),
+        (2, 11, 2, "Keep", "[]", "[]", "{}", "[]", money(50), money(0))])
+    ch = spark.createDataFrame(
+        [("update", 1, 1, 10, 3, "New", None), ("create", None, 2, 12, 3, "Fresh", [(1, "Day one")])],
+        "op STRING, package_id BIGINT, seq BIGINT, lead_pk BIGINT, actor_id BIGINT, tour_name STRING, "
+        "itinerary ARRAY<STRUCT<day: INT, description: STRING>>")
+    out = {r.id: r for r in M.apply_packages(p, ch, "2026-03-01 00:00:00")["packages"].collect()}
+    assert set(out) == {1, 2, 3}
+    assert (out[1].tour_name, out[1].itinerary, out[1].transport, out[1].base_price) == \
+        ("New", "[]", "{}", money(0))
+    assert out[2].tour_name == "Keep" and out[2].base_price == money(50)
+    assert out[3].lead_id == 12 and json.loads(out[3].itinerary) == [{"day": 1, "description": "Day one"}]
+
+
+def test_notes_add_and_scoped_delete(spark):
+    notes = spark.createDataFrame([], "id BIGINT, lead_id BIGINT, user_id BIGINT, note STRING, color STRING")
+    adds = spark.createDataFrame([(1, 5, 7, "  hello ", None), (2, 5, 7, "   ", "green"), (3, 6, 8, "x", "green")],
+                                 "id BIGINT, lead_pk BIGINT, actor_id BIGINT, note STRING, color STRING")
+    dels = spark.createDataFrame([(1, 1, "staff", 7), (3, 2, "staff", 7), (99, 3, "admin", 1)],
+                                 "note_id BIGINT, seq BIGINT, role STRING, actor_id BIGINT")
+    res = M.apply_notes(notes, adds, dels)
+    assert [(r.id, r.note, r.color) for r in res["lead_notes"].collect()] == [(3, "x", "green")]
+    assert {r.request_key: r.reason for r in res["rejects"].collect()} == {3: "Forbidden", 99: "Not found"}
+    assert [r.id for r in res["note_rejects"].collect()] == [2]
+
+
+def test_category_upsert_and_cascade(spark):
+    cats = df(spark, CATS_DDL, [(1, "A", 0, 1), (2, "B", 1, 1)])
+    subs = df(spark, SUBS_DDL, [(10, 1, "s1", 1, 1, money(1), "", 0, 1), (11, 2, "s2", 1, 1, money(1), "", 0, 1)])
+    ups = spark.createDataFrame([(2, "B1", 5, 0, 1), (2, "B2", 6, 0, 2), (3, "C", 0, 1, 3)],
+                                "id BIGINT, name STRING, sort_order INT, is_active INT, seq BIGINT")
+    dels = spark.createDataFrame([(1,)], "category_id BIGINT")
+    res = M.apply_category_changes(cats, subs, ups, dels)
+    assert {r.id: r.name for r in res["tour_categories"].collect()} == {2: "B2", 3: "C"}
+    assert [r.id for r in res["tour_subcategories"].collect()] == [11]
+    leads = df(spark, LEADS_DDL, [lead(1, cat=1), lead(2, cat=2)])
+    assert [r.id for r in M.dangling_category_leads(leads, res["tour_categories"]).collect()] == [1]
+
+
+def test_user_create_update_deactivate(spark):
+    users = df(spark, USERS_DDL, [(2, "sa", "Staff A", "staff", 1), (3, "sb", "Staff B", "staff", 1)])
+    creates = spark.createDataFrame([(5, "new", "New Person", None)],
+                                    "id BIGINT, username STRING, full_name STRING, role STRING")
+    updates = spark.createDataFrame([(2, 1, ["full_name"], "Renamed", None), (2, 2, ["role"], None, "manager")],
+                                    "user_pk BIGINT, seq BIGINT, fields ARRAY<STRING>, full_name STRING, "
+                                    "role STRING")
+    deact = spark.createDataFrame([(3,)], "user_pk BIGINT")
+    out = {r.id: r for r in M.apply_user_changes(users, creates, updates, deact)["users"].collect()}
+    assert (out[5].role, out[5].is_active) == ("staff", 1)
+    assert (out[2].full_name, out[2].role) == ("Renamed", "manager")
+    assert out[3].is_active == 0 and out[3].full_name == "Staff B"
+
+
+def test_whatsapp_messages_are_stripped(spark):
+    ch = spark.createDataFrame([(1, 7, "  hi there\n", 1), (1, 7, "   ", 2), (2, 7, None, 3)],
+                               "lead_pk BIGINT, actor_id BIGINT, message STRING, seq BIGINT")
+    res = M.apply_whatsapp(ch, "2026-03-01 00:00:00")
+    assert [r.message for r in res["whatsapp_logs_new"].collect()] == ["hi there"]
+    assert sorted(r.seq for r in res["rejects"].collect()) == [2, 3]
+    assert [r.details for r in res["audit"].collect()] == ["WhatsApp logged for lead 1"]
+
+
+def test_conversation_stream_rerun_commits_nothing_twice(spark, tmp_path):
+    from wayline.sources.store import TableStore
+    from wayline.sources.views import Tables
+    from wayline.streaming import change_stream as CS
+
+    sf = "/root/testdata/sf0.001"
+    t = Tables.of(spark, sf)
+    schema = t.base("events").schema
+
+    def run():
+        events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+        req = CS.conversation_requests(events, t.row_count("orders"), t.row_count("supplier"))
+        CS.run_conversation_stream(spark, req, t.leads, store, str(tmp_path / "ck"), "run", "2024-01-20 00:00:00")
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    run()
+    first = store.read("followups").count()
+    run()  # same checkpoint: nothing new to process, no duplicate commit
+    assert store.read("followups").count() == first > 0
+    assert store.read("followups").count() == t.followups.count()
