@@ -217,7 +217,9 @@ SELECT (SELECT COUNT(*) FROM crm_bookings) AS total_bookings,
        CAST(COALESCE(SUM(pg.final_amount - COALESCE(pd.paid, 0)), 0) AS DECIMAL(18,2)) AS page_balance
 FROM pg LEFT JOIN pd ON pd.booking_id = pg.id""")
 def booking_page_totals(t):
-    page_rows = L.booking_list(t.bookings, t.leads, t.users, page_no=1, per_page=P.PAGE_SIZE)
+    # The page order depends on bookings alone; the lead/user columns of the
+    # list page are not needed to pick its ids.
+    page_rows = L.page(t.bookings, L.newest_first(), 1, P.PAGE_SIZE)
     return L.booking_page_totals(t.bookings, t.payments, page_rows, P.PAGE_SIZE)
 
 
