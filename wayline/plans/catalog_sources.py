@@ -19,11 +19,16 @@ def scan_leads(t):
     return io.conform_entity(t.leads, "leads", only_present=True)
 
 
+_DUCK_TYPES = {"StringType()": "VARCHAR", "LongType()": "BIGINT", "IntegerType()": "INTEGER",
+               "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP"}
+
+
 def _default_sql(name: str) -> str:
+    """Oracle text of an absent column: its default, typed like the schema."""
     v = DEFAULTS["leads"].get(name)
-    if v is None:
-        return "NULL"
-    return f"'{v}'" if isinstance(v, str) else str(v)
+    typ = _DUCK_TYPES[repr(LEADS[name].dataType)]
+    lit = "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else str(v))
+    return f"CAST({lit} AS {typ})"
 
 
 _ABSENT = [f.name for f in LEADS.fields if f.name not in {
@@ -39,7 +44,7 @@ def conform_schema(t):
     return io.conform_entity(t.leads, "leads")
 
 
-@register("load_typed", family="sources", oracle="SELECT *, NULL AS _corrupt_record FROM crm_leads")
+@register("load_typed", family="sources", oracle="SELECT *, CAST(NULL AS VARCHAR) AS _corrupt_record FROM crm_leads")
 def load_typed(t):
     """Leads exported to CSV in the shared scratch folder, loaded back
     with the declared schema in PERMISSIVE mode (corrupt rows kept apart)."""
@@ -52,7 +57,7 @@ def load_typed(t):
 
 
 @register("export_leads", family="sources", oracle="""
-SELECT l.lead_id, l.customer_name, l.mobile, l.alt_mobile, NULL AS email, l.city, l.tour_name,
+SELECT l.lead_id, l.customer_name, l.mobile, l.alt_mobile, CAST(NULL AS VARCHAR) AS email, l.city, l.tour_name,
        l.travel_date, l.adults, l.children, l.hotel_category, 'MAP' AS meal_plan,
        'Sedan' AS vehicle_type, l.lead_source, l.status, l.enquiry_date,
        u.full_name AS assigned_to, l.created_at
@@ -66,7 +71,7 @@ SELECT b.booking_id, l.customer_name, l.mobile, l.tour_name, l.travel_date,
        b.total_amount, b.discount, b.final_amount,
        CAST(COALESCE(p.paid, 0) AS DECIMAL(18,2)) AS advance_paid,
        CAST(b.final_amount - COALESCE(p.paid, 0) AS DECIMAL(18,2)) AS balance,
-       b.payment_method, NULL AS payment_date, u.full_name AS staff, b.created_at
+       b.payment_method, CAST(NULL AS DATE) AS payment_date, u.full_name AS staff, b.created_at
 FROM crm_bookings b
 LEFT JOIN crm_leads l ON b.lead_id = l.id
 LEFT JOIN crm_users u ON b.user_id = u.id

@@ -93,9 +93,9 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
         ("created_at", "o_orderdate"),
         ("is_deleted", "CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END"),
         ("deleted_at", "CASE WHEN o_orderkey % 23 = 0 THEN o_orderdate END"),
-        ("deleted_by", "CASE WHEN o_orderkey % 23 = 0 THEN 0 END"),
-        ("tour_category_id", "CASE WHEN o_orderkey % 11 <> 0 THEN n_regionkey END"),
-        ("tour_subcategory_id", "n_nationkey"),
+        ("deleted_by", "CASE WHEN o_orderkey % 23 = 0 THEN CAST(0 AS BIGINT) END"),
+        ("tour_category_id", "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(n_regionkey AS BIGINT) END"),
+        ("tour_subcategory_id", "CAST(n_nationkey AS BIGINT)"),
     ], None),
     "crm_bookings": ("{orders}", [
         ("id", "o_orderkey"),
