@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.jsonpkg import parse
 from wayline.operators import changes as M
+from wayline.plans import catalog_nested as N
 from wayline.plans import catalog_quality as Qc
 from wayline.plans import params as P
 from wayline.plans.registry import register
@@ -366,7 +367,27 @@ def apply_subcategories(t):
     return M.apply_subcategory_changes(s, upserts, deletes)["tour_subcategories"]
 
 
-@register("apply_packages", family="changes")
+_ENCODED = ", ".join(f"{N.json_text_sql(m, a)} AS {m}" for m, a in
+                     (("itinerary", "it"), ("hotels", "h"), ("transport", "tr"),
+                      ("other_charges", "oc")))
+_MONEY = ("CAST(COALESCE(c.base_price, 0) AS DECIMAL(10,2)) AS base_price, "
+          "CAST(COALESCE(c.discount, 0) AS DECIMAL(10,2)) AS discount, "
+          "CAST(COALESCE(c.base_price - c.discount, 0) AS DECIMAL(10,2)) AS final_price, '' AS notes")
+
+
+@register("apply_packages", family="changes", oracle=f"""
+WITH {N._PARSED}
+SELECT id, lead_id, user_id, tour_name, itinerary, hotels, transport, other_charges,
+       base_price, discount, CAST(NULL AS DECIMAL(10,2)) AS final_price,
+       CAST(NULL AS VARCHAR) AS notes
+FROM crm_packages WHERE id % 5 <> 0
+UNION ALL
+SELECT c.id, c.lead_id, c.user_id, COALESCE(upper(c.tour_name), '') AS tour_name, {_ENCODED}, {_MONEY}
+FROM crm_packages c JOIN p ON c.id = p.id WHERE c.id % 5 = 0
+UNION ALL
+SELECT COALESCE((SELECT MAX(id) FROM crm_packages), 0) + row_number() OVER (ORDER BY c.id) AS id,
+       c.lead_id, c.user_id, COALESCE(c.tour_name, '') AS tour_name, {_ENCODED}, {_MONEY}
+FROM crm_packages c JOIN p ON c.id = p.id WHERE c.id % 7 = 0""")
 def apply_packages(t):
     p = t.packages
     members = [parse(c).alias(c) for c in ("itinerary", "hotels", "transport", "other_charges")]

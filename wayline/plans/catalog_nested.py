@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.operators import labels as LB
 from wayline.operators import lead360 as N
+from wayline.functions import jsonpkg as J
 from wayline.operators import packages as PK
 from wayline.plans import params as P
 from wayline.plans.registry import register
@@ -86,6 +88,8 @@ def assignment_chain_breaks(t):
 
 _PARSED = """
 p AS (SELECT id, base_price, discount,
+  CASE WHEN json_valid(itinerary) THEN from_json(itinerary,
+       '[{"day":"INTEGER","description":"VARCHAR"}]') END AS it,
   CASE WHEN json_valid(hotels) THEN from_json(hotels,
        '[{"city":"VARCHAR","name":"VARCHAR","price":"DECIMAL(10,2)","nights":"INTEGER"}]') END AS h,
   CASE WHEN json_valid(transport) THEN from_json(transport,
@@ -123,7 +127,40 @@ def itinerary_days(t):
     return PK.itinerary_days(t.packages)
 
 
-@register("package_json_encode", family="nested")
+def _json_field_sql(x: str, field) -> str:
+    """One ``"name":value`` pair as ``to_json`` writes it; NULL when the field is NULL."""
+    v = f"{x}.{field.name}"
+    text = (f"CAST(to_json({v}) AS VARCHAR)" if isinstance(field.dataType, T.StringType)
+            else f"CAST({v} AS VARCHAR)")
+    return f"""CASE WHEN {v} IS NOT NULL THEN '"{field.name}":' || {text} END"""
+
+
+def json_text_sql(member: str, parsed: str) -> str:
+    """DuckDB text equal to Spark's ``to_json`` of a parsed package member.
+
+    ``to_json`` leaves out NULL fields and writes decimals at their scale;
+    DuckDB's own encoder keeps NULLs, so the oracle writes the text itself.
+    """
+    schema = J.SCHEMAS[member]
+    struct = schema.elementType if isinstance(schema, T.ArrayType) else schema
+
+    def obj(x: str) -> str:
+        pairs = ", ".join(_json_field_sql(x, f) for f in struct.fields)
+        return f"('{{' || concat_ws(',', {pairs}) || '}}')"
+
+    if not isinstance(schema, T.ArrayType):
+        return obj(f"({parsed})")
+    items = f"list_transform({parsed}, lambda x: CASE WHEN x IS NULL THEN 'null' ELSE {obj('x')} END)"
+    return f"('[' || COALESCE(array_to_string({items}, ','), '') || ']')"
+
+
+@register("package_json_encode", family="nested", oracle=f"""
+WITH {_PARSED}
+SELECT id, {json_text_sql("itinerary", "it")} AS itinerary,
+       {json_text_sql("hotels", "h")} AS hotels,
+       {json_text_sql("transport", "tr")} AS transport,
+       {json_text_sql("other_charges", "oc")} AS other_charges
+FROM p""")
 def package_json_encode(t):
     return PK.package_json_encode(t.packages)
 
