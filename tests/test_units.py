@@ -106,6 +106,11 @@ def test_category_edges(spark):
     tree = {r.id: r for r in L3.category_tree(cats, subs).collect()}
     assert tree[2].n_subcategories == 1 and tree[1].n_subcategories == 0
     assert tree[3].subcategory_names == "A|B"
+    split = {(r.id, r.part): r for r in L3.category_tree(cats, subs, part_size=1).collect()}
+    assert sorted(split) == [(1, 0), (2, 0), (3, 0), (3, 1)]
+    assert (split[(3, 0)].subcategory_names, split[(3, 1)].subcategory_names) == ("A", "B")
+    assert split[(3, 1)].parts == 2 and split[(1, 0)].parts == 1
+    assert split[(1, 0)].subcategory_names == "" and split[(3, 1)].n_subcategories == 2
     tot = R.category_totals(R.category_stats(cats, subs, leads), subs).collect()[0]
     assert (tot.categories, tot.active_categories, tot.subcategories, tot.leads) == (3, 2, 3, 2)
     tags = {r.tag: r.subcategories for r in PK.tag_counts(subs).collect()}

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.sequence import with_previous
+from wayline.operators.sequence import ordered_position, with_previous
 
 HISTORY_COLUMNS = ["id", "lead_id", "customer_name", "tour_name", "status", "created_at"]
 
@@ -141,21 +141,39 @@ def document_parts(leads: DataFrame, users: DataFrame,
     return reduce(DataFrame.unionByName, pieces)
 
 
-def category_tree(categories: DataFrame, subcategories: DataFrame) -> DataFrame:
-    """Each category with its sub-categories (inactive ones included).
+def category_tree(categories: DataFrame, subcategories: DataFrame,
+                  part_size: int = 1000) -> DataFrame:
+    """Each category with its sub-categories (inactive ones included),
+    sorted by (sort_order, name, id), NULLs first.
 
-    Sub-categories are a dimension table (a handful per category), grouped
-    once per category; the list is sorted by (sort_order, name).
+    The nested list is emitted in parts of at most ``part_size`` consecutive
+    sub-categories: positions come from ``ordered_position`` (range blocks,
+    so a category with millions of sub-categories is spread over many tasks)
+    and part = (position - 1) div ``part_size``.  A category without
+    sub-categories has one empty part.  Output: ``id``, ``name``,
+    ``sort_order``, ``n_subcategories``, ``part``, ``parts``,
+    ``subcategory_names`` ('|'-joined names of the part), ``subcategories``.
     """
-    subs = (subcategories.groupBy(F.col("category_id").alias("cid"))
-            .agg(F.sort_array(F.collect_list(F.struct(
-                F.col("sort_order"), F.col("name"), F.col("id"), F.col("is_active"))))
-                .alias("subcategories")))
-    out = categories.join(subs, categories["id"] == subs["cid"], "left").drop("cid")
-    arr = F.coalesce(F.col("subcategories"), F.array().cast(subs.schema["subcategories"].dataType))
+    subs = subcategories.select(F.col("category_id").alias("cid"), "sort_order", "name", "id",
+                                "is_active")
+    pos = ordered_position(subs, ["cid"], ["sort_order", "name", "id"], out_col="_pos")
+    sizes = subs.groupBy(F.col("cid").alias("_sc")).agg(F.count(F.lit(1)).alias("_n"))
+    grouped = (pos.groupBy("cid", F.floor((F.col("_pos") - 1) / F.lit(part_size)).cast("int").alias("part"))
+               .agg(F.sort_array(F.collect_list(F.struct(
+                   "_pos", "sort_order", "name", "id", "is_active"))).alias("_arr")))
+    grouped = grouped.select(
+        "cid", "part",
+        F.transform("_arr", lambda s: F.struct(s["sort_order"].alias("sort_order"), s["name"].alias("name"),
+                                               s["id"].alias("id"), s["is_active"].alias("is_active")))
+        .alias("subcategories"))
+    out = (categories.join(sizes, categories["id"] == sizes["_sc"], "left")
+           .join(grouped, categories["id"] == grouped["cid"], "left"))
+    n = F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")
+    arr = F.coalesce(F.col("subcategories"), F.array().cast(grouped.schema["subcategories"].dataType))
     return out.select(
-        "id", "name", "sort_order",
-        F.size(arr).cast("bigint").alias("n_subcategories"),
+        "id", "name", "sort_order", n.alias("n_subcategories"),
+        F.coalesce(F.col("part"), F.lit(0)).alias("part"),
+        F.greatest(F.ceil(n / F.lit(part_size)), F.lit(1)).cast("int").alias("parts"),
         F.array_join(F.transform(arr, lambda s: s["name"]), "|").alias("subcategory_names"),
         arr.alias("subcategories"))
 

@@ -66,14 +66,24 @@ def lead_360(t):
     return N.document_parts(t.leads, t.users, members, counts)
 
 
-@register("category_tree", family="nested", oracle="""
-SELECT c.id, c.name, c.sort_order,
-  (SELECT COUNT(*) FROM crm_tour_subcategories s WHERE s.category_id = c.id) AS n_subcategories,
-  COALESCE((SELECT string_agg(s.name, '|' ORDER BY s.sort_order NULLS FIRST, s.name NULLS FIRST, s.id)
-            FROM crm_tour_subcategories s WHERE s.category_id = c.id), '') AS subcategory_names
-FROM crm_tour_categories c""")
+@register("category_tree", family="nested", oracle=f"""
+WITH s AS (
+  SELECT category_id, name, COUNT(*) OVER (PARTITION BY category_id) AS n,
+         row_number() OVER (PARTITION BY category_id
+                            ORDER BY sort_order NULLS FIRST, name NULLS FIRST, id) AS rn
+  FROM crm_tour_subcategories),
+g AS (
+  SELECT category_id, CAST((rn - 1) // {P.TREE_PART_SIZE} AS INTEGER) AS part, MAX(n) AS n,
+         string_agg(name, '|' ORDER BY rn) AS names
+  FROM s GROUP BY 1, 2)
+SELECT c.id, c.name, c.sort_order, CAST(COALESCE(g.n, 0) AS BIGINT) AS n_subcategories,
+       COALESCE(g.part, 0) AS part,
+       CAST(greatest(ceil(COALESCE(g.n, 0) / {P.TREE_PART_SIZE}), 1) AS INTEGER) AS parts,
+       COALESCE(g.names, '') AS subcategory_names
+FROM crm_tour_categories c LEFT JOIN g ON g.category_id = c.id""")
 def category_tree(t):
-    return N.category_tree(t.tour_categories, t.tour_subcategories).drop("subcategories")
+    return N.category_tree(t.tour_categories, t.tour_subcategories,
+                           P.TREE_PART_SIZE).drop("subcategories")
 
 
 @register("assignment_chain_breaks", family="nested", oracle="""
