@@ -125,6 +125,13 @@ def test_search_wildcards_live_vs_literal(spark):
     assert live == {1, 2} and literal == {1} and pct == {3}
 
 
+def test_literal_search_ignores_case_and_accents(spark):
+    leads = df(spark, LEADS_DDL, [lead(1, name="José Müller"), lead(2, name="JOSE"),
+                                  lead(3, name="Straße"), lead(4, name="Josh")])
+    hit = lambda q: {r.id for r in leads.where(contains_any(["customer_name"], q)).collect()}
+    assert hit("josé") == {1, 2} and hit("MULLER") == {1} and hit("strasse") == {3}
+
+
 def test_booking_code_max_ignores_malformed(spark):
     rows = [(1, "BOOKING-2026-00012", 1, 2, money(1), money(0), money(1), "Cash", T0),
             (2, "BOOKING-2026-0001x", 2, 2, money(1), money(0), money(1), "Cash", T0),

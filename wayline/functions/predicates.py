@@ -37,10 +37,20 @@ def like_any(columns: list[str], text: str) -> Column:
     return any_of([F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in columns])
 
 
+# Case- and accent-insensitive comparison, like the reference's
+# utf8mb4_unicode_ci columns ('José' ~ 'jose', 'Straße' ~ 'strasse').
+SEARCH_COLLATION = "UNICODE_CI_AI"
+
+
 def contains_any(columns: list[str], text: str) -> Column:
-    """Literal, case-insensitive substring test over several columns."""
-    needle = F.lit(text.lower())
-    return any_of([F.coalesce(F.contains(F.lower(F.col(c)), needle), F.lit(False))
+    """Literal substring test over several columns, case- and accent-insensitive.
+
+    Spark's ``contains`` honours the column's collation and stays inside
+    whole-stage codegen.  (``LIKE`` rejects ICU collations, so the searches
+    with live wildcards, ``like_any``, are case-insensitive only.)
+    """
+    needle = F.lit(text)
+    return any_of([F.coalesce(F.contains(F.collate(F.col(c), SEARCH_COLLATION), needle), F.lit(False))
                    for c in columns])
 
 

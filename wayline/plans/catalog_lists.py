@@ -16,8 +16,9 @@ def _like5(text: str, alias: str = "l") -> str:
 
 
 def _contains(cols: list[str], text: str) -> str:
-    return "(" + " OR ".join(f"coalesce(contains(lower({c}), '{text.lower()}'), false)"
-                             for c in cols) + ")"
+    """Case- and accent-folded literal substring test (DuckDB)."""
+    return "(" + " OR ".join(f"coalesce(contains(strip_accents(lower({c})), "
+                             f"strip_accents(lower('{text}'))), false)" for c in cols) + ")"
 
 
 @register("user_directory", family="lists", oracle="""
