@@ -197,7 +197,11 @@ def monthly_bookings(bookings: DataFrame, as_of: str, months: int = 6) -> DataFr
 
 
 def monthly_bookings_bar(bookings: DataFrame, as_of: str, months: int = 6) -> DataFrame:
-    """Each month's revenue as a whole percent of the best month."""
+    """Each month's revenue as a whole percent of the best month.
+
+    The un-keyed window sees only the aggregated month rows (at most
+    ``months`` + 1), never the bookings themselves.
+    """
     m = monthly_bookings(bookings, as_of, months)
     best = F.max("revenue").over(Window.partitionBy())
     return m.select("month", "bookings", "revenue",
