@@ -227,12 +227,8 @@ def test_percent_half_up(spark):
 
 def test_lead_document_parts_reassemble(spark):
     users, leads, conv, bookings, payments = _seed(spark)
-    counts = L3.child_counts(conv, conv.limit(0).select("id", "lead_id").withColumn("x", F.lit(1)),
-                             conv.limit(0).select("id", "lead_id"), bookings,
-                             payments, conv.limit(0).select("id", "lead_id"),
-                             conv.limit(0).select("id", "lead_id"), conv.limit(0).select("id", "lead_id"))
     members = {"conversations": (conv, "lead_id", ["created_at", "id"], False)}
-    docs = L3.document_parts(leads, users, members, counts, part_size=2)
+    docs = L3.document_parts(leads, users, members, part_size=2)
     c = docs.where(F.col("member") == "conversations").collect()
     assert len(c) >= 2 and all(len(r["items"]) <= 7 for r in c)
     ids = sorted(json.loads(x)["id"] for r in c for x in r["items"])

@@ -24,24 +24,37 @@ from wayline.operators.sequence import ordered_position, with_previous
 HISTORY_COLUMNS = ["id", "lead_id", "customer_name", "tour_name", "status", "created_at"]
 
 
-def newest_per_key(df: DataFrame, key: str, k: int) -> DataFrame:
-    """The ``k`` newest rows per ``key`` (ties broken by higher id)."""
+def newest_per_key(df: DataFrame, key: str, k: int, rank_col: str | None = None) -> DataFrame:
+    """The ``k`` newest rows per ``key`` (ties broken by higher id).
+
+    Spark plans a partial ``WindowGroupLimit`` before the shuffle, so a hot
+    key sends at most ``k`` rows per map task.  ``rank_col`` keeps the rank.
+    """
     w = Window.partitionBy(key).orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
-    return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_rk")
+    out = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
+    return out.withColumnRenamed("_rk", rank_col) if rank_col else out.drop("_rk")
 
 
 def customer_history(leads: DataFrame, k: int = 5) -> DataFrame:
     """For every lead, the ``k`` newest other leads with its mobile.
 
     Soft-deleted leads are included on both sides, as on the detail page.
+    The ``k + 1`` newest leads of each mobile become one sorted array (a
+    bounded group); each lead joins its mobile's single array row, drops
+    itself and keeps the first ``k`` -- exactly its ``k`` newest others.
+    No lead meets more than ``k + 1`` candidates, and after the join only
+    row-level work remains, so AQE may split a hot mobile's side freely.
     Output: ``lead_pk``, ``rnk`` (1 = newest) and the other lead's columns.
     """
-    top = newest_per_key(leads.select("mobile", *HISTORY_COLUMNS), "mobile", k + 1)
-    me = leads.select(F.col("id").alias("lead_pk"), F.col("mobile").alias("m"))
-    pairs = me.join(top, (me["m"] == top["mobile"]) & (me["lead_pk"] != top["id"]), "inner")
-    w = Window.partitionBy("lead_pk").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
-    ranked = pairs.withColumn("rnk", F.row_number().over(w).cast("bigint"))
-    return ranked.where(F.col("rnk") <= k).select("lead_pk", "rnk", *HISTORY_COLUMNS)
+    top = newest_per_key(leads.select("mobile", *HISTORY_COLUMNS), "mobile", k + 1, "_rk")
+    lists = (top.groupBy(F.col("mobile").alias("_m"))
+             .agg(F.sort_array(F.collect_list(F.struct("_rk", *HISTORY_COLUMNS))).alias("_top")))
+    me = leads.select(F.col("id").alias("lead_pk"), "mobile")
+    pairs = me.join(lists, me["mobile"] == lists["_m"], "inner")
+    others = F.slice(F.filter("_top", lambda x: x["id"] != F.col("lead_pk")), 1, k)
+    out = pairs.select("lead_pk", F.posexplode(others).alias("_p", "_h"))
+    return out.select("lead_pk", (F.col("_p") + 1).cast("bigint").alias("rnk"),
+                      *[F.col("_h")[c].alias(c) for c in HISTORY_COLUMNS])
 
 
 def _tag(df: DataFrame, key: str, kind: str, n: F.Column | None = None) -> DataFrame:
@@ -93,22 +106,24 @@ def lead_360_counts(leads: DataFrame, counts: DataFrame, history_limit: int = 5)
         F.least(F.col("same_mobile") - 1, F.lit(history_limit)).cast("bigint").alias("n_history"))
 
 
-def document_parts(leads: DataFrame, users: DataFrame,
-                   members: dict[str, tuple],
-                   counts: DataFrame, part_size: int = 1000) -> DataFrame:
-    """J8/S5 nested lead document, emitted in parts of at most ~``part_size``.
+def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple],
+                   part_size: int = 1000) -> DataFrame:
+    """J8/S5 nested lead document, emitted in parts of about ``part_size`` items.
 
     ``members`` maps a member name to ``(child_df, lead_key, sort_columns,
     ascending[, max_items])``; a member with a known bound ``max_items`` no
-    larger than ``part_size`` (e.g. the top-5 history) is one part per lead
-    and needs no count.  ``counts`` has ``lead_pk`` and ``n_<member>`` for
-    the other members.
+    larger than ``part_size`` (e.g. the top-5 history) is one part per lead.
+    For the others, each member counts its own rows per lead (partial
+    aggregation) and only leads with more than ``part_size`` children -- at
+    most rows / ``part_size`` of them -- are joined back to set their
+    ``parts = ceil(n / part_size)``; every other lead has one part.
     Every child row is serialised with ``to_json`` and routed to part
-    ``pmod(xxhash64(row), parts)`` where ``parts = ceil(n / part_size)`` for
-    that lead and member, so a lead with millions of children becomes many
-    rows of bounded size spread over many tasks.  Within a part, items are
-    sorted by the member's sort columns.  Output columns: ``lead_pk``,
-    ``member``, ``part``, ``parts``, ``items`` (array of JSON objects).
+    ``pmod(xxhash64(row), parts)``, so a lead with millions of children
+    becomes many rows of bounded size spread over many tasks.  Within a
+    part, items are sorted by the member's sort columns.  Parts are grouped
+    first and then kept for live leads only, so that filter joins one row
+    per part, not one per child.  Output columns: ``lead_pk``, ``member``,
+    ``part``, ``parts``, ``items`` (array of JSON objects).
     """
     pieces = []
     live = leads.where(F.col("is_deleted") == 0)
@@ -121,21 +136,23 @@ def document_parts(leads: DataFrame, users: DataFrame,
     for member, spec in members.items():
         child, key, sort_cols, ascending = spec[:4]
         bound = spec[4] if len(spec) > 4 else None
-        c = child.join(live_ids, child[key] == live_ids["_lid"], "left_semi")
+        c = child
         if bound is not None and bound <= part_size:
-            c = c.withColumn("parts", F.lit(1))
+            parts = F.lit(1)
         else:
-            sizes = counts.select(F.col("lead_pk").alias("_cp"),
-                                  F.greatest(F.ceil(F.col(f"n_{member}") / F.lit(part_size)), F.lit(1))
-                                  .cast("int").alias("parts"))
-            c = c.join(sizes, child[key] == sizes["_cp"], "left").drop("_cp")
+            big = (child.groupBy(F.col(key).alias("_bk")).agg(F.count(F.lit(1)).alias("_n"))
+                   .where(F.col("_n") > part_size)
+                   .select("_bk", F.ceil(F.col("_n") / F.lit(part_size)).cast("int").alias("_parts")))
+            c = child.join(big, child[key] == big["_bk"], "left")
+            parts = F.coalesce(F.col("_parts"), F.lit(1))
         payload = F.struct(*[F.col(x) for x in child.columns])
-        c = c.select(F.col(key).alias("lead_pk"), F.coalesce("parts", F.lit(1)).alias("parts"),
-                     F.struct(*[F.col(s) for s in sort_cols], F.to_json(payload).alias("j")).alias("s"),
-                     F.pmod(F.xxhash64(*[F.col(x) for x in child.columns]),
-                            F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+        c = c.select(F.col(key).alias("lead_pk"), parts.alias("parts"),
+                     F.struct(*[F.col(x) for x in sort_cols], F.to_json(payload).alias("j")).alias("s"),
+                     F.pmod(F.xxhash64(*[F.col(x) for x in child.columns]), parts)
+                     .cast("int").alias("part"))
         grouped = (c.groupBy("lead_pk", "part", "parts")
                    .agg(F.sort_array(F.collect_list("s"), asc=ascending).alias("arr")))
+        grouped = grouped.join(live_ids, grouped["lead_pk"] == live_ids["_lid"], "left_semi")
         pieces.append(grouped.select("lead_pk", F.lit(member).alias("member"), "part", "parts",
                                      F.transform("arr", lambda x: x["j"]).alias("items")))
     return reduce(DataFrame.unionByName, pieces)

@@ -52,7 +52,6 @@ def lead_360(t):
     pay = t.payments.join(t.bookings.select(F.col("id").alias("_b"), F.col("lead_id")),
                           F.col("booking_id") == F.col("_b"), "inner").drop("_b")
     history = N.customer_history(t.leads, P.HISTORY_LIMIT)
-    counts = _counts(t)
     members = {
         "conversations": (t.conversations, "lead_id", ["created_at", "id"], False),
         "followups": (t.followups, "lead_id", ["followup_date", "id"], True),
@@ -63,7 +62,7 @@ def lead_360(t):
         "pinned_notes": (t.lead_notes, "lead_id", ["id"], False),
         "history": (history, "lead_pk", ["rnk"], True, P.HISTORY_LIMIT),
     }
-    return N.document_parts(t.leads, t.users, members, counts)
+    return N.document_parts(t.leads, t.users, members)
 
 
 @register("category_tree", family="nested", oracle=f"""
