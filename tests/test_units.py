@@ -157,6 +157,21 @@ def test_history_top5_matches_brute_force(spark):
     assert got == want and len([g for g in got if g[0] == 1]) == 5
 
 
+def test_history_on_hot_mobile_matches_brute_force(spark):
+    # one mobile holds a third of 900 leads; timestamps repeat, NULL mobiles never match
+    rows = [lead(i, mobile="9000000000" if i % 3 == 0 else (None if i % 50 == 1 else f"9{i % 40:09d}"),
+                 created=ts(1 + (i * 7) % 13)) for i in range(1, 901)]
+    leads = df(spark, LEADS_DDL, rows).repartition(6)
+    got = L3.customer_history(leads, 5).select("lead_pk", "rnk", "id")
+    a, b = leads.alias("a"), leads.alias("b")
+    pairs = a.join(b, (F.col("a.mobile") == F.col("b.mobile")) & (F.col("a.id") != F.col("b.id")))
+    w = Window.partitionBy("a.id").orderBy(F.desc_nulls_last("b.created_at"), F.desc("b.id"))
+    want = (pairs.select(F.col("a.id").alias("lead_pk"), F.row_number().over(w).cast("bigint").alias("rnk"),
+                         F.col("b.id").alias("id")).where("rnk <= 5"))
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_assignment_chain_breaks(spark):
     rows = [(1, 1, None, 2, 9, ts(1)), (2, 1, 2, 3, 9, ts(2)), (3, 1, 5, 6, 9, ts(3)),
             (4, 2, None, 4, 9, ts(1))]
