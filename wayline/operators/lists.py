@@ -6,6 +6,9 @@ configured threshold and otherwise shuffles both sides.  Pages and top-k
 reports use ``orderBy(...).limit`` with an ``id`` tiebreak so results are
 deterministic; Spark plans them as TakeOrderedAndProject (per-partition
 top-k, then a merge of k rows per partition) rather than a full sort.
+A page is cut *before* its lookups: the page's keys (at most a page size
+of them) are broadcast into a semi-join that filters the looked-up table
+map-side, so a page of 20 never shuffles the users or leads tables.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.dates import bucket_predicate, same_day
 from wayline.functions.predicates import all_of, contains_any, like_any, scope
+from wayline.session import checkpoint_dir
 
 SEARCH_COLUMNS = ["customer_name", "mobile", "alt_mobile", "tour_name", "lead_id"]
 
@@ -24,10 +28,24 @@ def user_names(users: DataFrame, id_alias: str, name_alias: str) -> DataFrame:
     return users.select(F.col("id").alias(id_alias), F.col("full_name").alias(name_alias))
 
 
-def with_user_name(df: DataFrame, users: DataFrame, key: str, name_alias: str) -> DataFrame:
-    """Left-join one user name onto ``df`` by ``df[key] = users.id``."""
+def for_page(table: DataFrame, table_key: str, page_rows: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` whose ``table_key`` occurs in ``page_rows[key]``.
+
+    ``page_rows`` is one page (bounded by its page size), so its keys are
+    broadcast under that bound and ``table`` is filtered map-side.
+    """
+    keys = page_rows.select(F.col(key).alias("__page_key")).where(F.col("__page_key").isNotNull())
+    return table.join(F.broadcast(keys), table[table_key] == F.col("__page_key"), "left_semi")
+
+
+def with_user_name(df: DataFrame, users: DataFrame, key: str, name_alias: str,
+                   page: bool = False) -> DataFrame:
+    """Left-join one user name onto ``df`` by ``df[key] = users.id``.
+
+    ``page=True`` marks ``df`` as one page: only its users are looked up.
+    """
     tmp = f"__{name_alias}_uid"
-    lookup = user_names(users, tmp, name_alias)
+    lookup = user_names(for_page(users, "id", df, key) if page else users, tmp, name_alias)
     return df.join(lookup, df[key] == lookup[tmp], "left").drop(tmp)
 
 
@@ -35,14 +53,33 @@ def newest_first(*extra: Column) -> list[Column]:
     return [F.desc_nulls_last("created_at"), F.desc("id"), *extra]
 
 
+def in_order(df: DataFrame, order: list[Column], page_no: int | None) -> DataFrame:
+    """Restore a list's order after its lookups (a join keeps no order).
+
+    A page holds at most a page size of rows and is sorted in one task; a
+    full list gets a distributed sort.
+    """
+    if page_no is None:
+        return df.orderBy(*order)
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def page(df: DataFrame, order: list[Column], page_no: int | None, per_page: int) -> DataFrame:
+    """One page (``page_no`` from 1) in ``order``; ``None`` keeps the whole sorted list.
+
+    A page (at most ``per_page`` rows) is checkpointed to the shared
+    checkpoint folder: the page and the key lists built from it for its
+    lookups then read those few rows, so the source is scanned and cut to
+    the page once, not once per use.
+    """
     ordered = df.orderBy(*order)
     if page_no is None:
         return ordered
     offset = (max(page_no, 1) - 1) * per_page
     if offset:
         ordered = ordered.offset(offset)
-    return ordered.limit(per_page)
+    checkpoint_dir(df.sparkSession)
+    return ordered.limit(per_page).checkpoint(eager=True)
 
 
 # -- users -----------------------------------------------------------------
@@ -79,9 +116,9 @@ def lead_predicates(role: str | None = None, user_id: int | None = None,
 def lead_list(leads: DataFrame, users: DataFrame, *, page_no: int | None = 1,
               per_page: int = 20, **filters) -> DataFrame:
     """F2/L1: ``l.*`` plus the assignee's name, newest first, one page."""
-    rows = leads.where(lead_predicates(**filters))
-    named = with_user_name(rows, users, "assigned_to", "assigned_name")
-    return page(named, newest_first(), page_no, per_page)
+    rows = page(leads.where(lead_predicates(**filters)), newest_first(), page_no, per_page)
+    named = with_user_name(rows, users, "assigned_to", "assigned_name", page=page_no is not None)
+    return in_order(named, newest_first(), page_no)
 
 
 def lead_page_total(leads: DataFrame, per_page: int = 20, **filters) -> DataFrame:
@@ -104,8 +141,9 @@ def lead_search(leads: DataFrame, text: str, role: str | None = None,
 
 def recent_leads(leads: DataFrame, users: DataFrame, limit: int = 10) -> DataFrame:
     """L2: newest leads (deleted included) with assignee name."""
-    top = leads.orderBy(*newest_first()).limit(limit)
-    named = with_user_name(top, users, "assigned_to", "assigned_name")
+    top = page(leads, newest_first(), 1, limit)
+    named = in_order(with_user_name(top, users, "assigned_to", "assigned_name", page=True),
+                     newest_first(), 1)
     return named.select("lead_id", "id", "customer_name", "mobile", "tour_name", "status",
                         "created_at", "assigned_name")
 
@@ -183,22 +221,32 @@ def followup_list(followups: DataFrame, leads: DataFrame, users: DataFrame, toda
 
 # -- bookings ----------------------------------------------------------------
 
+def _booking_details(b: DataFrame, leads: DataFrame, users: DataFrame, page: bool) -> DataFrame:
+    """Attach the lead's customer fields and the staff name to bookings ``b``."""
+    lead_src = for_page(leads, "id", b, "lead_id") if page else leads
+    user_src = for_page(users, "id", b, "user_id") if page else users
+    lk = lead_src.select(F.col("id").alias("l_pk"), "customer_name", "mobile", "tour_name", "travel_date")
+    joined = b.join(lk, b["lead_id"] == lk["l_pk"], "left").drop("l_pk")
+    return with_user_name(joined, user_src, "user_id", "staff_name")
+
+
 def booking_rows(bookings: DataFrame, leads: DataFrame, users: DataFrame,
                  role: str | None = None, user_id: int | None = None) -> DataFrame:
     """Bookings with the lead's customer fields and the staff name."""
     b = bookings.where(all_of(scope(role, user_id, "user_id")))
-    lk = leads.select(F.col("id").alias("l_pk"), "customer_name", "mobile", "tour_name",
-                      "travel_date")
-    joined = b.join(lk, b["lead_id"] == lk["l_pk"], "left").drop("l_pk")
-    return with_user_name(joined, users, "user_id", "staff_name")
+    return _booking_details(b, leads, users, page=False)
 
 
 def booking_list(bookings: DataFrame, leads: DataFrame, users: DataFrame, page_no: int | None = 1,
                  per_page: int = 20, role: str | None = None,
                  user_id: int | None = None) -> DataFrame:
-    """One page of the booking list, newest first."""
-    rows = booking_rows(bookings, leads, users, role, user_id)
-    return page(rows, newest_first(), page_no, per_page)
+    """One page of the booking list, newest first.
+
+    The page is cut from the bookings alone (scope and order need no lead
+    column); only its leads and staff are looked up.
+    """
+    b = page(bookings.where(all_of(scope(role, user_id, "user_id"))), newest_first(), page_no, per_page)
+    return in_order(_booking_details(b, leads, users, page=page_no is not None), newest_first(), page_no)
 
 
 def booking_search(rows: DataFrame, text: str) -> DataFrame:
@@ -240,8 +288,8 @@ def activity_rows(activity: DataFrame, users: DataFrame) -> DataFrame:
 
 def activity_feed(activity: DataFrame, users: DataFrame, limit: int = 100) -> DataFrame:
     """L4: newest audit rows with the actor's name."""
-    top = activity.orderBy(*newest_first()).limit(limit)
-    return activity_rows(top, users)
+    top = page(activity, newest_first(), 1, limit)
+    return in_order(with_user_name(top, users, "user_id", "full_name", page=True), newest_first(), 1)
 
 
 def activity_search(activity: DataFrame, users: DataFrame, text: str) -> DataFrame:
