@@ -115,7 +115,8 @@ def test_lead_documents_hold_every_child(spark):
     q = queries()
     docs = q["lead_360"](spark, SF01)
     got = (docs.where(F.col("member") != "lead")
-           .groupBy("lead_pk", "member").agg(F.sum(F.size("items")).alias("n")))
+           .groupBy("lead_pk", "member")
+           .agg(F.sum(F.json_array_length("items")).cast("bigint").alias("n")))
     counts = q["lead_360_counts"](spark, SF01)
     members = ["conversations", "followups", "packages", "bookings", "payments",
                "whatsapp_logs", "pinned_notes", "history"]

@@ -15,6 +15,7 @@ SEARCH_LIMIT = 20
 AUDIT_LIMIT = 100
 CATEGORY_LEADS_LIMIT = 100
 HISTORY_LIMIT = 5
+DOC_PART_SIZE = 1000                   # children per lead_360 document part
 TREE_PART_SIZE = 1000                  # sub-categories per category_tree row
 SEARCH_TEXT = "1_3"                    # '_' is a live LIKE wildcard here
 BOOKING_SEARCH_TEXT = "nation_1"             # literal, case-insensitive ("_" is plain)
