@@ -353,3 +353,40 @@ def test_conversation_stream_rerun_commits_nothing_twice(spark, tmp_path):
     run()  # same checkpoint: nothing new to process, no duplicate commit
     assert store.read("followups").count() == first > 0
     assert store.read("followups").count() == t.followups.count()
+
+
+def test_tumbling_counts_drop_events_behind_the_watermark(spark, tmp_path):
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from wayline.streaming import audit_counts as A
+
+    src = tmp_path / "audit_in"
+    src.mkdir()
+
+    def write(name, rows):
+        ids, actions, times = zip(*rows)
+        pq.write_table(pa.table({"id": pa.array(ids, pa.int64()), "action": list(actions),
+                                 "created_at": pa.array(times, pa.timestamp("us"))}),
+                       str(src / name))
+
+    # Spark filters late rows with the watermark of the batch before, so the
+    # late event comes two files (batches) after the one that moves the watermark.
+    day10 = dt.datetime(2024, 1, 10, 12, 0)
+    write("a.parquet", [(1, "LOGIN", day10), (2, "LOGIN", day10), (3, "CREATE_LEAD", day10)])
+    time.sleep(1.1)  # the file source takes files in modification order, one per batch
+    write("b.parquet", [(4, "LOGIN", day10 + dt.timedelta(minutes=5))])
+    time.sleep(1.1)
+    write("c.parquet", [(5, "LOGIN", dt.datetime(2024, 1, 1, 9, 0))])
+
+    schema = "id BIGINT, action STRING, created_at TIMESTAMP_NTZ"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = tmp_path / "out"
+    A.run_available_now(A.tumbling_counts(stream), str(out), str(tmp_path / "ck"))
+    got = {(r.window_start.day, r.action): r.cnt for r in A.final_counts(spark, str(out)).collect()}
+    assert got == {(10, "LOGIN"): 3, (10, "CREATE_LEAD"): 1}   # day-1 event came after the watermark
+    batch = {(r.window_start.day, r.action): r.cnt
+             for r in A.batch_counts(spark.read.schema(schema).parquet(str(src))).collect()}
+    assert batch == {**got, (1, "LOGIN"): 1}
