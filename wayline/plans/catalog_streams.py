@@ -43,8 +43,9 @@ def stream_conversations(t):
     spark = t.spark
     base = scratch_path(spark, "conv-stream")
     events_schema = t.base("events").schema
+    # A backlog of files is taken a few files per micro-batch, so no batch is unbounded.
     events = (spark.readStream.schema(events_schema).option("pathGlobFilter", "events.parquet")
-              .parquet(t.data_dir))
+              .option("maxFilesPerTrigger", P.STREAM_FILES_PER_BATCH).parquet(t.data_dir))
     # Key ranges of the stand-in feed (the view mapping's modulus), from table metadata.
     n_orders, n_users = t.base("orders").count(), t.base("supplier").count()
     requests = CS.conversation_requests(events, n_orders, n_users)

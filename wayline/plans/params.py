@@ -26,3 +26,4 @@ FILTER_ASSIGNEE = 12
 CATEGORY_ID = 2
 PACKAGE_ID = 1001
 NEW_LEADS_DAY = "1998-07-15"
+STREAM_FILES_PER_BATCH = 8              # files per micro-batch of the T2 stream
