@@ -164,7 +164,9 @@ def lead_status_counts(leads: DataFrame) -> DataFrame:
 def lead_status_share(leads: DataFrame) -> DataFrame:
     """A18 + W2: count, whole-percent share of all leads and bar width vs max.
 
-    The window runs over the handful of aggregated status rows only.
+    The un-keyed window runs over the handful of aggregated status rows
+    only (one row per status value), so its single task is tiny; it beats
+    scalar sub-queries, which add jobs and may repeat the aggregate.
     """
     counts = lead_status_counts(leads)
     w = Window.partitionBy()
