@@ -42,7 +42,11 @@ def position_within(df: DataFrame, part_col: str, order_col: str,
     """1-based position within ``part_col`` by a unique integer ``order_col``.
 
     A block is ``order_col // block_size``; unique keys put at most
-    ``block_size`` rows in a block.
+    ``block_size`` rows in a block.  The running offsets are a window over
+    a group's non-empty blocks, so this suits dense keys (request ids and
+    sequence numbers, as in the change sets): a group of n rows then has
+    about n / ``block_size`` blocks.  For sparse or non-integer orderings use
+    ``ordered_position``, whose blocks are sampled ranges.
     """
     blk = F.floor(F.col(order_col) / F.lit(block_size)).cast("bigint")
     return _positions(df.withColumn("_blk", blk), [part_col], [F.col(order_col)], out_col)
