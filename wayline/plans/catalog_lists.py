@@ -179,6 +179,21 @@ def followups_staff_scope(t):
                            role="staff", user_id=P.STAFF_USER)
 
 
+@register("followups_staff_all", family="lists", oracle=_FOLLOWUPS.format(
+    extra=f"AND f.user_id = {P.STAFF_USER}"))
+def followups_staff_all(t):
+    """F7 + F9 (unknown tab = every pending follow-up) for one staff member."""
+    return L.followup_list(t.followups, t.leads, t.users, P.FOLLOWUP_AS_OF, bucket=None,
+                           role="staff", user_id=P.STAFF_USER)
+
+
+@register("followup_today_list", family="lists", oracle=_FOLLOWUPS.format(
+    extra=f"AND f.followup_date = DATE '{P.FOLLOWUP_AS_OF}'"))
+def followup_today_list(t):
+    """F9 'today' tab for every user."""
+    return L.followup_list(t.followups, t.leads, t.users, P.FOLLOWUP_AS_OF, bucket="today")
+
+
 _BOOKING_ROWS = """
 SELECT b.*, l.customer_name, l.mobile, l.tour_name, l.travel_date, u.full_name AS staff_name
 FROM crm_bookings b
