@@ -44,3 +44,13 @@ def test_no_python_udfs_or_cartesian(spark, name):
     assert not any(n in p for n in PY_NODES), name
     assert "CartesianProduct" not in p, name
     assert "BroadcastNestedLoopJoin" not in p, name
+
+
+@pytest.mark.parametrize("name,lookups", [("booking_list_page", 2), ("lead_list_page", 1),
+                                          ("recent_leads", 1), ("activity_feed", 1)])
+def test_pages_are_cut_before_their_lookups(spark, name, lookups):
+    # The page is checkpointed (an RDD scan) and every lookup table is first
+    # cut to the page's keys by a broadcast semi-join.
+    p = plan(spark, name)
+    assert "Scan ExistingRDD" in p, name
+    assert p.count("LeftSemi") >= lookups, name
