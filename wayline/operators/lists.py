@@ -65,16 +65,18 @@ def in_order(df: DataFrame, order: list[Column], page_no: int | None) -> DataFra
 
 
 def page(df: DataFrame, order: list[Column], page_no: int | None, per_page: int) -> DataFrame:
-    """One page (``page_no`` from 1) in ``order``; ``None`` keeps the whole sorted list.
+    """One page (``page_no`` from 1) in ``order``; ``None`` keeps every row
+    (unsorted: callers sort the full list once, after its lookups, with
+    ``in_order``).
 
     A page (at most ``per_page`` rows) is checkpointed to the shared
     checkpoint folder: the page and the key lists built from it for its
     lookups then read those few rows, so the source is scanned and cut to
     the page once, not once per use.
     """
-    ordered = df.orderBy(*order)
     if page_no is None:
-        return ordered
+        return df
+    ordered = df.orderBy(*order)
     offset = (max(page_no, 1) - 1) * per_page
     if offset:
         ordered = ordered.offset(offset)
