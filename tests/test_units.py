@@ -130,6 +130,8 @@ def test_literal_search_ignores_case_and_accents(spark):
                                   lead(3, name="Straße"), lead(4, name="Josh")])
     hit = lambda q: {r.id for r in leads.where(contains_any(["customer_name"], q)).collect()}
     assert hit("josé") == {1, 2} and hit("MULLER") == {1} and hit("strasse") == {3}
+    like = lambda q: {r.id for r in leads.where(like_any(["customer_name"], q)).collect()}
+    assert like("jos_ m%ller") == {1} and like("JOSÉ") == {1, 2} and like("stra") == {3}
 
 
 def test_booking_code_max_ignores_malformed(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,14 +28,47 @@ def scope(role: str | None, user_id: int | None, column: str,
     return []
 
 
+def _latin_fold_table() -> tuple[str, str]:
+    """Accented Latin letters (U+00C0..U+024F) and their base letters.
+
+    Built by rule from Unicode decomposition: a letter whose compatibility
+    decomposition, without combining marks, is one other character folds
+    to it ('é' -> 'e', 'Ü' -> 'U').  Letters that expand ('ß', 'æ') stay.
+    """
+    src, dst = [], []
+    for cp in range(0xC0, 0x250):
+        ch = chr(cp)
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if len(base) == 1 and base != ch:
+            src.append(ch)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+FOLD_FROM, FOLD_TO = _latin_fold_table()
+_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
+
+
+def fold_accents(col: Column) -> Column:
+    """Accented Latin letters to their base letters (JVM ``translate``).
+
+    Measured at sf0.1, this makes the search predicate about 1.5x as costly
+    as a plain ``ilike``.  An ASCII guard (bytes == characters) was slower
+    still, because ``length`` scans the string too.
+    """
+    return F.translate(col, FOLD_FROM, FOLD_TO)
+
+
 def like_any(columns: list[str], text: str) -> Column:
-    """Case-insensitive infix LIKE over several columns.
+    """Case- and accent-insensitive infix LIKE over several columns.
 
     ``%`` and ``_`` inside ``text`` stay live wildcards, as in the SQL the
-    lists are modelled on.  NULL columns never match.
+    lists are modelled on.  ``LIKE`` rejects ICU collations, so accents are
+    folded on both sides with ``fold_accents`` before ``ilike``.  NULL
+    columns never match.
     """
-    pattern = f"%{text}%"
-    return any_of([F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in columns])
+    pattern = f"%{text.translate(_FOLD)}%"
+    return any_of([F.coalesce(fold_accents(F.col(c)).ilike(pattern), F.lit(False)) for c in columns])
 
 
 # Case- and accent-insensitive comparison, like the reference's

@@ -10,9 +10,11 @@ _NEWEST = "ORDER BY created_at DESC NULLS LAST, id DESC"
 
 
 def _like5(text: str, alias: str = "l") -> str:
+    """Case- and accent-folded infix ILIKE (DuckDB), wildcards live."""
     pat = f"%{text}%"
     cols = ["customer_name", "mobile", "alt_mobile", "tour_name", "lead_id"]
-    return "(" + " OR ".join(f"{alias}.{c} ILIKE '{pat}'" for c in cols) + ")"
+    return "(" + " OR ".join(f"strip_accents({alias}.{c}) ILIKE strip_accents('{pat}')"
+                             for c in cols) + ")"
 
 
 def _contains(cols: list[str], text: str) -> str:
