@@ -134,6 +134,13 @@ def test_literal_search_ignores_case_and_accents(spark):
     assert like("jos_ m%ller") == {1} and like("JOSÉ") == {1, 2} and like("stra") == {3}
 
 
+def test_status_filter_ignores_case(spark):
+    from wayline.operators.lists import lead_predicates
+
+    leads = df(spark, LEADS_DDL, [lead(1, "Follow-up"), lead(2, "follow-up"), lead(3, "New Lead")])
+    assert {r.id for r in leads.where(lead_predicates(status="FOLLOW-UP")).collect()} == {1, 2}
+
+
 def test_booking_code_max_ignores_malformed(spark):
     rows = [(1, "BOOKING-2026-00012", 1, 2, money(1), money(0), money(1), "Cash", T0),
             (2, "BOOKING-2026-0001x", 2, 2, money(1), money(0), money(1), "Cash", T0),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.dates import bucket_predicate, same_day
-from wayline.functions.predicates import all_of, contains_any, like_any, scope
+from wayline.functions.predicates import SEARCH_COLLATION, all_of, contains_any, like_any, scope
 from wayline.session import checkpoint_dir
 
 SEARCH_COLUMNS = ["customer_name", "mobile", "alt_mobile", "tour_name", "lead_id"]
@@ -109,7 +109,8 @@ def lead_predicates(role: str | None = None, user_id: int | None = None,
         preds.append(F.col("is_deleted") == 0)
     preds += scope(role, user_id, "assigned_to", assigned)
     if status:
-        preds.append(F.col("status") == status)
+        # '=' on the reference's columns ignores case and accents too.
+        preds.append(F.collate(F.col("status"), SEARCH_COLLATION) == F.lit(status))
     if search:
         preds.append(like_any(SEARCH_COLUMNS, search))
     return all_of(preds)

@@ -50,7 +50,7 @@ def lead_list_page(t):
 
 @register("lead_list_filtered", family="lists", oracle=_LEAD_PAGE.format(
     where=f"l.is_deleted = 0 AND l.assigned_to = {P.FILTER_ASSIGNEE} "
-          f"AND l.status = '{P.FILTER_STATUS}'"))
+          f"AND strip_accents(lower(l.status)) = strip_accents(lower('{P.FILTER_STATUS}'))"))
 def lead_list_filtered(t):
     return L.lead_list(t.leads, t.users, page_no=None, role="admin",
                        assigned=P.FILTER_ASSIGNEE, status=P.FILTER_STATUS)
