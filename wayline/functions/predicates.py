@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -49,26 +50,47 @@ FOLD_FROM, FOLD_TO = _latin_fold_table()
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
-def fold_accents(col: Column) -> Column:
-    """Accented Latin letters to their base letters (JVM ``translate``).
+def _variants() -> dict[str, str]:
+    """Base letter (lower case) -> every letter of the table that folds to it."""
+    out: dict[str, set[str]] = {}
+    for ch, base in zip(FOLD_FROM, FOLD_TO):
+        out.setdefault(base.lower(), {base.lower()}).add(ch)
+    return {b: "".join(sorted(v)) for b, v in out.items()}
 
-    Measured at sf0.1, this makes the search predicate about 1.5x as costly
-    as a plain ``ilike``.  An ASCII guard (bytes == characters) was slower
-    still, because ``length`` scans the string too.
+
+_VARIANTS = _variants()
+
+
+def like_regex(pattern: str) -> str:
+    """Java regex equal to a case- and accent-insensitive SQL LIKE ``pattern``.
+
+    ``%`` -> ``.*``, ``_`` -> ``.``; a letter becomes the class of all its
+    accented forms; ``(?isu)``: Unicode case-insensitive, ``.`` matches
+    newlines.  Anchored at both ends like LIKE.
     """
-    return F.translate(col, FOLD_FROM, FOLD_TO)
+    parts = []
+    for ch in pattern:
+        if ch == "%":
+            parts.append(".*")
+        elif ch == "_":
+            parts.append(".")
+        else:
+            group = _VARIANTS.get(ch.translate(_FOLD).lower())
+            parts.append(f"[{group}]" if group else re.escape(ch))
+    return "(?isu)\\A" + "".join(parts) + "\\z"
 
 
 def like_any(columns: list[str], text: str) -> Column:
     """Case- and accent-insensitive infix LIKE over several columns.
 
     ``%`` and ``_`` inside ``text`` stay live wildcards, as in the SQL the
-    lists are modelled on.  ``LIKE`` rejects ICU collations, so accents are
-    folded on both sides with ``fold_accents`` before ``ilike``.  NULL
-    columns never match.
+    lists are modelled on.  ``LIKE`` rejects ICU collations, so the pattern
+    is compiled once into an accent-aware regex (``like_regex``) and tested
+    with ``rlike``: no per-row rewriting of the data, and measured at sf0.1
+    as fast as a plain ``ilike``.  NULL columns never match.
     """
-    pattern = f"%{text.translate(_FOLD)}%"
-    return any_of([F.coalesce(fold_accents(F.col(c)).ilike(pattern), F.lit(False)) for c in columns])
+    rx = like_regex(f"%{text}%")
+    return any_of([F.coalesce(F.col(c).rlike(rx), F.lit(False)) for c in columns])
 
 
 # Case- and accent-insensitive comparison, like the reference's
@@ -80,8 +102,8 @@ def contains_any(columns: list[str], text: str) -> Column:
     """Literal substring test over several columns, case- and accent-insensitive.
 
     Spark's ``contains`` honours the column's collation and stays inside
-    whole-stage codegen.  (``LIKE`` rejects ICU collations, so the searches
-    with live wildcards, ``like_any``, are case-insensitive only.)
+    whole-stage codegen.  (``LIKE`` rejects ICU collations; the searches
+    with live wildcards, ``like_any``, use an accent-aware regex instead.)
     """
     needle = F.lit(text)
     return any_of([F.coalesce(F.contains(F.collate(F.col(c), SEARCH_COLLATION), needle), F.lit(False))
