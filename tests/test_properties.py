@@ -125,3 +125,30 @@ def test_lead_documents_hold_every_child(spark):
             .where("n > 0"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert docs.where(F.col("member") == "lead").count() == counts.count()
+
+
+def test_like_regex_equals_spark_ilike_on_folded_text(spark):
+    # The accent-aware regex must accept exactly what Spark's ILIKE accepts
+    # once accents are folded, wildcards and backslash escapes included.
+    import random
+
+    from wayline.functions.predicates import FOLD_FROM, FOLD_TO, like_regex
+
+    rnd = random.Random(7)
+    chars = list("aAeEéÉèoOöÖñNxy1 .*[]()^$|?+{}#-") + ["\n"]
+    pat_atoms = chars + ["%", "_", "\\%", "\\_", "\\\\"]
+    rows = []
+    for _ in range(400):
+        text = "".join(rnd.choice(chars + ["%", "_", "\\"]) for _ in range(rnd.randint(0, 8)))
+        pattern = "".join(rnd.choice(pat_atoms) for _ in range(rnd.randint(0, 5)))
+        if rnd.random() < 0.5:  # also patterns cut from the text itself, so many rows match
+            a = rnd.randint(0, len(text))
+            piece = text[a:a + 3].replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+            pattern = f"%{piece}%"
+        rows.append((text, pattern, like_regex(pattern)))
+    d = spark.createDataFrame(rows, "s string, p string, rx string")
+    want = F.expr(f"translate(s, '{FOLD_FROM}', '{FOLD_TO}') ILIKE translate(p, '{FOLD_FROM}', '{FOLD_TO}')")
+    checked = d.select("s", "p", F.expr("s RLIKE rx").alias("got"), want.alias("want"))
+    bad = checked.where(F.col("got") != F.col("want")).collect()
+    assert not bad, bad[:5]
+    assert checked.where("want").count() > 50

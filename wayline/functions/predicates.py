@@ -64,19 +64,29 @@ _VARIANTS = _variants()
 def like_regex(pattern: str) -> str:
     """Java regex equal to a case- and accent-insensitive SQL LIKE ``pattern``.
 
-    ``%`` -> ``.*``, ``_`` -> ``.``; a letter becomes the class of all its
-    accented forms; ``(?isu)``: Unicode case-insensitive, ``.`` matches
-    newlines.  Anchored at both ends like LIKE.
+    ``%`` -> ``.*``, ``_`` -> ``.``; ``\\`` escapes the next character (as
+    LIKE's default escape does; a trailing one is literal); a letter becomes
+    the class of all its accented forms; ``(?isu)``: Unicode
+    case-insensitive, ``.`` matches newlines.  Anchored at both ends like LIKE.
     """
     parts = []
-    for ch in pattern:
-        if ch == "%":
+    i = 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            i += 1
+            ch = pattern[i]
+        elif ch == "%":
             parts.append(".*")
+            i += 1
+            continue
         elif ch == "_":
             parts.append(".")
-        else:
-            group = _VARIANTS.get(ch.translate(_FOLD).lower())
-            parts.append(f"[{group}]" if group else re.escape(ch))
+            i += 1
+            continue
+        group = _VARIANTS.get(ch.translate(_FOLD).lower())
+        parts.append(f"[{group}]" if group else re.escape(ch))
+        i += 1
     return "(?isu)\\A" + "".join(parts) + "\\z"
 
 
