@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 from wayline.operators import changes as M
 from wayline.operators import lists as L
 from wayline.operators import reports as R
@@ -152,3 +152,17 @@ def test_like_regex_equals_spark_ilike_on_folded_text(spark):
     bad = checked.where(F.col("got") != F.col("want")).collect()
     assert not bad, bad[:5]
     assert checked.where("want").count() > 50
+
+
+def test_queries_on_materialized_views_match(spark, tmp_path):
+    from wayline.plans.registry import REGISTRY, queries
+
+    queries()  # loads the catalogs
+    t = Tables.of(spark, SF001)
+    stored = t.materialize(str(tmp_path / "crm"))
+    for name in ("staff_performance", "customer_history_top5", "lead_list_page", "category_tree",
+                 "booking_balances", "apply_bookings", "lead_360_counts", "package_price_check"):
+        a = REGISTRY[name].fn(t)
+        b = REGISTRY[name].fn(stored)
+        assert a.schema.simpleString() == b.schema.simpleString(), name  # Parquet reads are nullable
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name

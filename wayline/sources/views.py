@@ -330,3 +330,40 @@ class Tables:
     @cached_property
     def names(self) -> list[str]:
         return list(VIEWS)
+
+    def materialize(self, out_dir: str, names: list[str] | None = None) -> "Tables":
+        """Write the CRM views once as Parquet tables under ``out_dir`` and
+        return ``Tables`` that read them instead of re-deriving them.
+
+        ``out_dir`` must be shared storage (e.g. a folder under the session's
+        checkpoint folder).  Every query on a derived view repeats the view's
+        joins of the driver tables; on the written tables each query scans
+        one table.  Rows are sorted by ``id`` within each file, so the
+        Parquet min/max statistics let id filters skip row groups.
+        """
+        out = out_dir.rstrip("/")
+        for name in names or self.names:
+            df = self.view(name)
+            if "id" in df.columns:
+                df = df.sortWithinPartitions("id")
+            df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return StoredTables(self.spark, self.data_dir, out, names or self.names)
+
+
+class StoredTables(Tables):
+    """``Tables`` whose CRM views are Parquet tables written by ``materialize``.
+
+    Base tables (e.g. the event stream) still come from ``data_dir``.
+    """
+
+    def __init__(self, spark: SparkSession, data_dir: str, stored_dir: str, names: list[str]):
+        super().__init__(spark, data_dir)
+        self.stored_dir = stored_dir
+        self.stored = set(names)
+
+    def view(self, name: str) -> DataFrame:
+        if name not in self.stored:
+            return super().view(name)
+        if name not in self._views:
+            self._views[name] = self.spark.read.parquet(f"{self.stored_dir}/{name}")
+        return self._views[name]
