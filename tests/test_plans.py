@@ -54,3 +54,14 @@ def test_pages_are_cut_before_their_lookups(spark, name, lookups):
     p = plan(spark, name)
     assert "Scan ExistingRDD" in p, name
     assert p.count("LeftSemi") >= lookups, name
+
+
+def test_stored_views_push_id_filters_to_the_scan(spark, tmp_path):
+    from tests.conftest import SF001
+    from wayline.sources.views import Tables
+
+    stored = Tables.of(spark, SF001).materialize(str(tmp_path / "crm"), names=["crm_packages"])
+    df = REGISTRY["package_by_id"].fn(stored)
+    text = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(id,1001)" in text and "crm_packages" in text
