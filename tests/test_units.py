@@ -132,6 +132,10 @@ def test_literal_search_ignores_case_and_accents(spark):
     assert hit("josé") == {1, 2} and hit("MULLER") == {1} and hit("strasse") == {3}
     like = lambda q: {r.id for r in leads.where(like_any(["customer_name"], q)).collect()}
     assert like("jos_ m%ller") == {1} and like("JOSÉ") == {1, 2} and like("stra") == {3}
+    assert like("strasse") == {3} and like("STRAẞE".replace("ẞ", "ß")) == {3}
+    caesar = df(spark, LEADS_DDL, [lead(5, name="Cæsar"), lead(6, name="Caesar"), lead(7, name="Casar")])
+    assert {r.id for r in caesar.where(like_any(["customer_name"], "caesar")).collect()} == {5, 6}
+    assert {r.id for r in caesar.where(like_any(["customer_name"], "CÆSAR")).collect()} == {5, 6}
 
 
 def test_status_filter_ignores_case(spark):

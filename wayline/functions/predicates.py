@@ -61,31 +61,55 @@ def _variants() -> dict[str, str]:
 _VARIANTS = _variants()
 
 
+# Letters the reference's collation compares equal to two letters.
+EXPANSIONS = {"ß": "ss", "æ": "ae", "œ": "oe"}
+_CONTRACTIONS = {two: one for one, two in EXPANSIONS.items()}
+
+
+def _letter(ch: str) -> str:
+    group = _VARIANTS.get(ch.translate(_FOLD).lower())
+    return f"[{group}]" if group else re.escape(ch)
+
+
 def like_regex(pattern: str) -> str:
     """Java regex equal to a case- and accent-insensitive SQL LIKE ``pattern``.
 
     ``%`` -> ``.*``, ``_`` -> ``.``; ``\\`` escapes the next character (as
     LIKE's default escape does; a trailing one is literal); a letter becomes
-    the class of all its accented forms; ``(?isu)``: Unicode
+    the class of all its accented forms, and the pairs of ``EXPANSIONS``
+    match their one-letter form both ways ('ss' ~ 'ß'); ``(?isu)``: Unicode
     case-insensitive, ``.`` matches newlines.  Anchored at both ends like LIKE.
     """
-    parts = []
+    tokens: list[tuple[str, str]] = []  # ("lit", char) or ("re", regex)
     i = 0
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
             i += 1
-            ch = pattern[i]
-        elif ch == "%":
-            parts.append(".*")
+            tokens.append(("lit", pattern[i]))
+        elif ch in "%_":
+            tokens.append(("re", ".*" if ch == "%" else "."))
+        else:
+            tokens.append(("lit", ch))
+        i += 1
+    parts = []
+    i = 0
+    while i < len(tokens):
+        kind, ch = tokens[i]
+        if kind == "re":
+            parts.append(ch)
             i += 1
             continue
-        elif ch == "_":
-            parts.append(".")
-            i += 1
+        pair = "".join(c.translate(_FOLD).lower() for k, c in tokens[i:i + 2] if k == "lit")
+        if len(pair) == 2 and pair in _CONTRACTIONS:
+            parts.append(f"(?:{_letter(ch)}{_letter(tokens[i + 1][1])}|{_CONTRACTIONS[pair]})")
+            i += 2
             continue
-        group = _VARIANTS.get(ch.translate(_FOLD).lower())
-        parts.append(f"[{group}]" if group else re.escape(ch))
+        if ch.lower() in EXPANSIONS:
+            two = EXPANSIONS[ch.lower()]
+            parts.append(f"(?:{re.escape(ch)}|{_letter(two[0])}{_letter(two[1])})")
+        else:
+            parts.append(_letter(ch))
         i += 1
     return "(?isu)\\A" + "".join(parts) + "\\z"
 
