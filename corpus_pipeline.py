@@ -1,15 +1,27 @@
 """Corpus pipeline: stages over ``documents``, each stored before the next reads it.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``.  The last returns the token ids and
+the decoded text of every copy that the mixture shows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import op4_minhash
+from wayline.llm import op3_quality, op4_minhash, op7_sentencepiece, op9_mixing, op10_line_dedup
 from wayline.llm.common import stored, table
+from wayline.llm.queries import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose their host's boilerplate lines."""
+    return op3_quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten or more documents go."""
+    return op10_line_dedup.drop_repeated_lines(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +29,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op4_minhash.deduplicate(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's weight asks for."""
+    return op9_mixing.mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and their decoding."""
+    return op7_sentencepiece.encode_decode(docs, tokenizer_path())
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
 ]
 
 #: The near-duplicate, mixing and tokenizer stages are not expressed in SQL.

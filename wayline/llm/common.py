@@ -64,13 +64,18 @@ def sha_hex(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 
 
-def arrow_map(df: DataFrame, fn, ddl: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver found it.
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it.
 
     On a cluster the package is installed or shipped (``--py-files``); the
     extra path only helps runs from a checkout.
     """
-    env = df.sparkSession.sparkContext.environment
+    env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), _ROOT) if x)
+
+
+def arrow_map(df: DataFrame, fn, ddl: str) -> DataFrame:
+    """``mapInArrow`` with this package importable in the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, ddl)

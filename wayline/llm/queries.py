@@ -5,19 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayline.llm import op4_minhash
-from wayline.llm.common import table
+from wayline.llm import op3_quality, op4_minhash, op7_sentencepiece, op9_mixing, op10_line_dedup
+from wayline.llm.common import sha_hex, table
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_quality.assess(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words",
+        "base_failed", "kept")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = op7_sentencepiece.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return op7_sentencepiece.digests(coded)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+def op10_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op10_line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_dropped", sha_hex(kept).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_minhash_near_dedup,)
+    f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op7_sentencepiece_codec,
+                            op9_source_mixing, op10_line_dedup_bloom)
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": op3_quality.ORACLE_SQL,
     "op4_minhash_near_dedup": op4_minhash.ORACLE_SQL,
+    "op10_line_dedup_bloom": op10_line_dedup.ORACLE_SQL,
 }
