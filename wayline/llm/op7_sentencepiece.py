@@ -16,6 +16,7 @@ table of bounded size.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from wayline.llm.common import arrow_map
 
 SPACE = "▁"
-REMEMBER_WORDS, REMEMBER_PAIRS = 200_000, 1_000_000   # entries; a full table is emptied
+REMEMBER_WORDS = 300_000       # words of one generation; two are held, the older one goes when the newer is full
+REMEMBER_PAIRS = 1_000_000     # a full table is emptied
 REMEMBER_CHARS = 64
 MODEL_LIMIT = 64 * 2**20                               # bytes of a model file sent to the workers
 OUT_BYTES = 2**21                                      # text bytes of one output batch
@@ -83,6 +85,7 @@ class PieceModel:
         self.prefix: dict[str, str | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging of a short text: best score first, leftmost among equals."""
@@ -110,38 +113,43 @@ class PieceModel:
 
     def _shorter(self, piece: str) -> str | None:
         """Longest proper prefix of a piece that is a piece."""
-        if piece not in self.prefix:
+        try:
+            return self.prefix[piece]
+        except KeyError:
             self.prefix[piece] = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.ids), None)
-        return self.prefix[piece]
+            return self.prefix[piece]
 
     def _backtrack(self, text: str) -> list[str]:
         """Encode characters that are all pieces."""
         n = len(text)
         longest = [1] * n
-        for end, size in self.machine.iter(text):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
+        for end, size in self.machine.iter(text):      # the last match to start at a place is its longest
+            longest[end + 1 - size] = size
         failed = bytearray(n // 8 + 1)
         out: list[str] = []
-        pos, piece = 0, text[:longest[0]]
+        pairs, left, pos, piece = self.pairs, "", 0, text[:longest[0]]
         while True:
             end = pos + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and self._compatible(out[-1] if out else "", piece):
-                out.append(piece)
-                if end == n:
-                    return out
-                pos, piece = end, text[end:end + longest[end]]
-                continue
+            if not failed[end >> 3] >> (end & 7) & 1:
+                fits = pairs.get((left, piece))
+                if fits or fits is None and self._compatible(left, piece):
+                    out.append(piece)
+                    if end == n:
+                        return out
+                    left, pos, piece = piece, end, text[end:end + longest[end]]
+                    continue
             shorter = self._shorter(piece)
             while shorter is None:
                 failed[pos >> 3] |= 1 << (pos & 7)
                 piece = out.pop()
+                left = out[-1] if out else ""
                 pos -= len(piece)
                 shorter = self._shorter(piece)
             piece = shorter
 
     def _word(self, word: str) -> bytes:
+        if self.chars.issuperset(word):
+            return array("i", [self.ids[p] for p in self._backtrack(word)]).tobytes()
         ids: list[int] = []
         i = 0
         while i < len(word):
@@ -153,7 +161,7 @@ class PieceModel:
             if j < len(word):
                 ids += [self.byte_ids[b] for b in word[j].encode()]
             i = j + 1
-        return np.array(ids, dtype=np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text (no begin or end ids)."""
@@ -164,13 +172,14 @@ class PieceModel:
         for w in words:
             got = known.get(w)
             if got is None:
-                got = self._word(w)
+                got = self.older.get(w) or self._word(w)
                 if len(w) <= REMEMBER_CHARS:
                     if len(known) >= REMEMBER_WORDS:
-                        known.clear()
+                        self.older = known
+                        known = self.words = {}
                     known[w] = got
             parts.append(got)
-        return np.frombuffer(b"".join(parts), dtype=np.int32)
+        return np.frombuffer(b"".join(parts), dtype=np.intc)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: byte pieces joined (a byte of no character becomes U+FFFD), one leading space off."""

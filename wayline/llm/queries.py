@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import op3_quality, op4_minhash, op7_sentencepiece, op9_mixing, op10_line_dedup
+from wayline.llm import op3_quality, op4_minhash, op6_secrets, op7_sentencepiece, op9_mixing, op10_line_dedup
 from wayline.llm.common import sha_hex, table
 
 
@@ -21,6 +21,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets.digests(op6_secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -43,7 +47,7 @@ def op10_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op7_sentencepiece_codec,
+    f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op6_secret_scan, op7_sentencepiece_codec,
                             op9_source_mixing, op10_line_dedup_bloom)
 }
 
