@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import op3_quality, op4_minhash, op6_secrets, op7_sentencepiece, op9_mixing, op10_line_dedup
+from wayline.llm import op2_language, op3_quality, op4_minhash, op6_secrets, op7_sentencepiece, op9_mixing, op10_line_dedup
 from wayline.llm.common import sha_hex, table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trained = op2_language.train(docs.where(~op2_language.held_out(F.col("doc_id"))).select("text", "lang"))
+    return op2_language.identify(docs, trained).withColumn("held_out", op2_language.held_out(F.col("doc_id")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality.assess(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words",
@@ -47,7 +53,7 @@ def op10_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op6_secret_scan, op7_sentencepiece_codec,
+    f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_minhash_near_dedup, op6_secret_scan, op7_sentencepiece_codec,
                             op9_source_mixing, op10_line_dedup_bloom)
 }
 
