@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import op2_language, op3_quality, op4_minhash, op6_secrets, op7_sentencepiece, op9_mixing, op10_line_dedup
+from wayline.llm import op1_ann, op2_language, op3_quality, op4_minhash, op6_secrets, op7_sentencepiece, op9_mixing, op10_line_dedup
 from wayline.llm.common import sha_hex, table
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trained = op2_language.train(docs.where(~op2_language.held_out(F.col("doc_id"))).select("text", "lang"))
@@ -53,7 +57,7 @@ def op10_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_minhash_near_dedup, op6_secret_scan, op7_sentencepiece_codec,
+    f.__name__: f for f in (op1_ann_search, op2_language_id, op3_quality_rules, op4_minhash_near_dedup, op6_secret_scan, op7_sentencepiece_codec,
                             op9_source_mixing, op10_line_dedup_bloom)
 }
 
