@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import op1_ann, op2_language, op3_quality, op4_minhash, op6_secrets, op7_sentencepiece, op9_mixing, op10_line_dedup
+from wayline.llm import op1_ann, op2_language, op3_quality, op4_minhash, op6_secrets, op7_sentencepiece, op8_chat, op9_mixing, op10_line_dedup
 from wayline.llm.common import sha_hex, table
 
 
@@ -46,6 +46,15 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sentencepiece.digests(coded)
 
 
+def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    nodes, leaves = op8_chat.format_tree(talks.unionByName(extra))
+    return op8_chat.digests(op8_chat.read_back(nodes, leaves), leaves)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
@@ -58,11 +67,12 @@ def op10_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ann_search, op2_language_id, op3_quality_rules, op4_minhash_near_dedup, op6_secret_scan, op7_sentencepiece_codec,
-                            op9_source_mixing, op10_line_dedup_bloom)
+                            op8_chat_prefix_tree, op9_source_mixing, op10_line_dedup_bloom)
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": op3_quality.ORACLE_SQL,
     "op4_minhash_near_dedup": op4_minhash.ORACLE_SQL,
+    "op8_chat_prefix_tree": op8_chat.ORACLE_SQL,
     "op10_line_dedup_bloom": op10_line_dedup.ORACLE_SQL,
 }
