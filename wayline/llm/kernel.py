@@ -57,25 +57,31 @@ def chunks(arr: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and for each text the index of its first word (plus the total)."""
+    return placed_hashes(off, data, _SPACE)[:2]
+
+
+def placed_hashes(off: np.ndarray, data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes() with the bytes that part words given as flags, and each word's first byte."""
     n = len(data)
     first = np.zeros(len(off), dtype=np.int64)
+    none = np.zeros(0, np.uint64), first, np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), first
-    inside = ~_SPACE[data]
+        return none
+    inside = ~space[data]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
     before[off[:-1][off[:-1] < n]] = False
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
-        return np.zeros(0, np.uint64), first
+        return none
     first = np.searchsorted(starts, off)
     at = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n))) if starts[0] == 0 else \
         np.concatenate([np.zeros(starts[0], np.int64),
                         np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))])
     terms = _FOLD[data] * powers(int(at.max()) + 1)[at]
     terms[~inside] = 0
-    return mix(np.add.reduceat(terms, starts)), first
+    return mix(np.add.reduceat(terms, starts)), first, starts
 
 
 def shingle_hashes(w: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import op1_ann, op2_language, op3_quality, op4_minhash, op6_secrets, op7_sentencepiece, op8_chat, op9_mixing, op10_line_dedup
+from wayline.llm import (
+    op1_ann, op2_language, op3_quality, op4_minhash, op5_licences, op6_secrets, op7_sentencepiece, op8_chat,
+    op9_mixing, op10_line_dedup)
 from wayline.llm.common import sha_hex, table
 
 
@@ -31,6 +33,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op5_licences.summary(op5_licences.scan(docs, op5_licences.train(docs)))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_secrets.digests(op6_secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -66,8 +73,9 @@ def op10_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann_search, op2_language_id, op3_quality_rules, op4_minhash_near_dedup, op6_secret_scan, op7_sentencepiece_codec,
-                            op8_chat_prefix_tree, op9_source_mixing, op10_line_dedup_bloom)
+    f.__name__: f for f in (
+        op1_ann_search, op2_language_id, op3_quality_rules, op4_minhash_near_dedup, op5_licence_scan, op6_secret_scan,
+        op7_sentencepiece_codec, op8_chat_prefix_tree, op9_source_mixing, op10_line_dedup_bloom)
 }
 
 ORACLES: dict[str, str] = {
