@@ -146,7 +146,8 @@ class KneserNey:
             got = t[0][len(g)].get(g)
             if got is not None:
                 return weight * got
-            weight *= t[1][len(g)].get(g[:-1], 1.0)
+            if len(g) > 1:
+                weight *= t[1][len(g)].get(g[:-1], 1.0)
             g = g[1:]
         return weight * 2 ** t[2]
 
