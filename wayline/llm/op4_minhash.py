@@ -8,11 +8,13 @@ bit counts; the estimate is corrected for chance matches (2^-BITS) and serves
 only to skip candidates that are ``SIGMAS`` standard deviations below the
 threshold.  Every link is confirmed on the full sets.
 
-A bucket never emits all its pairs.  First each member meets only its
-bucket's smallest member, keeps its best such candidate and is confirmed
-against it.  Components of those links then settle most buckets; in buckets
-that still hold several components, only pairs *across* components are
-confirmed.  A pair inside one component cannot change the result, so no link
+A bucket never emits all its pairs.  First each member meets only the
+leaders of its buckets (their most central members) and is confirmed against
+its best one, then against others that are still apart from it.  Components of
+those links settle most buckets; in buckets that still hold several
+components, only pairs *across* components are confirmed.  Members of buckets
+too crowded for that (many texts around one common passage) are paired through
+their rarest shingles instead, which loses no pair at the threshold.  A pair inside one component cannot change the result, so no link
 that matters is left out.
 """
 
@@ -33,6 +35,7 @@ SHINGLE = 5
 PERCENT = 75                   # a link: 100 * intersection >= PERCENT * union
 BANDS, ROWS, BITS = 48, 5, 4   # a pair at 0.75 shares no band with probability 2e-6
 SIGMAS = 5.0
+CROWD = 32                     # members of a bucket that may meet one another directly
 _K = BANDS * ROWS
 _PER_WORD = 64 // BITS
 _WORDS = -(-_K // _PER_WORD)
@@ -157,6 +160,48 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "ta", "tb"), _confirm(percent), "a long, b long")
 
 
+def _across(placed: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs (a < b) of rows (key, rep, comp, n, most) under one key, of different components, where the sizes
+    and ``most`` (elements that can still be common) allow a link."""
+    x = placed.select(key, *(F.col(c).alias(n) for c, n in (("rep", "a"), ("comp", "ca"), ("n", "na"), ("most", "ma"))))
+    y = placed.select(key, *(F.col(c).alias(n) for c, n in (("rep", "b"), ("comp", "cb"), ("n", "nb"), ("most", "mb"))))
+    # similar enough: intersection >= percent / (100 + percent) * (na + nb)
+    fits = (100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb"))
+    return (x.join(y, key).where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits).select("a", "b"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, off, data in kernel.chunks(batch.column(1)):
+            sets = kernel.distinct_sets(*kernel.shingle_hashes(*kernel.word_hashes(off, data), SHINGLE))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(row, len(sets)),
+                 pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in sets]), pa.int32()),
+                                          pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "sh"])
+
+
+def _rare_prefixes(crowded: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, rep, comp, n, most) that pair the members of crowded buckets without loss by their rarest shingles.
+
+    With all sets in one order, two sets that are similar enough share an element
+    among the first ``n - ceil(n * percent / 100) + 1`` of each.  The order is by
+    frequency among these members, so what many of them share (a passage, say)
+    comes last and brings no two of them together.  At their first common element
+    two sets have in common at most what each has from there on (``most``).
+    """
+    who = stored(crowded.select("rep", "comp", "n").distinct(), "crowd")
+    mine = texts.join(who.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = stored(arrow_map(mine, _sets, "rep long, sh array<long>").select("rep", F.explode("sh").alias("key"))
+                  .distinct(), "crowd-shingles")
+    often = rows.groupBy("key").agg(F.count("*").alias("f"))
+    ordered = rows.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("o"))
+    n = F.size("o")
+    prefix = F.slice("o", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
+    return (ordered.select("rep", F.posexplode(prefix).alias("pos", "e")).where(F.col("e.f") > 1)
+            .select("rep", F.col("e.key").alias("key"), "pos").join(who, "rep")
+            .select("key", "rep", "comp", "n", (F.col("n") - F.col("pos")).alias("most")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -174,15 +219,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Representatives' signatures, and repeated doc_ids as links between classes.
     reps = stored(named.join(member.where("doc_id = rep").select("doc_id", "c1", "c2"), ["doc_id", "c1", "c2"])
                   .dropDuplicates(["doc_id", "c1", "c2"])
-                  .select(F.col("doc_id").alias("rep"), "sig", "bands"), "reps")
+                  .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"), "reps")
     several = (member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
                .select("doc_id", "a").join(member.select("doc_id", F.col("rep").alias("b")), "doc_id")
                .where("a < b").select("a", "b"))
 
     banded = reps.select("rep", F.explode(F.array_distinct("bands")).alias("key"))
-    leads = (banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"))
-             .where("lead < last").select("key", "lead"))
-    bucketed = stored(banded.join(leads, "key").select("key", "lead", "rep").distinct(), "buckets")
+    # A bucket's leader is its most central member: the one with the most neighbours over all its
+    # buckets (the text that the others were copied from meets them in nearly every band).
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = stored(banded.join(shared, "key"), "buckets")
+    central = crowded.groupBy("rep").agg(F.sum("size").alias("score"))
+    ranked = crowded.select("key", "rep").join(central, "rep")
+    leads = (ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("m"))
+             .select("key", (-F.col("m.rep")).alias("lead")))
+    bucketed = crowded.select("key", "rep")
     sigs, least = reps.select("rep", "sig"), least_estimate(percent)
 
     def estimated(pairs: DataFrame) -> DataFrame:
@@ -191,27 +242,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return (pairs.join(a, "a").join(b, "b")
                 .select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("est")).where(F.col("est") >= least))
 
-    best = (estimated(bucketed.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-            .groupBy("b").agg(F.max_by(F.struct("a"), F.struct("est", -F.col("a"))).alias("p"))
-            .select(F.col("p.a").alias("a"), "b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = stored(_confirmed(best, texts, percent).union(several).distinct(), "links")
-    comp = components(first, "a", "b")
+    led = stored(estimated(bucketed.join(leads, "key").where("lead <> rep")
+                           .select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()), "led")
+    best = (led.groupBy("b").agg(F.max_by(F.struct("a"), F.struct("est", -F.col("a"))).alias("p"))
+            .select(F.col("p.a").alias("a"), "b"))
+    links = stored(_confirmed(best, texts, percent).union(several).distinct(), "links")
+    comp = components(links, "a", "b")
+
+    # The other leaders that a member met, where the first links left them apart.
+    def apart(pairs: DataFrame) -> DataFrame:
+        ca, cb = (comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+        return (pairs.join(ca, "a", "left").join(cb, "b", "left")
+                .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+
+    rest = apart(led.select("a", "b").exceptAll(best))
+    links = stored(links.union(_confirmed(rest, texts, percent)).distinct(), "links")
+    comp = components(links, "a", "b")
 
     # Buckets that still hold several components: pairs across them, never inside one.
+    sized = reps.select("rep", "n")
     placed = (bucketed.join(comp, bucketed.rep == comp.node, "left")
-              .select("key", "rep", F.coalesce("comp", "rep").alias("comp")))
-    open_keys = (placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                 .where("x < y").select("key"))
+              .select("key", "rep", F.coalesce("comp", "rep").alias("comp")).join(sized, "rep"))
+    open_keys = (placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
+                 .where("x < y").select("key", "size"))
     placed = stored(placed.join(open_keys, "key"), "open")
-    parts = placed.select("key", "comp").distinct()
-    across = (parts.select("key", F.col("comp").alias("x")).join(parts.select("key", F.col("comp").alias("y")), "key")
-              .where("x < y"))
-    pairs = (across.join(placed.select("key", F.col("comp").alias("x"), F.col("rep").alias("p")), ["key", "x"])
-             .join(placed.select("key", F.col("comp").alias("y"), F.col("rep").alias("q")), ["key", "y"])
-             .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct())
-    second = _confirmed(estimated(pairs).select("a", "b"), texts, percent)
-    comp = components(first.union(second), "a", "b")
+    few = _across(placed.where(F.col("size") <= CROWD).withColumn("most", F.col("n")), "key", percent)
+    many = _across(_rare_prefixes(placed.where(F.col("size") > CROWD), texts, percent), "key", percent)
+    pairs = stored(few.union(many).distinct(), "pairs")
+    last = _confirmed(estimated(pairs).select("a", "b"), texts, percent)
+    comp = components(links.union(last), "a", "b")
 
     label = (member.join(comp, member.rep == comp.node, "left")
              .groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component_id")))
