@@ -18,25 +18,32 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import arrow_map, ascii_lower, free_name, hash128, ship, stored, strip_ws
+from wayline.llm.common import WS, arrow_map, free_name, hash128, ship, stored
 
 MIN_DOCS = 10
 BITS_PER_ROW = 64                  # filter bits for each document row
 LEAST_BITS, MOST_BITS = 2**20, 2**30   # 128 KB to 128 MB a filter: the bound of what is broadcast
 HASHES = 2
+WS_BYTES = WS.encode()
 SEGMENT = 2**19                    # bits of one merge unit (64 KB)
 
 
-def line_keys(text: Column) -> Column:
-    """Array of (h1, h2) of every line's key; null where the key is empty."""
-    def one(line: Column) -> Column:
-        key = strip_ws(ascii_lower(line))
-        h1, h2 = hash128(key)
-        return F.when(key != "", F.struct(h1.alias("h1"), h2.alias("h2")))
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), one)
+def line_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, 128-bit hashes as two columns) of every line with a non-empty key of binary texts."""
+    row, pos, digests = [], [], []
+    for i, text in enumerate(texts.to_pylist()):
+        for j, line in enumerate((text or b"").split(b"\n")):
+            key = line.strip(WS_BYTES)
+            if key:
+                row.append(i)
+                pos.append(j)
+                digests.append(xxhash.xxh3_128_digest(key.lower()))   # bytes: only A-Z change
+    return (np.array(row, np.int64), np.array(pos, np.int64),
+            np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2))
 
 
 def _bits(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -49,12 +56,10 @@ def _local_filters(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
         for batch in batches:
-            lists = batch.column(0)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-            for at in _bits(flat.astype(np.int64), bits):
+            row, _, hashes = line_keys(batch.column(0))
+            for at in _bits(hashes[:, 0], bits):
                 # a document counts once for each bit, however many of its keys meet there
-                pairs = np.unique(at * np.int64(len(lists)) + row) // np.int64(max(len(lists), 1))
+                pairs = np.unique(at * np.int64(len(batch)) + row) // np.int64(max(len(batch), 1))
                 hit, n = np.unique(pairs, return_counts=True)
                 twice[hit[(n > 1) | once[hit]]] = True
                 once[hit] = True
@@ -88,10 +93,10 @@ def filter_bits(rows: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, rows * BITS_PER_ROW - 1).bit_length()))
 
 
-def twice_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """Packed *twice* filter of an array<long> column of distinct keys per document."""
+def twice_filter(texts: DataFrame, bits: int) -> np.ndarray:
+    """Packed *twice* filter of the lines of a column of binary texts."""
     n = max(1, bits // SEGMENT)
-    merged = arrow_map(arrow_map(keys, _local_filters(bits), "seg long, once binary, twice binary")
+    merged = arrow_map(arrow_map(texts, _local_filters(bits), "seg long, once binary, twice binary")
                        .repartition(min(n, 256), "seg"), _merge, "seg long, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for r in merged.toLocalIterator():           # at most MOST_BITS / 8 bytes in all
@@ -103,20 +108,14 @@ def _suspects(shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = shared.value
         for batch in batches:
-            lists = batch.column(3)
-            h1 = lists.flatten()
-            known = ~np.asarray(h1.is_null().to_numpy(zero_copy_only=False), dtype=bool)
-            h = h1.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in _bits(h, bits):
+            row, pos, hashes = line_keys(batch.column(3))
+            known = np.ones(len(row), bool)
+            for at in _bits(hashes[:, 0], bits):
                 known &= ((packed[at >> 3] >> (7 - (at & 7))) & 1).astype(bool)
-            off = np.asarray(lists.offsets)
-            row = np.repeat(np.arange(len(lists)), np.diff(off))
-            take = pa.array(np.flatnonzero(known))
             row_at = pa.array(row[known])
-            pos = (np.arange(len(h)) - np.repeat(off[:-1] - off[0], np.diff(off)))[known]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(row_at) for c in range(3)]
-                + [pa.array(pos, pa.int64()), h1.take(take), batch.column(4).flatten().take(take)],
+                [*(batch.column(c).take(row_at) for c in range(3)), pa.array(pos[known]),
+                 pa.array(np.ascontiguousarray(hashes[known, 0])), pa.array(np.ascontiguousarray(hashes[known, 1]))],
                 names=["doc_id", "t1", "t2", "pos", "h1", "h2"])
     return run
 
@@ -137,17 +136,13 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool =
     ``docs``: repeated rows are documents of their own.  With ``keep_first`` the
     occurrence with the smallest (doc_id, nulls last; then position) stays.
     """
-    t1, t2 = hash128(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    t1, t2 = hash128(text)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"),
-                        line_keys(F.col("text").cast("string")).alias("k"))
+                        text.cast("binary").alias("text"))
     bits = filter_bits(docs.count())
-    distinct = F.array_distinct(F.filter(F.transform("k", lambda k: k["h1"]), lambda h: h.isNotNull()))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(twice_filter(keyed.select(distinct.alias("h")), bits))
-    hashes = keyed.select("doc_id", "t1", "t2", F.transform("k", lambda k: k["h1"]).alias("h1"),
-                          F.transform("k", lambda k: k["h2"]).alias("h2"))
-    found = arrow_map(hashes, _suspects(shared, bits),
-                      "doc_id long, t1 long, t2 long, pos long, h1 long, h2 long")
+    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(keyed.select("text"), bits))
+    found = arrow_map(keyed, _suspects(shared, bits), "doc_id long, t1 long, t2 long, pos long, h1 long, h2 long")
     found = stored(found.groupBy("doc_id", "t1", "t2", "pos", "h1", "h2").agg(F.count("*").alias("n")), "suspects")
     row = ["doc_id", "t1", "t2"]
     keys = (found.groupBy(*row, "h1", "h2").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
