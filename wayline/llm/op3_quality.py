@@ -1,6 +1,6 @@
 """Quality rules: line frequency across the documents of a host, then depleted documents.
 
-Every line's normalised key (white space stripped, A-Z lowered) is hashed to
+Every line's normalised key (white space stripped, lower case) is hashed to
 128 bits.  A line is boilerplate of a host when at least ``MIN_DOCS`` distinct
 documents of the host hold it and they are at least ``MIN_SHARE_PERCENT`` of
 the host's distinct documents; exact copies of a text are one document.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import WORD, WS, ascii_lower, free_name, hash128, stored, strip_ws, words
+from wayline.llm.common import WORD, free_name, hash128, stored, strip_ws, words
 
 MIN_DOCS = 10
 MIN_SHARE_PERCENT = 10
@@ -26,16 +26,17 @@ MAX_LOST_PERCENT = 50
 MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEATED_PERCENT = 20
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _key(line: Column) -> Column:
-    h1, h2 = hash128(strip_ws(ascii_lower(line)))
+    h1, h2 = hash128(F.lower(strip_ws(line)))
     return F.struct(h1.alias("h1"), h2.alias("h2"))
 
 
 def _with_word(lines: Column) -> Column:
-    return F.filter(lines, lambda x: strip_ws(x) != "")
+    return F.filter(lines, lambda x: x.rlike(HAS_WORD))
 
 
 def boilerplate(docs: DataFrame, host: str) -> DataFrame:
@@ -89,17 +90,17 @@ def assess(docs: DataFrame, host: str = "source") -> DataFrame:
           .withColumn(tmp["st"], F.when(F.size(F.array_distinct(col["h"])) < F.size(col["h"]), F.array_sort(
               F.transform(col["h"], lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
           .withColumn(own["n_words"], n)
+          .withColumn(own["word_chars"], F.length(F.array_join(col["ws"], "")).cast("long"))
           .withColumn(own["n_repeat_words"], _repeated_words(tmp["h"], tmp["st"]).cast("long"))
           .drop(tmp["ws"], tmp["h"], tmp["st"])
           .withColumn(tmp["lines"], F.split(col["t"], "\n")))
     df = df.join(bad, F.col(host).cast("string").eqNullSafe(col["bh"]), "left")
     left = F.when(col["bad"].isNull(), col["lines"]).otherwise(F.filter(
-        col["lines"], lambda x: (strip_ws(x) == "") | ~F.array_contains(col["bad"], _key(x))))
+        col["lines"], lambda x: ~x.rlike(HAS_WORD) | ~F.array_contains(col["bad"], _key(x))))
     whole = _with_word(col["lines"])
     failed = (col["n_words"] < MIN_WORDS) | (100 * col["n_repeat_words"] > MAX_REPEATED_PERCENT * col["n_words"])
     df = (df.withColumn(tmp["left"], left)
-          .withColumn(own["word_chars"], F.length(F.translate(col["t"], WS, "")).cast("long"))
-          .withColumn(own["n_symbols"], (F.length(col["t"]) - F.length(F.translate(col["t"], SYMBOLS, ""))).cast("long"))
+          .withColumn(own["n_symbols"], F.regexp_count(col["t"], F.lit(SYMBOLS)).cast("long"))
           .withColumn(own["n_dup_lines"], (F.size(whole) - F.size(F.array_distinct(whole))).cast("long"))
           .withColumn(own["clean_text"], F.when(docs["text"].isNotNull(), F.array_join(col["left"], "\n")))
           .withColumn(own["n_lost_words"], F.when(F.size(col["left"]) == F.size(col["lines"]), F.lit(0).cast("long"))
@@ -132,8 +133,7 @@ w AS (SELECT doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0
 g AS (SELECT doc_id, i, ws[i:i+4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 g2 AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c >= 2),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g2, range(5) r(k) GROUP BY doc_id),
-l AS (SELECT doc_id, source, t, x, translate(trim(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
-        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+l AS (SELECT doc_id, source, t, x, lower(trim(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))) AS k
       FROM (SELECT doc_id, source, t, unnest(ls) AS x FROM w)),
 tot AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
 bad AS (SELECT l.source, l.k FROM l JOIN tot ON l.source IS NOT DISTINCT FROM tot.source WHERE k <> ''
