@@ -7,15 +7,16 @@ it is compatible with its predecessor (checked by re-merging the two, and
 remembered); otherwise the next shorter prefix piece is tried, and when none is
 left the position is marked in a bitfield as failed and the encoder steps back.
 
-Texts are cut first where no merge can cross: before a run of the space
-symbol, when no piece holds the symbol after another character, and around a
-line feed, when it stands in no longer piece.  Encoded words are remembered in a
-table of bounded size.
+Texts are cut first where no merge can cross, that is between characters that
+stand together in no piece of the model: a pattern derived from the pieces cuts
+words, and a word not seen lately is cut further.  Encoded words are remembered
+in tables of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from wayline.llm.common import arrow_map
 
 SPACE = "▁"
-REMEMBER_WORDS = 300_000       # words of one generation; two are held, the older one goes when the newer is full
+LETTERS = "a-zA-Z\u00c0-\u024f"   # letters of the coarse cut (any other letters are cut on a second look)
+REMEMBER_WORDS = 400_000       # words of one generation; two are held, the older one goes when the newer is full
 REMEMBER_PAIRS = 1_000_000     # a full table is emptied
 REMEMBER_CHARS = 64
 MODEL_LIMIT = 64 * 2**20                               # bytes of a model file sent to the workers
@@ -75,18 +77,25 @@ class PieceModel:
         self.machine.make_automaton()
         self.chars = {p for p in self.ids if len(p) == 1}
         longer = [p for p in self.ids if len(p) > 1]
-        cuts_space = not any(SPACE in p.lstrip(SPACE) for p in longer)
-        cuts_line = not any("\n" in p for p in longer)
-        line, other = ("\n", r"\n") if cuts_line else ("", "")
-        if cuts_space:
-            self.word = re.compile(f"{SPACE}+[^{SPACE}{other}]*|[^{SPACE}{other}]+" + (r"|\n" if line else ""))
-        else:
-            self.word = re.compile(r"[^\n]+|\n" if line else r"(?s).+")
+        self.inside = {p[i:i + 2] for p in longer for i in range(len(p) - 1)}
+        self.word = self._cutter()
         self.prefix: dict[str, str | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _cutter(self) -> re.Pattern:
+        """Pattern of the first, coarse cut: only between characters that stand together in no piece."""
+        if any(pair[1] == SPACE and pair[0] != SPACE for pair in self.inside):
+            return re.compile("(?s).+")
+        line = "\n" if not any("\n" in pair for pair in self.inside) else ""
+        letter = re.compile(f"[{LETTERS}]")
+        glued = {b for a, b in self.inside if letter.match(a)}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in glued)   # never follow a letter in a piece
+        other, bound = f"[^{LETTERS}{SPACE}{line}]", f"[^{LETTERS}{SPACE}{line}{marks}]"
+        word = f"{SPACE}*{other}*(?:[{LETTERS}]+(?:{bound}{other}*)?)*"
+        return re.compile(rf"\n|(?=[^\n]){word}" if line else f"(?=(?s:.)){word}")
+
     def _merge(self, text: str) -> list[str]:
         """Plain merging of a short text: best score first, leftmost among equals."""
         parts = list(text)
@@ -147,7 +156,8 @@ class PieceModel:
                 shorter = self._shorter(piece)
             piece = shorter
 
-    def _word(self, word: str) -> bytes:
+    def _segment(self, word: str) -> bytes:
+        """Ids of a text that may hold characters without a piece: those become their bytes."""
         if self.chars.issuperset(word):
             return array("i", [self.ids[p] for p in self._backtrack(word)]).tobytes()
         ids: list[int] = []
@@ -163,22 +173,35 @@ class PieceModel:
             i = j + 1
         return array("i", ids).tobytes()
 
+    def _remember(self, word: str, coded: bytes) -> bytes:
+        if len(word) <= REMEMBER_CHARS:
+            if len(self.words) >= REMEMBER_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = coded
+        return coded
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a coarse word: cut on wherever no merge can cross, parts looked up before they are encoded."""
+        inside, cuts = self.inside, [0]
+        for i in range(1, len(word)):
+            if word[i - 1:i + 1] not in inside:
+                cuts.append(i)
+        if len(cuts) == 1:
+            return self._segment(word)
+        out = []
+        for a, b in zip(cuts, cuts[1:] + [len(word)]):
+            part = word[a:b]
+            got = self.words.get(part) or self.older.get(part)
+            out.append(got or self._remember(part, self._segment(part)))
+        return b"".join(out)
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text (no begin or end ids)."""
         if not text:
             return np.zeros(0, np.int32)
-        words, known = self.word.findall(SPACE + text.replace(" ", SPACE)), self.words
         parts = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = self.older.get(w) or self._word(w)
-                if len(w) <= REMEMBER_CHARS:
-                    if len(known) >= REMEMBER_WORDS:
-                        self.older = known
-                        known = self.words = {}
-                    known[w] = got
-            parts.append(got)
+        for w in self.word.findall(SPACE + text.replace(" ", SPACE)):
+            parts.append(self.words.get(w) or self._remember(w, self.older.get(w) or self._word(w)))
         return np.frombuffer(b"".join(parts), dtype=np.intc)
 
     def decode(self, ids: np.ndarray) -> str:
