@@ -34,7 +34,7 @@ STOP = 0.97                    # probability of the stopping test
 SAMPLE = 20_000                # vectors that fit the top levels
 CELL_ROWS, MAX_DEPTH = 4096, 12   # at most 2^12 cells: 0.5 MB of boxes
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4096   # rows of an index block, queries that meet it in one task
-LEAF = 64
+LEAF = 256
 SEED = 20240613
 
 
@@ -64,9 +64,13 @@ def scaled(v: np.ndarray) -> np.ndarray:
     return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
 
 
-def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+def lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(axis=1))
+
+
+def cosines(rows: np.ndarray, row_lengths: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine of every (scaled) row with q, summed in the same order for every row."""
-    return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((q * q).sum()))
+    return (rows * q).sum(axis=1) / (row_lengths * np.sqrt((q * q).sum()))
 
 
 def project(v: np.ndarray) -> np.ndarray:
@@ -142,19 +146,19 @@ class Tree:
                 waiting, far = waiting[~ready], far[~ready]
 
 
-def search_block(ids: list, vectors: np.ndarray, tree: Tree, q: np.ndarray, q_proj: np.ndarray, k: int,
-                 best: float) -> list[tuple[float, int]]:
+def search_block(ids: list, vectors: np.ndarray, norms: np.ndarray, tree: Tree, q: np.ndarray, q_proj: np.ndarray,
+                 k: int, best: float, ratio: float) -> list[tuple[float, int]]:
     """Up to k (score, id) of one block, best first, ties to the smaller id.
 
     ``best``: k-th score known before (-inf: none); it only helps to stop early.
     """
     found: list[tuple[float, int]] = []
-    ratio = stop_ratio()
     for rows, ahead in tree.batches(q_proj):
-        for s, i in zip(cosines(vectors[rows], q).tolist(), rows.tolist()):
-            if len(found) < k or s >= -found[-1][0]:
-                found += [(-s, int(x)) for x in ids[i]]
-                found = sorted(found)[:k]
+        scores = cosines(vectors[rows], norms[rows], q)
+        if len(scores) > k:                       # k points hold at least k ids: the rest cannot enter
+            near = scores >= max(np.partition(scores, -k)[-k], -found[-1][0] if len(found) == k else -np.inf)
+            scores, rows = scores[near], rows[near]
+        found = sorted(found + [(-s, int(x)) for s, i in zip(scores.tolist(), rows.tolist()) for x in ids[i]])[:k]
         worst = max(best, -found[-1][0] if len(found) == k else -np.inf)
         # squared distance of unit vectors: 2 - 2 cos
         if worst > -np.inf and ahead > 0 and ahead >= ratio * max(0.0, 2 - 2 * worst):
@@ -190,9 +194,10 @@ def _search(k: int):
         out = []
         if len(index) and len(queries):
             vectors, tree = scaled(_matrix(index.vec)), Tree(_matrix(index.proj))
-            ids = index.ids.tolist()
+            ids, norms, ratio = index.ids.tolist(), lengths(vectors), stop_ratio()
             for qid, q, q_proj, best in zip(queries.qid, scaled(_matrix(queries.vec)), _matrix(queries.proj), queries.best):
-                out += [(qid, i, s) for s, i in search_block(ids, vectors, tree, q, q_proj, k, best)]
+                out += [(qid, i, s) for s, i in search_block(ids, vectors, norms, tree, q, q_proj, k, best,
+                                                                 ratio)]
         return pd.DataFrame(out, columns=["qid", "vec_id", "score"]).astype(
             {"qid": "int64", "vec_id": "int64", "score": "float64"})
     return run
