@@ -16,7 +16,6 @@ WS = " \t\n\x0b\x0c\r"
 #: The same as a regular-expression class that Java, Python and RE2 read alike.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +41,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
-
-
 def strip_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WS))
 
@@ -64,6 +59,11 @@ def sha_hex(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 
 
+def hash_share(h: Column, share: Column | float) -> Column:
+    """Whether a 64-bit hash falls in the first ``share`` of its range."""
+    return F.shiftrightunsigned(h, 11) / F.lit(float(2**53)) < share
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it.
 

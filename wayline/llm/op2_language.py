@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import arrow_map
+from wayline.llm.common import arrow_map, hash_share
 from wayline.llm.kernel import mix
 
 ORDER = 4
@@ -216,7 +216,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS):
     """(model, slope, offset, limits) from rows (text, lang), or None without any usable row.
 
     Rows with null text or language are left out.  At most ``sample_docs``
-    documents of a language train (smallest hashes of the text first); the
+    different texts of a language train (smallest hashes of the text first); the
     n-gram tables that reach the driver are bounded by that sample.
     """
     from pyspark.sql import Window
@@ -225,11 +225,11 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS):
     langs = [r.lang for r in rows.groupBy("lang").count().select("lang").limit(MAX_LANGS + 1).collect()]
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    # Hash prefixes thin the rows before the ranking: no language is ranked as a whole.
+    # Hash ranges thin the rows before the ranking: no language is ranked as a whole, no copy twice.
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n"))
-    place = F.shiftrightunsigned("h", 11) / F.lit(float(2**53))
-    thin = (rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(place < F.col("share")))
+    thin = (rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")      # <= MAX_LANGS rows
+            .where(hash_share(F.col("h"), F.col("share"))).select("lang", "text", "h").distinct())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = thin.withColumn("r", rank).where(F.col("r") <= sample_docs).select("lang", "text", "r")
     back = F.col("r") % CALIBRATE_EVERY == 0
