@@ -6,10 +6,11 @@ characters, which hold a digit and a letter and no base span overlaps, whose
 log-likelihood under a model of random strings exceeds that under a model of
 ordinary identifiers by ``MIN_GAIN`` a character pair or more.
 
-Both models are first-order chains over characters with add-one smoothing,
+Both models are first-order chains over characters, smoothed by their character counts,
 trained from samples that the corpus itself labels: values of base spans
-(random) and words of the same kind of characters that no base span touches
-(ordinary), each a bounded sample of ``SAMPLE`` distinct strings in hash order.
+(random) and words of the same kind of characters in documents without any base
+span (ordinary).  They come from a bounded sample of about ``SAMPLE_DOCS`` documents
+(a hash range), at most ``SAMPLE`` distinct strings each, in hash order.
 Log-ratios are rounded to millionths and added as integers, so a score does not
 depend on the order of addition.
 
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import free_name
+from wayline.llm.common import free_name, hash_share
 
 # Fixed patterns.  Letters of the first stand in either case; spelled out, since
 # case-insensitive matching differs between engines beyond ASCII.
@@ -38,8 +39,9 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN_CLASS = "[A-Za-z0-9+/_=-]"
 MIN_TOKEN = 16
 MIN_GAIN = 0.35                    # nats a character pair
+PRIOR = 5.0                        # pseudo-counts of a chain's character distribution behind each context
 MIN_SAMPLE = 50                    # fewer random samples than this: no model, no added spans
-SAMPLE = 20_000
+SAMPLE_DOCS, SAMPLE = 40_000, 20_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -96,17 +98,23 @@ def _pair_counts(sample: DataFrame) -> dict[tuple[str, str], int]:
             if r.p[0] in ALPHABET and r.p[1] in ALPHABET}
 
 
-def log_ratios(random: dict, ordinary: dict) -> list[int]:
-    """Millionths of log(P(b | a; random) / P(b | a; ordinary)) at a * len(ALPHABET) + b, add-one smoothed."""
-    k, out = len(ALPHABET), []
+def _chain(counts: dict) -> dict[tuple[str, str], float]:
+    """P(b | a): pair counts backed by PRIOR pseudo-counts spread as the characters (add-one smoothed) are."""
+    k, total = len(ALPHABET), sum(counts.values())
+    after = {b: (sum(counts.get((a, b), 0) for a in ALPHABET) + 1) / (total + k) for b in ALPHABET}
+    out = {}
     for a in ALPHABET:
-        n_r = sum(random.get((a, b), 0) for b in ALPHABET) + k
-        n_o = sum(ordinary.get((a, b), 0) for b in ALPHABET) + k
-        out += [round(1e6 * math.log((random.get((a, b), 0) + 1) / n_r * n_o / (ordinary.get((a, b), 0) + 1)))
-                for b in ALPHABET]
+        n = sum(counts.get((a, b), 0) for b in ALPHABET)
+        out |= {(a, b): (counts.get((a, b), 0) + PRIOR * after[b]) / (n + PRIOR) for b in ALPHABET}
     return out
 
 
+def log_ratios(random: dict, ordinary: dict) -> list[int]:
+    """Millionths of log(P(b | a; random) / P(b | a; ordinary)) at a * len(ALPHABET) + b."""
+    r, o = _chain(random), _chain(ordinary)
+    return [round(1e6 * math.log(r[a, b] / o[a, b])) for a in ALPHABET for b in ALPHABET]
+
+
 def train(scanned: DataFrame) -> list[int] | None:
     """Log-ratios from rows (text, base); None when the corpus labels too few random strings."""
     value = F.when(F.col("b.kind") == 0, F.regexp_extract("b.hit", ASSIGN, 2)).otherwise(F.col("b.hit"))
@@ -142,7 +150,9 @@ def scan(docs: DataFrame) -> DataFrame:
     (see MIN_SAMPLE) gets base spans only.
     """
     text, base, spans = free_name(docs, "_text"), free_name(docs, "_base"), free_name(docs, "spans")
-    slim = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    slim = (docs.where(hash_share(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), share))
+            .select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     ratios = train(slim.withColumn("base", base_spans(F.col("text"))))
     df = (docs.withColumn(text, F.coalesce(docs["text"].cast("string"), F.lit("")))
           .withColumn(base, base_spans(F.col(text))))
