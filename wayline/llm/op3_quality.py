@@ -123,7 +123,9 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
             out.append(F.length(clean).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(c))
-    return df.where(F.col(kept)).select(*out)
+    # inline() of one row or none: a plain filter would be pushed below the columns that it is
+    # computed from, and every one of them would be computed anew within it.
+    return df.select(F.inline(F.when(F.col(kept), F.array(F.struct(*out)))))
 
 
 ORACLE_SQL = r"""
