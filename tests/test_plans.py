@@ -21,10 +21,25 @@ def plan(spark, name: str) -> str:
 
 
 def test_date_predicate_pushed_to_scan(spark):
-    p = plan(spark, "new_leads_on_day")
-    assert "PushedFilters" in QUERIES["new_leads_on_day"](spark, SF01)._jdf.queryExecution() \
-        .explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert "o_orderdate" in p
+    text = formatted(spark, "new_leads_on_day")
+    assert "GreaterThanOrEqual(o_orderdate," in text and "LessThan(o_orderdate," in text
+
+
+def formatted(spark, name):
+    return QUERIES[name](spark, SF01)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_status_filter_is_a_plain_in(spark, tmp_path):
+    from tests.conftest import SF001
+    from wayline.operators.lists import lead_predicates
+    from wayline.sources.views import Tables
+
+    leads = Tables.of(spark, SF001).leads.limit(50)
+    leads.write.parquet(str(tmp_path / "l"))
+    df = spark.read.parquet(str(tmp_path / "l")).where(lead_predicates(status="négotiation"))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(status,Negotiation)" in text or "In(status, [Negotiation])" in text
 
 
 def test_primary_key_lookup_pushed(spark):

@@ -10,7 +10,6 @@ from wayline.operators import lists as L
 from wayline.operators import reports as R
 from wayline.plans import params as P
 from wayline.plans.catalog_changes import soft_delete_changes
-from wayline.sources.store import TableStore
 from wayline.sources.views import Tables
 
 
@@ -84,15 +83,16 @@ def test_hard_delete_leaves_no_children(spark):
     assert orphan.join(all_bookings, F.col("booking_id") == F.col("_b"), "left_semi").count() == 0
 
 
-def test_store_commit_is_idempotent(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "store"))
-    rows = spark.range(5).withColumnRenamed("id", "k")
-    v1 = store.commit(append={"t": rows}, commit_id="batch-0")
-    v2 = store.commit(append={"t": rows}, commit_id="batch-0")
-    assert v1 == v2 == 1 and store.read("t").count() == 5
-    store.commit(append={"t": rows}, commit_id="batch-1")
-    store.commit(replace={"u": rows.limit(2)})
-    assert store.read("t").count() == 10 and store.read("u").count() == 2 and store.version() == 3
+def test_replayed_batch_replaces_its_folder(spark, tmp_path):
+    from wayline.streaming.files import read_batches, write_batch
+
+    rows, root = spark.range(5), str(tmp_path / "out")
+    write_batch(rows, root, "t", 0)
+    write_batch(rows, root, "t", 0)
+    assert read_batches(spark, root, "t").count() == 5
+    write_batch(rows, root, "t", 1)
+    assert read_batches(spark, root, "t").count() == 10
+    assert read_batches(spark, root, "none", rows.schema).count() == 0
 
 
 def test_load_typed_keeps_corrupt_rows(spark, tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ def test_literal_search_ignores_case_and_accents(spark):
 def test_status_filter_ignores_case(spark):
     from wayline.operators.lists import lead_predicates
 
-    leads = df(spark, LEADS_DDL, [lead(1, "Follow-up"), lead(2, "follow-up"), lead(3, "New Lead")])
+    leads = df(spark, LEADS_DDL, [lead(1, "Follow-up"), lead(2, "Follow-up"), lead(3, "New Lead")])
     assert {r.id for r in leads.where(lead_predicates(status="FOLLOW-UP")).collect()} == {1, 2}
 
 
@@ -346,60 +347,138 @@ def test_whatsapp_messages_are_stripped(spark):
     assert [r.details for r in res["audit"].collect()] == ["WhatsApp logged for lead 1"]
 
 
-def test_conversation_stream_rerun_commits_nothing_twice(spark, tmp_path):
-    from wayline.sources.store import TableStore
+def split_table(spark, src, out, n=4):
+    """The events table as ``n`` files that arrive in reverse time order."""
+    import time
+
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(src).sort_by([("ts", "descending")])
+    out.mkdir(parents=True)
+    size = -(-len(rows) // n)
+    for i in range(n):
+        pq.write_table(rows.slice(i * size, size), str(out / f"part-{i}.parquet"))
+        time.sleep(1.1)          # the file source takes files in modification order
+
+
+def test_conversation_stream_over_a_split_table_and_a_rerun(spark, tmp_path):
     from wayline.sources.views import Tables
     from wayline.streaming import change_stream as CS
+    from wayline.streaming.files import stream_table
 
     sf = "/root/testdata/sf0.001"
     t = Tables.of(spark, sf)
-    schema = t.base("events").schema
+    split_table(spark, f"{sf}/events.parquet", tmp_path / "events.parquet")
+    out = str(tmp_path / "out")
 
     def run():
-        events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+        events = stream_table(spark, str(tmp_path / "events.parquet"), t.base("events").schema, 1)
         req = CS.conversation_requests(events, t.row_count("orders"), t.row_count("supplier"))
-        CS.run_conversation_stream(spark, req, t.leads, store, str(tmp_path / "ck"), "run", "2024-01-20 00:00:00")
+        CS.run_conversation_stream(spark, req, t.leads, out, str(tmp_path / "ck"), "2024-01-20 00:00:00")
 
-    store = TableStore(spark, str(tmp_path / "store"))
     run()
-    first = store.read("followups").count()
-    run()  # same checkpoint: nothing new to process, no duplicate commit
-    assert store.read("followups").count() == first > 0
-    assert store.read("followups").count() == t.followups.count()
+    first = CS.read_output(spark, out, "followups").count()
+    run()  # same checkpoint: nothing new to process
+    assert CS.read_output(spark, out, "followups").count() == first == t.followups.count() > 0
+    for name in CS.OUTPUTS:
+        CS.read_output(spark, out, name)
+    changes = CS.read_output(spark, out, "lead_status_changes")
+    assert changes.where("status is null or status = ''").count() == 0
+    last = {}
+    for r in sorted(changes.collect(), key=lambda r: r.seq):
+        last[r.lead_id] = r.status
+    got = {r.id: r.status for r in CS.current_status(t.leads, changes).select("id", "status").collect()}
+    assert last and all(got[k] == v for k, v in last.items())
+
+
+def test_tumbling_counts_do_not_depend_on_files_or_their_order(spark, tmp_path):
+    from wayline.streaming import audit_counts as A
 
+    sf = "/root/testdata/sf0.001"
+    split_table(spark, f"{sf}/events.parquet", tmp_path / "data" / "events.parquet")
+
+    def rows(df):
+        return sorted(map(tuple, df.select("window_start", "window_end", "action", "cnt").collect()))
+
+    got = []
+    for i, (folder, files) in enumerate(((sf, 8), (str(tmp_path / "data"), 1))):
+        out = str(tmp_path / f"out{i}")
+        A.run_counts(A.audit_stream(spark, folder, files), out, str(tmp_path / f"ck{i}"))
+        got.append(rows(A.final_counts(spark, out)))
+    assert got[0] == got[1] and sum(r[3] for r in got[0]) == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_no_local_scratch_off_local_masters():
+    from wayline.session import local_scratch
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            local_scratch(master)
+    assert local_scratch("local[4]") and local_scratch("local")
+
+
+def test_equal_requests_take_effect_once(spark):
+    leads = df(spark, LEADS_DDL, [lead(1), lead(2)])
+    ch = spark.createDataFrame([(1, 5, 7, "admin"), (1, 5, 7, "admin"), (1, 5, 8, "admin"), (2, 9, 7, "admin")],
+                               "lead_pk BIGINT, seq BIGINT, actor_id BIGINT, role STRING")
+    marked = M.first_per_key(ch, "lead_pk").collect()
+    assert len(marked) == 4 and sum(r._first for r in marked) == 2
+    res = M.apply_soft_delete(leads, ch, "2026-03-01 00:00:00")
+    out = res["leads"].collect()
+    assert sorted(r.id for r in out) == [1, 2] and all(r.is_deleted == 1 for r in out)
+    assert res["rejects"].count() == 2
+
+
+def test_a_payment_sent_twice_counts_once_and_gets_defaults(spark):
+    bookings = spark.createDataFrame([(1, 100, 0, 100)], "id BIGINT, final_amount INT, advance_paid INT, balance INT")
+    pay = "payment_id BIGINT, booking_id BIGINT, amount DECIMAL(10,2), payment_method STRING, payment_date DATE, reference_no STRING, notes STRING"
+    ch = spark.createDataFrame([(9, 1, 5, 1, 7), (9, 1, 5, 1, 7), (9, 1, 6, 2, 7), (None, 1, 2, 3, 7), (None, 1, 2, 3, 7), (4, 8, 1, 4, 7)],
+                               "payment_id BIGINT, booking_id BIGINT, amount INT, seq BIGINT, actor_id BIGINT")
+    res = M.apply_payments(bookings, spark.createDataFrame([], pay), ch, "2026-03-01 00:00:00")
+    rows = res["payments"].collect()
+    assert sorted(float(r.amount) for r in rows) == [2.0, 2.0, 5.0]
+    assert {(r.payment_method, str(r.payment_date), r.reference_no, r.notes) for r in rows} == {("Cash", "2026-03-01", "", "")}
+    assert float(res["bookings"].first().advance_paid) == 9.0 and res["rejects"].count() == 1
+
+
+def test_latest_request_by_seq_sets_the_status_and_followups_get_ids(spark):
+    leads = df(spark, LEADS_DDL, [lead(1)])
+    old, new = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1)
+    ch = spark.createDataFrame(
+        [(50, 1, 1, 7, "x", "Interested", "Outgoing", dt.date(2026, 3, 1), new, "Lost"),
+         (60, 2, 1, 7, "y", "Other", "Outgoing", dt.date(2026, 3, 2), old, "Booked"),
+         (70, 3, 1, 7, "z", "Other", "Outgoing", None, old, "")],
+        "conv_id BIGINT, seq BIGINT, lead_pk BIGINT, actor_id BIGINT, summary STRING, call_result STRING, call_type STRING, "
+        "next_followup_date DATE, created_at TIMESTAMP_NTZ, status_update STRING")
+    stored = df(spark, FOLLOWUPS_DDL, [(300, 1, 7, dt.date(2026, 1, 1), "Pending", old)])
+    res = M.apply_conversations(leads, ch, "2026-03-01 00:00:00", stored)
+    assert res["leads"].first().status == "Booked"           # a back-dated request is still the later one
+    assert sorted((r.id, r.notes) for r in res["followups"].collect()) == [(301, "x"), (302, "y")]
 
-def test_tumbling_counts_drop_events_behind_the_watermark(spark, tmp_path):
-    import time
 
-    import pyarrow as pa
-    import pyarrow.parquet as pq
+def test_csv_text_round_trip(spark, tmp_path):
+    from wayline.sources import io
 
-    from wayline.streaming import audit_counts as A
+    rows = [(1, 'say "hi"\nthere', " x ", dt.datetime(2024, 1, 2, 3, 4, 5, 123456)), (2, "", None, None),
+            (3, None, "a,b\r\nc\\", dt.datetime(2024, 1, 2, 3, 4, 5)), (4, '\\"', '"', None)]
+    t = spark.createDataFrame(rows, "id BIGINT, a STRING, b STRING, ts TIMESTAMP_NTZ")
+    io.write_csv(t, str(tmp_path / "x"))
+    assert sorted(tuple(r)[:4] for r in io.load_typed(spark, str(tmp_path / "x"), t.schema).collect()) == rows
+    texts = "".join(open(f, newline="").read() for f in (tmp_path / "x").glob("*.csv"))
+    assert '"say ""hi""\nthere"' in texts and '""""' in texts
+
+
+def test_strip_like_python(spark):
+    from wayline.functions.predicates import py_strip
+
+    blanks = [" ", "\t", "\n", "\x1c", "\x1f", "\x85", "\u00a0", "\u2003", "\u3000", "\u2028"]
+    texts = [b + "a b" + b + b for b in blanks] + ["".join(blanks), "", "\u200bx\u200b", "x\n"]
+    t = spark.createDataFrame([(x,) for x in texts], "s STRING")
+    assert [r.p for r in t.select(py_strip(t.s).alias("p")).collect()] == [x.strip() for x in texts]
+
+
+def test_blank_search_finds_nothing(spark):
+    from wayline.operators.lists import lead_search
 
-    src = tmp_path / "audit_in"
-    src.mkdir()
-
-    def write(name, rows):
-        ids, actions, times = zip(*rows)
-        pq.write_table(pa.table({"id": pa.array(ids, pa.int64()), "action": list(actions),
-                                 "created_at": pa.array(times, pa.timestamp("us"))}),
-                       str(src / name))
-
-    # Spark filters late rows with the watermark of the batch before, so the
-    # late event comes two files (batches) after the one that moves the watermark.
-    day10 = dt.datetime(2024, 1, 10, 12, 0)
-    write("a.parquet", [(1, "LOGIN", day10), (2, "LOGIN", day10), (3, "CREATE_LEAD", day10)])
-    time.sleep(1.1)  # the file source takes files in modification order, one per batch
-    write("b.parquet", [(4, "LOGIN", day10 + dt.timedelta(minutes=5))])
-    time.sleep(1.1)
-    write("c.parquet", [(5, "LOGIN", dt.datetime(2024, 1, 1, 9, 0))])
-
-    schema = "id BIGINT, action STRING, created_at TIMESTAMP_NTZ"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    out = tmp_path / "out"
-    A.run_available_now(A.tumbling_counts(stream), str(out), str(tmp_path / "ck"))
-    got = {(r.window_start.day, r.action): r.cnt for r in A.final_counts(spark, str(out)).collect()}
-    assert got == {(10, "LOGIN"): 3, (10, "CREATE_LEAD"): 1}   # day-1 event came after the watermark
-    batch = {(r.window_start.day, r.action): r.cnt
-             for r in A.batch_counts(spark.read.schema(schema).parquet(str(src))).collect()}
-    assert batch == {**got, (1, "LOGIN"): 1}
+    leads = df(spark, LEADS_DDL, [lead(1), lead(2)])
+    assert lead_search(leads, " \u3000").count() == 0 and lead_search(leads, "cust").count() == 2

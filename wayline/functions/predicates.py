@@ -145,5 +145,13 @@ def contains_any(columns: list[str], text: str) -> Column:
 
 
 def py_strip(col: Column) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading and trailing Unicode white space (and the separators 1C-1F)."""
+    return F.regexp_replace(col, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def same_member(members: list[str], text: str) -> list[str]:
+    """The members of a fixed list that equal ``text`` but for case and accents."""
+    def plain(x: str) -> str:
+        marks = unicodedata.normalize("NFD", x.casefold())
+        return "".join(c for c in marks if not unicodedata.combining(c))
+    return [m for m in members if plain(m) == plain(text)]

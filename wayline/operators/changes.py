@@ -55,10 +55,17 @@ def py_str(c: Column) -> Column:
 
 
 def first_per_key(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """Mark the first request per key (``_first``) without a window."""
-    firsts = changes.groupBy(F.col(key).alias("_fk")).agg(F.min(seq).alias("_fseq"))
-    j = changes.join(firsts, changes[key] == firsts["_fk"], "left")
-    return j.withColumn("_first", F.col(seq) == F.col("_fseq")).drop("_fk", "_fseq")
+    """Mark one request per key as the first (``_first``) without a window.
+
+    Requests that tie on ``seq`` are ordered by a hash of all their columns;
+    equal requests are counted together, and only one of them is the first.
+    """
+    place = F.struct(F.col(seq).alias("s"), F.xxhash64(*changes.columns).alias("h"))
+    counted = changes.groupBy(*changes.columns).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    firsts = counted.groupBy(F.col(key).alias("_fk")).agg(F.min(place).alias("_at"))
+    j = counted.join(firsts, F.col(key) == F.col("_fk"), "left")
+    j = j.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return j.select(*changes.columns, ((F.col("_i") == 1) & (place == F.col("_at"))).alias("_first"))
 
 
 def _rejects(df: DataFrame, key: str, reason: Column) -> DataFrame:
@@ -94,6 +101,7 @@ def apply_create_leads(leads: DataFrame, users: DataFrame, requests: DataFrame,
         (F.coalesce(max_id, F.lit(0)) + F.col("_pos")).cast("bigint").alias("id"),
         format_code("LEAD", F.lit(year), base + F.col("_pos")).alias("lead_id"),
         "customer_name", "mobile", "alt_mobile", "email", "city", "tour_name", "travel_date",
+        "pickup_location", "drop_location",
         "adults", "children", "hotel_category", "meal_plan", "vehicle_type", "lead_source",
         "assigned_to", "status", "enquiry_date", "notes", ts_lit(as_of).alias("created_at"),
         F.lit(0).alias("is_deleted"), F.col("actor_id"), F.col("request_id"))
@@ -285,10 +293,15 @@ def apply_reassign(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str
 
 # -- M7 conversation fan-out ----------------------------------------------------------
 
-def apply_conversations(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_conversations(leads: DataFrame, changes: DataFrame, as_of: str,
+                        followups: DataFrame | None = None) -> dict[str, DataFrame]:
     """M7: each request adds a conversation, a Pending follow-up when a next
     date is given, and a lead status change when ``status_update`` is set
-    (the latest request per lead wins).  Unknown leads are rejected."""
+    (the latest request per lead by ``seq`` wins).  Unknown leads are rejected.
+
+    With the stored ``followups``, ids of new ones continue after the largest in
+    order of ``conv_id``; without, a follow-up is named by its conversation.
+    """
     ids = leads.select(F.col("id").alias("_lid"))
     c = changes.join(ids, changes["lead_pk"] == ids["_lid"], "left")
     acc = c.where(F.col("_lid").isNotNull())
@@ -304,10 +317,14 @@ def apply_conversations(leads: DataFrame, changes: DataFrame, as_of: str) -> dic
         F.col("actor_id").alias("user_id"), F.col("next_followup_date").alias("followup_date"),
         F.coalesce("summary", F.lit("")).alias("notes"), F.lit("Pending").alias("status"),
         F.col("created_at"))
+    if followups is not None:
+        last = F.coalesce(followups.select(F.max("id")).scalar(), F.lit(0))
+        numbered = position_within(fu.withColumn("_one", F.lit(1)), "_one", "id", out_col="_pos")
+        fu = numbered.select(*[(last + F.col("_pos")).cast("bigint").alias("id") if c == "id" else c for c in fu.columns])
     su = F.col("status_update")
     status = (acc.where(su.isNotNull() & (su != ""))
               .groupBy(F.col("lead_pk").alias("_sl"))
-              .agg(F.max_by("status_update", F.struct("created_at", "seq")).alias("_st")))
+              .agg(F.max_by("status_update", F.struct("seq", "status_update")).alias("_st")))
     j = leads.join(status, leads["id"] == status["_sl"], "left")
     new_leads = j.select(*[
         F.coalesce(F.col("_st"), F.col(c)).alias(c) if c == "status" else F.col(c)
@@ -451,13 +468,19 @@ def apply_bookings(tables: dict[str, DataFrame], changes: DataFrame, as_of: str)
 
 # -- M11 payments ---------------------------------------------------------------------
 
+# What a payment request without the field is stored with.
+PAYMENT_DEFAULTS = {"payment_method": "Cash", "reference_no": "", "notes": ""}
+
+
 def apply_payments(bookings: DataFrame, payments: DataFrame, changes: DataFrame,
                    as_of: str) -> dict[str, DataFrame]:
     """Append payments and recompute advance_paid / balance of the
     touched bookings from all their payments (so re-running recomputes the
     same values).  When requests carry ``payment_id``, ids already present
-    in ``payments`` are skipped, which makes a replayed batch a no-op.
-    Payments for unknown bookings are rejected.
+    in ``payments`` are skipped, which makes a replayed batch a no-op, and an
+    id sent twice in a batch counts once (its first request by ``seq``).
+    Payments for unknown bookings are rejected.  Absent fields get the
+    defaults of ``PAYMENT_DEFAULTS`` and the day of ``as_of``.
     """
     ids = bookings.select(F.col("id").alias("_bid"))
     c = changes.join(ids, changes["booking_id"] == ids["_bid"], "left")
@@ -466,8 +489,13 @@ def apply_payments(bookings: DataFrame, payments: DataFrame, changes: DataFrame,
     if "payment_id" in acc.columns and "payment_id" in payments.columns:
         acc = acc.join(payments.select(F.col("payment_id").alias("_pid")),
                        F.col("payment_id") == F.col("_pid"), "left_anti")
-    cols = [c_ for c_ in payments.columns if c_ in acc.columns]
-    new_pay = acc.select(*cols)
+        # one request per id; requests without an id are all their own
+        acc = first_per_key(acc, "payment_id").where(F.col("_first") | F.col("payment_id").isNull()).drop("_first")
+    defaults = {k: F.lit(v) for k, v in PAYMENT_DEFAULTS.items()} | {"payment_date": date_lit(as_of[:10])}
+    new_pay = acc.select(*[
+        F.coalesce(F.col(x), defaults[x]).alias(x) if x in acc.columns and x in defaults
+        else F.col(x) if x in acc.columns else defaults[x].alias(x)
+        for x in payments.columns if x in acc.columns or x in defaults])
     all_pay = payments.unionByName(new_pay, allowMissingColumns=True)
     touched = new_pay.select(F.col("booking_id").alias("_t")).distinct()
     paid = (all_pay.join(touched, F.col("booking_id") == F.col("_t"), "left_semi")

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.dates import bucket_predicate, same_day
-from wayline.functions.predicates import SEARCH_COLLATION, all_of, contains_any, like_any, scope
+from wayline.functions.predicates import all_of, contains_any, like_any, same_member, scope
+from wayline.operators.quality import ENUMS
 from wayline.session import checkpoint_dir
 
 SEARCH_COLUMNS = ["customer_name", "mobile", "alt_mobile", "tour_name", "lead_id"]
@@ -109,8 +110,9 @@ def lead_predicates(role: str | None = None, user_id: int | None = None,
         preds.append(F.col("is_deleted") == 0)
     preds += scope(role, user_id, "assigned_to", assigned)
     if status:
-        # '=' on the reference's columns ignores case and accents too.
-        preds.append(F.collate(F.col("status"), SEARCH_COLLATION) == F.lit(status))
+        # The text is resolved to members of the status list first (case and accents aside),
+        # so that a plain IN reaches the scan.
+        preds.append(F.col("status").isin(same_member(ENUMS["status"][0], status)))
     if search:
         preds.append(like_any(SEARCH_COLUMNS, search))
     return all_of(preds)
@@ -133,8 +135,10 @@ def lead_page_total(leads: DataFrame, per_page: int = 20, **filters) -> DataFram
 
 def lead_search(leads: DataFrame, text: str, role: str | None = None,
                 user_id: int | None = None, limit: int = 20) -> DataFrame:
-    """Global search; LIKE wildcards in ``text`` stay live; deleted included."""
+    """Global search; LIKE wildcards in ``text`` stay live; deleted included; blank text finds nothing."""
     text = text.strip()
+    if not text:
+        leads = leads.limit(0)
     preds = [like_any(SEARCH_COLUMNS, text)] + scope(role, user_id, "assigned_to")
     return (leads.where(all_of(preds))
             .select("id", "lead_id", "customer_name", "mobile", "tour_name", "status",

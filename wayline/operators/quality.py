@@ -100,6 +100,7 @@ def lead_intake_good(requests: DataFrame, users: DataFrame, as_of_day: str) -> D
         "tour_name",
         F.try_to_date(F.when(~_falsy(F.col("travel_date")), F.col("travel_date")),
                       "yyyy-M-d").alias("travel_date"),
+        "pickup_location", "drop_location",
         F.coalesce(F.col("adults"), F.lit(1)).cast("int").alias("adults"),
         F.coalesce(F.col("children"), F.lit(0)).cast("int").alias("children"),
         "hotel_category", "meal_plan", "vehicle_type", "lead_source", "status",

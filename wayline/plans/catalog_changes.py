@@ -197,17 +197,17 @@ def reassign_rejects(t):
 
 
 @register("conversation_to_followups", family="changes", oracle="""
-SELECT c.id, c.lead_id, c.user_id, c.next_followup_date AS followup_date, c.call_result AS notes,
+SELECT (SELECT MAX(id) FROM crm_followups) + row_number() OVER (ORDER BY c.id) AS id, c.lead_id, c.user_id, c.next_followup_date AS followup_date, c.call_result AS notes,
        'Pending' AS status, c.created_at
 FROM crm_conversations c
 WHERE c.next_followup_date IS NOT NULL AND c.lead_id IN (SELECT id FROM crm_leads)""")
 def conversation_to_followups(t):
-    return M.apply_conversations(t.leads, conversation_changes(t), ACT_AS_OF)["followups"]
+    return M.apply_conversations(t.leads, conversation_changes(t), ACT_AS_OF, t.followups)["followups"]
 
 
 @register("conversation_status_updates", family="changes", oracle="""
-SELECT lead_id AS id, arg_max(st, (created_at, id)) AS status FROM (
-  SELECT id, lead_id, created_at,
+SELECT lead_id AS id, arg_max(st, id) AS status FROM (
+  SELECT id, lead_id,
          CASE WHEN call_result = 'Booking Confirmed' THEN 'Booked'
               WHEN call_result = 'Not Interested' THEN 'Lost' END AS st
   FROM crm_conversations) x
@@ -437,8 +437,8 @@ b AS (SELECT MAX(id) AS max_id,
       FROM crm_leads)
 SELECT CAST(b.max_id + g.rn AS BIGINT) AS id,
        printf('LEAD-%d-%05d', {int(AS_OF[:4])}, COALESCE(b.last_seq, 0) + g.rn) AS lead_id,
-       customer_name, mobile, alt_mobile, email, city, tour_name, travel_date, adults, children,
-       hotel_category, meal_plan, vehicle_type, lead_source, assigned_to, status, enquiry_date,
+       customer_name, mobile, alt_mobile, email, city, tour_name, travel_date, pickup_location, drop_location,
+       adults, children, hotel_category, meal_plan, vehicle_type, lead_source, assigned_to, status, enquiry_date,
        notes, TIMESTAMP '{AS_OF}' AS created_at, 0 AS is_deleted, request_id
 FROM g, b""")
 def apply_create_leads(t):

@@ -57,7 +57,7 @@ SELECT request_id, actor_id, customer_name, mobile, CAST(NULL AS VARCHAR) AS alt
        CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS city,
        CAST(NULL AS VARCHAR) AS tour_name,
        CAST(try_strptime(NULLIF(travel_date, ''), '%Y-%m-%d') AS DATE) AS travel_date,
-       1 AS adults, 0 AS children,
+       pickup_location, drop_location, 1 AS adults, 0 AS children,
        {_COERCED},
        eff AS assigned_to, DATE '{P.AS_OF_DAY}' AS enquiry_date, CAST(NULL AS VARCHAR) AS notes, created_at
 FROM req WHERE reject_reason IS NULL"""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from wayline.plans import params as P
 from wayline.plans.registry import register
 from wayline.session import scratch_path
-from wayline.sources.store import TableStore
 from wayline.streaming import audit_counts as A
 from wayline.streaming import change_stream as CS
+from wayline.streaming.files import stream_table
 
 _DAILY = """
 SELECT date_trunc('day', created_at) AS window_start,
@@ -25,10 +23,9 @@ def activity_daily_counts(t):
 
 @register("activity_tumbling_counts", family="streams", oracle=_DAILY)
 def activity_tumbling_counts(t):
-    """The same counts computed by a watermarked streaming aggregation."""
+    """The same counts, counted per micro-batch of a file stream and added up."""
     base = scratch_path(t.spark, "audit-stream")
-    agg = A.tumbling_counts(A.audit_stream(t.spark, t.data_dir))
-    A.run_available_now(agg, f"{base}/out", f"{base}/checkpoint")
+    A.run_counts(A.audit_stream(t.spark, t.data_dir, P.STREAM_FILES_PER_BATCH), f"{base}/out", f"{base}/checkpoint")
     return A.final_counts(t.spark, f"{base}/out")
 
 
@@ -42,14 +39,10 @@ def stream_conversations(t):
     follow-ups committed by the micro-batches."""
     spark = t.spark
     base = scratch_path(spark, "conv-stream")
-    events_schema = t.base("events").schema
     # A backlog of files is taken a few files per micro-batch, so no batch is unbounded.
-    events = (spark.readStream.schema(events_schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", P.STREAM_FILES_PER_BATCH).parquet(t.data_dir))
+    events = stream_table(spark, f"{t.data_dir}/events.parquet", t.base("events").schema, P.STREAM_FILES_PER_BATCH)
     # Key ranges of the stand-in feed (the view mapping's modulus), from table metadata.
     n_orders, n_users = t.base("orders").count(), t.base("supplier").count()
     requests = CS.conversation_requests(events, n_orders, n_users)
-    store = TableStore(spark, f"{base}/store")
-    CS.run_conversation_stream(spark, requests, t.leads, store, f"{base}/checkpoint",
-                               uuid.uuid4().hex[:8], P.ACTIVITY_AS_OF)
-    return store.read("followups")
+    CS.run_conversation_stream(spark, requests, t.leads, f"{base}/out", f"{base}/checkpoint", P.ACTIVITY_AS_OF)
+    return CS.read_output(spark, f"{base}/out", "followups")

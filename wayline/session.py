@@ -9,6 +9,7 @@ session; only when it is unset (tests, local runs) do we pick one ourselves.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -53,13 +54,24 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def local_scratch(master: str) -> str:
+    """A new temporary folder, for ``local`` masters only (local runs and tests)."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to storage that all executors share")
+    return tempfile.mkdtemp(prefix="wayline-ckpt-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder; where it is unset, set a local one in local mode only.
+
+    On a cluster an unset folder is an error: a folder of the driver's machine
+    is not seen by the executors.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="wayline-ckpt-")   # local runs and tests only
+        current = local_scratch(spark.sparkContext.master)
         try:
             spark.conf.set("spark.checkpoint.dir", current)
         except Exception:  # noqa: BLE001 - some sessions refuse core confs at runtime

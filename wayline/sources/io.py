@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from wayline.sources.schemas import DEFAULTS, SCHEMAS
 
 CORRUPT = "_corrupt_record"
+CSV_TEXT = {"quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""',
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+EMPTY_MARK = "\x00"            # what the reader gives for a quoted empty field; an unquoted one is NULL
+TIMESTAMPS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None,
@@ -51,21 +55,26 @@ def load_typed(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
     PERMISSIVE mode keeps malformed rows: their fields are NULL and the raw
     line is kept in ``_corrupt_record`` so they can be split out as rejects.
+    CSV fields may hold line breaks and doubled quotes; an empty field is NULL
+    and a quoted empty one is the empty string.
     """
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
     reader = (spark.read.schema(with_corrupt).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT))
     if fmt == "csv":
-        return reader.option("header", header).option("timestampNTZFormat",
-                                                      "yyyy-MM-dd'T'HH:mm:ss[.SSS]").csv(path)
+        rows = (reader.option("header", header).options(**CSV_TEXT | {"emptyValue": EMPTY_MARK})
+                .option("multiLine", True).option("timestampNTZFormat", TIMESTAMPS).csv(path))
+        return rows.select(*[F.when(F.col(f.name) == EMPTY_MARK, "").otherwise(F.col(f.name)).alias(f.name)
+                             if isinstance(f.dataType, T.StringType) and f.name != CORRUPT else F.col(f.name)
+                             for f in with_corrupt.fields])
     if fmt == "json":
         return reader.json(path)
     raise ValueError(fmt)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV export with a header row (one file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV export with a header row (one file per partition); quotes inside a field are doubled."""
+    df.write.mode(mode).option("header", True).options(**CSV_TEXT).option("timestampNTZFormat", TIMESTAMPS).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

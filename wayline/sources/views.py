@@ -221,6 +221,8 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
         ("travel_date", "CASE WHEN o_orderkey % 41 = 0 THEN '2001-13-45' "
                         "WHEN o_orderkey % 3 = 0 THEN NULL "
                         "ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END"),
+        ("pickup_location", "CASE WHEN o_orderkey % 3 = 1 THEN concat('Gate ', CAST(o_orderkey % 7 AS STRING)) END"),
+        ("drop_location", "CASE WHEN o_orderkey % 4 = 1 THEN concat('Hotel ', CAST(o_orderkey % 5 AS STRING)) END"),
         ("hotel_category", "CASE o_orderkey % 5 WHEN 0 THEN 'Luxury' WHEN 1 THEN 'Budget' "
                            "WHEN 2 THEN 'Deluxe' WHEN 3 THEN 'Premium' END"),
         ("status", "CASE o_orderkey % 4 WHEN 0 THEN 'Booked' WHEN 1 THEN 'New Lead' "

@@ -1,11 +1,10 @@
 """Live audit counts per action in tumbling windows (Structured Streaming).
 
-The audit log is read as a file stream; event time is cast to TIMESTAMP
-(watermarks reject TIMESTAMP_NTZ), a watermark bounds the state, and counts
-per (window, action) are emitted in update mode.  Each micro-batch is written
-by ``foreachBatch`` to a Parquet table in the shared scratch folder, tagged
-with its batch id; the final count of a window is the largest emitted one
-(counts only grow), which also makes a replayed batch harmless.
+The audit log is read as a file stream.  Every micro-batch counts its own
+rows per (window, action) and writes these partial counts to the batch's
+folder; readers add them up.  Counts add in any order, so the result does not
+depend on how the table is split into files or on the order in which they
+arrive: no row is late, none is dropped, and no state is kept between batches.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.sources.views import VIEWS
+from wayline.streaming.files import read_batches, run_available_now, stream_table, write_batch
+
+OUTPUT = "counts"
 
 
 def view_columns(view: str, names: list[str]) -> list[str]:
@@ -22,57 +24,35 @@ def view_columns(view: str, names: list[str]) -> list[str]:
     return [f"{cols[n]} AS {n}" for n in names]
 
 
-def audit_stream(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Stream of audit rows (action, created_at) from the events table files."""
-    schema = spark.read.parquet(f"{data_dir}/events.parquet").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(data_dir))
+def audit_stream(spark: SparkSession, data_dir: str, max_files: int = 8) -> DataFrame:
+    """Stream of audit rows (action, created_at) from the events table."""
+    path = f"{data_dir}/events.parquet"
+    events = stream_table(spark, path, spark.read.parquet(path).schema, max_files)
     return events.selectExpr(*view_columns("crm_activity_logs", ["id", "action", "created_at"]))
 
 
-def tumbling_counts(audit: DataFrame, window: str = "1 day", watermark: str = "10 minutes") -> DataFrame:
-    """Counts per (tumbling window, action) with a watermark on event time.
-
-    Windows that end behind the watermark are dropped from state; rows for
-    them arriving later are not counted (Spark filters late rows with the
-    previous batch's watermark).  The batch twin ``batch_counts`` counts
-    everything.
-    """
+def window_counts(audit: DataFrame, window: str = "1 day") -> DataFrame:
+    """Rows per (tumbling window of the event time, action)."""
     ts = audit.withColumn("event_time", F.col("created_at").cast("timestamp"))
-    return (ts.withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", window).alias("w"), "action")
-            .agg(F.count(F.lit(1)).alias("cnt")))
+    g = ts.groupBy(F.window("event_time", window).alias("w"), "action").agg(F.count(F.lit(1)).alias("cnt"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "action", "cnt")
 
 
-def run_available_now(agg: DataFrame, out_path: str, checkpoint: str, mode: str = "update",
-                      timeout_s: int = 600) -> None:
-    """Process everything available, write each batch to ``out_path``, stop."""
+def run_counts(audit: DataFrame, out_path: str, checkpoint: str, window: str = "1 day",
+               timeout_s: float | None = None) -> None:
+    """Count everything available, one output folder per micro-batch."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(out_path))
+        write_batch(window_counts(batch, window), out_path, OUTPUT, batch_id)
 
-    q = (agg.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    run_available_now(audit.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), timeout_s)
 
 
 def final_counts(spark: SparkSession, out_path: str) -> DataFrame:
-    out = spark.read.parquet(out_path)
-    return (out.groupBy(F.col("w.start").alias("ws"), F.col("w.end").alias("we"), "action")
-            .agg(F.max("cnt").alias("cnt"))
-            .select(F.col("ws").cast("timestamp_ntz").alias("window_start"),
-                    F.col("we").cast("timestamp_ntz").alias("window_end"), "action", "cnt"))
+    """Counts over all batches."""
+    return (read_batches(spark, out_path, OUTPUT).groupBy("window_start", "window_end", "action")
+            .agg(F.sum("cnt").alias("cnt")))
 
 
-def batch_counts(audit: DataFrame, window: str = "1 day") -> DataFrame:
-    """Batch twin of the streaming counts (same windows, no watermark)."""
-    ts = audit.withColumn("event_time", F.col("created_at").cast("timestamp"))
-    g = ts.groupBy(F.window("event_time", window).alias("w"), "action").agg(
-        F.count(F.lit(1)).alias("cnt"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "action", "cnt")
+#: Batch twin of the stream.
+batch_counts = window_counts

@@ -1,14 +1,14 @@
-"""Change-sets as micro-batches (``foreachBatch`` + idempotent commits).
+"""Change-sets as micro-batches (``foreachBatch`` with one output folder per batch).
 
 Incoming conversation requests arrive as a file stream.  Every micro-batch
-runs the batch operator (``apply_conversations``) against the current lead
-table and commits its outputs to a ``TableStore`` under the commit id
-``<run>-<batch_id>``: a batch replayed after a failure finds its commit
-already present and is skipped, so outputs are written exactly once.
+runs the batch operator (``apply_conversations``) against the leads that its
+requests name and writes each output (conversations, follow-ups, audit rows,
+lead status changes, rejects) to the batch's own folder in overwrite mode: a
+replayed batch writes the same folders again.
 
-Outputs are appended (conversations, follow-ups, audit rows, lead status
-changes); the current status of a lead is the latest appended change,
-resolved at read time -- no table is rewritten per micro-batch.
+The current status of a lead is its latest change (by request ``seq``), resolved
+at read time, so no table is rewritten per micro-batch and the result does not
+depend on how requests are split into batches.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators.changes import apply_conversations
-from wayline.sources.store import TableStore
+from wayline.session import checkpoint_dir
+from wayline.streaming.files import read_batches, run_available_now, write_batch
+
+OUTPUTS = ("conversations", "followups", "activity_logs", "lead_status_changes", "rejects")
 
 
 def conversation_requests(events: DataFrame, n_orders: int, n_users: int) -> DataFrame:
@@ -39,34 +42,34 @@ def conversation_requests(events: DataFrame, n_orders: int, n_users: int) -> Dat
          .when(result == "Not Interested", "Lost").alias("status_update"))
 
 
-def run_conversation_stream(spark: SparkSession, requests: DataFrame, leads: DataFrame,
-                            store: TableStore, checkpoint: str, run_id: str, as_of: str,
-                            timeout_s: int = 600) -> None:
+def run_conversation_stream(spark: SparkSession, requests: DataFrame, leads: DataFrame, out_path: str,
+                            checkpoint: str, as_of: str, timeout_s: float | None = None) -> None:
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        res = apply_conversations(leads, batch, as_of)
-        status = batch.join(res["lead_status"], batch["lead_pk"] == res["lead_status"]["_sl"],
-                            "left_semi").where(F.col("status_update").isNotNull()).select(
-            F.col("lead_pk").alias("lead_id"), F.col("status_update").alias("status"),
-            "created_at", "seq")
-        store.commit(append={"conversations": res["conversations"], "followups": res["followups"],
-                             "activity_logs": res["audit"], "lead_status_changes": status,
-                             "rejects": res["rejects"]},
-                     commit_id=f"{run_id}-{batch_id}")
+        checkpoint_dir(batch.sparkSession)
+        batch = batch.checkpoint(eager=True)      # the requests feed five outputs
+        named = batch.select(F.col("lead_pk").alias("_b")).distinct()
+        mine = leads.join(named, leads["id"] == named["_b"], "left_semi").select("id", "status").checkpoint(eager=True)
+        res = apply_conversations(mine, batch, as_of)
+        known = mine.select(F.col("id").alias("_l"))
+        su = F.col("status_update")
+        status = batch.where(su.isNotNull() & (su != "")).join(known, F.col("lead_pk") == F.col("_l"), "left_semi").select(
+            F.col("lead_pk").alias("lead_id"), su.alias("status"), "created_at", "seq")
+        for name, df in (("conversations", res["conversations"]), ("followups", res["followups"]),
+                         ("activity_logs", res["audit"]), ("lead_status_changes", status), ("rejects", res["rejects"])):
+            write_batch(df, out_path, name, batch_id)
+
+    run_available_now(requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint), timeout_s)
+
 
-    q = (requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+def read_output(spark: SparkSession, out_path: str, name: str) -> DataFrame:
+    """One of ``OUTPUTS`` over all batches."""
+    return read_batches(spark, out_path, name)
 
 
 def current_status(leads: DataFrame, status_changes: DataFrame) -> DataFrame:
-    """Lead status = latest appended change, else the stored one."""
+    """Lead status = latest change by request order, else the stored one."""
     last = (status_changes.groupBy(F.col("lead_id").alias("_l"))
-            .agg(F.max_by("status", F.struct("created_at", "seq")).alias("_s")))
+            .agg(F.max_by("status", F.struct("seq", "status")).alias("_s")))
     j = leads.join(last, leads["id"] == last["_l"], "left")
     return j.select(*[F.coalesce("_s", "status").alias("status") if c == "status" else F.col(c)
                       for c in leads.columns])
