@@ -259,10 +259,20 @@ def test_lead_document_parts_reassemble(spark):
     members = {"conversations": (conv, "lead_id", ["created_at", "id"], False)}
     docs = L3.document_parts(leads, users, members, part_size=2)
     c = docs.where(F.col("member") == "conversations").collect()
-    assert len(c) >= 2 and all(len(r["items"]) <= 7 for r in c)
+    assert len(c) >= 2 and all(len(r["items"]) <= 2 for r in c)
     ids = sorted(json.loads(x)["id"] for r in c for x in r["items"])
     assert ids == list(range(1, 8))
     assert docs.where(F.col("member") == "lead").count() == 2
+    # The parts are the ordered list cut in order, for any part size.
+    def lists(size):
+        out = {}
+        for r in sorted(L3.document_parts(leads, users, members, size).where("member = 'conversations'").collect(),
+                        key=lambda r: (r.lead_pk, r.part)):
+            out.setdefault(r.lead_pk, []).extend(r["items"])
+        return out
+    assert lists(2) == lists(3) == lists(1000)
+    mine = L3.document_parts(leads, users, members, scope=F.col("assigned_to") == -1)
+    assert mine.count() == 0
 
 
 def test_with_previous_equals_lag_on_skewed_keys(spark):

@@ -8,8 +8,8 @@ so no single key can overload a task:
 * the same-mobile history keeps only the newest ``k + 1`` rows per mobile
   (Spark plans a WindowGroupLimit before the shuffle), so joining it back
   yields at most ``k + 1`` partners per lead -- never all pairs of a group;
-* the nested document is emitted in parts of bounded size: a lead with many
-  children is split over several rows by a hash of the child id.
+* the nested document is emitted in parts of bounded size, cut by position: a
+  lead with many children is split over several rows, in order.
 """
 
 from __future__ import annotations
@@ -106,56 +106,71 @@ def lead_360_counts(leads: DataFrame, counts: DataFrame, history_limit: int = 5)
         F.least(F.col("same_mobile") - 1, F.lit(history_limit)).cast("bigint").alias("n_history"))
 
 
+def with_staff_name(child: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
+    """A child table plus ``staff_name``, the full name of the user that it names (NULL if unknown)."""
+    names = users.select(F.col("id").alias("_su"), F.col("full_name").alias("staff_name"))
+    return child.join(names, child[key] == names["_su"], "left").drop("_su")
+
+
+def _sort_number(child: DataFrame, name: str, ascending: bool) -> F.Column:
+    """A sort column as one number that rises in the wanted order (NULL first rising, last falling)."""
+    kind = child.schema[name].dataType.typeName()
+    c = F.col(name)
+    if kind == "date":
+        n = F.unix_date(c).cast("bigint")
+    elif kind.startswith("timestamp"):
+        n = F.unix_micros(c.cast("timestamp"))
+    else:
+        n = c.cast("bigint")
+    least, most = F.lit(-2**63).cast("bigint"), F.lit(2**63 - 1).cast("bigint")
+    return F.coalesce(n, least) if ascending else F.coalesce(-n, most)
+
+
 def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple],
-                   part_size: int = 1000) -> DataFrame:
-    """J8/S5 nested lead document, emitted in parts of about ``part_size`` items.
+                   part_size: int = 1000, scope: F.Column | None = None) -> DataFrame:
+    """J8/S5 nested lead document, emitted in parts of at most ``part_size`` items.
 
     ``members`` maps a member name to ``(child_df, lead_key, sort_columns,
-    ascending[, max_items])``; a member with a known bound ``max_items`` no
-    larger than ``part_size`` (e.g. the top-5 history) is one part per lead.
-    For the others, each member counts its own rows per lead (partial
-    aggregation) and only leads with more than ``part_size`` children -- at
-    most rows / ``part_size`` of them -- are joined back to set their
-    ``parts = ceil(n / part_size)``; every other lead has one part.
-    Every child row is serialised with ``to_json`` and routed to part
-    ``pmod(xxhash64(row), parts)``, so a lead with millions of children
-    becomes many rows of bounded size spread over many tasks.  Within a
-    part, items are sorted by the member's sort columns.  Parts are grouped
-    first and then kept for live leads only, so that filter joins one row
-    per part, not one per child.  Output columns: ``lead_pk``, ``member``,
-    ``part``, ``parts``, ``items`` (array of JSON objects).
+    ascending)`` with one or two integer, date or timestamp sort columns.  Items
+    are in the order of the sort columns (NULLs first rising, last falling; then
+    the JSON text, rising), and part ``p`` holds positions ``p * part_size + 1``
+    and on, so the parts of a member are its list cut in order, at every size.
+
+    Every child row is serialised with ``to_json`` once; the rows of all members
+    are stacked, kept for live leads in ``scope`` (a condition on leads, such as a
+    staff member's own) with one join, placed with ``ordered_position`` (range
+    blocks: a lead with millions of children is spread over many tasks) and
+    grouped once.  Output columns: ``lead_pk``, ``member``, ``part``, ``parts``,
+    ``items`` (array of JSON objects).
     """
-    pieces = []
     live = leads.where(F.col("is_deleted") == 0)
+    if scope is not None:
+        live = live.where(scope)
     names = users.select(F.col("id").alias("_u"), F.col("full_name").alias("assigned_name"))
     head = live.join(names, live["assigned_to"] == names["_u"], "left").drop("_u")
-    pieces.append(head.select(
+    lead = head.select(
         F.col("id").alias("lead_pk"), F.lit("lead").alias("member"), F.lit(0).alias("part"),
-        F.lit(1).alias("parts"), F.array(F.to_json(F.struct(*head.columns))).alias("items")))
+        F.lit(1).alias("parts"), F.array(F.to_json(F.struct(*head.columns))).alias("items"))
+    rows = []
+    for member, (child, key, sort_cols, ascending) in members.items():
+        numbers = [_sort_number(child, c, ascending) for c in sort_cols] + [F.lit(0).cast("bigint")] * (2 - len(sort_cols))
+        rows.append(child.select(F.col(key).alias("lead_pk"), F.lit(member).alias("member"),
+                                 numbers[0].alias("k1"), numbers[1].alias("k2"),
+                                 F.to_json(F.struct(*child.columns)).alias("j")))
+    stacked = reduce(DataFrame.unionByName, rows)
     live_ids = live.select(F.col("id").alias("_lid"))
-    for member, spec in members.items():
-        child, key, sort_cols, ascending = spec[:4]
-        bound = spec[4] if len(spec) > 4 else None
-        c = child
-        if bound is not None and bound <= part_size:
-            parts = F.lit(1)
-        else:
-            big = (child.groupBy(F.col(key).alias("_bk")).agg(F.count(F.lit(1)).alias("_n"))
-                   .where(F.col("_n") > part_size)
-                   .select("_bk", F.ceil(F.col("_n") / F.lit(part_size)).cast("int").alias("_parts")))
-            c = child.join(big, child[key] == big["_bk"], "left")
-            parts = F.coalesce(F.col("_parts"), F.lit(1))
-        payload = F.struct(*[F.col(x) for x in child.columns])
-        c = c.select(F.col(key).alias("lead_pk"), parts.alias("parts"),
-                     F.struct(*[F.col(x) for x in sort_cols], F.to_json(payload).alias("j")).alias("s"),
-                     F.pmod(F.xxhash64(*[F.col(x) for x in child.columns]), parts)
-                     .cast("int").alias("part"))
-        grouped = (c.groupBy("lead_pk", "part", "parts")
-                   .agg(F.sort_array(F.collect_list("s"), asc=ascending).alias("arr")))
-        grouped = grouped.join(live_ids, grouped["lead_pk"] == live_ids["_lid"], "left_semi")
-        pieces.append(grouped.select("lead_pk", F.lit(member).alias("member"), "part", "parts",
-                                     F.transform("arr", lambda x: x["j"]).alias("items")))
-    return reduce(DataFrame.unionByName, pieces)
+    stacked = stacked.join(live_ids, stacked["lead_pk"] == live_ids["_lid"], "left_semi")
+    placed = ordered_position(stacked, ["lead_pk", "member"], ["k1", "k2", "j"], out_col="_pos")
+    part = F.floor((F.col("_pos") - 1) / F.lit(part_size)).cast("int")
+    grouped = (placed.groupBy("lead_pk", "member", part.alias("part"))
+               .agg(F.sort_array(F.collect_list(F.struct("_pos", "j"))).alias("arr")))
+    # Only lists of several parts (at most rows / part_size of them) need their number of parts.
+    several = (placed.where(F.col("_pos") > part_size).groupBy(F.col("lead_pk").alias("_l"), F.col("member").alias("_m"))
+               .agg((F.max(part) + 1).alias("_parts")))
+    out = grouped.join(several, (grouped["lead_pk"] == several["_l"]) & (grouped["member"] == several["_m"]), "left")
+    return lead.unionByName(out.select(
+        "lead_pk", "member", "part", F.coalesce("_parts", F.lit(1)).alias("parts"),
+        F.transform("arr", lambda x: x["j"]).alias("items")))
 
 
 def category_tree(categories: DataFrame, subcategories: DataFrame,
@@ -171,17 +186,16 @@ def category_tree(categories: DataFrame, subcategories: DataFrame,
     ``sort_order``, ``n_subcategories``, ``part``, ``parts``,
     ``subcategory_names`` ('|'-joined names of the part), ``subcategories``.
     """
-    subs = subcategories.select(F.col("category_id").alias("cid"), "sort_order", "name", "id",
-                                "is_active")
+    rest = [c for c in subcategories.columns if c not in ("sort_order", "name", "id", "category_id")]
+    subs = subcategories.select(F.col("category_id").alias("cid"), "sort_order", "name", "id", *rest)
     pos = ordered_position(subs, ["cid"], ["sort_order", "name", "id"], out_col="_pos")
     sizes = subs.groupBy(F.col("cid").alias("_sc")).agg(F.count(F.lit(1)).alias("_n"))
     grouped = (pos.groupBy("cid", F.floor((F.col("_pos") - 1) / F.lit(part_size)).cast("int").alias("part"))
                .agg(F.sort_array(F.collect_list(F.struct(
-                   "_pos", "sort_order", "name", "id", "is_active"))).alias("_arr")))
+                   "_pos", "sort_order", "name", "id", *rest))).alias("_arr")))
     grouped = grouped.select(
         "cid", "part",
-        F.transform("_arr", lambda s: F.struct(s["sort_order"].alias("sort_order"), s["name"].alias("name"),
-                                               s["id"].alias("id"), s["is_active"].alias("is_active")))
+        F.transform("_arr", lambda s: F.struct(*[s[c].alias(c) for c in ("sort_order", "name", "id", *rest)]))
         .alias("subcategories"))
     out = (categories.join(sizes, categories["id"] == sizes["_sc"], "left")
            .join(grouped, categories["id"] == grouped["cid"], "left"))

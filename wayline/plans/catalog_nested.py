@@ -51,25 +51,25 @@ def lead_360_counts(t):
 
 # The columns of each lead document member, in the order
 # Spark serialises them (the child views' columns), with their JSON kind:
-# n = number, s = string, d = date, t = timestamp.
+# n = number, s = string, d = date, t = timestamp, j = JSON text as it is.
 _DOC_COLUMNS = {
     "lead": "id:n lead_id:s customer_name:s mobile:s alt_mobile:s city:s tour_name:s travel_date:d "
             "adults:n children:n hotel_category:s lead_source:s assigned_to:n status:s enquiry_date:d "
             "created_at:t is_deleted:n deleted_at:t deleted_by:n tour_category_id:n "
             "tour_subcategory_id:n assigned_name:s",
     "conversations": "id:n lead_id:n user_id:n call_result:s call_type:s next_followup_date:d "
-                     "call_duration:n created_at:t",
-    "followups": "id:n lead_id:n user_id:n followup_date:d status:s created_at:t",
-    "packages": "id:n lead_id:n user_id:n tour_name:s itinerary:s hotels:s transport:s "
-                "other_charges:s base_price:n discount:n",
+                     "call_duration:n created_at:t staff_name:s",
+    "followups": "id:n lead_id:n user_id:n followup_date:d status:s created_at:t staff_name:s",
+    "packages": "id:n lead_id:n user_id:n tour_name:s itinerary:j hotels:j transport:j "
+                "other_charges:j base_price:n discount:n",
     "bookings": "id:n booking_id:s lead_id:n user_id:n total_amount:n discount:n final_amount:n "
                 "payment_method:s created_at:t",
     "payments": "booking_id:n amount:n payment_method:s payment_date:d lead_id:n",
-    "whatsapp_logs": "id:n lead_id:n user_id:n message:s turn:n",
+    "whatsapp_logs": "id:n lead_id:n user_id:n message:s turn:n staff_name:s",
     "pinned_notes": "id:n lead_id:n user_id:n note:s color:s",
     "history": "lead_pk:n rnk:n id:n lead_id:s customer_name:s tour_name:s status:s created_at:t",
 }
-_JSON_VALUE = {"n": "CAST({} AS VARCHAR)", "s": "CAST(to_json({}) AS VARCHAR)",
+_JSON_VALUE = {"j": "{}", "n": "CAST({} AS VARCHAR)", "s": "CAST(to_json({}) AS VARCHAR)",
                "d": "concat('\"', strftime({}, '%Y-%m-%d'), '\"')",
                "t": "concat('\"', strftime({}, '%Y-%m-%dT%H:%M:%S.%g'), '\"')"}
 
@@ -87,62 +87,68 @@ def _json_object_sql(member: str, alias: str) -> str:
 
 # member -> (source rows, lead key, sort keys, ascending)
 _DOC_MEMBERS = {
-    "conversations": ("crm_conversations", "lead_id", ["created_at", "id"], False),
-    "followups": ("crm_followups", "lead_id", ["followup_date", "id"], True),
-    "packages": ("crm_packages", "lead_id", ["id"], False),
+    "conversations": ("conv", "lead_id", ["created_at", "id"], False),
+    "followups": ("fol", "lead_id", ["followup_date", "id"], True),
+    "packages": ("pkg", "lead_id", ["id"], False),
     "bookings": ("crm_bookings", "lead_id", ["id"], True),
     "payments": ("pay", "lead_id", ["payment_date"], False),
-    "whatsapp_logs": ("crm_whatsapp_logs", "lead_id", ["id"], False),
+    "whatsapp_logs": ("wa", "lead_id", ["id"], False),
     "pinned_notes": ("crm_lead_notes", "lead_id", ["id"], False),
     "history": ("hist", "lead_pk", ["rnk"], True),
 }
 
 
-def _lead_360_oracle() -> str:
+def _lead_360_oracle(part_size: int) -> str:
     parts = []
     for member, (src, key, keys, asc) in _DOC_MEMBERS.items():
         d = "ASC NULLS FIRST" if asc else "DESC NULLS LAST"
-        order = ", ".join([f"x.{k} {d}" for k in keys] + [f"{_json_object_sql(member, 'x')} {d}"])
-        n_parts = ("1" if member == "history"
-                   else f"CAST(greatest(ceil(COUNT(*) / {P.DOC_PART_SIZE}), 1) AS INTEGER)")
-        parts.append(f"""SELECT x.{key} AS lead_pk, '{member}' AS member, {n_parts} AS parts,
-       string_agg({_json_object_sql(member, 'x')}, ',' ORDER BY {order}) AS items
-FROM {src} x GROUP BY x.{key}""")
+        text = _json_object_sql(member, "x")
+        order = ", ".join([f"x.{k} {d}" for k in keys] + [text])
+        parts.append(f"""SELECT lead_pk, '{member}' AS member, CAST((rn - 1) // {part_size} AS INTEGER) AS part,
+       CAST(ceil(MAX(n) / {part_size}) AS INTEGER) AS parts, string_agg(j, ',' ORDER BY rn) AS items
+FROM (SELECT x.{key} AS lead_pk, {text} AS j, row_number() OVER (PARTITION BY x.{key} ORDER BY {order}) AS rn,
+             COUNT(*) OVER (PARTITION BY x.{key}) AS n FROM {src} x) y GROUP BY 1, 3""")
     members = "\nUNION ALL\n".join(parts)
+    parsed = ", ".join(f"{json_text_sql(m, a)} AS {m}" for m, a in
+                       (("itinerary", "it"), ("hotels", "h"), ("transport", "tr"), ("other_charges", "oc")))
     return f"""
 WITH hist AS ({_HISTORY_SQL}),
+{_PARSED.strip()},
+staff AS (SELECT id AS su, full_name AS staff_name FROM crm_users),
+conv AS (SELECT c.*, staff_name FROM crm_conversations c LEFT JOIN staff ON su = c.user_id),
+fol AS (SELECT c.*, staff_name FROM crm_followups c LEFT JOIN staff ON su = c.user_id),
+wa AS (SELECT c.*, staff_name FROM crm_whatsapp_logs c LEFT JOIN staff ON su = c.user_id),
+pkg AS (SELECT c.id, c.lead_id, c.user_id, c.tour_name, {parsed}, c.base_price, c.discount
+        FROM crm_packages c JOIN p ON p.id = c.id),
 pay AS (SELECT p.booking_id, p.amount, p.payment_method, p.payment_date, b.lead_id
         FROM crm_payments p JOIN crm_bookings b ON p.booking_id = b.id),
 head AS (SELECT l.*, u.full_name AS assigned_name
          FROM crm_leads l LEFT JOIN crm_users u ON l.assigned_to = u.id WHERE l.is_deleted = 0),
 docs AS (
-SELECT x.id AS lead_pk, 'lead' AS member, 1 AS parts, {_json_object_sql('lead', 'x')} AS items FROM head x
+SELECT x.id AS lead_pk, 'lead' AS member, 0 AS part, 1 AS parts, {_json_object_sql('lead', 'x')} AS items FROM head x
 UNION ALL
 {members})
--- DuckDB has no xxhash64: a member split into several parts gets part NULL here (a visible mismatch).
-SELECT lead_pk, member, CASE WHEN parts = 1 THEN 0 END AS part, parts,
-       concat('[', items, ']') AS items
+SELECT lead_pk, member, part, parts, concat('[', items, ']') AS items
 FROM docs WHERE lead_pk IN (SELECT id FROM crm_leads WHERE is_deleted = 0)"""
 
 
-@register("lead_360", family="nested", oracle=_lead_360_oracle())
-def lead_360(t):
-    """Nested lead documents for every live lead, split into bounded parts;
-    each part's items are written as one JSON array text."""
+def lead_documents(t, part_size, scope=None):
+    """Nested documents of every live lead, each part's items as one JSON array text."""
     pay = t.payments.join(t.bookings.select(F.col("id").alias("_b"), F.col("lead_id")),
                           F.col("booking_id") == F.col("_b"), "inner").drop("_b")
     history = N.customer_history(t.leads, P.HISTORY_LIMIT)
+    packages = t.packages.select(*[J.parse(c).alias(c) if c in J.SCHEMAS else F.col(c) for c in t.packages.columns])
     members = {
-        "conversations": (t.conversations, "lead_id", ["created_at", "id"], False),
-        "followups": (t.followups, "lead_id", ["followup_date", "id"], True),
-        "packages": (t.packages, "lead_id", ["id"], False),
+        "conversations": (N.with_staff_name(t.conversations, t.users), "lead_id", ["created_at", "id"], False),
+        "followups": (N.with_staff_name(t.followups, t.users), "lead_id", ["followup_date", "id"], True),
+        "packages": (packages, "lead_id", ["id"], False),
         "bookings": (t.bookings, "lead_id", ["id"], True),
         "payments": (pay, "lead_id", ["payment_date"], False),
-        "whatsapp_logs": (t.whatsapp_logs, "lead_id", ["id"], False),
+        "whatsapp_logs": (N.with_staff_name(t.whatsapp_logs, t.users), "lead_id", ["id"], False),
         "pinned_notes": (t.lead_notes, "lead_id", ["id"], False),
-        "history": (history, "lead_pk", ["rnk"], True, P.HISTORY_LIMIT),
+        "history": (history, "lead_pk", ["rnk"], True),
     }
-    docs = N.document_parts(t.leads, t.users, members, P.DOC_PART_SIZE)
+    docs = N.document_parts(t.leads, t.users, members, part_size, scope)
     return docs.withColumn("items", F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")))
 
 
@@ -244,6 +250,18 @@ def json_text_sql(member: str, parsed: str) -> str:
     return f"('[' || COALESCE(array_to_string({items}, ','), '') || ']')"
 
 
+@register("lead_360", family="nested", oracle=_lead_360_oracle(P.DOC_PART_SIZE))
+def lead_360(t):
+    """Nested lead documents for every live lead, split into bounded parts by position."""
+    return lead_documents(t, P.DOC_PART_SIZE)
+
+
+@register("lead_360_small_parts", family="nested", oracle=_lead_360_oracle(2))
+def lead_360_small_parts(t):
+    """The same documents in parts of two items, so that lists really are cut."""
+    return lead_documents(t, 2)
+
+
 @register("package_json_encode", family="nested", oracle=f"""
 WITH {_PARSED}
 SELECT id, {json_text_sql("itinerary", "it")} AS itinerary,
