@@ -11,6 +11,10 @@ from wayline.session import scratch_path
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: Rows and bytes of one Arrow batch between the JVM and a Python worker.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+               "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 2**20)}
+
 #: ASCII white space of every word and line rule of this package.
 WS = " \t\n\x0b\x0c\r"
 #: The same as a regular-expression class that Java, Python and RE2 read alike.
@@ -68,8 +72,11 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it.
 
     On a cluster the package is installed or shipped (``--py-files``); the
-    extra path only helps runs from a checkout.
+    extra path only helps runs from a checkout.  Also bounds the Arrow batches
+    of the session, since a batch is held whole on both sides.
     """
+    for key, value in ARROW_BATCH.items():
+        spark.conf.set(key, value)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), _ROOT) if x)

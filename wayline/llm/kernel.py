@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21          # bytes handled at once (a longer text is its own chunk)
+CHUNK_BYTES = 1 << 19          # bytes handled at once (a longer text is its own chunk)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

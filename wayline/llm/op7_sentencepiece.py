@@ -30,8 +30,8 @@ from wayline.llm.common import arrow_map
 
 SPACE = "▁"
 LETTERS = "a-zA-Z\u00c0-\u024f"   # letters of the coarse cut (any other letters are cut on a second look)
-REMEMBER_WORDS = 400_000       # words of one generation; two are held, the older one goes when the newer is full
-REMEMBER_PAIRS = 1_000_000     # a full table is emptied
+REMEMBER_WORDS = 250_000       # words of one generation; two are held, the older one goes when the newer is full
+REMEMBER_PAIRS = 300_000     # a full table is emptied
 REMEMBER_CHARS = 64
 MODEL_LIMIT = 64 * 2**20                               # bytes of a model file sent to the workers
 OUT_BYTES = 2**21                                      # text bytes of one output batch
