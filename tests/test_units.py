@@ -334,6 +334,32 @@ def test_category_upsert_and_cascade(spark):
     assert [r.id for r in M.dangling_category_leads(leads, res["tour_categories"]).collect()] == [1]
 
 
+def test_category_rules(spark):
+    cats = spark.createDataFrame([(5, "A", "old", 3, 1)], "id BIGINT, name STRING, description STRING, sort_order INT, is_active INT")
+    ups = spark.createDataFrame([(None, "  New ", 1, "admin"), (None, " ", 2, "admin"), (None, "X", 3, "staff"),
+                                 (None, "Two", 4, "manager"), (5, "B", 5, "admin"), (5, "B", 5, "admin")],
+                                "id BIGINT, name STRING, seq BIGINT, role STRING")
+    dels = spark.createDataFrame([(5, 9, "staff")], "category_id BIGINT, seq BIGINT, role STRING")
+    subs = df(spark, SUBS_DDL, [(10, 5, "s1", 1, 1, money(1), "", 0, 1)])
+    res = M.apply_category_changes(cats, subs, ups, dels, "2026-03-01 00:00:00")
+    assert sorted(tuple(r) for r in res["tour_categories"].collect()) == [
+        (5, "B", "", 0, 1), (6, "New", "", 0, 1), (7, "Two", "", 0, 1)]
+    assert {(r.seq, r.reason) for r in res["rejects"].collect()} == {(2, "Name required"), (3, "Forbidden"), (9, "Forbidden")}
+    assert sorted(r.details for r in res["audit"].collect()) == ["Created tour category: New", "Created tour category: Two"]
+    assert res["tour_subcategories"].count() == 1
+
+
+def test_staff_cannot_trash_or_restore(spark):
+    leads = df(spark, LEADS_DDL, [lead(1), lead(2, deleted=1)])
+    ch = spark.createDataFrame([(1, 1, 7, "staff"), (1, 2, 8, "manager"), (2, 3, 7, None)],
+                               "lead_pk BIGINT, seq BIGINT, actor_id BIGINT, role STRING")
+    res = M.apply_soft_delete(leads, ch, "2026-03-01 00:00:00")
+    assert {r.id: (r.is_deleted, r.deleted_by) for r in res["leads"].collect()} == {1: (1, 8), 2: (1, None)}
+    assert {r.seq for r in res["rejects"].collect()} == {1, 3} and res["audit"].count() == 1
+    res = M.apply_restore(leads, ch, "2026-03-01 00:00:00")
+    assert {r.seq: r.reason for r in res["rejects"].collect()} == {1: "Forbidden", 3: "Forbidden", 2: "Not found or not deleted"}
+
+
 def test_user_create_update_deactivate(spark):
     users = df(spark, USERS_DDL, [(2, "sa", "Staff A", "staff", 1), (3, "sb", "Staff B", "staff", 1)])
     creates = spark.createDataFrame([(5, "new", "New Person", None)],

@@ -140,48 +140,59 @@ def apply_lead_updates(leads: DataFrame, changes: DataFrame, as_of: str) -> dict
 
 # -- M3 / M4 soft delete and restore ----------------------------------------------
 
-def _flag_change(leads: DataFrame, changes: DataFrame, want_deleted: int) -> tuple[DataFrame, DataFrame]:
-    """Split requests into accepted (first per lead, lead in the wanted state) and rejects."""
-    state = leads.select(F.col("id").alias("_lid"), F.col("is_deleted").alias("_del"),
-                         F.col("lead_id").alias("_code"))
-    c = first_per_key(changes, "lead_pk")
-    c = c.join(state, c["lead_pk"] == state["_lid"], "left")
-    ok = F.col("_first") & (F.col("_del") == want_deleted)
-    return c.where(ok), c.where(~ok | F.col("_del").isNull())
+# Reject messages of the role checks.
+MSG_FORBIDDEN = "Forbidden"
+MSG_DELETE_FORBIDDEN = "Forbidden — only admin/manager can delete leads"
+MANAGERS = ("admin", "manager")
+
+
+def by_role(changes: DataFrame, roles: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(allowed, forbidden) requests; a batch without a ``role`` column was checked before."""
+    if "role" not in changes.columns:
+        return changes, changes.limit(0)
+    ok = F.coalesce(F.col("role").isin(*roles), F.lit(False))
+    return changes.where(ok), changes.where(~ok)
+
+
+def _flag_change(leads: DataFrame, changes: DataFrame, want_deleted: int,
+                 new_values: dict, reason: str, forbidden: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new leads, accepted requests, rejects): the first allowed request of a lead in the wanted state acts.
+
+    New leads come from one join with the batch's first requests; the state test
+    runs on the joined row.
+    """
+    allowed, barred = by_role(changes, MANAGERS)
+    marked = first_per_key(allowed, "lead_pk")
+    first = marked.where(F.col("_first")).select(F.col("lead_pk").alias("_a"), F.col("actor_id").alias("_actor"))
+    j = leads.join(first, leads["id"] == first["_a"], "left")
+    hit = F.col("_a").isNotNull() & (F.col("is_deleted") == want_deleted)
+    out = j.select(*[F.when(hit, new_values[c]).otherwise(F.col(c)).cast(leads.schema[c].dataType).alias(c)
+                     if c in new_values else F.col(c) for c in leads.columns])
+    state = leads.select(F.col("id").alias("_lid"), F.col("is_deleted").alias("_del"), F.col("lead_id").alias("_code"))
+    known = marked.join(state, marked["lead_pk"] == state["_lid"], "left")
+    ok = F.coalesce(F.col("_first") & (F.col("_del") == want_deleted), F.lit(False))
+    rejects = _rejects(known.where(~ok), "lead_pk", F.lit(reason)).union(_rejects(barred, "lead_pk", F.lit(forbidden)))
+    return out, known.where(ok), rejects
 
 
 def apply_soft_delete(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """M3: move live leads to the trash (stamp time and actor); others rejected."""
-    acc, rej = _flag_change(leads, changes, 0)
-    a = acc.select(F.col("lead_pk").alias("_a"), F.col("actor_id").alias("_actor"))
-    j = leads.join(a, leads["id"] == a["_a"], "left")
-    hit = F.col("_a").isNotNull()
-    out = j.select(*[
-        F.when(hit, F.lit(1)).otherwise(F.col(c)).cast(leads.schema[c].dataType).alias(c) if c == "is_deleted"
-        else F.when(hit, ts_lit(as_of)).otherwise(F.col(c)).cast(leads.schema[c].dataType).alias(c)
-        if c == "deleted_at"
-        else F.when(hit, F.col("_actor")).otherwise(F.col(c)).cast(leads.schema[c].dataType).alias(c)
-        if c == "deleted_by" else F.col(c)
-        for c in leads.columns])
+    """M3: move live leads to the trash (stamp time and actor); others and staff requests rejected."""
+    out, acc, rej = _flag_change(
+        leads, changes, 0, {"is_deleted": F.lit(1), "deleted_at": ts_lit(as_of), "deleted_by": F.col("_actor")},
+        "Not found", MSG_DELETE_FORBIDDEN)
     aud = audit(acc, F.col("actor_id"), "SOFT_DELETE_LEAD", "lead", F.col("lead_pk"),
                 F.concat(F.lit("Soft-deleted lead "), F.col("_code")), as_of)
-    return {"leads": out, "rejects": _rejects(rej, "lead_pk", F.lit("Not found")), "audit": aud}
+    return {"leads": out, "rejects": rej, "audit": aud}
 
 
 def apply_restore(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """M4: bring trashed leads back (clear time and actor); live ones rejected."""
-    acc, rej = _flag_change(leads, changes, 1)
-    a = acc.select(F.col("lead_pk").alias("_a"))
-    j = leads.join(a, leads["id"] == a["_a"], "left")
-    hit = F.col("_a").isNotNull()
-    resets = {"is_deleted": F.lit(0), "deleted_at": F.lit(None), "deleted_by": F.lit(None)}
-    out = j.select(*[
-        F.when(hit, resets[c]).otherwise(F.col(c)).cast(leads.schema[c].dataType).alias(c)
-        if c in resets else F.col(c) for c in leads.columns])
+    """M4: bring trashed leads back (clear time and actor); live ones and staff requests rejected."""
+    out, acc, rej = _flag_change(
+        leads, changes, 1, {"is_deleted": F.lit(0), "deleted_at": F.lit(None), "deleted_by": F.lit(None)},
+        "Not found or not deleted", MSG_FORBIDDEN)
     aud = audit(acc, F.col("actor_id"), "RESTORE_LEAD", "lead", F.col("lead_pk"),
                 F.concat(F.lit("Restored lead "), F.col("_code")), as_of)
-    return {"leads": out, "rejects": _rejects(rej, "lead_pk", F.lit("Not found or not deleted")),
-            "audit": aud}
+    return {"leads": out, "rejects": rej, "audit": aud}
 
 
 # -- M5 hard delete with cascade -----------------------------------------------------
@@ -551,40 +562,86 @@ def apply_notes(notes: DataFrame, adds: DataFrame, deletes: DataFrame) -> dict[s
 
 # -- M14 / M15 categories --------------------------------------------------------------
 
-def apply_category_changes(categories: DataFrame, subcategories: DataFrame,
-                           upserts: DataFrame | None, deletes: DataFrame | None) -> dict[str, DataFrame]:
-    """Upsert categories by id (a replace overwrites all fields) and
-    delete categories with their sub-categories (cascade).  Leads are not
-    touched: their category id may now dangle (there is no foreign key)."""
-    cats = categories
+# Fields of a new (or replaced) row that the request leaves out, and messages.
+CATEGORY_DEFAULTS = {"description": "", "icon": "fa-map-marked-alt", "color": "#F97316", "sort_order": 0, "is_active": 1}
+SUBCATEGORY_DEFAULTS = {"description": "", "tags": "", "sort_order": 0, "is_active": 1}
+USER_DEFAULTS = {"email": "", "phone": "", "role": "staff", "is_active": 1}
+MSG_NAME = "Name required"
+
+
+def _upsert(table: DataFrame, upserts: DataFrame, defaults: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new table, accepted requests with ``_new_id`` and ``_created``, rejects) of upserts by ``id``.
+
+    A request needs an admin or manager and a name (stripped).  Without an id it
+    creates a row: ids continue after the table's largest in order of ``seq``
+    (equal requests are one).  With an id it replaces all fields of that row, the
+    last request by ``seq`` wins.  Fields left out take their defaults.
+    """
+    allowed, barred = by_role(upserts, MANAGERS)
+    named = allowed.withColumn("name", py_strip(F.coalesce(F.col("name"), F.lit(""))))
+    rejects = _rejects(named.where("name = ''"), "id", F.lit(MSG_NAME)).union(
+        _rejects(barred, "id", F.lit(MSG_FORBIDDEN)))
+    named = named.where("name <> ''").distinct()
+    top = F.coalesce(table.select(F.max("id")).scalar(), F.lit(0))
+    added = position_within(named.where("id is null").withColumn("_one", F.lit(1)), "_one", "seq", out_col="_pos")
+    added = added.withColumn("_new_id", (top + F.col("_pos")).cast("bigint")).drop("_one", "_pos").withColumn("_created", F.lit(True))
+    whole = F.struct(*named.columns)
+    kept = (named.where("id is not null").groupBy(F.col("id").alias("_k"))
+            .agg(F.max_by(whole, F.struct("seq", F.xxhash64(*named.columns))).alias("_r")).select("_r.*"))
+    kept = kept.withColumn("_new_id", F.col("id").cast("bigint")).withColumn("_created", F.lit(False))
+    accepted = kept.unionByName(added)
+
+    def value(c: str):
+        given = F.col("_new_id") if c == "id" else F.col(c) if c in accepted.columns else F.lit(None)
+        filled = F.coalesce(given, F.lit(defaults[c])) if c in defaults else given
+        return filled.cast(table.schema[c].dataType).alias(c)
+
+    rows = accepted.select(*[value(c) for c in table.columns])
+    rest = table.join(rows.select(F.col("id").alias("_uid")), table["id"] == F.col("_uid"), "left_anti")
+    return rest.unionByName(rows), accepted, rejects
+
+
+def _no_rejects(df: DataFrame, key: str) -> DataFrame:
+    return df.limit(0).select(F.col(key).cast("bigint").alias("request_key"), F.lit(0).cast("bigint").alias("seq"),
+                              F.lit("").alias("reason"))
+
+
+def apply_category_changes(categories: DataFrame, subcategories: DataFrame, upserts: DataFrame | None,
+                           deletes: DataFrame | None, as_of: str = "1970-01-01 00:00:00") -> dict[str, DataFrame]:
+    """Upsert categories (see ``_upsert``) and delete categories with their
+    sub-categories (cascade; admin or manager).  Leads are not touched: their category id may now
+    dangle (there is no foreign key).  Created categories are audited."""
+    cats, subs = categories, subcategories
+    rejects, aud = _no_rejects(categories, "id"), None
     if upserts is not None:
-        last = upserts.groupBy(F.col("id").alias("_u")).agg(F.max("seq").alias("_s"))
-        u = upserts.join(last, (upserts["id"] == last["_u"]) & (upserts["seq"] == last["_s"]), "inner")
-        u = u.select(*[F.col(c_) for c_ in categories.columns if c_ in u.columns])
-        cats = cats.join(u.select(F.col("id").alias("_uid")), cats["id"] == F.col("_uid"), "left_anti")
-        cats = cats.unionByName(u, allowMissingColumns=True)
-    subs = subcategories
+        cats, accepted, rejects = _upsert(categories, upserts, CATEGORY_DEFAULTS)
+        actor = F.col("actor_id") if "actor_id" in accepted.columns else F.lit(None)
+        aud = audit(accepted.where("_created"), actor, "CREATE_TOUR_CATEGORY", None, F.lit(None),
+                    F.concat(F.lit("Created tour category: "), F.col("name")), as_of)
     if deletes is not None:
-        gone = deletes.select(F.col("category_id").alias("_gone")).distinct()
+        allowed, barred = by_role(deletes, MANAGERS)
+        if "seq" in deletes.columns:
+            rejects = rejects.union(_rejects(barred, "category_id", F.lit(MSG_FORBIDDEN)))
+        gone = allowed.select(F.col("category_id").alias("_gone")).distinct()
         cats = cats.join(gone, cats["id"] == gone["_gone"], "left_anti")
         subs = subs.join(gone, subs["category_id"] == gone["_gone"], "left_anti")
-    return {"tour_categories": cats, "tour_subcategories": subs}
+    out = {"tour_categories": cats, "tour_subcategories": subs, "rejects": rejects}
+    return out | ({"audit": aud} if aud is not None else {})
 
 
 def apply_subcategory_changes(subcategories: DataFrame, upserts: DataFrame | None,
                               deletes: DataFrame | None) -> dict[str, DataFrame]:
-    """Upsert (replace all fields, last request wins) and delete sub-categories."""
-    subs = subcategories
+    """Upsert (see ``_upsert``) and delete sub-categories (admin or manager)."""
+    subs, rejects = subcategories, _no_rejects(subcategories, "id")
     if upserts is not None:
-        last = upserts.groupBy(F.col("id").alias("_u")).agg(F.max("seq").alias("_s"))
-        u = upserts.join(last, (upserts["id"] == last["_u"]) & (upserts["seq"] == last["_s"]), "inner")
-        u = u.select(*[F.col(c_) for c_ in subcategories.columns if c_ in u.columns])
-        subs = subs.join(u.select(F.col("id").alias("_uid")), subs["id"] == F.col("_uid"), "left_anti")
-        subs = subs.unionByName(u, allowMissingColumns=True)
+        subs, _, rejects = _upsert(subcategories, upserts, SUBCATEGORY_DEFAULTS)
     if deletes is not None:
-        gone = deletes.select(F.col("id").alias("_gone")).distinct()
+        allowed, barred = by_role(deletes, MANAGERS)
+        if "seq" in deletes.columns:
+            rejects = rejects.union(_rejects(barred, "id", F.lit(MSG_FORBIDDEN)))
+        gone = allowed.select(F.col("id").alias("_gone")).distinct()
         subs = subs.join(gone, subs["id"] == gone["_gone"], "left_anti")
-    return {"tour_subcategories": subs}
+    return {"tour_subcategories": subs, "rejects": rejects}
 
 
 def dangling_category_leads(leads: DataFrame, categories: DataFrame) -> DataFrame:

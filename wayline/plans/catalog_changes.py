@@ -36,8 +36,13 @@ def lead_update_changes(t):
 
 
 def soft_delete_changes(t):
-    return t.leads.where(F.col("id") % 7 == 0).select(
-        F.col("id").alias("lead_pk"), F.col("id").alias("seq"), F.lit(0).cast("bigint").alias("actor_id"))
+    """Admins trash every seventh lead, some of them twice with equal requests; staff ask in vain for others."""
+    def ask(rows, later, role):
+        return rows.select(F.col("id").alias("lead_pk"), (F.col("id") + later).alias("seq"),
+                           F.lit(0).cast("bigint").alias("actor_id"), F.lit(role).alias("role"))
+    l = t.leads
+    return (ask(l.where(F.col("id") % 7 == 0), 0, "admin").union(ask(l.where(F.col("id") % 21 == 0), 0, "admin"))
+            .union(ask(l.where(F.col("id") % 35 == 0), -1, "staff")))
 
 
 def restore_changes(t):
@@ -127,9 +132,11 @@ def apply_soft_delete(t):
         "id", "is_deleted", "deleted_at", "deleted_by")
 
 
-@register("soft_delete_rejects", family="changes", oracle="""
+@register("soft_delete_rejects", family="changes", oracle=f"""
 SELECT id AS request_key, id AS seq, 'Not found' AS reason
-FROM crm_leads WHERE id % 7 = 0 AND is_deleted = 1""")
+FROM crm_leads WHERE id % 7 = 0 AND is_deleted = 1
+UNION ALL SELECT id, id, 'Not found' FROM crm_leads WHERE id % 21 = 0
+UNION ALL SELECT id, id - 1, '{M.MSG_DELETE_FORBIDDEN}' FROM crm_leads WHERE id % 35 = 0""")
 def soft_delete_rejects(t):
     return M.apply_soft_delete(t.leads, soft_delete_changes(t), AS_OF)["rejects"]
 
@@ -355,6 +362,51 @@ def category_delete_cascade(t):
     return res["tour_subcategories"].groupBy("category_id").agg(F.count(F.lit(1)).alias("subcategories"))
 
 
+def category_upserts(t):
+    """Creates (some without a name, some by staff) and two replaces in a row of every second category."""
+    c = t.tour_categories
+    i = F.col("id")
+    creates = c.select(F.lit(None).cast("bigint").alias("id"), i.alias("seq"), F.lit(0).cast("bigint").alias("actor_id"),
+                       F.when(i % 3 == 0, "staff").otherwise("admin").alias("role"),
+                       F.when(i % 4 == 1, "  ").otherwise(F.concat(F.lit("  New "), "name", F.lit(" "))).alias("name"))
+    even = c.where(i % 2 == 0)
+    replaces = [even.select("id", (i + 100 * n).alias("seq"), F.lit(0).cast("bigint").alias("actor_id"),
+                            F.lit("manager").alias("role"), F.concat(F.lit(text), "name").alias("name"))
+                for n, text in ((2, "Last "), (1, "First "))]
+    return creates.unionByName(replaces[0]).unionByName(replaces[1])
+
+
+def _category_changes(t):
+    return M.apply_category_changes(t.tour_categories, t.tour_subcategories, category_upserts(t), None, AS_OF)
+
+
+_MADE = """(SELECT *, row_number() OVER (ORDER BY id) AS pos FROM crm_tour_categories
+  WHERE id % 3 <> 0 AND id % 4 <> 1)"""
+
+
+@register("apply_category_upserts", family="changes", oracle=f"""
+SELECT id, name, sort_order, is_active FROM crm_tour_categories WHERE id % 2 <> 0
+UNION ALL SELECT id, 'Last ' || name, 0, 1 FROM crm_tour_categories WHERE id % 2 = 0
+UNION ALL SELECT (SELECT MAX(id) FROM crm_tour_categories) + pos, 'New ' || name, 0, 1 FROM {_MADE} m""")
+def apply_category_upserts(t):
+    return _category_changes(t)["tour_categories"].select("id", "name", "sort_order", "is_active")
+
+
+@register("category_upsert_rejects", family="changes", oracle=f"""
+SELECT CAST(NULL AS BIGINT) AS request_key, id AS seq,
+       CASE WHEN id % 3 = 0 THEN '{M.MSG_FORBIDDEN}' ELSE '{M.MSG_NAME}' END AS reason
+FROM crm_tour_categories WHERE id % 3 = 0 OR id % 4 = 1""")
+def category_upsert_rejects(t):
+    return _category_changes(t)["rejects"]
+
+
+@register("category_upsert_audit", family="changes", oracle=f"""
+SELECT CAST(0 AS BIGINT) AS user_id, 'CREATE_TOUR_CATEGORY' AS action,
+       'Created tour category: New ' || name AS details, TIMESTAMP '{AS_OF}' AS created_at FROM {_MADE} m""")
+def category_upsert_audit(t):
+    return _category_changes(t)["audit"].select("user_id", "action", "details", "created_at")
+
+
 @register("apply_subcategories", family="changes", oracle="""
 SELECT id, category_id, CASE WHEN id % 2 = 0 THEN upper(name) ELSE name END AS name,
        duration_days, duration_nights, starting_price, tags, sort_order, is_active
