@@ -409,7 +409,7 @@ def test_conversation_stream_over_a_split_table_and_a_rerun(spark, tmp_path):
 
     def run():
         events = stream_table(spark, str(tmp_path / "events.parquet"), t.base("events").schema, 1)
-        req = CS.conversation_requests(events, t.row_count("orders"), t.row_count("supplier"))
+        req = CS.conversation_requests(events, t.row_count("customer"), t.row_count("supplier"))
         CS.run_conversation_stream(spark, req, t.leads, out, str(tmp_path / "ck"), "2024-01-20 00:00:00")
 
     run()

@@ -175,18 +175,18 @@ def followup_upcoming_list(t):
 
 
 @register("followups_staff_scope", family="lists", oracle=_FOLLOWUPS.format(
-    extra=f"AND f.user_id = {P.STAFF_USER} AND f.followup_date = DATE '{P.FOLLOWUP_AS_OF}'"))
+    extra=f"AND f.user_id = {P.FOLLOWUP_STAFF} AND f.followup_date = DATE '{P.FOLLOWUP_AS_OF}'"))
 def followups_staff_scope(t):
     return L.followup_list(t.followups, t.leads, t.users, P.FOLLOWUP_AS_OF, bucket="today",
-                           role="staff", user_id=P.STAFF_USER)
+                           role="staff", user_id=P.FOLLOWUP_STAFF)
 
 
 @register("followups_staff_all", family="lists", oracle=_FOLLOWUPS.format(
-    extra=f"AND f.user_id = {P.STAFF_USER}"))
+    extra=f"AND f.user_id = {P.FOLLOWUP_STAFF}"))
 def followups_staff_all(t):
     """F7 + F9 (unknown tab = every pending follow-up) for one staff member."""
     return L.followup_list(t.followups, t.leads, t.users, P.FOLLOWUP_AS_OF, bucket=None,
-                           role="staff", user_id=P.STAFF_USER)
+                           role="staff", user_id=P.FOLLOWUP_STAFF)
 
 
 @register("followup_today_list", family="lists", oracle=_FOLLOWUPS.format(

@@ -42,7 +42,7 @@ def stream_conversations(t):
     # A backlog of files is taken a few files per micro-batch, so no batch is unbounded.
     events = stream_table(spark, f"{t.data_dir}/events.parquet", t.base("events").schema, P.STREAM_FILES_PER_BATCH)
     # Key ranges of the stand-in feed (the view mapping's modulus), from table metadata.
-    n_orders, n_users = t.base("orders").count(), t.base("supplier").count()
-    requests = CS.conversation_requests(events, n_orders, n_users)
+    n_leads, n_users = t.base("customer").count(), t.base("supplier").count()
+    requests = CS.conversation_requests(events, n_leads, n_users)
     CS.run_conversation_stream(spark, requests, t.leads, f"{base}/out", f"{base}/checkpoint", P.ACTIVITY_AS_OF)
     return CS.read_output(spark, f"{base}/out", "followups")

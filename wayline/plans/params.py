@@ -21,6 +21,7 @@ SEARCH_TEXT = "1_3"                    # '_' is a live LIKE wildcard here
 BOOKING_SEARCH_TEXT = "nation_1"             # literal, case-insensitive ("_" is plain)
 ACTIVITY_SEARCH_TEXT = "_conv"         # literal: '_' is a plain character
 STAFF_USER = 7                          # a staff member (id % 10 not in {0, 1})
+FOLLOWUP_STAFF = 16                     # a staff member with follow-ups on FOLLOWUP_AS_OF
 FILTER_STATUS = "Follow-up"
 FILTER_ASSIGNEE = 12
 CATEGORY_ID = 2

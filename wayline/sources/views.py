@@ -28,7 +28,8 @@ BASE_TABLES = (
 # scalar sub-query; Spark binds the same numbers once per data folder.
 _N_USERS = "{n_supplier}"
 _N_ORDERS = "{n_orders}"
-COUNT_MARKERS = {"n_supplier": "supplier", "n_orders": "orders"}
+_N_CUSTOMERS = "{n_customer}"   # smaller than the orders: several events per lead
+COUNT_MARKERS = {"n_supplier": "supplier", "n_orders": "orders", "n_customer": "customer"}
 
 # The driver tables' column types (TESTDATA), declared so a
 # scan needs no footer-based schema inference.
@@ -85,7 +86,8 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
         ("lead_source", "CASE c_mktsegment WHEN 'BUILDING' THEN 'Call' "
                         "WHEN 'FURNITURE' THEN 'Website' WHEN 'MACHINERY' THEN 'WhatsApp' "
                         "WHEN 'HOUSEHOLD' THEN 'Referral' ELSE 'Walk-in' END"),
-        ("assigned_to", f"CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % {_N_USERS} END"),
+        ("assigned_to", f"CASE WHEN o_orderkey % 101 = 0 THEN 999999 "
+                        f"WHEN o_orderkey % 17 <> 0 THEN o_orderkey % {_N_USERS} END"),
         ("status", "CASE o_orderpriority WHEN '1-URGENT' THEN 'Booked' "
                    "WHEN '2-HIGH' THEN 'Negotiation' WHEN '3-MEDIUM' THEN 'Follow-up' "
                    "WHEN '4-NOT SPECIFIED' THEN 'New Lead' ELSE 'Lost' END"),
@@ -120,7 +122,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
     ], "o_orderpriority = '1-URGENT' OR o_orderkey % 50 = 0"),
     "crm_conversations": ("{events}", [
         ("id", "event_id"),
-        ("lead_id", f"event_id % {_N_ORDERS}"),
+        ("lead_id", f"event_id % {_N_CUSTOMERS}"),
         ("user_id", f"user_id % {_N_USERS}"),
         ("call_result", "CASE event_id % 9 WHEN 0 THEN 'Not Connected' "
                         "WHEN 1 THEN 'Call Not Picked' WHEN 2 THEN 'Customer Busy' "
@@ -135,7 +137,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
     ], "event_type IN ('view', 'click', 'purchase')"),
     "crm_followups": ("{events}", [
         ("id", "event_id"),
-        ("lead_id", f"event_id % {_N_ORDERS}"),
+        ("lead_id", f"event_id % {_N_CUSTOMERS}"),
         ("user_id", f"user_id % {_N_USERS}"),
         ("followup_date", "CAST(ts AS DATE) + CAST(event_id % 7 AS INT)"),
         ("status", "CASE event_id % 4 WHEN 0 THEN 'Completed' "
@@ -206,7 +208,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
     ], "role = 'assistant'"),
     "crm_lead_assignments": ("{events}", [
         ("id", "event_id"),
-        ("lead_id", f"event_id % {_N_ORDERS}"),
+        ("lead_id", f"event_id % {_N_CUSTOMERS}"),
         ("assigned_from", f"CASE WHEN event_id % 3 <> 0 THEN user_id % {_N_USERS} END"),
         ("assigned_to", f"(user_id + 1) % {_N_USERS}"),
         ("assigned_by", f"(user_id + 2) % {_N_USERS}"),

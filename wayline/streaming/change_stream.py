@@ -23,7 +23,7 @@ from wayline.streaming.files import read_batches, run_available_now, write_batch
 OUTPUTS = ("conversations", "followups", "activity_logs", "lead_status_changes", "rejects")
 
 
-def conversation_requests(events: DataFrame, n_orders: int, n_users: int) -> DataFrame:
+def conversation_requests(events: DataFrame, n_leads: int, n_users: int) -> DataFrame:
     """Shape raw events into conversation requests (stand-in request feed)."""
     e = events.where(F.col("event_type").isin("view", "click", "purchase"))
     result = F.expr("CASE event_id % 9 WHEN 0 THEN 'Not Connected' WHEN 1 THEN 'Call Not Picked' "
@@ -32,7 +32,7 @@ def conversation_requests(events: DataFrame, n_orders: int, n_users: int) -> Dat
                     "WHEN 7 THEN 'Package Sent' ELSE 'Other' END")
     return e.select(
         F.col("event_id").alias("conv_id"), F.col("event_id").alias("seq"),
-        (F.col("event_id") % n_orders).alias("lead_pk"), (F.col("user_id") % n_users).alias("actor_id"),
+        (F.col("event_id") % n_leads).alias("lead_pk"), (F.col("user_id") % n_users).alias("actor_id"),
         result.alias("call_result"), result.alias("summary"),
         F.when(F.col("event_type") == "click", "Incoming").otherwise("Outgoing").alias("call_type"),
         F.when(F.col("event_type") == "view",
