@@ -518,3 +518,10 @@ def test_blank_search_finds_nothing(spark):
 
     leads = df(spark, LEADS_DDL, [lead(1), lead(2)])
     assert lead_search(leads, " \u3000").count() == 0 and lead_search(leads, "cust").count() == 2
+
+
+def test_wildcard_search_folds_all_of_unicode(spark):
+    names = ["Nguyễn Văn", "NGUYE\u0302\u0303N", "Άννα", "Ёлка", "plain"]
+    t = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id BIGINT, customer_name STRING")
+    for text, want in (("nguyen", {0, 1}), ("ng_yen", {0, 1}), ("αννα", {2}), ("елка", {3}), ("NGUYỄN", {0, 1}), ("plain", {4})):
+        assert {r.id for r in t.where(like_any(["customer_name"], text)).collect()} == want, text

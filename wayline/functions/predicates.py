@@ -29,24 +29,26 @@ def scope(role: str | None, user_id: int | None, column: str,
     return []
 
 
-def _latin_fold_table() -> tuple[str, str]:
-    """Accented Latin letters (U+00C0..U+024F) and their base letters.
+def _fold_table() -> tuple[str, str]:
+    """Accented letters of Unicode's basic plane and their base letters.
 
-    Built by rule from Unicode decomposition: a letter whose compatibility
-    decomposition, without combining marks, is one other character folds
-    to it ('é' -> 'e', 'Ü' -> 'U').  Letters that expand ('ß', 'æ') stay.
+    Built by rule from Unicode decomposition: a letter whose decomposition,
+    without combining marks, is one other letter folds to it ('é' -> 'e',
+    'ễ' -> 'e', 'ё' -> 'е').  Up to U+024F compatibility forms fold too.
+    Letters that expand ('ß', 'æ') stay.
     """
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    for cp in range(0xC0, 0x10000):
         ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
+        form = unicodedata.normalize("NFKD" if cp < 0x250 else "NFD", ch)
+        base = "".join(c for c in form if not unicodedata.combining(c))
+        if len(base) == 1 and base != ch and (cp < 0x250 or base.isalpha()):
             src.append(ch)
             dst.append(base)
     return "".join(src), "".join(dst)
 
 
-FOLD_FROM, FOLD_TO = _latin_fold_table()
+FOLD_FROM, FOLD_TO = _fold_table()
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
@@ -68,7 +70,9 @@ _CONTRACTIONS = {two: one for one, two in EXPANSIONS.items()}
 
 def _letter(ch: str) -> str:
     group = _VARIANTS.get(ch.translate(_FOLD).lower())
-    return f"[{group}]" if group else re.escape(ch)
+    if group:                       # any accented form, composed or followed by its marks
+        return f"[{group}]\\p{{M}}*"
+    return re.escape(ch) + ("\\p{M}*" if ch.isalpha() else "")
 
 
 def like_regex(pattern: str) -> str:
