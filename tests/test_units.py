@@ -525,3 +525,15 @@ def test_wildcard_search_folds_all_of_unicode(spark):
     t = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id BIGINT, customer_name STRING")
     for text, want in (("nguyen", {0, 1}), ("ng_yen", {0, 1}), ("αννα", {2}), ("елка", {3}), ("NGUYỄN", {0, 1}), ("plain", {4})):
         assert {r.id for r in t.where(like_any(["customer_name"], text)).collect()} == want, text
+
+
+def test_positions_of_sparse_and_negative_keys(spark):
+    from wayline.operators.sequence import position_within
+
+    keys = [k * 10**9 for k in range(-300, 300)] + [2**62, -2**62, 7, 8, 9]
+    t = spark.createDataFrame([(k % 3 if k % 5 else None, k) for k in keys], "g INT, k BIGINT")
+    w = Window.partitionBy("g").orderBy("k")
+    want = t.select("g", "k", F.row_number().over(w).cast("bigint").alias("pos"))
+    for size in (1 << 16, 4):
+        got = position_within(t, "g", "k", size)
+        assert got.exceptAll(want).count() == 0 and got.count() == len(keys)

@@ -37,19 +37,43 @@ def _positions(d: DataFrame, part_cols: list[str], order: list[Column], out_col:
             .drop("_blk", "_loc", "_b", "_off", *[f"_p_{c}" for c in part_cols]))
 
 
+def _cut(column: str, size: int) -> Column:
+    """Exact integer floor division (also of negative keys)."""
+    return F.expr(f"(`{column}` - pmod(`{column}`, {size})) div {size}")
+
+
 def position_within(df: DataFrame, part_col: str, order_col: str,
                     block_size: int = 1 << 16, out_col: str = "pos") -> DataFrame:
     """1-based position within ``part_col`` by a unique integer ``order_col``.
 
-    A block is ``order_col // block_size``; unique keys put at most
-    ``block_size`` rows in a block.  The running offsets are a window over
-    a group's non-empty blocks, so this suits dense keys (request ids and
-    sequence numbers, as in the change sets): a group of n rows then has
-    about n / ``block_size`` blocks.  For sparse or non-integer orderings use
-    ``ordered_position``, whose blocks are sampled ranges.
+    A block is ``order_col // block_size``, so unique keys put at most
+    ``block_size`` rows in it.  Blocks are counted in three levels (blocks of
+    blocks of blocks), and running offsets are taken level by level: every
+    window sees at most ``block_size`` rows of one upper block, for dense and for
+    sparse keys (epoch milliseconds, generated 64-bit ids) alike.  For
+    non-integer orderings use ``ordered_position``.
     """
-    blk = F.floor(F.col(order_col) / F.lit(block_size)).cast("bigint")
-    return _positions(df.withColumn("_blk", blk), [part_col], [F.col(order_col)], out_col)
+    d = df.withColumn("_k", F.col(order_col).cast("bigint")).withColumn("_b0", _cut("_k", block_size))
+    counts = d.groupBy(F.col(part_col).alias("_p"), "_b0").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_b1", _cut("_b0", block_size)).withColumn("_b2", _cut("_b1", block_size))
+    upper = counts.groupBy("_p", "_b2", "_b1").agg(F.sum("_n").alias("_n"))
+    top = upper.groupBy("_p", "_b2").agg(F.sum("_n").alias("_n"))
+
+    def before(keys: list[str], order: str) -> Column:
+        run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(run), F.lit(0))
+
+    top = top.select(F.col("_p").alias("_p2"), F.col("_b2").alias("_c2"), before(["_p"], "_b2").alias("_o2"))
+    upper = upper.withColumn("_o1", before(["_p", "_b2"], "_b1"))
+    upper = upper.join(top, upper["_p"].eqNullSafe(top["_p2"]) & (upper["_b2"] == top["_c2"])).select(
+        F.col("_p").alias("_p1"), F.col("_b1").alias("_c1"), (F.col("_o1") + F.col("_o2")).alias("_o1"))
+    counts = counts.withColumn("_o0", before(["_p", "_b2", "_b1"], "_b0"))
+    offsets = counts.join(upper, counts["_p"].eqNullSafe(upper["_p1"]) & (counts["_b1"] == upper["_c1"])).select(
+        "_p", F.col("_b0").alias("_b"), (F.col("_o0") + F.col("_o1")).cast("bigint").alias("_off"))
+    local = F.row_number().over(Window.partitionBy(part_col, "_b0").orderBy("_k")).cast("bigint")
+    d = d.withColumn("_loc", local)
+    joined = d.join(offsets, d[part_col].eqNullSafe(offsets["_p"]) & (d["_b0"] == offsets["_b"]))
+    return joined.select(*[c for c in df.columns if c != out_col], (F.col("_off") + F.col("_loc")).alias(out_col))
 
 
 def ordered_position(df: DataFrame, part_cols: list[str], order_cols: list[str],
