@@ -655,18 +655,38 @@ def dangling_category_leads(leads: DataFrame, categories: DataFrame) -> DataFram
 # -- M16 users ---------------------------------------------------------------------------
 
 def apply_user_changes(users: DataFrame, creates: DataFrame | None = None,
-                       updates: DataFrame | None = None,
-                       deactivate: DataFrame | None = None) -> dict[str, DataFrame]:
+                       updates: DataFrame | None = None, deactivate: DataFrame | None = None,
+                       as_of: str = "1970-01-01 00:00:00") -> dict[str, DataFrame]:
     """Create users (role default 'staff', active), partial updates
     (``fields`` lists present keys) and deactivation (``is_active = 0``;
-    leads keep their assignee)."""
+    leads keep their assignee).  Only admins may; other requests are rejected
+    (batches without a ``role_of_actor`` column were checked before).  Creates without
+    an id (or without that column) get ids after the largest, by ``seq``; they are audited."""
+    rejects, aud = [], None
+
+    def admins(batch: DataFrame, key: str) -> DataFrame:
+        if "role_of_actor" not in batch.columns:
+            return batch
+        ok = F.coalesce(F.col("role_of_actor") == "admin", F.lit(False))
+        keyed = batch if key in batch.columns else batch.withColumn(key, F.lit(None).cast("bigint"))
+        rejects.append(_rejects(keyed.where(~ok), key, F.lit(MSG_FORBIDDEN)))
+        return batch.where(ok)
+
     out = users
     if creates is not None:
-        new = creates.select(*[F.col(c_) for c_ in creates.columns if c_ in users.columns or c_ == "role"])
-        new = new.withColumn("role", F.coalesce(F.col("role"), F.lit("staff")))
-        if "is_active" in users.columns and "is_active" not in new.columns:
-            new = new.withColumn("is_active", F.lit(1))
-        out = out.unionByName(new, allowMissingColumns=True)
+        new = admins(creates, "id")
+        if "seq" in new.columns:
+            top = F.coalesce(users.select(F.max("id")).scalar(), F.lit(0))
+            new = position_within(new.withColumn("_one", F.lit(1)), "_one", "seq", out_col="_pos")
+            given = F.col("id") if "id" in creates.columns else F.lit(None)
+            new = new.withColumn("id", F.coalesce(given, top + F.col("_pos")).cast("bigint"))
+        actor = F.col("actor_id") if "actor_id" in new.columns else F.lit(None)
+        aud = audit(new, actor, "CREATE_USER", None, F.lit(None), F.concat(F.lit("Created user "), "username"), as_of)
+        new = new.select(*[(F.coalesce(F.col(c), F.lit(USER_DEFAULTS[c])) if c in USER_DEFAULTS else F.col(c)).alias(c)
+                           if c in new.columns else F.lit(USER_DEFAULTS.get(c)).alias(c) for c in users.columns])
+        out = out.unionByName(new.select(*[F.col(c).cast(users.schema[c].dataType).alias(c) for c in users.columns]))
+    updates = None if updates is None else admins(updates, "user_pk")
+    deactivate = None if deactivate is None else admins(deactivate, "user_pk")
     if updates is not None:
         editable = [c_ for c_ in ("full_name", "email", "phone", "role", "is_active")
                     if c_ in updates.columns and c_ in users.columns]
@@ -686,7 +706,8 @@ def apply_user_changes(users: DataFrame, creates: DataFrame | None = None,
         out = j.select(*[F.when(F.col("_d").isNotNull(), F.lit(0)).otherwise(F.col(c_))
                          .cast(users.schema[c_].dataType).alias(c_) if c_ == "is_active" else F.col(c_)
                          for c_ in users.columns])
-    return {"users": out}
+    res = {"users": out, "rejects": reduce(DataFrame.union, rejects) if rejects else _no_rejects(users, "id")}
+    return res | ({"audit": aud} if aud is not None else {})
 
 
 def audit_union(*audits: DataFrame) -> DataFrame:
@@ -695,5 +716,4 @@ def audit_union(*audits: DataFrame) -> DataFrame:
 
 
 __all__ = [n for n in dir() if n.startswith("apply_")] + [
-    "audit", "audit_union", "dangling_category_leads", "hard_delete_counts", "first_per_key",
-    "SCHEMAS"]
+    "audit", "audit_union", "dangling_category_leads", "hard_delete_counts", "first_per_key"]

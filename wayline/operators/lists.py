@@ -65,6 +65,9 @@ def in_order(df: DataFrame, order: list[Column], page_no: int | None) -> DataFra
     return df.coalesce(1).sortWithinPartitions(*order)
 
 
+MAX_PER_PAGE = 10_000
+
+
 def page(df: DataFrame, order: list[Column], page_no: int | None, per_page: int) -> DataFrame:
     """One page (``page_no`` from 1) in ``order``; ``None`` keeps every row
     (unsorted: callers sort the full list once, after its lookups, with
@@ -73,10 +76,13 @@ def page(df: DataFrame, order: list[Column], page_no: int | None, per_page: int)
     A page (at most ``per_page`` rows) is checkpointed to the shared
     checkpoint folder: the page and the key lists built from it for its
     lookups then read those few rows, so the source is scanned and cut to
-    the page once, not once per use.
+    the page once, not once per use.  A page's keys are broadcast to its lookups,
+    so a page of more than ``MAX_PER_PAGE`` rows is refused, not cut.
     """
     if page_no is None:
         return df
+    if not 0 < per_page <= MAX_PER_PAGE:
+        raise ValueError(f"per_page must be between 1 and {MAX_PER_PAGE}")
     ordered = df.orderBy(*order)
     offset = (max(page_no, 1) - 1) * per_page
     if offset:

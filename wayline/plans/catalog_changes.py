@@ -496,3 +496,37 @@ FROM g, b""")
 def apply_create_leads(t):
     """M1: the intake batch (all lead requests) inserted as new leads."""
     return M.apply_create_leads(t.leads, t.users, t.lead_requests, AS_OF)["leads_new"]
+
+
+def _user_changes(t):
+    """Creates by admins and managers (managers in vain), with and without a role."""
+    u, i = t.users, F.col("id")
+    creates = u.select(i.alias("seq"), F.lit(0).cast("bigint").alias("actor_id"),
+                       F.when(i % 4 == 0, "manager").otherwise("admin").alias("role_of_actor"),
+                       F.concat(F.lit("new_"), "username").alias("username"), "full_name",
+                       F.when(i % 3 == 0, "manager").alias("role"))
+    return M.apply_user_changes(u, creates=creates, as_of=AS_OF)
+
+
+_NEW_USERS = "(SELECT *, row_number() OVER (ORDER BY id) AS pos FROM crm_users WHERE id % 4 <> 0) n"
+
+
+@register("apply_user_creates", family="changes", oracle=f"""
+SELECT id, username, full_name, role, is_active FROM crm_users
+UNION ALL SELECT (SELECT MAX(id) FROM crm_users) + pos, 'new_' || username, full_name,
+  CASE WHEN id % 3 = 0 THEN 'manager' ELSE 'staff' END, 1 FROM {_NEW_USERS}""")
+def apply_user_creates(t):
+    return _user_changes(t)["users"].select("id", "username", "full_name", "role", "is_active")
+
+
+@register("user_create_rejects", family="changes", oracle=f"""
+SELECT CAST(NULL AS BIGINT) AS request_key, id AS seq, '{M.MSG_FORBIDDEN}' AS reason FROM crm_users WHERE id % 4 = 0""")
+def user_create_rejects(t):
+    return _user_changes(t)["rejects"]
+
+
+@register("user_create_audit", family="changes", oracle=f"""
+SELECT CAST(0 AS BIGINT) AS user_id, 'CREATE_USER' AS action, 'Created user new_' || username AS details,
+       TIMESTAMP '{AS_OF}' AS created_at FROM {_NEW_USERS}""")
+def user_create_audit(t):
+    return _user_changes(t)["audit"].select("user_id", "action", "details", "created_at")
