@@ -530,3 +530,86 @@ SELECT CAST(0 AS BIGINT) AS user_id, 'CREATE_USER' AS action, 'Created user new_
        TIMESTAMP '{AS_OF}' AS created_at FROM {_NEW_USERS}""")
 def user_create_audit(t):
     return _user_changes(t)["audit"].select("user_id", "action", "details", "created_at")
+
+
+# -- post-states and audit texts ------------------------------------------------------
+
+@register("reassigned_leads", family="changes", oracle=f"""
+SELECT l.id, CASE WHEN r.assigned_to <> 0 THEN r.assigned_to ELSE l.assigned_to END AS assigned_to
+FROM crm_leads l LEFT JOIN ({_REASSIGN}) r ON r.lead_id = l.id""")
+def reassigned_leads(t):
+    return M.apply_reassign(t.leads, reassign_changes(t), AS_OF)["leads"].select("id", "assigned_to")
+
+
+def _booked(t):
+    return M.apply_bookings({"leads": t.leads, "bookings": t.bookings}, booking_changes(t), AS_OF)
+
+
+@register("booking_advance_payments", family="changes", oracle=f"""
+WITH {_BOOK_REQ}
+SELECT CAST(base.max_id + acc.pos AS BIGINT) AS booking_id, acc.advance_paid AS amount, 'UPI' AS payment_method,
+       COALESCE(acc.pay_day, DATE '{AS_OF[:10]}') AS payment_date, 'Advance payment' AS notes
+FROM acc, base WHERE acc.advance_paid > 0""")
+def booking_advance_payments(t):
+    return _booked(t)["payments_new"]
+
+
+@register("booked_leads", family="changes", oracle=f"""
+WITH {_BOOK_REQ}
+SELECT id, CASE WHEN id IN (SELECT lead_pk FROM acc) THEN 'Booked' ELSE status END AS status FROM crm_leads""")
+def booked_leads(t):
+    return _booked(t)["leads"].select("id", "status")
+
+
+@register("whatsapp_rows", family="changes", oracle=rf"""
+SELECT lead_id, user_id, regexp_replace(message, '^\s+|\s+$', '', 'g') AS message, TIMESTAMP '{ACT_AS_OF}' AS created_at
+FROM crm_whatsapp_logs WHERE regexp_replace(COALESCE(message, ''), '^\s+|\s+$', '', 'g') <> ''""")
+def whatsapp_rows(t):
+    w = t.whatsapp_logs
+    changes = w.select(F.col("lead_id").alias("lead_pk"), F.col("user_id").alias("actor_id"), "message",
+                       F.col("id").alias("seq"))
+    return M.apply_whatsapp(changes, ACT_AS_OF)["whatsapp_logs_new"].select("lead_id", "user_id", "message", "created_at")
+
+
+def _hard_delete(t):
+    return M.apply_hard_delete(_hard_delete_tables(t), hard_delete_changes(t), AS_OF)
+
+
+@register("hard_delete_followups", family="changes", oracle=f"""
+SELECT id, lead_id, status FROM crm_followups WHERE lead_id NOT IN {_GONE}""")
+def hard_delete_followups(t):
+    return _hard_delete(t)["followups"].select("id", "lead_id", "status")
+
+
+@register("hard_delete_payments", family="changes", oracle=f"""
+SELECT booking_id, amount, payment_date FROM crm_payments
+WHERE booking_id NOT IN (SELECT id FROM crm_bookings WHERE lead_id IN {_GONE})""")
+def hard_delete_payments(t):
+    return _hard_delete(t)["payments"].select("booking_id", "amount", "payment_date")
+
+
+@register("category_delete_rows", family="changes", oracle=f"""
+SELECT id, category_id, name FROM crm_tour_subcategories WHERE category_id <> {CATEGORY_DELETE_ID}""")
+def category_delete_rows(t):
+    deletes = t.tour_categories.where(F.col("id") == CATEGORY_DELETE_ID).select(F.col("id").alias("category_id"))
+    res = M.apply_category_changes(t.tour_categories, t.tour_subcategories, None, deletes)
+    return res["tour_subcategories"].select("id", "category_id", "name")
+
+
+@register("audit_texts", family="changes", oracle=f"""
+SELECT 'UPDATE_LEAD' AS action, id AS entity_id, 'Updated lead ' || id AS details FROM crm_leads WHERE id % 10 IN (0, 1)
+UNION ALL SELECT 'SOFT_DELETE_LEAD', id, 'Soft-deleted lead ' || lead_id FROM crm_leads WHERE id % 7 = 0 AND is_deleted = 0
+UNION ALL SELECT 'RESTORE_LEAD', id, 'Restored lead ' || lead_id
+  FROM crm_leads WHERE (id % 46 = 0 OR id % 10 = 3) AND is_deleted = 1
+UNION ALL SELECT 'ADD_CONVERSATION', lead_id, 'Added conversation to lead ' || lead_id
+  FROM crm_conversations WHERE lead_id IN (SELECT id FROM crm_leads)
+UNION ALL (WITH {_BOOK_REQ} SELECT 'CREATE_BOOKING', CAST(base.max_id + acc.pos AS BIGINT),
+  'Created booking ' || printf('BOOKING-%d-%05d', {int(AS_OF[:4])}, COALESCE(base.max_seq, 0) + acc.pos)
+  || ' for lead ' || acc.lead_pk FROM acc, base)""")
+def audit_texts(t):
+    return M.audit_union(
+        M.apply_lead_updates(t.leads, lead_update_changes(t), AS_OF)["audit"],
+        M.apply_soft_delete(t.leads, soft_delete_changes(t), AS_OF)["audit"],
+        M.apply_restore(t.leads, restore_changes(t), AS_OF)["audit"],
+        M.apply_conversations(t.leads, conversation_changes(t), ACT_AS_OF)["audit"],
+        _booked(t)["audit"]).select("action", "entity_id", "details")
