@@ -20,9 +20,8 @@ def test_matches_oracle(spark, duck, name):
     assert r["values_match"], (r.get("only_spark"), r.get("only_oracle"))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF01).count() > 0
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_smoke(spark):
