@@ -35,6 +35,7 @@ SHINGLE = 5
 PERCENT = 75                   # a link: 100 * intersection >= PERCENT * union
 BANDS, ROWS, BITS = 48, 5, 4   # a pair at 0.75 shares no band with probability 2e-6
 SIGMAS = 5.0
+COUNTERS, SEGMENT = 2**20, 2**16   # frequency counters of crowded members (8 MB), and those of one merge unit
 CROWD = 32                     # members of a bucket that may meet one another directly
 _K = BANDS * ROWS
 _PER_WORD = 64 // BITS
@@ -170,14 +171,51 @@ def _across(placed: DataFrame, key: str, percent: int) -> DataFrame:
     return (x.join(y, key).where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits).select("a", "b"))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(doc_id, distinct shingle hashes) of a batch (doc_id, text)."""
+    for row, off, data in kernel.chunks(batch.column(1)):
+        sets = kernel.distinct_sets(*kernel.shingle_hashes(*kernel.word_hashes(off, data), SHINGLE))
+        yield from zip(batch.column(0).slice(row, len(sets)).to_pylist(), sets)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of a partition's counters: in how many texts a shingle with that low hash stands."""
+    counts = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        for row, off, data in kernel.chunks(batch.column(1)):
-            sets = kernel.distinct_sets(*kernel.shingle_hashes(*kernel.word_hashes(off, data), SHINGLE))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, len(sets)),
-                 pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in sets]), pa.int32()),
-                                          pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "sh"])
+        for _, h in _each_set(batch):
+            counts[np.unique(h & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
+    for s in range(0, COUNTERS, SEGMENT):
+        if counts[s:s + SEGMENT].any():
+            yield pa.RecordBatch.from_pydict({"seg": pa.array([s // SEGMENT], pa.int64()),
+                                              "counts": [counts[s:s + SEGMENT].tobytes()]})
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for seg, c in zip(*(x.to_pylist() for x in batch.columns)):
+            c = np.frombuffer(c, np.int64)
+            held[seg] = held[seg] + c if seg in held else c
+    for seg, c in held.items():
+        yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int64()), "counts": [c.tobytes()]})
+
+
+def _prefixes(shared, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            reps, keys, most = [], [], []
+            for rep, h in _each_set(batch):
+                n, f = len(h), counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                first = np.lexsort((h, f))[:n - -(-n * percent // 100) + 1]
+                at = np.flatnonzero(f[first] > 1)                # a count of one: no other text has it
+                reps.append(np.full(len(at), rep, np.int64))
+                keys.append(h[first[at]].view(np.int64))
+                most.append(n - at)
+            if reps:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (reps, keys, most)],
+                                                 names=["rep", "key", "most"])
+    return run
 
 
 def _rare_prefixes(crowded: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -188,18 +226,19 @@ def _rare_prefixes(crowded: DataFrame, texts: DataFrame, percent: int) -> DataFr
     frequency among these members, so what many of them share (a passage, say)
     comes last and brings no two of them together.  At their first common element
     two sets have in common at most what each has from there on (``most``).
+    Frequencies come from COUNTERS shared counters: any one order is exact, and
+    counters that several shingles share only make it less sharp.
     """
     who = stored(crowded.select("rep", "comp", "n").distinct(), "crowd")
-    mine = texts.join(who.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = stored(arrow_map(mine, _sets, "rep long, sh array<long>").select("rep", F.explode("sh").alias("key"))
-                  .distinct(), "crowd-shingles")
-    often = rows.groupBy("key").agg(F.count("*").alias("f"))
-    ordered = rows.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("o"))
-    n = F.size("o")
-    prefix = F.slice("o", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
-    return (ordered.select("rep", F.posexplode(prefix).alias("pos", "e")).where(F.col("e.f") > 1)
-            .select("rep", F.col("e.key").alias("key"), "pos").join(who, "rep")
-            .select("key", "rep", "comp", "n", (F.col("n") - F.col("pos")).alias("most")))
+    mine = stored(texts.join(who.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "crowd-texts")
+    sums = arrow_map(arrow_map(mine, _count, "seg long, counts binary").repartition(COUNTERS // SEGMENT, "seg"),
+                     _add, "seg long, counts binary")
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in sums.toLocalIterator():                             # 8 * COUNTERS bytes in all
+        counts[r.seg * SEGMENT:][:SEGMENT] = np.frombuffer(r.counts, np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    return arrow_map(mine, _prefixes(shared, percent), "rep long, key long, most long").join(who, "rep") \
+        .select("key", "rep", "comp", "n", "most")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
