@@ -8,9 +8,10 @@ the decoded text of every copy that the mixture shows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayline.llm import op3_quality, op4_minhash, op7_sentencepiece, op9_mixing, op10_line_dedup
-from wayline.llm.common import stored, table
+from wayline.llm.common import WS_CLASS, free_name, stored, table
 from wayline.llm.queries import tokenizer_path
 
 
@@ -20,8 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go."""
-    return op10_line_dedup.drop_repeated_lines(docs).select(*docs.columns)
+    """Lines found in ten or more documents stay once, in the smallest doc_id; rows that lose every line go."""
+    lines = free_name(docs, "_lines")
+    full = WS_CLASS.replace("[", "[^") + r"[^\n]*"                      # one match for each line with a word
+    out = op10_line_dedup.drop_repeated_lines(
+        docs.withColumn(lines, F.regexp_count(F.col("text").cast("string"), F.lit(full))), keep_first=True)
+    dropped = F.col(out.columns[-1])
+    return out.where((dropped == 0) | (dropped < F.col(lines))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,18 @@ def test_stages_by_brute_force(spark, docs_of):
     coded = stages["encode"](spark, mixed, "").collect()
     assert len(coded) == mixed.count()
     assert all(r.ids == lib.encode(texts[r.doc_id]) and r.decoded == lib.decode(r.ids) for r in coded)
+
+
+def test_many_copies_leave_one_whole_text(spark, docs_of):
+    rng = random.Random(13)
+    words = vocabulary(rng)
+    whole = "\n".join(prose(rng, words, 12) for _ in range(4)) + "\n\n"
+    rows = [(5 + i, whole) for i in range(12)] + [(40 + i, f"{whole}{prose(rng, words, 30)}") for i in range(12)]
+    rows += [(80, prose(rng, words, 40)), (81, None), (82, "")]
+    stages = dict(corpus_pipeline.STAGES)
+    lines = stored(stages["line_dedup"](spark, docs_of(rows), ""), "test-copies")
+    left = {r.doc_id: r.text for r in stages["near_dedup"](spark, lines, "").collect()}
+    own = {i: t.removeprefix(whole) for i, t in rows[12:24]}
+    assert left.keys() == {5, 80, 81, 82} | own.keys()
+    assert left[5] == whole and left[80] == rows[24][1] and left[81] is None and left[82] == ""
+    assert all(left[i].strip() == t for i, t in own.items())
