@@ -71,6 +71,25 @@ def test_markov_finds_bare_keys_and_leaves_identifiers(spark, docs_of, labelled)
     assert all(got[i].n_assign == 1 and got[i].n_markov == 0 for i, _ in known)
 
 
+def test_rare_secrets_of_a_corpus_larger_than_the_sample(spark, docs_of, labelled, monkeypatch):
+    monkeypatch.setattr(op, "SAMPLE_DOCS", 100)          # about 3 of the 50 documents with secrets fall in the sample
+    plain, known, bare, common = labelled
+    many = [(10_000 + 200 * k + i, t) for k in range(9) for i, t in plain]
+    got = {r.doc_id: r for r in op.digests(op.scan(docs_of(many + known[:50] + bare + common))).collect()}
+    assert sum(got[i].n_markov == 1 for i, _ in bare) >= 36
+    assert sum(got[i].n_markov for i, _ in common) == 0
+
+
+def test_labelled_strings_are_those_of_the_base_spans(spark, docs_of):
+    rng = random.Random(4)
+    bits = ["password", "secret=token:abcdefghijklmnop", "api_key", ": ", "=", '"', " ", "AKIAABCDEFGHIJKLMN", "deadbeef",
+            "0123456789abcdef", "é", "x-y.z", "ABCDEFGHIJKL"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(200)]
+    df = docs_of(list(enumerate(texts)))
+    for r in df.select("text", op._labelled(F.col("text")).alias("got"), op.base_spans(F.col("text")).alias("base")).collect():
+        assert sorted(r.got) == sorted(ASSIGN.match(b.hit).group(2) if b.kind == 0 else b.hit for b in r.base)
+
+
 def test_scores_by_brute_force(spark, docs_of, labelled):
     ratios = op.log_ratios({("a", "b"): 3, ("b", "1"): 2}, {("a", "b"): 1})
     k = len(op.ALPHABET)

@@ -9,8 +9,9 @@ ordinary identifiers by ``MIN_GAIN`` a character pair or more.
 Both models are first-order chains over characters, smoothed by their character counts,
 trained from samples that the corpus itself labels: values of base spans
 (random) and words of the same kind of characters in documents without any base
-span (ordinary).  They come from a bounded sample of about ``SAMPLE_DOCS`` documents
-(a hash range), at most ``SAMPLE`` distinct strings each, in hash order.
+span (ordinary).  The random strings come from all documents, the ordinary ones from
+about ``SAMPLE_DOCS`` documents (a hash range); at most ``SAMPLE`` distinct strings of
+each train, in hash order.
 Log-ratios are rounded to millionths and added as integers, so a score does not
 depend on the order of addition.
 
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import free_name, hash_share
+from wayline.llm.common import free_name, hash_share, stored
 
 # Fixed patterns.  Letters of the first stand in either case; spelled out, since
 # case-insensitive matching differs between engines beyond ASCII.
@@ -85,9 +86,20 @@ def _candidates(text: Column, base: Column) -> Column:
     return F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
 
+def _labelled(text: Column) -> Column:
+    """Values of all base spans of a non-null text, as ``base_spans`` finds them."""
+    def every(pattern: str, group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    return F.concat(F.filter(every(ASSIGN, 2), lambda v: F.length(v) >= MIN_ASSIGN), every(ACCESS, 0), every(HEX, 0))
+
+
 def _sample(strings: DataFrame) -> DataFrame:
-    """SAMPLE distinct strings with the smallest hashes."""
-    return strings.distinct().orderBy(F.xxhash64("s"), "s").limit(SAMPLE)
+    """SAMPLE distinct strings with the smallest (unsigned) hashes."""
+    distinct = stored(strings.distinct(), "strings")
+    h = F.xxhash64("s")
+    thin = distinct.where(hash_share(h, min(1.0, 4.0 * SAMPLE / max(1, distinct.count()))))   # the sort meets few rows
+    return thin.orderBy(F.shiftrightunsigned(h, 1), "s").limit(SAMPLE)
 
 
 def _pair_counts(sample: DataFrame) -> dict[tuple[str, str], int]:
@@ -115,15 +127,16 @@ def log_ratios(random: dict, ordinary: dict) -> list[int]:
     return [round(1e6 * math.log(r[a, b] / o[a, b])) for a in ALPHABET for b in ALPHABET]
 
 
-def train(scanned: DataFrame) -> list[int] | None:
-    """Log-ratios from rows (text, base); None when the corpus labels too few random strings."""
-    value = F.when(F.col("b.kind") == 0, F.regexp_extract("b.hit", ASSIGN, 2)).otherwise(F.col("b.hit"))
-    random = _sample(scanned.where(F.size("base") > 0).select(F.explode("base").alias("b")).select(value.alias("s")))
-    counts = _pair_counts(random)
+def train(texts: DataFrame, sampled: DataFrame) -> list[int] | None:
+    """Log-ratios from all ``texts`` (text) and the ``sampled`` rows (text, base) of ordinary words.
+
+    None when the whole corpus labels too few random strings.
+    """
+    counts = _pair_counts(_sample(texts.select(F.explode(_labelled(F.col("text"))).alias("s"))))
     if sum(counts.values()) < MIN_SAMPLE * MIN_TOKEN:
         return None
     # Words of documents without any base span, cut to the alphabet's runs: no base span can touch them.
-    clean = scanned.where(F.size("base") == 0).select(F.explode(
+    clean = sampled.where(F.size("base") == 0).select(F.explode(
         F.regexp_extract_all("text", F.lit(f"{TOKEN_CLASS}{{6,}}"), F.lit(0))).alias("s"))
     ordinary = _sample(clean.where(~F.col("s").rlike("[0-9]")))
     return log_ratios(counts, _pair_counts(ordinary))
@@ -151,9 +164,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text, base, spans = free_name(docs, "_text"), free_name(docs, "_base"), free_name(docs, "spans")
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    slim = (docs.where(hash_share(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), share))
-            .select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    ratios = train(slim.withColumn("base", base_spans(F.col("text"))))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    slim = docs.where(hash_share(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), share)).select(whole)
+    ratios = train(docs.select(whole), slim.withColumn("base", base_spans(F.col("text"))))
     df = (docs.withColumn(text, F.coalesce(docs["text"].cast("string"), F.lit("")))
           .withColumn(base, base_spans(F.col(text))))
     if ratios is None:
