@@ -70,6 +70,30 @@ def test_edges(spark, docs_of):
     assert by[103].lang_pred in ("aa", "bb")
 
 
+def test_copies_do_not_thin_out_a_language(docs_of, monkeypatch):
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choice(TEXTS[k].split()) for _ in range(30))
+    few = [text("aa") for _ in range(20)]
+    rows = [(i, few[i % 20], "aa", "s", 1) for i in range(8000)] + [(9000 + i, text("bb"), "bb", "s", 1) for i in range(30)]
+    used, model = [], op.KneserNey
+    monkeypatch.setattr(op, "KneserNey", lambda counts: used.append(counts) or model(counts))
+    trained = op.train(docs_of(rows).select("text", "lang"), sample_docs=20)
+    assert trained[0].langs == ["aa", "bb"]
+    # All 20 different texts are drawn; two of them are held back for calibration.
+    total = sum(used[0]["aa"].values())
+    lengths = sorted(len(op.fold(t)) - 1 for t in few)
+    assert sum(lengths[:18]) <= total <= sum(lengths[-18:])
+
+
+def test_snippets_lie_anywhere_in_the_text(spark, docs_of):
+    texts = [" ".join(f"w{j}" for j in range(1000)) for _ in range(1)] + ["short text"]
+    texts += [f"own{i} " + texts[0] for i in range(30)]
+    got = [r.s for r in docs_of(list(enumerate(texts))).select(op.snippet(F.col("text"), 20).alias("s")).collect()]
+    assert got[1] == "short text" and all(g in t for g, t in zip(got, texts))
+    places = [t.index(g) / len(t) for g, t in zip(got[2:], texts[2:])]
+    assert min(places) < 0.3 and max(places) > 0.7
+
+
 def test_without_training_rows(docs_of, spark):
     docs = docs_of([(1, "abc", None, "s", 3)])
     assert op.train(docs.select("text", "lang")) is None

@@ -60,3 +60,12 @@ def test_training_without_ordinary_text(docs_of):
     model = op.train(docs_of([(1, None)]).limit(1))
     w = op._features(op._words("Licensed under the Apache License, Version 2.0"))
     assert model.probabilities(model.weights[w].sum(axis=0, keepdims=True)).argmax() == op.FAMILIES.index("Apache-2.0")
+
+
+def test_copies_do_not_thin_out_the_ordinary_text(docs_of, monkeypatch):
+    rng = random.Random(5)
+    words = vocabulary(rng)
+    few = [prose(rng, words, 20) for _ in range(20)]
+    monkeypatch.setattr(op, "Classifier", lambda samples, labels: labels)
+    labels = op.train(docs_of([(i, few[i % 20]) for i in range(8000)]), sample_docs=5)
+    assert (labels == 0).sum() == 5                     # one window for each of five different texts

@@ -29,7 +29,7 @@ from wayline.llm.kernel import mix
 
 ORDER = 4
 SAMPLE_DOCS = 1500             # documents of a language whose whole texts train its model (smallest hashes first)
-SNIPPET = 80                   # characters of a calibration snippet
+SNIPPETS = (20, 80, 320)       # characters of the calibration snippets
 CALIBRATE_EVERY = 10           # each so many-th document of the sample is held back for calibration
 MAX_LANGS = 500                # more learned languages raise an error
 REJECT_SIGMAS = 6.0            # cross-entropy above mean + this many deviations of the snippets: rejected
@@ -212,6 +212,13 @@ def calibrate(model: KneserNey, snippets: list[tuple[str, np.ndarray]]):
     return slope, offset, limits
 
 
+def snippet(text: Column, size: int) -> Column:
+    """4 * size characters of a text from a hashed place on, without the word that the place cuts (a whole text if shorter)."""
+    at = F.pmod(F.xxhash64(text, F.lit(size)), F.greatest(F.lit(1), F.length(text) - 4 * size + 1)).cast("int")
+    part = F.substring(text, at + 1, F.lit(4 * size))
+    return F.when(at > 0, F.regexp_replace(part, r"^\S{1,40}\s+", "")).otherwise(part)
+
+
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS):
     """(model, slope, offset, limits) from rows (text, lang), or None without any usable row.
 
@@ -226,7 +233,8 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS):
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     # Hash ranges thin the rows before the ranking: no language is ranked as a whole, no copy twice.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # The share follows the different texts: copies are counted once, by their hash.
+    counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n"))
     thin = (rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")      # <= MAX_LANGS rows
             .where(hash_share(F.col("h"), F.col("share"))).select("lang", "text", "h").distinct())
@@ -239,12 +247,12 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS):
     for r in counted.toLocalIterator():
         counts_by.setdefault(r.lang, {})[r.gram] = r.n
     # At most langs * sample_docs / CALIBRATE_EVERY short rows:
-    held = sample.where(back).select("lang", F.substring("text", 1, 4 * SNIPPET).alias("text")).collect()
+    held = sample.where(back).select("lang", *(snippet(F.col("text"), n).alias(f"s{n}") for n in SNIPPETS)).collect()
     if not counts_by:
         return None
     model = KneserNey(counts_by)
     snippets = [(r.lang, c) for r in held if r.lang in counts_by
-                for size in (SNIPPET // 4, SNIPPET) for c in [fold(r.text)[:size]] if len(c) > 2]
+                for size in SNIPPETS for c in [fold(r[f"s{size}"])[:size]] if len(c) > 2]
     return (model, *calibrate(model, snippets))
 
 

@@ -149,8 +149,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
     """Fit on template clauses and on a bounded sample of the texts of ``docs`` (whole texts, null ones left out)."""
     h = F.xxhash64("text")
-    share = min(1.0, 4.0 * sample_docs / max(1, docs.count()))          # thinned first: the sort meets few rows
-    texts = [r.text for r in docs.where(F.col("text").isNotNull() & hash_share(h, share)).select("text").distinct()
+    some = docs.where(F.col("text").isNotNull())
+    different = some.select(h.alias("h")).distinct().count()            # copies count once
+    share = min(1.0, 4.0 * sample_docs / max(1, different))             # thinned first: the sort meets few rows
+    texts = [r.text for r in some.where(hash_share(h, share)).select("text").distinct()
              .orderBy(h, "text").limit(sample_docs).collect()]
     known = np.unique(np.concatenate([t for clauses in clause_triples().values() for _, t in clauses]))
     plain = []
