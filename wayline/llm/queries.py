@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm import (
     op1_ann, op2_language, op3_quality, op4_minhash, op5_licences, op6_secrets, op7_sentencepiece, op8_chat,
-    op9_mixing, op10_line_dedup, op12_merkle)
+    op9_mixing, op10_line_dedup, op11_bottomk, op12_merkle, op13_collocations)
 from wayline.llm.common import sha_hex, table
 
 
@@ -72,15 +72,24 @@ def op10_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha_hex(kept).alias("kept_sha256"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_bottomk.digests(op11_bottomk.with_edits(table(spark, sf_dir, "documents")))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op12_merkle.document_rows(table(spark, sf_dir, "documents"))
     return op12_merkle.digests(op12_merkle.climb(op12_merkle.build(rows)))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_collocations.report(op13_collocations.collocations(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ann_search, op2_language_id, op3_quality_rules, op4_minhash_near_dedup, op5_licence_scan, op6_secret_scan,
-        op7_sentencepiece_codec, op8_chat_prefix_tree, op9_source_mixing, op10_line_dedup_bloom, op12_merkle_manifest)
+        op7_sentencepiece_codec, op8_chat_prefix_tree, op9_source_mixing, op10_line_dedup_bloom, op11_document_fingerprints,
+        op12_merkle_manifest, op13_phrase_collocations)
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +98,5 @@ ORACLES: dict[str, str] = {
     "op8_chat_prefix_tree": op8_chat.ORACLE_SQL,
     "op10_line_dedup_bloom": op10_line_dedup.ORACLE_SQL,
     "op12_merkle_manifest": op12_merkle.ORACLE_SQL,
+    "op13_phrase_collocations": op13_collocations.ORACLE_SQL,
 }
