@@ -139,11 +139,11 @@ def build(rows: DataFrame, stride: int = STRIDE) -> Manifest:
     itself, or the digest of a row that is to be checked.  An empty table has an
     empty manifest without a root.  Other columns are not read.
     """
+    rows = stored(rows.select("key", "group", F.unhex("leaf").alias("digest"), F.unhex("probe").alias("probe")), "merkle-rows")
     groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     trees = stored(ordered_position(groups, [], ["group"], out_col="rank")
                    .select("group", (F.col("rank") - 1).alias("tree"), "n"), "merkle-trees")
-    flat = rows.select("key", "group", F.unhex("leaf").alias("digest"), F.unhex("probe").alias("probe"))
-    placed = ordered_position(flat, ["group"], ["key", "digest", "probe"]).withColumnRenamed("group", "own")
+    placed = ordered_position(rows, ["group"], ["key", "digest", "probe"]).withColumnRenamed("group", "own")
     placed = placed.join(trees, F.col("own").eqNullSafe(F.col("group"))).select(
         "tree", (F.col("pos") - 1).alias("pos"), "digest", "n", "key", "probe")
     tables, roots = _levels(stored(placed, "merkle-leaves"), stride, ["key", "probe"], top=False)
