@@ -20,6 +20,8 @@ from wayline.operators.sequence import ordered_position
 
 K = 128
 WINDOW = 5
+#: Copies of a row that one task writes out.
+RUN = 1024
 
 
 def sketch(text: Column, k: int = K) -> Column:
@@ -103,20 +105,20 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
                        F.xxhash64(F.lit(7919), *parts).alias("k2"))
 
 
-def _links(keyed: DataFrame) -> DataFrame:
-    """Per different (key, text): copies, and the name of the one that reads it as its next with the characters it needs.
+def _links(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """Per different (key, text): key, copies, and the name of the one that reads it as its next with the characters it needs.
 
     The next of a document is the next in descending (key, name) order, the first for the last.  Only names and
-    lengths are ordered; positions come from range partitions.
+    lengths are ordered; positions come from range partitions.  Also returns the largest number of copies.
     """
     rows = keyed.select("doc", "k1", "k2", F.length("text").alias("n")).groupBy("doc", "k1", "k2").agg(
         F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     placed = stored(ordered_position(rows, [], ["doc", "k1", "k2"]), "bottomk-order")
-    last = placed.agg(F.max("pos")).first()[0] or 1
+    last, most = placed.agg(F.coalesce(F.max("pos"), F.lit(1)), F.coalesce(F.max("copies"), F.lit(0))).first()
     reader = placed.select(F.col("pos").alias("reader"), F.col("k1").alias("to1"), F.col("k2").alias("to2"),
                            F.floor(F.col("n") / 3).cast("int").alias("need"))
     return placed.join(reader.hint("merge"), F.col("pos") % last + 1 == F.col("reader")).select(
-        "k1", "k2", "copies", "to1", "to2", "need")
+        "k1", "k2", "doc", "copies", "to1", "to2", "need"), most
 
 
 def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
@@ -129,8 +131,9 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     no rows; other columns are not read.
     """
     keyed = _keyed(docs, key, text)
-    links = _links(keyed)
-    texts = keyed.groupBy("k1", "k2").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))
+    links, most = _links(keyed)
+    # Both readers of this table use the same columns, so its shuffle is planned once.
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     held = texts.join(links.hint("merge"), ["k1", "k2"])
     sent = held.select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.expr("left(text, need)").alias("part"),
                        sketch(F.col("text"), k).alias("next_sk"))
@@ -140,16 +143,19 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     met = met.withColumn("sk", sketch(F.col("text"), k)).withColumn("kept", F.left("text", n - third))
     own = F.struct(F.left("text", third).alias("part"), F.col("sk").alias("next_sk"), (F.col("copies") - 1).alias("times"))
     following = F.struct("part", "next_sk", F.lit(1).cast("long").alias("times"))
-    one = met.where("copies = 1").select("doc", "text", "sk", F.concat("kept", "part").alias("edited"), "next_sk")
-    many = met.where("copies > 1").select("doc", "text", "sk", "kept", F.explode(F.array(own, following)).alias("v"))
-    # Copies are written out in runs that are dealt over the tasks.
-    step = 1024
-    many = many.select("doc", "text", "sk", F.concat("kept", "v.part").alias("edited"), F.col("v.next_sk").alias("next_sk"),
-                       F.col("v.times").alias("times"), F.explode(F.expr(f"sequence(0L, (v.times - 1) div {step})")).alias("run"))
-    many = many.repartition("doc", "run").select(
-        "doc", "text", "sk", "edited", "next_sk",
-        F.explode(F.expr(f"sequence(1L, least({step}L, times - run * {step}))")).alias("copy")).drop("copy")
-    return one.unionByName(many.select(*one.columns))
+    versions = F.when(F.col("copies") > 1, F.array(own, following)).otherwise(F.array(following))
+
+    def written(rows: DataFrame, dealt: bool) -> DataFrame:
+        """A row per copy; ``dealt``: in runs that go to different tasks."""
+        out = rows.select("doc", "text", "sk", "kept", F.explode(versions).alias("v"))
+        out = out.select("doc", "text", "sk", F.concat("kept", "v.part").alias("edited"), "v.next_sk",
+                         F.explode(F.expr(f"sequence(v.times, 1L, -{RUN}L)")).alias("left"))
+        out = out.repartition("doc", "left") if dealt else out
+        return out.select("doc", "text", "sk", "edited", "next_sk", F.explode(
+            F.expr(f"sequence(1L, least({RUN}L, left))")).alias("copy")).drop("copy")
+
+    out = written(met.where(F.col("copies") <= RUN), False)
+    return out.unionByName(written(met.where(F.col("copies") > RUN), True)) if most > RUN else out
 
 
 def digests(edits: DataFrame, k: int = K) -> DataFrame:
