@@ -9,12 +9,11 @@ totals of the two sides of a cut are entries of shorter prefixes, and the
 largest entries of a phrase and of its left neighbours tell whether a longer
 phrase subsumes it.
 
-* A phrase can be frequent only if its parts are.  Prefixes of one word are
-  counted where both words may be frequent, longer ones where every pair of
-  neighbours may be.  "May be" is a Bloom filter of the frequent words or pairs:
-  its errors only send more stripes, thresholds are applied to exact merged
-  counts.  It holds 16 bits a key up to 32 MB; a corpus with more frequent keys
-  than that has few rare ones left to hold back.
+* A phrase can be frequent only if its parts are.  Before stripes are sent, 48-bit hashes of the phrases are counted
+  (6 bytes each, in segments whose number follows the corpus) and those that may reach the threshold go into a
+  Bloom filter; pairs are hashed where both words are frequent, longer phrases where every pair may be.  Hash
+  collisions and filter errors only send more stripes, thresholds are applied to exact merged counts.  A filter
+  holds 16 bits a key up to 32 MB; a corpus with more frequent phrases has few rare ones left to hold back.
 * Stripes are cut into ``SHARDS`` by the next word, so a very common prefix is
   merged in several tasks, and merging is Spark's hash aggregation, which spills.
 * A phrase is inside a longer one of the same count only if it is inside one
@@ -44,11 +43,16 @@ SHARDS = 8
 BLOCK = 8 * 2**20
 KEY_BITS, MAX_BITS = 16, 2**28
 
-STRIPE = "lang string, prefix string, shard int, words array<string>, counts array<bigint>"
+#: Hashed phrases, by words of the corpus, that a segment should hold.
+SEGMENT = 2**21
+
+STRIPE = "lang string, prefix string, shard int, words string, counts array<int>"
 
 #: One pass over bytes: A-Z lower-cased, white space between words a blank, ends of pieces a full stop.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
 _PIECE, _TEXT = b".", b","
+#: Keys are the upper 48 bits of a phrase's hash.
+_CUT = np.uint64(16)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,7 +68,7 @@ def _hash(strings: list[bytes]) -> np.ndarray:
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places of a key in a filter of ``bits`` (a power of two)."""
     mask = np.uint64(bits - 1)
-    return h & mask, (h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(7) & mask
+    return h & mask, h * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(29) & mask
 
 
 def _holds(words: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -129,17 +133,30 @@ class _Block:
         lang_hash = _hash([x.encode() for x in names])
         self.hash = _mix(lang_hash[self.key_lang], word_hash[self.key_word])
 
-    def extend(self, rank: np.ndarray, length: int, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rank of each place's phrase or -1, place, code, count of each phrase) of one word more than ``rank``'s."""
-        last = self.key[length - 1:]
-        here = np.zeros(len(rank), bool)
-        here[:len(last)] = ok[:len(last)] & (rank[:len(last)] >= 0) & (last >= 0)
-        at = np.flatnonzero(here)
-        codes, first, inverse, counts = np.unique(
-            rank[at] * self.n_keys + self.key[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
-        out = np.full(len(rank), -1, np.int64)
-        out[at] = inverse
-        return out, at[first], codes, counts
+    def phrases(self, longest: int, may) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, place, code, count, hash) of the phrases of 2 words and more that ``may(length, hashes)`` keeps.
+
+        A phrase is looked at where its first and its last words but one were kept; its code is (number of
+        the phrase without the last word, key of that word).
+        """
+        if not self.n_keys:
+            return
+        ok = may(1, self.hash)
+        rank, hashes = np.where((self.key >= 0) & ok[self.key], self.key, -1), self.hash
+        for length in range(2, longest + 1):
+            here = np.zeros(len(rank), bool)
+            here[:-1] = (rank[:-1] >= 0) & (rank[1:] >= 0)
+            at = np.flatnonzero(here)
+            codes, first, inverse, counts = np.unique(
+                rank[at] * self.n_keys + self.key[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
+            if not len(codes):
+                return
+            before, last = np.divmod(codes, self.n_keys)
+            hashes = _mix(hashes[before], self.hash[last])
+            ok = may(length, hashes)
+            rank = np.full(len(rank), -1, np.int64)
+            rank[at] = np.where(ok, np.arange(len(codes)), -1)[inverse]
+            yield length, at[first][ok], codes[ok], counts[ok], hashes[ok]
 
     def stripes(self, length: int, place: np.ndarray, code: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
         """Stripes of the phrases of ``length`` words at ``place``, from their codes (prefix, next)."""
@@ -157,8 +174,8 @@ class _Block:
         text = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(start), pa.string())
         return pa.RecordBatch.from_arrays(
             [self.names.take(pa.array(self.key_lang[self.key[head]])), text, pa.array(shard[start]),
-             pa.ListArray.from_arrays(offsets, self.text.take(pa.array(word))),
-             pa.ListArray.from_arrays(offsets, pa.array(count[order].astype(np.int64)))],
+             pc.binary_join(pa.ListArray.from_arrays(offsets, self.text.take(pa.array(word))), " "),
+             pa.ListArray.from_arrays(offsets, pa.array(count[order].astype(np.int32)))],
             ["lang", "prefix", "shard", "words", "counts"])
 
 
@@ -173,71 +190,90 @@ def _words(batches):
             yield b.stripes(1, first, np.arange(b.n_keys), np.bincount(b.key[place]))
 
 
-def _pairs(filters):
-    """Stripes of one-word prefixes, where both words may be frequent."""
+def _keep(filters: dict):
+    """``may`` of ``_Block.phrases``: phrases of a length without a filter are kept."""
+    return lambda length, h: _holds(filters[length].value, h >> _CUT) if length in filters else np.ones(len(h), bool)
+
+
+def _longer(filters: dict, longest: int):
+    """Stripes of prefixes of one word and more, of the phrases that may be frequent."""
     def run(batches):
         for block in _texts(batches):
             b = _Block(*block)
-            if not b.n_keys:
-                continue
-            ok = _holds(filters.value, b.hash)[b.key] & (b.key >= 0)
-            _, place, codes, counts = b.extend(b.key, 2, ok & np.r_[ok[1:], False])
-            if len(codes):
-                yield b.stripes(2, place, codes, counts)
+            for length, place, codes, counts, _ in b.phrases(longest, _keep(filters)):
+                if len(codes):
+                    yield b.stripes(length, place, codes, counts)
     return run
 
 
-def _longer(filters, longest: int):
-    """Stripes of prefixes of 2 words and more, where every pair of neighbours may be frequent."""
+def _hashed(filters: dict, shortest: int, longest: int, segment_bits: int, least: int):
+    """(segment, keys: 5 bytes each, counts) of the phrases of these lengths; counts stop at ``least``."""
+    small = np.uint8 if least < 256 else np.uint32
+
     def run(batches):
         for block in _texts(batches):
-            b = _Block(*block)
-            if not b.n_keys:
-                continue
-            rank, _, codes, _ = b.extend(b.key, 2, np.ones(len(b.key), bool))
-            one, two = np.divmod(codes, max(b.n_keys, 1))
-            may = _holds(filters.value, _mix(b.hash[one], b.hash[two]))
-            pair = np.zeros(len(rank), bool)
-            pair[rank >= 0] = may[rank[rank >= 0]]
-            ok = pair
-            for length in range(3, longest + 1):
-                ok = ok & np.r_[pair[length - 2:], np.zeros(min(length - 2, len(pair)), bool)]
-                rank, place, codes, counts = b.extend(rank, length, ok)
-                if not len(codes):
-                    break
-                yield b.stripes(length, place, codes, counts)
+            for length, _, _, counts, h in _Block(*block).phrases(longest, _keep(filters)):
+                if length < shortest or not len(h):
+                    continue
+                key = h >> _CUT
+                order = np.argsort(key)
+                key, counts = key[order], np.minimum(counts[order], least).astype(small)
+                segment = (key >> np.uint64(48 - segment_bits)).astype(np.int64)
+                start = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+                ends = np.r_[start[1:], len(key)]
+                low = (key & np.uint64(2**40 - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(segment[start]), pa.array([low[i:j].tobytes() for i, j in zip(start, ends)], pa.binary()),
+                     pa.array([counts[i:j].tobytes() for i, j in zip(start, ends)], pa.binary())], ["segment", "keys", "counts"])
+    return run
+
+
+def _frequent_keys(least: int, segment_bits: int):
+    """Keys of a segment (at least 2^8 of them, so 40 bits and its number make a key) whose counts reach ``least``."""
+    small = np.uint8 if least < 256 else np.uint32
+
+    def run(group: pa.Table) -> pa.Table:
+        low = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :5] = low
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), small)
+        keys, number = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+        keys = keys[np.bincount(number, counts) >= least].astype(np.int64)
+        top = group.column("segment")[0].as_py() << 48 - segment_bits
+        return pa.table({"key": pa.array((keys & (1 << 48 - segment_bits) - 1) | top)})
     return run
 
 
 def merge_stripes(stripes: DataFrame) -> DataFrame:
     """lang, prefix, word, f: the entries of the stripes, merged element by element where the rows of a prefix meet."""
     entries = stripes.repartition("lang", "prefix", "shard").select(
-        "lang", "prefix", "shard", F.explode(F.arrays_zip("words", "counts")).alias("e"))
+        "lang", "prefix", "shard", F.explode(F.arrays_zip(F.split("words", " ").alias("words"), "counts")).alias("e"))
     return (entries.groupBy("lang", "prefix", "shard", F.col("e.words").alias("word"))
             .agg(F.sum("e.counts").alias("f")).drop("shard"))
 
 
+def _word_keys(batches):
+    for b in batches:
+        h = _mix(_hash([x.encode() for x in b.column(0).to_pylist()]), _hash([x.encode() for x in b.column(1).to_pylist()]))
+        yield pa.RecordBatch.from_arrays([pa.array((h >> _CUT).astype(np.int64))], ["key"])
+
+
 def _key_places(bits: int):
     def run(batches):
         for b in batches:
-            langs, phrases = _hash([x.encode() for x in b.column(0).to_pylist()]), b.column(1).to_pylist()
-            parts = [p.encode().split(b" ") for p in phrases]
-            h = _mix(langs, _hash([p[0] for p in parts]))
-            if parts and len(parts[0]) == 2:
-                h = _mix(h, _mix(langs, _hash([p[1] for p in parts])))
-            places = np.concatenate(_places(h, bits))
+            places = np.concatenate(_places(b.column(0).to_numpy().astype(np.uint64), bits))
             yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)),
                                               pa.array((places & np.uint64(63)).astype(np.int32))], ["word", "bit"])
     return run
 
 
-def _filter_of(spark: SparkSession, frequent: DataFrame):
-    """Broadcast Bloom filter of the (language, phrase) rows: 64-bit words, at most 32 MB."""
+def _filter_of(spark: SparkSession, keys: DataFrame):
+    """Broadcast Bloom filter of the keys: 64-bit words, at most 32 MB."""
     bits = 2**12
-    n = frequent.count()
+    n = keys.count()
     while bits < min(n * KEY_BITS, MAX_BITS):
         bits *= 2
-    rows = (arrow_map(frequent.select("lang", "phrase"), _key_places(bits), "word bigint, bit int")
+    rows = (arrow_map(keys, _key_places(bits), "word bigint, bit int")
             .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v")).toPandas())
     words = np.zeros(bits // 64, np.uint64)
     words[rows["word"].to_numpy()] = rows["v"].to_numpy().astype(np.int64).view(np.uint64)
@@ -257,17 +293,26 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
         return entries.where(F.col("f") >= min_count).select("lang", "prefix", "word", phrase.alias("phrase"), "f")
 
     words = stored(merge_stripes(arrow_map(given, _words, STRIPE)), "stripes-words")
-    levels = [frequent(words)]
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    counts = frequent(words)
     if max_words > 1:
-        common = _filter_of(spark, levels[0])
-        levels.append(stored(frequent(merge_stripes(arrow_map(given, _pairs(common), STRIPE))), "stripes-pairs"))
-    if max_words > 2:
-        common = _filter_of(spark, levels[1])
-        levels.append(stored(frequent(merge_stripes(arrow_map(given, _longer(common, max_words), STRIPE))), "stripes-longer"))
-    counts = levels[0]
-    for level in levels[1:]:
-        counts = counts.unionByName(level)
-    return words.groupBy("lang").agg(F.sum("f").alias("n")), counts
+        size = totals.agg(F.sum("n")).first()[0] or 0
+        segment_bits = min(40, max(8, (size // SEGMENT).bit_length()))
+
+        def candidates(filters: dict, shortest: int, longest: int):
+            """Filter of the phrases of these lengths that may be frequent."""
+            hashed = arrow_map(given, _hashed(filters, shortest, longest, segment_bits, min_count),
+                               "segment bigint, keys binary, counts binary")
+            keys = hashed.groupBy("segment").applyInArrow(_frequent_keys(min_count, segment_bits), "key bigint")
+            return _filter_of(spark, stored(keys, "phrase-keys"))
+
+        filters = {1: _filter_of(spark, arrow_map(counts.select("lang", "word"), _word_keys, "key bigint"))}
+        filters[2] = candidates(filters, 2, 2)
+        if max_words > 2:
+            filters |= dict.fromkeys(range(3, max_words + 1), candidates(filters, 3, max_words))
+        longer = merge_stripes(arrow_map(given, _longer(filters, max_words), STRIPE))
+        counts = counts.unionByName(stored(frequent(longer), "stripes-longer"))
+    return totals, counts
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
