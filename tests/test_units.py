@@ -197,7 +197,7 @@ def test_assignment_chain_breaks(spark):
 def test_position_within_matches_row_number(spark):
     data = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("k"),
                                        (F.col("id") % 3).alias("part"))
-    got = C.position_within(data, "part", "k", block_size=64)
+    got = C.position_within(data, "part", "k", n_ranges=16)
     w = Window.partitionBy("part").orderBy("k")
     want = data.withColumn("pos", F.row_number().over(w))
     assert got.select("part", "k", "pos").exceptAll(want.select("part", "k", "pos")).count() == 0
@@ -534,6 +534,6 @@ def test_positions_of_sparse_and_negative_keys(spark):
     t = spark.createDataFrame([(k % 3 if k % 5 else None, k) for k in keys], "g INT, k BIGINT")
     w = Window.partitionBy("g").orderBy("k")
     want = t.select("g", "k", F.row_number().over(w).cast("bigint").alias("pos"))
-    for size in (1 << 16, 4):
-        got = position_within(t, "g", "k", size)
+    for n in (None, 40):
+        got = position_within(t, "g", "k", n_ranges=n)
         assert got.exceptAll(want).count() == 0 and got.count() == len(keys)

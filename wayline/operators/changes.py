@@ -27,7 +27,7 @@ from wayline.functions.codes import BOOKING_CODE_RE, code_suffix, code_year, for
 from wayline.functions.dates import date_lit, ts_lit
 from wayline.functions.jsonpkg import SCHEMAS
 from wayline.functions.predicates import py_strip
-from wayline.operators.sequence import position_within
+from wayline.operators.sequence import position_within, row_hash
 
 AUDIT_COLUMNS = ["user_id", "action", "entity_type", "entity_id", "details", "created_at"]
 
@@ -60,12 +60,21 @@ def first_per_key(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     Requests that tie on ``seq`` are ordered by a hash of all their columns;
     equal requests are counted together, and only one of them is the first.
     """
-    place = F.struct(F.col(seq).alias("s"), F.xxhash64(*changes.columns).alias("h"))
+    place = in_turn(changes, seq)
     counted = changes.groupBy(*changes.columns).agg(F.count(F.lit(1)).cast("int").alias("_n"))
     firsts = counted.groupBy(F.col(key).alias("_fk")).agg(F.min(place).alias("_at"))
-    j = counted.join(firsts, F.col(key) == F.col("_fk"), "left")
+    j = counted.join(firsts, F.col(key).eqNullSafe(F.col("_fk")), "left")
     j = j.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return j.select(*changes.columns, ((F.col("_i") == 1) & (place == F.col("_at"))).alias("_first"))
+    return j.select(*changes.columns, ((F.col("_i") == 1) & place.eqNullSafe(F.col("_at"))).alias("_first"))
+
+
+def in_turn(changes: DataFrame, seq: str = "seq") -> Column:
+    """Sort key of a request: its ``seq`` (NULL first), then a hash of the row."""
+    return F.struct(F.col(seq).alias("s"), row_hash(changes).alias("h"))
+
+
+def _applied(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("request_key"), F.col("seq").cast("bigint").alias("seq"))
 
 
 def _rejects(df: DataFrame, key: str, reason: Column) -> DataFrame:
@@ -107,7 +116,8 @@ def apply_create_leads(leads: DataFrame, users: DataFrame, requests: DataFrame,
         F.lit(0).alias("is_deleted"), F.col("actor_id"), F.col("request_id"))
     aud = audit(new, F.col("actor_id"), "CREATE_LEAD", "lead", F.col("id"),
                 F.concat(F.lit("Created lead "), F.col("lead_id")), as_of)
-    return {"leads_new": new.drop("actor_id"), "rejects": rejects, "audit": aud}
+    applied = new.select(F.col("request_id").cast("bigint").alias("request_key"), F.col("request_id").cast("bigint").alias("seq"))
+    return {"leads_new": new.drop("actor_id"), "rejects": rejects, "applied": applied, "audit": aud}
 
 
 # -- M2 partial update ---------------------------------------------------------
@@ -125,8 +135,8 @@ def apply_lead_updates(leads: DataFrame, changes: DataFrame, as_of: str) -> dict
     for f in fields:
         has = F.array_contains(F.col("fields"), f)
         aggs.append(F.max(has.cast("int")).alias(f"_has_{f}"))
-        aggs.append(F.max_by(F.col(f), F.when(has, F.col("seq"))).alias(f"_new_{f}"))
-    per_lead = changes.groupBy(F.col("lead_pk").alias("_lp")).agg(*aggs)
+        aggs.append(F.max_by(F.col(f), F.when(has, F.col("_turn"))).alias(f"_new_{f}"))
+    per_lead = changes.withColumn("_turn", in_turn(changes)).groupBy(F.col("lead_pk").alias("_lp")).agg(*aggs)
     j = leads.join(per_lead, leads["id"] == per_lead["_lp"], "left")
     out = j.select(*[
         (F.when(F.col(f"_has_{c}") == 1, F.col(f"_new_{c}").cast(leads.schema[c].dataType))
@@ -135,7 +145,7 @@ def apply_lead_updates(leads: DataFrame, changes: DataFrame, as_of: str) -> dict
     aud = audit(changes, F.col("actor_id"), "UPDATE_LEAD", "lead", F.col("lead_pk"),
                 F.concat(F.lit("Updated lead "), F.col("lead_pk").cast("string")), as_of)
     empty = _rejects(changes.limit(0), "lead_pk", F.lit(None).cast("string"))
-    return {"leads": out, "rejects": empty, "audit": aud}
+    return {"leads": out, "rejects": empty, "applied": _applied(changes, "lead_pk"), "audit": aud}
 
 
 # -- M3 / M4 soft delete and restore ----------------------------------------------
@@ -150,10 +160,15 @@ def by_role(changes: DataFrame, roles: tuple[str, ...]) -> tuple[DataFrame, Data
     """(allowed, forbidden) requests; a batch without a ``role`` column was checked before."""
     if "role" not in changes.columns:
         return changes, changes.limit(0)
-    ok = F.coalesce(F.col("role").isin(*roles), F.lit(False))
+    ok = has_role(changes, roles)
     return changes.where(ok), changes.where(~ok)
 
 
+def has_role(changes: DataFrame, roles: tuple[str, ...]) -> Column:
+    """Whether a request's role is one of ``roles`` (a missing role is none of them; no ``role`` column: checked before)."""
+    return F.coalesce(F.col("role").isin(*roles), F.lit(False)) if "role" in changes.columns else F.lit(True)
+
+
 def _flag_change(leads: DataFrame, changes: DataFrame, want_deleted: int,
                  new_values: dict, reason: str, forbidden: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new leads, accepted requests, rejects): the first allowed request of a lead in the wanted state acts.
@@ -182,7 +197,7 @@ def apply_soft_delete(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[
         "Not found", MSG_DELETE_FORBIDDEN)
     aud = audit(acc, F.col("actor_id"), "SOFT_DELETE_LEAD", "lead", F.col("lead_pk"),
                 F.concat(F.lit("Soft-deleted lead "), F.col("_code")), as_of)
-    return {"leads": out, "rejects": rej, "audit": aud}
+    return {"leads": out, "rejects": rej, "applied": _applied(acc, "lead_pk"), "audit": aud}
 
 
 def apply_restore(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str, DataFrame]:
@@ -192,7 +207,7 @@ def apply_restore(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str,
         "Not found or not deleted", MSG_FORBIDDEN)
     aud = audit(acc, F.col("actor_id"), "RESTORE_LEAD", "lead", F.col("lead_pk"),
                 F.concat(F.lit("Restored lead "), F.col("_code")), as_of)
-    return {"leads": out, "rejects": rej, "audit": aud}
+    return {"leads": out, "rejects": rej, "applied": _applied(acc, "lead_pk"), "audit": aud}
 
 
 # -- M5 hard delete with cascade -----------------------------------------------------
@@ -204,16 +219,18 @@ def apply_hard_delete(tables: dict[str, DataFrame], changes: DataFrame,
                       as_of: str) -> dict[str, DataFrame]:
     """M5: permanently delete trashed leads (admin only) and all their children.
 
-    Children keyed by lead id are anti-joined with the deleted ids; payments
-    go through the deleted leads' bookings.
+    The first allowed request of a trashed lead deletes it; a later one finds
+    nothing in the trash.  Children keyed by lead id are anti-joined with the
+    deleted ids; payments go through the deleted leads' bookings.
     """
     leads = tables["leads"]
     trash = leads.where(F.col("is_deleted") == 1).select(F.col("id").alias("_lid"),
                                                          F.col("lead_id").alias("_code"))
-    c = changes.join(trash, changes["lead_pk"] == trash["_lid"], "left")
-    ok = (F.col("role") == "admin") & F.col("_lid").isNotNull()
-    acc = first_per_key(c.where(ok), "lead_pk").where(F.col("_first"))
-    rej = c.where(~ok | F.col("_lid").isNull())
+    allowed, barred = by_role(changes, ("admin",))
+    marked = first_per_key(allowed, "lead_pk")
+    c = marked.join(trash, marked["lead_pk"] == trash["_lid"], "left")
+    ok = F.col("_first") & F.col("_lid").isNotNull()
+    acc = c.where(ok)
     gone = acc.select(F.col("lead_pk").alias("_gone")).distinct()
     out: dict[str, DataFrame] = {}
     for name in LEAD_CHILDREN:
@@ -227,8 +244,9 @@ def apply_hard_delete(tables: dict[str, DataFrame], changes: DataFrame,
     out["payments"] = pay.join(gone_bookings, pay["booking_id"] == gone_bookings["_gb"], "left_anti")
     out["bookings"] = bookings.join(gone, bookings["lead_id"] == gone["_gone"], "left_anti")
     out["leads"] = leads.join(gone, leads["id"] == gone["_gone"], "left_anti")
-    reason = F.when(F.col("role") != "admin", "Forbidden").otherwise("Not found in trash")
-    out["rejects"] = _rejects(rej, "lead_pk", reason)
+    out["rejects"] = _rejects(c.where(~ok), "lead_pk", F.lit("Not found in trash")).union(
+        _rejects(barred, "lead_pk", F.lit(MSG_FORBIDDEN)))
+    out["applied"] = _applied(acc, "lead_pk")
     out["audit"] = audit(acc, F.col("actor_id"), "PERMANENT_DELETE_LEAD", "lead", F.col("lead_pk"),
                          F.concat(F.lit("Permanently deleted lead "), F.col("_code")), as_of)
     out["_gone"] = gone
@@ -269,12 +287,12 @@ def apply_reassign(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str
     cur = leads.select(F.col("id").alias("_lid"), F.col("assigned_to").alias("_old"))
     c = changes.join(cur, changes["lead_pk"] == cur["_lid"], "left")
     new = F.col("new_assignee")
-    reason = (F.when(~F.col("role").isin("admin", "manager"), "Forbidden")
+    reason = (F.when(~has_role(changes, MANAGERS), MSG_FORBIDDEN)
               .when(new.isNull() | (new == 0), "assigned_to is required")
               .when(F.col("_lid").isNull(), "Lead not found"))
     c = c.withColumn("_reason", reason)
     acc = c.where(F.col("_reason").isNull())
-    # Position of each accepted request within its lead (bounded blocks, no
+    # Position of each accepted request within its lead (range partitions, no
     # per-lead window), then the predecessor is the row at position - 1.
     acc = position_within(acc, "lead_pk", "seq", out_col="_pos")
     prev = acc.select(F.col("lead_pk").alias("_pl"), (F.col("_pos") + 1).alias("_pp"),
@@ -282,7 +300,7 @@ def apply_reassign(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str
     a = acc.join(prev, (acc["lead_pk"] == prev["_pl"]) & (acc["_pos"] == prev["_pp"]), "left")
     from_ = F.when(F.col("_pos") == 1, F.col("_old")).otherwise(F.col("_pnew"))
     per_lead = (acc.groupBy(F.col("lead_pk").alias("_pl"))
-                .agg(F.max_by("new_assignee", "seq").alias("_last")))
+                .agg(F.max_by("new_assignee", "_pos").alias("_last")))
     hist = a.select(F.col("lead_pk").alias("lead_id"), from_.cast("bigint").alias("assigned_from"),
                     F.col("new_assignee").cast("bigint").alias("assigned_to"),
                     F.col("actor_id").cast("bigint").alias("assigned_by"),
@@ -299,7 +317,7 @@ def apply_reassign(leads: DataFrame, changes: DataFrame, as_of: str) -> dict[str
                 as_of)
     return {"leads": out, "lead_assignments": hist.drop("seq"),
             "rejects": _rejects(c.where(F.col("_reason").isNotNull()), "lead_pk", F.col("_reason")),
-            "audit": aud}
+            "applied": _applied(acc, "lead_pk"), "audit": aud}
 
 
 # -- M7 conversation fan-out ----------------------------------------------------------
@@ -343,7 +361,8 @@ def apply_conversations(leads: DataFrame, changes: DataFrame, as_of: str,
     aud = audit(acc, F.col("actor_id"), "ADD_CONVERSATION", "lead", F.col("lead_pk"),
                 F.concat(F.lit("Added conversation to lead "), F.col("lead_pk").cast("string")), as_of)
     return {"conversations": conv, "followups": fu, "leads": new_leads, "lead_status": status,
-            "rejects": _rejects(rej, "lead_pk", F.lit("Lead not found")), "audit": aud}
+            "rejects": _rejects(rej, "lead_pk", F.lit("Lead not found")),
+            "applied": _applied(acc, "lead_pk"), "audit": aud}
 
 
 # -- M8 follow-up completion -----------------------------------------------------------
@@ -363,9 +382,6 @@ def apply_complete_followups(followups: DataFrame, changes: DataFrame, as_of: st
 
 # -- M9 packages -------------------------------------------------------------------------
 
-PACKAGE_DEFAULTS = {"tour_name": "''", "notes": "''"}
-
-
 def apply_packages(packages: DataFrame, changes: DataFrame, as_of: str) -> dict[str, DataFrame]:
     """M9: create or replace packages; JSON members are encoded with ``to_json``.
 
@@ -373,7 +389,9 @@ def apply_packages(packages: DataFrame, changes: DataFrame, as_of: str) -> dict[
     ``lead_pk``, ``actor_id`` and typed members (``itinerary`` ... as arrays /
     structs).  An update overwrites every field; a missing member becomes its
     default (empty list, empty object, 0, '').  New ids continue after the
-    current maximum, in request order.
+    current maximum, in request order.  Of several updates of a package the last
+    one stays (one row, whatever ties); updates of unknown packages and requests
+    with another ``op`` are rejected.
     """
     def enc(name: str) -> Column:
         if name not in changes.columns:
@@ -398,10 +416,16 @@ def apply_packages(packages: DataFrame, changes: DataFrame, as_of: str) -> dict[
     new_rows = creates.select((F.coalesce(max_id, F.lit(0)) + F.col("_pos")).alias("id"),
                               F.col("lead_pk").alias("lead_id"), F.col("actor_id").alias("user_id"),
                               *body)
-    upd = changes.where(F.col("op") == "update")
-    last = upd.groupBy(F.col("package_id").alias("_pid")).agg(F.max("seq").alias("_s"))
-    upd = upd.join(last, (upd["package_id"] == last["_pid"]) & (upd["seq"] == last["_s"]), "inner")
-    upd_rows = upd.select(F.col("package_id").alias("_uid"), *body)
+    known = packages.select(F.col("id").alias("_known"))
+    upd = changes.where(F.col("op") == "update").join(known, F.col("package_id") == F.col("_known"), "left")
+    found = upd.where(F.col("_known").isNotNull()).drop("_known")
+    last = found.groupBy(F.col("package_id").alias("_uid")).agg(
+        F.max_by(F.struct(*body), in_turn(found)).alias("_b"))
+    upd_rows = last.select("_uid", "_b.*")
+    other = changes.where(~F.coalesce(F.col("op").isin("create", "update"), F.lit(False)))
+    rejects = _rejects(upd.where(F.col("_known").isNull()), "package_id", F.lit("Not found")).union(
+        _rejects(other, "package_id", F.lit("Unknown operation")))
+    applied = _applied(creates, "package_id").union(_applied(found, "package_id"))
     keep_cols = [c for c in ("id", "lead_id", "user_id") if c in packages.columns]
     cur = packages.select(*keep_cols)
     replaced = cur.join(upd_rows, cur["id"] == upd_rows["_uid"], "inner").drop("_uid")
@@ -413,7 +437,7 @@ def apply_packages(packages: DataFrame, changes: DataFrame, as_of: str) -> dict[
     cast_body = lambda df: df.select(*keep_cols, *[F.col(n).cast(t) for n, t in
                                                    zip(body_names, ["string"] * 5 + ["decimal(10,2)"] * 3 + ["string"])])
     out = reduce(DataFrame.unionByName, [cast_body(untouched), cast_body(replaced), cast_body(new_rows)])
-    return {"packages": out}
+    return {"packages": out, "rejects": rejects, "applied": applied}
 
 
 # -- M10 bookings ---------------------------------------------------------------------
@@ -436,13 +460,15 @@ def apply_bookings(tables: dict[str, DataFrame], changes: DataFrame, as_of: str)
          .join(live, F.col("lead_pk") == F.col("_live"), "left")
          .join(existing, F.col("lead_pk") == F.col("_bl"), "left"))
     found = F.col("_live").isNotNull()
-    acc = c.where(found & F.col("_bl").isNull() & F.col("_first"))
+    # Each request's fate is written once, with its position among those of the same fate.
+    c = c.withColumn("_ok", found & F.col("_bl").isNull() & F.col("_first"))
+    c = position_within(c, "_ok", "seq", out_col="_pos")
+    acc = c.where("_ok")
     # Current maxima as scalar sub-queries (one value each, no join).
     max_id = bookings.select(F.max("id")).scalar()
     max_seq = bookings.where(F.col("booking_id").rlike(BOOKING_CODE_RE) &
                              (code_year(F.col("booking_id")) == year)).select(
         F.max(code_suffix(F.col("booking_id")))).scalar()
-    acc = position_within(acc.withColumn("_y", F.lit(year)), "_y", "seq", out_col="_pos")
     seq_no = F.coalesce(max_seq, F.lit(0)) + F.col("_pos")
     dec = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("decimal(10,2)")
     pay_date = F.coalesce(F.try_to_date(F.col("payment_date"), "yyyy-M-d"), date_lit(as_of[:10]))
@@ -465,7 +491,7 @@ def apply_bookings(tables: dict[str, DataFrame], changes: DataFrame, as_of: str)
                             if x == "status" else F.col(x) for x in leads.columns])
     # A repeated request for a lead booked in this same batch names that booking.
     batch_codes = new_b.select(F.col("lead_id").alias("_nl"), F.col("booking_id").alias("_new_code"))
-    rej = c.where(~(found & F.col("_bl").isNull() & F.col("_first"))).join(
+    rej = c.where("NOT _ok").join(
         batch_codes, F.col("lead_pk") == F.col("_nl"), "left")
     reason = (F.when(~found, F.lit("Lead not found"))
               .otherwise(F.concat(F.lit("Booking already exists for this lead: "),
@@ -474,7 +500,7 @@ def apply_bookings(tables: dict[str, DataFrame], changes: DataFrame, as_of: str)
                 F.concat(F.lit("Created booking "), F.col("booking_id"), F.lit(" for lead "),
                          F.col("lead_id").cast("string")), as_of)
     return {"bookings_new": new_b, "payments_new": pays, "leads": new_leads,
-            "rejects": _rejects(rej, "lead_pk", reason), "audit": aud}
+            "rejects": _rejects(rej, "lead_pk", reason), "applied": _applied(acc, "lead_pk"), "audit": aud}
 
 
 # -- M11 payments ---------------------------------------------------------------------
@@ -543,7 +569,12 @@ def apply_whatsapp(changes: DataFrame, as_of: str) -> dict[str, DataFrame]:
 
 def apply_notes(notes: DataFrame, adds: DataFrame, deletes: DataFrame) -> dict[str, DataFrame]:
     """Add notes (stripped, non-empty; colour default yellow) and delete
-    notes; staff may delete only their own notes, other roles any."""
+    notes; staff may delete only their own notes, admins and managers any.
+
+    Deletes see the notes that are stored and those of this batch.  The first
+    allowed request deletes a note; a later one finds none.  A request without a
+    role is a staff request.
+    """
     text = py_strip(F.coalesce(F.col("note"), F.lit("")))
     a = adds.withColumn("_t", text)
     new = a.where(F.col("_t") != "").select(
@@ -552,11 +583,17 @@ def apply_notes(notes: DataFrame, adds: DataFrame, deletes: DataFrame) -> dict[s
     cur = notes.unionByName(new, allowMissingColumns=True)
     owner = cur.select(F.col("id").alias("_nid"), F.col("user_id").alias("_owner"))
     d = deletes.join(owner, deletes["note_id"] == owner["_nid"], "left")
-    allowed = F.col("_nid").isNotNull() & ((F.col("role") != "staff") | (F.col("_owner") == F.col("actor_id")))
-    gone = d.where(allowed).select(F.col("note_id").alias("_g")).distinct()
+    own = F.coalesce(F.col("_owner") == F.col("actor_id"), F.lit(False))
+    d = d.withColumn("_may", F.col("_nid").isNotNull() & (has_role(deletes, MANAGERS) | own))
+    marked = first_per_key(d.where("_may").select(*deletes.columns), "note_id")
+    acc = marked.where("_first")
+    gone = acc.select(F.col("note_id").alias("_g"))
     kept = cur.join(gone, cur["id"] == gone["_g"], "left_anti")
-    reason = F.when(F.col("_nid").isNull(), "Not found").otherwise("Forbidden")
-    return {"lead_notes": kept, "rejects": _rejects(d.where(~allowed), "note_id", reason),
+    missing, barred = d.where("_nid IS NULL"), d.where("NOT _may AND _nid IS NOT NULL")
+    rejects = reduce(DataFrame.union, [
+        _rejects(missing, "note_id", F.lit("Not found")), _rejects(marked.where("NOT _first"), "note_id", F.lit("Not found")),
+        _rejects(barred, "note_id", F.lit(MSG_FORBIDDEN))])
+    return {"lead_notes": kept, "rejects": rejects, "applied": _applied(acc, "note_id"),
             "note_rejects": a.where(F.col("_t") == "").select("id")}
 
 
@@ -587,7 +624,7 @@ def _upsert(table: DataFrame, upserts: DataFrame, defaults: dict) -> tuple[DataF
     added = added.withColumn("_new_id", (top + F.col("_pos")).cast("bigint")).drop("_one", "_pos").withColumn("_created", F.lit(True))
     whole = F.struct(*named.columns)
     kept = (named.where("id is not null").groupBy(F.col("id").alias("_k"))
-            .agg(F.max_by(whole, F.struct("seq", F.xxhash64(*named.columns))).alias("_r")).select("_r.*"))
+            .agg(F.max_by(whole, in_turn(named)).alias("_r")).select("_r.*"))
     kept = kept.withColumn("_new_id", F.col("id").cast("bigint")).withColumn("_created", F.lit(False))
     accepted = kept.unionByName(added)
 
@@ -685,8 +722,16 @@ def apply_user_changes(users: DataFrame, creates: DataFrame | None = None,
         new = new.select(*[(F.coalesce(F.col(c), F.lit(USER_DEFAULTS[c])) if c in USER_DEFAULTS else F.col(c)).alias(c)
                            if c in new.columns else F.lit(USER_DEFAULTS.get(c)).alias(c) for c in users.columns])
         out = out.unionByName(new.select(*[F.col(c).cast(users.schema[c].dataType).alias(c) for c in users.columns]))
-    updates = None if updates is None else admins(updates, "user_pk")
-    deactivate = None if deactivate is None else admins(deactivate, "user_pk")
+    def known(batch: DataFrame) -> DataFrame:
+        """Requests for users of this table; the others are rejected."""
+        ids = out.select(F.col("id").alias("_known"))
+        j = admins(batch, "user_pk").join(ids, F.col("user_pk") == F.col("_known"), "left")
+        if "seq" in batch.columns:
+            rejects.append(_rejects(j.where("_known IS NULL"), "user_pk", F.lit("Not found")))
+        return j.where("_known IS NOT NULL").drop("_known")
+
+    updates = None if updates is None else known(updates)
+    deactivate = None if deactivate is None else known(deactivate)
     if updates is not None:
         editable = [c_ for c_ in ("full_name", "email", "phone", "role", "is_active")
                     if c_ in updates.columns and c_ in users.columns]
@@ -694,8 +739,8 @@ def apply_user_changes(users: DataFrame, creates: DataFrame | None = None,
         for f in editable:
             has = F.array_contains(F.col("fields"), f)
             aggs += [F.max(has.cast("int")).alias(f"_has_{f}"),
-                     F.max_by(F.col(f), F.when(has, F.col("seq"))).alias(f"_new_{f}")]
-        per = updates.groupBy(F.col("user_pk").alias("_up")).agg(*aggs)
+                     F.max_by(F.col(f), F.when(has, F.col("_turn"))).alias(f"_new_{f}")]
+        per = updates.withColumn("_turn", in_turn(updates)).groupBy(F.col("user_pk").alias("_up")).agg(*aggs)
         j = out.join(per, out["id"] == per["_up"], "left")
         out = j.select(*[(F.when(F.col(f"_has_{c_}") == 1, F.col(f"_new_{c_}")).otherwise(F.col(c_))
                           .cast(users.schema[c_].dataType).alias(c_)) if c_ in editable else F.col(c_)
@@ -716,4 +761,4 @@ def audit_union(*audits: DataFrame) -> DataFrame:
 
 
 __all__ = [n for n in dir() if n.startswith("apply_")] + [
-    "audit", "audit_union", "dangling_category_leads", "hard_delete_counts", "first_per_key"]
+    "audit", "audit_union", "dangling_category_leads", "hard_delete_counts", "first_per_key", "has_role", "in_turn"]

@@ -39,13 +39,13 @@ def lead_code_last(leads: DataFrame) -> DataFrame:
 
 
 def assign_codes(requests: DataFrame, base: DataFrame, prefix: str, year: Column,
-                 order_col: str, out_col: str, block_size: int = 1 << 16) -> DataFrame:
+                 order_col: str, out_col: str) -> DataFrame:
     """code = base number of the year + position of the request in its year.
 
     ``base`` has columns (year, last_seq); a year absent from it starts at 0.
     """
     r = requests.withColumn("_year", year.cast("int"))
-    r = position_within(r, "_year", order_col, block_size, "_pos")
+    r = position_within(r, "_year", order_col, "_pos")
     b = base.select(F.col("year").alias("_by"), F.col("last_seq").alias("_base"))
     r = r.join(b, r["_year"] == b["_by"], "left")
     seq = F.coalesce(F.col("_base"), F.lit(0)) + F.col("_pos")

@@ -4,15 +4,13 @@
 one task; with a key holding a third of the rows that task holds a third of
 the data.  The helpers here compute the same values in bounded pieces:
 
-* rows are cut into blocks that each hold a bounded number of rows;
-* per-block row counts (a small table) become running offsets per group;
-* position = offset of the block + rank inside the block;
+* rows are range-partitioned and sorted on (group, order), so a hot group is
+  spread over many partitions and every row's place in its partition is known;
+* per (group, partition) the first place and the number of rows give running
+  offsets, a table of as many rows as there are groups and partitions;
+* position = offset + place in the partition - first place;
 * a row's predecessor is found by an equi-join on (group, position - 1),
   which is 1:1 and has no hot key.
-
-``position_within`` cuts blocks from a unique integer order key;
-``ordered_position`` cuts them by range partitioning on the full ordering
-(group, order columns), which splits a hot group over many partitions.
 """
 
 from __future__ import annotations
@@ -20,82 +18,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.session import checkpoint_dir
 
-def _positions(d: DataFrame, part_cols: list[str], order: list[Column], out_col: str) -> DataFrame:
-    """Given ``_blk`` (blocks ordered within each group), add ``out_col``."""
-    counts = d.groupBy(*part_cols, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*part_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"_p_{c}") for c in part_cols], F.col("_blk").alias("_b"),
-                            F.coalesce(F.sum("_n").over(run), F.lit(0)).cast("bigint").alias("_off"))
-    local = F.row_number().over(Window.partitionBy(*part_cols, "_blk").orderBy(*order))
-    d = d.withColumn("_loc", local.cast("bigint"))
-    cond = d["_blk"] == offsets["_b"]
-    for c in part_cols:
-        cond = cond & d[c].eqNullSafe(offsets[f"_p_{c}"])
-    joined = d.join(offsets, cond, "left")
-    return (joined.withColumn(out_col, F.col("_off") + F.col("_loc"))
-            .drop("_blk", "_loc", "_b", "_off", *[f"_p_{c}" for c in part_cols]))
+_PLACE_BITS = 33          # monotonically_increasing_id: partition above, place in the partition below
 
 
-def _cut(column: str, size: int) -> Column:
-    """Exact integer floor division (also of negative keys)."""
-    return F.expr(f"(`{column}` - pmod(`{column}`, {size})) div {size}")
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of all columns of a row (maps, which Spark does not hash, as JSON)."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in df.dtypes])
 
 
-def position_within(df: DataFrame, part_col: str, order_col: str,
-                    block_size: int = 1 << 16, out_col: str = "pos") -> DataFrame:
-    """1-based position within ``part_col`` by a unique integer ``order_col``.
+def position_within(df: DataFrame, part_cols: str | list[str], order_col: str, out_col: str = "pos",
+                    n_ranges: int | None = None) -> DataFrame:
+    """1-based position of every row within ``part_cols`` by ``order_col``.
 
-    A block is ``order_col // block_size``, so unique keys put at most
-    ``block_size`` rows in it.  Blocks are counted in three levels (blocks of
-    blocks of blocks), and running offsets are taken level by level: every
-    window sees at most ``block_size`` rows of one upper block, for dense and for
-    sparse keys (epoch milliseconds, generated 64-bit ids) alike.  For
-    non-integer orderings use ``ordered_position``.
+    NULLs come first and rows that tie are ordered by a hash of all their
+    columns, so each row has a place, also in a batch whose order key is
+    missing or repeated; only rows equal in every column may swap places.
     """
-    d = df.withColumn("_k", F.col(order_col).cast("bigint")).withColumn("_b0", _cut("_k", block_size))
-    counts = d.groupBy(F.col(part_col).alias("_p"), "_b0").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_b1", _cut("_b0", block_size)).withColumn("_b2", _cut("_b1", block_size))
-    upper = counts.groupBy("_p", "_b2", "_b1").agg(F.sum("_n").alias("_n"))
-    top = upper.groupBy("_p", "_b2").agg(F.sum("_n").alias("_n"))
-
-    def before(keys: list[str], order: str) -> Column:
-        run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(run), F.lit(0))
-
-    top = top.select(F.col("_p").alias("_p2"), F.col("_b2").alias("_c2"), before(["_p"], "_b2").alias("_o2"))
-    upper = upper.withColumn("_o1", before(["_p", "_b2"], "_b1"))
-    upper = upper.join(top, upper["_p"].eqNullSafe(top["_p2"]) & (upper["_b2"] == top["_c2"])).select(
-        F.col("_p").alias("_p1"), F.col("_b1").alias("_c1"), (F.col("_o1") + F.col("_o2")).alias("_o1"))
-    counts = counts.withColumn("_o0", before(["_p", "_b2", "_b1"], "_b0"))
-    offsets = counts.join(upper, counts["_p"].eqNullSafe(upper["_p1"]) & (counts["_b1"] == upper["_c1"])).select(
-        "_p", F.col("_b0").alias("_b"), (F.col("_o0") + F.col("_o1")).cast("bigint").alias("_off"))
-    local = F.row_number().over(Window.partitionBy(part_col, "_b0").orderBy("_k")).cast("bigint")
-    d = d.withColumn("_loc", local)
-    joined = d.join(offsets, d[part_col].eqNullSafe(offsets["_p"]) & (d["_b0"] == offsets["_b"]))
-    return joined.select(*[c for c in df.columns if c != out_col], (F.col("_off") + F.col("_loc")).alias(out_col))
+    tie = "_tie"
+    while tie in df.columns:
+        tie += "_"
+    hashed = df.withColumn(tie, row_hash(df))
+    part = [part_cols] if isinstance(part_cols, str) else list(part_cols)
+    return ordered_position(hashed, part, [order_col, tie], n_ranges, out_col).drop(tie)
 
 
 def ordered_position(df: DataFrame, part_cols: list[str], order_cols: list[str],
                      n_ranges: int | None = None, out_col: str = "pos") -> DataFrame:
     """1-based position within ``part_cols`` ordered by ``order_cols``
-    (ascending, NULLs first; the order columns must make rows unique).
+    (ascending, NULLs first; rows that tie on all of them are in no fixed order).
 
-    Blocks are range partitions over (group, order); Spark samples the key
-    distribution, so a hot group is spread over many partitions.  The block
-    assignment is checkpointed (shared checkpoint folder) before it is used
-    twice: a range partitioner re-planned in each branch would sample its
-    own boundaries and the two branches would disagree on the blocks.
+    Spark samples the key distribution for the ranges, so a hot group is spread
+    over many partitions.  The sorted rows are checkpointed (shared checkpoint
+    folder) before their places are used twice: a range partitioner re-planned in
+    each branch would sample its own boundaries and the branches would disagree.
+    The rows themselves move once; after that only the offsets are joined.
     """
-    from wayline.session import checkpoint_dir
-
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc_nulls_first() for c in [*part_cols, *order_cols]]
-    d = df.repartitionByRange(n, *keys).withColumn("_blk", F.spark_partition_id())
-    d = d.checkpoint(eager=True)
-    return _positions(d, part_cols, [F.col(c).asc_nulls_first() for c in order_cols], out_col)
+    d = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+    d = d.checkpoint(eager=True).withColumn("_blk", F.shiftright("_m", _PLACE_BITS))
+    run = Window.partitionBy(*[f"_p_{c}" for c in part_cols]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (d.groupBy(*[F.col(c).alias(f"_p_{c}") for c in part_cols], F.col("_blk").alias("_b"))
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+              .withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0)) - F.col("_first") + 1).drop("_n", "_first"))
+    cond = d["_blk"] == starts["_b"]
+    for c in part_cols:
+        cond = cond & d[c].eqNullSafe(starts[f"_p_{c}"])
+    joined = d.join(starts, cond, "left")
+    return joined.select(*[F.col(c) for c in df.columns if c != out_col],
+                         (F.col("_off") + F.col("_m")).cast("bigint").alias(out_col))
 
 
 def with_previous(df: DataFrame, part_cols: list[str], order_cols: list[str],
