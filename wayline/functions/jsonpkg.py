@@ -46,6 +46,19 @@ def parse(col_name: str) -> Column:
                                          for f in schema.fields]))
 
 
+def decode(col_name: str) -> Column:
+    """The decoded member or, where its text is no JSON, the text itself: struct(value variant, raw, failed).
+
+    Any JSON value is taken, whatever its shape.  NULL and empty texts are left as
+    they are: no value, not failed, ``raw`` as stored.  ``raw`` is NULL beside a value.
+    """
+    text = F.col(col_name)
+    given = F.coalesce(text != "", F.lit(False))
+    value = F.try_parse_json(text)
+    return F.struct(F.when(given, value).alias("value"), F.when(~given | value.isNull(), text).alias("raw"),
+                    (given & value.isNull()).alias("failed"))
+
+
 def is_valid_json(col_name: str) -> Column:
     """True when the text parses as the column's shape, NULL for NULL input."""
     return F.when(F.col(col_name).isNull(), F.lit(None).cast("boolean")).otherwise(

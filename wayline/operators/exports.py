@@ -29,16 +29,18 @@ def export_leads(leads: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def export_bookings(bookings: DataFrame, leads: DataFrame, users: DataFrame,
-                    balances: DataFrame) -> DataFrame:
+                    balances: DataFrame | None = None) -> DataFrame:
     """Bookings with customer fields and staff name, newest first.
 
-    ``advance_paid`` and ``balance`` come from the payment roll-up
-    (``balances``: id, paid, balance), which the payment operator keeps equal
-    to the stored columns.
+    ``advance_paid``, ``balance`` and ``payment_date`` are the stored columns,
+    as they stand (see ``quality.reconcile_bookings`` for how they compare).
+    For bookings stored without them, ``balances`` (id, paid, balance) gives the
+    payment roll-up instead.
     """
-    b = conform_entity(bookings, "bookings").drop("advance_paid", "balance")
-    bal = balances.select(F.col("id").alias("_bid"), F.col("paid").alias("advance_paid"), "balance")
-    b = b.join(bal, b["id"] == bal["_bid"], "left")
+    b = conform_entity(bookings, "bookings")
+    if balances is not None:
+        bal = balances.select(F.col("id").alias("_bid"), F.col("paid").alias("advance_paid"), "balance")
+        b = b.drop("advance_paid", "balance").join(bal, b["id"] == bal["_bid"], "left")
     lk = leads.select(F.col("id").alias("_lid"), "customer_name", "mobile", "tour_name", "travel_date")
     b = b.join(lk, b["lead_id"] == lk["_lid"], "left")
     b = with_user_name(b, users, "user_id", "staff")

@@ -13,12 +13,13 @@ map-side, so a page of 20 never shuffles the users or leads tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.dates import bucket_predicate, same_day
-from wayline.functions.predicates import all_of, contains_any, like_any, same_member, scope
+from wayline.functions.predicates import all_of, contains_any, like_any, py_strip, same_member, scope
 from wayline.operators.quality import ENUMS
+from wayline.operators.sequence import ordered_position
 from wayline.session import checkpoint_dir
 
 SEARCH_COLUMNS = ["customer_name", "mobile", "alt_mobile", "tour_name", "lead_id"]
@@ -212,6 +213,60 @@ def duplicate_mobiles(leads: DataFrame) -> DataFrame:
             .where(F.col("leads") > 1))
 
 
+GRAM = 4
+
+
+def _grams(text: Column) -> Column:
+    """The different runs of ``GRAM`` characters of a text (none for shorter texts)."""
+    starts = F.sequence(F.lit(1), F.length(text) - GRAM + 1)
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(
+        starts, lambda i: F.substring(text, i, F.lit(GRAM)))))
+
+
+def _runs(texts: Column) -> Column:
+    """The different runs of all texts of an array."""
+    return F.array_distinct(F.flatten(F.transform(texts, lambda c: F.coalesce(_grams(c), F.array().cast("array<string>")))))
+
+
+def duplicate_candidates(leads: DataFrame, typed: DataFrame, min_length: int = 10, limit: int = 20) -> DataFrame:
+    """For each text typed into the lead form, the newest leads that the search finds for it.
+
+    ``typed``: typed_id, text and, if present, role and user_id (staff see their own
+    leads).  A text of at least ``min_length`` characters (stripped) is looked for
+    inside each search column, case aside (``%`` and ``_`` are plain characters of a
+    number); shorter and NULL texts find nothing.
+    ``limit`` leads a text come back, newest first (deleted ones included), with their rank.
+
+    No text meets every lead: texts and columns are cut into runs of ``GRAM``
+    characters, each text keeps the one of its runs that the fewest columns hold,
+    and only leads with that run are tested for the whole text.
+    """
+    scoped = [c for c in ("role", "user_id") if c in typed.columns]
+    t = typed.select("typed_id", *[F.col(c).alias(f"_{c}") for c in scoped], F.lower(py_strip(F.col("text"))).alias("_text"))
+    t = t.where(F.length("_text") >= min_length)
+    texts = t.select("_text").distinct()
+    wanted = texts.select("_text", F.explode(_grams(F.col("_text"))).alias("_gram"))
+    low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in SEARCH_COLUMNS]
+    held = leads.select("id", F.explode(_runs(F.array(*low))).alias("_held"))
+    counts = (held.join(wanted.select(F.col("_gram").alias("_held")).distinct(), "_held", "left_semi")
+              .groupBy("_held").agg(F.count(F.lit(1)).alias("_n")))
+    # A run that no lead holds leaves its text without a count there: the text finds nothing.
+    rated = wanted.join(counts, F.col("_gram") == F.col("_held"), "left")
+    rarest = (rated.groupBy("_text").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_m"))
+              .where("_m.n > 0").select("_text", F.col("_m._gram").alias("_gram")))
+    shown = ["id", "lead_id", "customer_name", "mobile", "tour_name", "status", "created_at"]
+    rows = leads.select(*dict.fromkeys(shown + ["assigned_to"]), F.array(*low).alias("_low"))
+    near = rows.withColumn("_held", F.explode(_runs(F.col("_low")))).join(
+        rarest, F.col("_held") == F.col("_gram"))
+    hits = near.where(F.exists("_low", lambda c: F.contains(c, F.col("_text")))).drop("_held", "_gram", "_low")
+    asked = hits.join(t.withColumnRenamed("_text", "_asked"), F.col("_text") == F.col("_asked"))
+    if len(scoped) == 2:
+        asked = asked.where((F.coalesce(F.col("_role"), F.lit("")) != "staff") | (F.col("assigned_to") == F.col("_user_id")))
+    order = Window.partitionBy("typed_id").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
+    return (asked.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
+            .select("typed_id", "rank", *shown))
+
+
 # -- follow-ups -------------------------------------------------------------
 
 def followup_list(followups: DataFrame, leads: DataFrame, users: DataFrame, today: str,
@@ -324,3 +379,15 @@ def assignment_history(assignments: DataFrame, users: DataFrame) -> DataFrame:
 def package_by_id(packages: DataFrame, package_id: int) -> DataFrame:
     """primary-key lookup, pushed to the scan as a filter."""
     return packages.where(F.col("id") == package_id)
+
+
+# -- sorted results with their positions ------------------------------------------
+
+def with_rank(df: DataFrame, descending: str | None, ascending: list[str]) -> DataFrame:
+    """A sorted list's order as a column ``rank`` (from 1): by ``descending`` (largest first, NULL last),
+    then ``ascending`` (NULL first).  The list is sorted over all tasks; no single task numbers it."""
+    key = "_falling"
+    ranked = df if descending is None else df.withColumn(key, F.struct(
+        F.col(descending).isNull().alias("n"), (-F.col(descending)).alias("v")))
+    keys = ([] if descending is None else [key]) + ascending
+    return ordered_position(ranked, [], keys, out_col="rank").drop(key)

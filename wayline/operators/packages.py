@@ -19,6 +19,24 @@ def parsed_packages(packages: DataFrame) -> DataFrame:
         J.is_valid_json("hotels").alias("hotels_ok"))
 
 
+def package_members(packages: DataFrame) -> DataFrame:
+    """One row per package and JSON member: the decoded value as JSON text (keys sorted), its kind, and the raw
+    text with a flag where decoding failed.  Other columns of a package do not come along."""
+    rows = packages.select("id", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("member"), J.decode(m).alias("d")) for m in J.SCHEMAS])).alias("m"))
+    shape = F.expr("schema_of_variant(m.d.value)")
+    kind = (F.when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object")
+            .when(shape == "VOID", "null").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
+            .when(shape.isNotNull(), "number"))
+    return rows.select("id", "m.member", kind.alias("kind"), F.to_json("m.d.value").alias("value"),
+                       F.col("m.d.raw").alias("raw_text"), F.col("m.d.failed").alias("failed"))
+
+
+def package_detail(packages: DataFrame) -> DataFrame:
+    """Packages with every JSON member as the detail page gives it: decoded, or the raw text where that fails."""
+    return packages.select(*[J.decode(c).alias(c) if c in J.SCHEMAS else F.col(c) for c in packages.columns])
+
+
 def package_price_check(packages: DataFrame) -> DataFrame:
     """base = Σ hotel price x nights + transport + Σ charges; final = base − discount.
 

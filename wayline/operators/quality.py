@@ -134,3 +134,38 @@ def booking_amount_mismatch(bookings: DataFrame, balances: DataFrame) -> DataFra
     issue = (F.when(F.col("final_amount") != F.col("total_amount") - F.col("discount"), "final_mismatch")
              .when(F.col("balance") < 0, "overpaid"))
     return j.select("id", "final_amount", "balance", issue.alias("issue")).where(F.col("issue").isNotNull())
+
+
+RECONCILE_ISSUES = ("final_mismatch", "advance_missing", "advance_not_payments", "balance_missing", "balance_not_advance",
+                    "balance_not_payments", "overpaid", "payments_without_booking")
+
+
+def reconcile_bookings(bookings: DataFrame, payments: DataFrame) -> DataFrame:
+    """V4: stored amounts against each other and against the payments.
+
+    Three sources are compared: the stored advance, the stored balance and the
+    sum of payments (reduced per booking before the full join, so a booking
+    with many payments sends one row a task).  Lists each booking with at least
+    one issue, and payments whose booking is not stored.  ``issues`` holds, in the
+    order of ``RECONCILE_ISSUES`` and comma-joined: final amount other than total
+    less discount; advance or balance absent; advance other than the payments;
+    balance other than final less advance, or final less payments; more paid than due.
+    """
+    money = "decimal(18,2)"
+    paid = payments.groupBy(F.col("booking_id").alias("_b")).agg(F.sum("amount").cast(money).alias("_paid"))
+    b = bookings.select("id", "total_amount", "discount", "final_amount", "advance_paid", "balance")
+    j = b.join(paid, b["id"] == paid["_b"], "full")
+    total = F.coalesce(F.col("_paid"), F.lit(0)).cast(money)
+    known, final = F.col("id").isNotNull(), F.col("final_amount")
+    tests = [known & (final != F.col("total_amount") - F.col("discount")),
+             known & F.col("advance_paid").isNull(),
+             F.col("advance_paid") != total,
+             known & F.col("balance").isNull(),
+             F.col("balance") != final - F.col("advance_paid"),
+             F.col("balance") != final - total,
+             known & (total > final),
+             ~known]
+    issues = F.concat_ws(",", *[F.when(test, name) for name, test in zip(RECONCILE_ISSUES, tests)])
+    return (j.select(F.coalesce("id", "_b").alias("booking_pk"), "advance_paid", "balance", total.alias("paid"),
+                     (final - total).cast(money).alias("due"), issues.alias("issues"))
+            .where(F.col("issues") != ""))

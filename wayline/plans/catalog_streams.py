@@ -37,6 +37,11 @@ WHERE c.next_followup_date IS NOT NULL AND c.lead_id IN (SELECT id FROM crm_lead
 def stream_conversations(t):
     """Conversation requests streamed through the M7 operator; returns the
     follow-ups committed by the micro-batches."""
+    return CS.read_output(t.spark, run_conversations(t), "followups")
+
+
+def run_conversations(t) -> str:
+    """Run the conversation stream over the events; returns the folder of its outputs."""
     spark = t.spark
     base = scratch_path(spark, "conv-stream")
     # A backlog of files is taken a few files per micro-batch, so no batch is unbounded.
@@ -45,4 +50,4 @@ def stream_conversations(t):
     n_leads, n_users = t.base("customer").count(), t.base("supplier").count()
     requests = CS.conversation_requests(events, n_leads, n_users)
     CS.run_conversation_stream(spark, requests, t.leads, f"{base}/out", f"{base}/checkpoint", P.ACTIVITY_AS_OF)
-    return CS.read_output(spark, f"{base}/out", "followups")
+    return f"{base}/out"

@@ -40,8 +40,8 @@ def register(name: str, oracle: str | None = None, family: str = ""):
 def _load_all() -> None:
     # Importing the catalog modules fills REGISTRY.
     from wayline.plans import (  # noqa: F401
-        catalog_changes, catalog_lists, catalog_nested, catalog_quality, catalog_reports,
-        catalog_sources,
+        catalog_changes, catalog_lists, catalog_nested, catalog_quality, catalog_records,
+        catalog_reports, catalog_requests, catalog_sources,
         catalog_streams)
 
 

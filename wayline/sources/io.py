@@ -7,6 +7,8 @@ a cluster every path is shared storage (the scratch location is the session's
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,3 +87,22 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def append_parquet(df: DataFrame, path: str) -> None:
     """Append rows to a Parquet table."""
     df.write.mode("append").parquet(path)
+
+
+def append_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Append rows to a Parquet table as the batch ``batch``, once.
+
+    Each batch is a folder of its own, written in overwrite mode: a retry after
+    a failure, or a batch sent twice, replaces what the first attempt left and
+    adds nothing.  Batches do not touch each other, so writers of different
+    batches may run at the same time.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
+        raise ValueError("a batch is named by letters, digits, '_', '.' and '-'")
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches of a table, with the ``batch`` that each came with."""
+    columns = T.StructType([f for f in schema.fields if f.name != "batch"] + [T.StructField("batch", T.StringType())])
+    return spark.read.schema(columns).parquet(path)

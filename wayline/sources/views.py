@@ -112,6 +112,27 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
                            "WHEN 2 THEN 'UPI' WHEN 3 THEN 'Cheque' WHEN 4 THEN 'Card' ELSE 'Other' END"),
         ("created_at", "o_orderdate"),
     ], "o_orderpriority = '1-URGENT' OR o_orderkey % 50 = 0"),
+    # Bookings with the amounts that clients sent along; some disagree with the payments or with each other.
+    "crm_stored_bookings": ("{orders} LEFT JOIN (SELECT l_orderkey AS paid_order, "
+                            "CAST(SUM(CAST(l_extendedprice AS DECIMAL(10,2))) AS DECIMAL(18,2)) AS paid "
+                            "FROM {lineitem} GROUP BY l_orderkey) p ON paid_order = o_orderkey", [
+        ("id", "o_orderkey"),
+        ("booking_id", _code("BOOKING")),
+        ("lead_id", "o_orderkey"),
+        ("user_id", f"o_orderkey % {_N_USERS}"),
+        ("total_amount", "CAST(o_totalprice AS DECIMAL(10,2))"),
+        ("discount", "CAST(100 * (o_orderkey % 5) AS DECIMAL(10,2))"),
+        ("final_amount", "CAST(CAST(o_totalprice AS DECIMAL(10,2)) - 100 * (o_orderkey % 5) "
+                         "+ CASE WHEN o_orderkey % 19 = 0 THEN 5 ELSE 0 END AS DECIMAL(10,2))"),
+        ("advance_paid", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(COALESCE(paid, 0) "
+                         "+ CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 0 END AS DECIMAL(18,2)) END"),
+        ("balance", "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(10,2)) "
+                    "- 100 * (o_orderkey % 5) - COALESCE(paid, 0) "
+                    "+ CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,2)) END"),
+        ("payment_method", "CASE o_orderkey % 3 WHEN 0 THEN 'Cash' WHEN 1 THEN 'UPI' ELSE 'Card' END"),
+        ("payment_date", "CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END"),
+        ("created_at", "o_orderdate"),
+    ], "(o_orderpriority = '1-URGENT' OR o_orderkey % 50 = 0) AND o_orderkey % 97 <> 0"),
     "crm_payments": ("{lineitem} JOIN {orders} ON l_orderkey = o_orderkey", [
         ("booking_id", "l_orderkey"),
         ("amount", "CAST(l_extendedprice AS DECIMAL(10,2))"),
@@ -174,6 +195,21 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
         ("base_price", "CAST(p_retailprice AS DECIMAL(10,2))"),
         ("discount", "CAST(p_partkey % 50 AS DECIMAL(10,2))"),
     ], None),
+    # Packages whose JSON texts are cut short, empty, absent or of another shape.
+    "crm_package_drafts": ("{part}", [
+        ("id", "p_partkey"),
+        ("itinerary", "CASE WHEN p_partkey % 29 = 0 THEN '[{{\"day\": 1, \"descr' WHEN p_partkey % 31 = 0 THEN '' "
+                      "ELSE concat('[{{\"day\": 1, \"description\": \"', p_type, '\"}}]') END"),
+        ("hotels", "CASE WHEN p_partkey % 101 = 0 THEN 'oops' WHEN p_partkey % 19 = 0 THEN NULL "
+                   "WHEN p_partkey % 11 = 0 THEN '[]' "
+                   "ELSE concat('[{{\"price\": ', CAST(p_size * 100 AS STRING), ', \"city\": \"X\"}}, "
+                   "{{\"city\": \"Y\", \"price\": 7}}]') END"),
+        ("transport", "CASE WHEN p_partkey % 23 = 0 THEN '{{\"type\": \"SUV\", ' WHEN p_partkey % 37 = 0 THEN '\"van\"' "
+                      "WHEN p_partkey % 41 = 0 THEN 'null' ELSE "
+                      "concat('{{\"type\": \"SUV\", \"price\": ', CAST(p_size * 10 AS STRING), '}}') END"),
+        ("other_charges", "CASE WHEN p_partkey % 43 = 0 THEN '5' WHEN p_partkey % 2 = 0 THEN '[]' "
+                          "ELSE '[{{\"name\": \"Welcome\", \"amount\": 1000}}]' END"),
+    ], None),
     "crm_tour_categories": ("{region}", [
         ("id", "r_regionkey"),
         ("name", "r_name"),
