@@ -82,6 +82,10 @@ def test_blocks_do_not_change_counts(spark, docs_of, monkeypatch):
     whole = counts()
     monkeypatch.setattr(op, "BLOCK", 1)
     assert counts() == whole
+    monkeypatch.setattr(op, "HELD", 200)
+    assert counts() == whole
+    monkeypatch.setattr(op, "HELD", 1)
+    assert counts() == whole
     monkeypatch.setattr(op, "_number", lambda codes, bound: __import__("numpy").unique(codes, return_inverse=True))
     assert counts() == whole
 

@@ -43,6 +43,8 @@ SHARDS = 8
 BLOCK = 8 * 2**20
 KEY_BITS, MAX_BITS = 16, 2**28
 
+#: Entries of merged stripes that a task holds before it sends them.
+HELD = 500_000
 #: Hashed phrases, by words of the corpus, that a segment should hold.
 SEGMENT = 2**21
 
@@ -174,11 +176,37 @@ class _Block:
         text = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(start), pa.string())
         return pa.RecordBatch.from_arrays(
             [self.names.take(pa.array(self.key_lang[self.key[head]])), text, pa.array(shard[start]),
-             pc.binary_join(pa.ListArray.from_arrays(offsets, self.text.take(pa.array(word))), " "),
+             pa.ListArray.from_arrays(offsets, self.text.take(pa.array(word))),
              pa.ListArray.from_arrays(offsets, pa.array(count[order].astype(np.int32)))],
             ["lang", "prefix", "shard", "words", "counts"])
 
 
+def _sent(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Stripes as they travel: the words of one joined by blanks."""
+    return b.set_column(3, "words", pc.binary_join(b.column(3), " "))
+
+
+def _merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Stripes of several blocks, merged element by element."""
+    entries = []
+    for b in parts:
+        own = pc.list_parent_indices(b.column(3))
+        entries.append(pa.table({"lang": b.column(0).take(own), "prefix": b.column(1).take(own), "shard": b.column(2).take(own),
+                                 "word": b.column(3).flatten(), "count": b.column(4).flatten()}))
+    keys = ["lang", "prefix", "shard"]
+    t = pa.concat_tables(entries).group_by([*keys, "word"], use_threads=False).aggregate([("count", "sum")])
+    t = t.sort_by([(k, "ascending") for k in keys]).combine_chunks()
+    col = {c: t.column(c).chunk(0) for c in t.column_names}
+    new = np.zeros(len(t) - 1, bool)
+    for k in keys:
+        new |= pc.not_equal(col[k].slice(1), col[k].slice(0, len(t) - 1)).to_numpy(zero_copy_only=False)
+    start = np.flatnonzero(np.r_[True, new])
+    offsets = pa.array(np.r_[start, len(t)].astype(np.int32))
+    heads = [col[k].take(pa.array(start)) for k in keys]
+    return pa.RecordBatch.from_arrays([*heads, pa.ListArray.from_arrays(offsets, col["word"]), pa.ListArray.from_arrays(
+        offsets, col["count_sum"].cast(pa.int32()))], ["lang", "prefix", "shard", "words", "counts"])
+
+
 def _words(batches):
     """Stripes of the empty prefix."""
     for block in _texts(batches):
@@ -187,7 +215,7 @@ def _words(batches):
         if len(place):
             first = np.zeros(b.n_keys, np.int64)
             first[b.key[place[::-1]]] = place[::-1]
-            yield b.stripes(1, first, np.arange(b.n_keys), np.bincount(b.key[place]))
+            yield _sent(b.stripes(1, first, np.arange(b.n_keys), np.bincount(b.key[place])))
 
 
 def _keep(filters: dict):
@@ -196,13 +224,27 @@ def _keep(filters: dict):
 
 
 def _longer(filters: dict, longest: int):
-    """Stripes of prefixes of one word and more, of the phrases that may be frequent."""
+    """Stripes of prefixes of one word and more, of the phrases that may be frequent.
+
+    Stripes of the blocks of a task are merged before they are sent; a task holds about ``HELD`` entries.
+    """
     def run(batches):
+        parts, size = [], 0
         for block in _texts(batches):
             b = _Block(*block)
             for length, place, codes, counts, _ in b.phrases(longest, _keep(filters)):
                 if len(codes):
-                    yield b.stripes(length, place, codes, counts)
+                    parts.append(b.stripes(length, place, codes, counts))
+                    size += len(codes)
+            del b
+            if size >= HELD:
+                parts = [_merged(parts)]
+                size = len(parts[0].column(3).flatten())
+                if 2 * size >= HELD:
+                    yield _sent(parts[0])
+                    parts, size = [], 0
+        if parts:
+            yield _sent(_merged(parts))
     return run
 
 
