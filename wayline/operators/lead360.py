@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.sequence import ordered_position, with_previous
+from wayline.session import checkpoint_dir
 
 HISTORY_COLUMNS = ["id", "lead_id", "customer_name", "tour_name", "status", "created_at"]
 
@@ -136,12 +137,13 @@ def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple]
     the JSON text, rising), and part ``p`` holds positions ``p * part_size + 1``
     and on, so the parts of a member are its list cut in order, at every size.
 
-    Every child row is serialised with ``to_json`` once; the rows of all members
-    are stacked, kept for live leads in ``scope`` (a condition on leads, such as a
-    staff member's own) with one join, placed with ``ordered_position`` (range
-    blocks: a lead with millions of children is spread over many tasks) and
-    grouped once.  Output columns: ``lead_pk``, ``member``, ``part``, ``parts``,
-    ``items`` (array of JSON objects).
+    Every child row is serialised with ``to_json`` once.  Lists that fit one part
+    are grouped straight away: the JSON text moves once.  Which lists are longer is
+    counted before from the keys alone (per-task sums first), and only their rows are
+    placed with ``ordered_position`` (range partitions: a lead with millions of
+    children is spread over many tasks) and cut by position.  ``scope`` is a condition on
+    leads, such as a staff member's own.  Output columns: ``lead_pk``,
+    ``member``, ``part``, ``parts``, ``items`` (array of JSON objects).
     """
     live = leads.where(F.col("is_deleted") == 0)
     if scope is not None:
@@ -151,26 +153,38 @@ def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple]
     lead = head.select(
         F.col("id").alias("lead_pk"), F.lit("lead").alias("member"), F.lit(0).alias("part"),
         F.lit(1).alias("parts"), F.array(F.to_json(F.struct(*head.columns))).alias("items"))
+    live_ids = live.select(F.col("id").alias("_lid"))
+    keys = reduce(DataFrame.unionByName, [child.select(F.col(key).alias("_l"), F.lit(member).alias("_m"))
+                                          for member, (child, key, _, _) in members.items()])
+    checkpoint_dir(leads.sparkSession)
+    long_lists = (keys.groupBy("_l", "_m").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_size)
+                  .select("_l", "_m", F.ceil(F.col("_n") / part_size).cast("int").alias("_parts")).checkpoint(eager=True))
+    some_long = not long_lists.isEmpty()
     rows = []
     for member, (child, key, sort_cols, ascending) in members.items():
         numbers = [_sort_number(child, c, ascending) for c in sort_cols] + [F.lit(0).cast("bigint")] * (2 - len(sort_cols))
         rows.append(child.select(F.col(key).alias("lead_pk"), F.lit(member).alias("member"),
-                                 numbers[0].alias("k1"), numbers[1].alias("k2"),
-                                 F.to_json(F.struct(*child.columns)).alias("j")))
+                                numbers[0].alias("k1"), numbers[1].alias("k2"),
+                                F.to_json(F.struct(*child.columns)).alias("j")))
+    # The rows meet their leads and then their lists by lead: the text moves once.
     stacked = reduce(DataFrame.unionByName, rows)
-    live_ids = live.select(F.col("id").alias("_lid"))
     stacked = stacked.join(live_ids, stacked["lead_pk"] == live_ids["_lid"], "left_semi")
-    placed = ordered_position(stacked, ["lead_pk", "member"], ["k1", "k2", "j"], out_col="_pos")
-    part = F.floor((F.col("_pos") - 1) / F.lit(part_size)).cast("int")
-    grouped = (placed.groupBy("lead_pk", "member", part.alias("part"))
+    same = (stacked["lead_pk"] == long_lists["_l"]) & (stacked["member"] == long_lists["_m"])
+    short = stacked.join(long_lists, same, "left_anti") if some_long else stacked
+    whole = (short.groupBy("lead_pk", "member").agg(F.sort_array(F.collect_list(F.struct("k1", "k2", "j"))).alias("arr"))
+             .select("lead_pk", "member", F.lit(0).alias("part"), F.lit(1).alias("parts"),
+                     F.transform("arr", lambda x: x["j"]).alias("items")))
+    out = lead.unionByName(whole)
+    if some_long:
+        placed = ordered_position(stacked.join(long_lists.drop("_parts"), same, "left_semi"), ["lead_pk", "member"],
+                                  ["k1", "k2", "j"], out_col="_pos")
+        part = F.floor((F.col("_pos") - 1) / F.lit(part_size)).cast("int")
+        cut = (placed.groupBy("lead_pk", "member", part.alias("part"))
                .agg(F.sort_array(F.collect_list(F.struct("_pos", "j"))).alias("arr")))
-    # Only lists of several parts (at most rows / part_size of them) need their number of parts.
-    several = (placed.where(F.col("_pos") > part_size).groupBy(F.col("lead_pk").alias("_l"), F.col("member").alias("_m"))
-               .agg((F.max(part) + 1).alias("_parts")))
-    out = grouped.join(several, (grouped["lead_pk"] == several["_l"]) & (grouped["member"] == several["_m"]), "left")
-    return lead.unionByName(out.select(
-        "lead_pk", "member", "part", F.coalesce("_parts", F.lit(1)).alias("parts"),
-        F.transform("arr", lambda x: x["j"]).alias("items")))
+        cut = cut.join(long_lists, (cut["lead_pk"] == long_lists["_l"]) & (cut["member"] == long_lists["_m"])).select(
+            "lead_pk", "member", "part", F.col("_parts").alias("parts"), F.transform("arr", lambda x: x["j"]).alias("items"))
+        out = out.unionByName(cut)
+    return out
 
 
 def category_tree(categories: DataFrame, subcategories: DataFrame,
