@@ -1,16 +1,18 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line, read in windows of ``WINDOW`` words (``[A-Za-z0-9]+``, case
-folded) that overlap by half, so a notice inside a long line is seen whole.
-Features are hashed words and word pairs; a multinomial logistic regression with
-a class for unknown text gives family probabilities, calibrated by one temperature
-on held-back samples.  A window counts as a licence when its best family is not
-``unknown``, its probability reaches ``MIN_PROB``, and a clause of that family's
-templates is found in it: at least ``MIN_SHARED`` of the clause's word triples.
-
-Training samples are the template clauses, whole, shortened and with words
-replaced, set into ordinary text; ordinary text is a bounded sample of the
-corpus, without windows that share a word triple with any template.
+A paragraph is a run of lines with words (``[A-Za-z0-9]+``, case folded), so a notice that is
+wrapped, or prefixed as a comment, is read whole.  It is read in overlapping windows of 32, 12 and 6 words, so a notice
+inside a long paragraph, or beside another one, is seen too.  Features are hashed words and word pairs; a multinomial
+logistic regression with a class for unknown text gives family probabilities, calibrated by one temperature on
+held-back samples.  A clause of a family's templates counts where a window around it has that family as its best, not
+``unknown``, with ``MIN_PROB`` or more, and the words there hold at least ``MIN_SHARED`` of the clause's word triples, and
+of those triples that no other family's clauses have.  Every occurrence counts that does not overlap an earlier one
+of its family.  GNU licences share their wording over versions: they are named with a version only where it is
+written near the clause ("version 3", "v2").
+
+Training samples are the template clauses, whole, shortened and with words replaced, set into ordinary text.  Unknown are
+windows of a bounded sample of the corpus that share no word triple with any template, and clauses with their words
+in random order.
 """
 
 from __future__ import annotations
@@ -25,8 +27,13 @@ from pyspark.sql import functions as F
 from wayline.llm import kernel
 from wayline.llm.common import arrow_map, hash_share
 
-# Wording of common public licence notices, in clauses of at most 16 words.
+# Wording of common public licence notices, in clauses of at most 20 words.
 TEMPLATES = {
+    "AGPL": (
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program",
+        "Licensed under the GNU Affero General Public License",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License",
@@ -38,6 +45,12 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice",
         "Licensed under the BSD License",
         "This software is released under the 3-Clause BSD License",
+        "Use of this source code is governed by a BSD-style license",
+    ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0",
+        "licensed under a Creative Commons Attribution 4.0 International License",
+        "This work is licensed under CC BY 4.0",
     ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0",
@@ -49,32 +62,61 @@ TEMPLATES = {
         "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
         "This work is licensed under CC BY-SA 4.0",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3",
+    "CC0-1.0": (
+        "dedicated to the public domain under CC0 1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "released under the Creative Commons CC0 1.0 Universal Public Domain Dedication",
+    ),
+    "GPL": (
+        "This work is licensed under the GNU General Public License",
         "under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "either version 3 of the License, or at your option any later version",
         "You should have received a copy of the GNU General Public License along with this program",
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Licensed under the ISC License",
+    ),
+    "LGPL": (
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
+        "Licensed under the GNU Lesser General Public License",
+        "under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    ),
     "MIT": (
         "Released under the MIT License",
         "Licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
         "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
     ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "Licensed under the Mozilla Public License, Version 2.0",
+    ),
     "Proprietary": (
         "All rights reserved",
         "No part of this publication may be reproduced without the prior written permission of the publisher",
         "Unauthorized copying of this file, via any medium, is strictly prohibited",
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    ),
 }
+#: Families whose wording does not tell the version, and how a version is written near it.
+VERSIONED = ("AGPL", "GPL", "LGPL")
+VERSIONS = {"version 2 1": "2.1", "version 2": "2.0", "version 3": "3.0", "v2 1": "2.1", "v2": "2.0", "v3": "3.0"}
+NEAR = 24                      # words after (and half as many before) a clause in which its version is looked for
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *sorted(TEMPLATES))
 WINDOW = 32
+WINDOWS = ((WINDOW, 16), (12, 4), (6, 3))      # words of a window, and between the starts of two
 BUCKETS = 2**18
 MIN_PROB, MIN_SHARED = 0.5, 0.6
 SAMPLE_DOCS = 1000             # documents whose windows are the ordinary text (smallest hashes of the text)
-COPIES = 120                   # training samples of each clause
-EPOCHS, RATE, RIDGE = 200, 0.5, 1e-4
+PLAIN = 6000                   # of these windows, the most that are fitted (drawn at random)
+COPIES, MIXED = 60, 12         # training samples of each clause, and of its words in random order
+EPOCHS, RATE, RIDGE = 120, 0.5, 1e-4
 SEED = 20240617
 _PAIR, _TRIPLE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _APART = np.ones(256, dtype=bool)
@@ -99,10 +141,21 @@ def _features(w: np.ndarray) -> np.ndarray:
     return (np.concatenate([w, _pairs(w)]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def clause_triples() -> dict[int, list[tuple[int, np.ndarray]]]:
-    """Per family number: (clause number, its distinct word triples)."""
-    return {FAMILIES.index(f): [(i, np.unique(_triples(_words(c)))) for i, c in enumerate(clauses)]
-            for f, clauses in TEMPLATES.items()}
+class Clause:
+    """Words of a clause, its different word triples, and those that no other family has."""
+
+    def __init__(self, family: int, number: int, text: str):
+        w = _words(text)
+        self.family, self.number, self.words = family, number, len(w)
+        self.triples = frozenset(_triples(w).tolist())
+        self.own = self.triples
+
+
+def clauses() -> list[Clause]:
+    out = [Clause(FAMILIES.index(f), i, c) for f, texts in TEMPLATES.items() for i, c in enumerate(texts)]
+    for c in out:
+        c.own = c.triples.difference(*(o.triples for o in out if o.family != c.family))
+    return out
 
 
 class Classifier:
@@ -154,21 +207,23 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
     share = min(1.0, 4.0 * sample_docs / max(1, different))             # thinned first: the sort meets few rows
     texts = [r.text for r in some.where(hash_share(h, share)).select("text").distinct()
              .orderBy(h, "text").limit(sample_docs).collect()]
-    known = np.unique(np.concatenate([t for clauses in clause_triples().values() for _, t in clauses]))
+    known = np.array(sorted(frozenset().union(*(c.triples for c in clauses()))), np.uint64)
     plain = []
-    for text in texts:
-        for line in text.split("\n"):
-            w = _words(line)
-            for a in range(0, len(w), WINDOW):
-                part = w[a:a + WINDOW]
-                if not np.isin(_triples(part), known).any():
-                    plain.append(part)
     rng = np.random.default_rng(SEED)
+    for text in texts:
+        w = _words(text)
+        for a in range(0, len(w), WINDOW):
+            part = w[a:a + (WINDOW if rng.random() < 0.7 else int(rng.integers(1, WINDOW)))]
+            if not np.isin(_triples(part), known).any():
+                plain.append(part)
+    plain = [plain[i] for i in sorted(rng.permutation(len(plain))[:PLAIN])]
     samples, labels = [_features(p) for p in plain if len(p)], [0] * sum(len(p) > 0 for p in plain)
     filler = np.concatenate(plain) if plain else np.zeros(0, np.uint64)
-    for family, clauses in TEMPLATES.items():
-        for clause in clauses:
+    for family, texts in TEMPLATES.items():
+        for clause in texts:
             w = _words(clause)
+            samples += [_features(rng.permutation(w)) for _ in range(MIXED)]
+            labels += [0] * MIXED
             for _ in range(COPIES):
                 keep = w[:max(3, len(w) - int(rng.integers(0, 3)))].copy()
                 if len(keep) > 4 and rng.random() < 0.3:                 # one word replaced
@@ -186,66 +241,106 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
 
 
 _FOUND = "line long, word long, family string, prob double, clause int, shared double"
+_KIND = pa.list_(pa.struct([("line", pa.int64()), ("word", pa.int64()), ("family", pa.string()), ("prob", pa.float64()),
+                            ("clause", pa.int32()), ("shared", pa.float64())]))
+
+
+def _windows(begin: np.ndarray, size: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows of paragraphs."""
+    n = np.maximum(1, -(-(size - width) // step) + 1)
+    at = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+    return at, np.minimum(at + width, np.repeat(begin + size, n))
+
+
+def occurrences(known: list[Clause], place: np.ndarray, triple: np.ndarray) -> Iterator[tuple[Clause, int, int, float]]:
+    """(clause, first word, word after, share of its triples) of clauses in word triples found at ascending places."""
+    for c in known:
+        mine = [(int(p), t) for p, t in zip(place.tolist(), triple.tolist()) if t in c.triples]
+        i = 0
+        while i < len(mine):
+            start = mine[i][0]
+            j = i
+            while j < len(mine) and mine[j][0] < start + c.words:
+                j += 1
+            have = {t for _, t in mine[i:j]}
+            share, own = len(have) / len(c.triples), len(have & c.own) / max(1, len(c.own))
+            if share >= MIN_SHARED and own >= MIN_SHARED:
+                yield c, start, mine[j - 1][0] + 3, share
+                i = j
+            else:
+                i += 1
 
 
 def _scan(shared):
-    clauses = clause_triples()
-
-    def windows(off: np.ndarray, data: np.ndarray):
-        """(words, line of each word, first line of each text, window starts and ends)."""
-        w, first, starts = kernel.placed_hashes(off, data, _APART)
-        breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, starts) + np.searchsorted(off[1:-1], starts, side="right")   # parts of texts too
-        begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(w) else np.zeros(0, np.int64)
-        size = np.diff(np.append(begin, len(w)))
-        n = np.maximum(1, -(-(size - WINDOW) // (WINDOW // 2)) + 1)
-        at = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * (WINDOW // 2)
-        end = np.minimum(at + WINDOW, np.repeat(begin + size, n))
-        base = np.searchsorted(breaks, off[:-1]) + np.arange(len(off) - 1)
-        return w, line, first, base, np.repeat(begin, n), at, end
+    known = clauses()
+    triples = np.array(sorted(frozenset().union(*(c.triples for c in known))), np.uint64)
+    versions = [(_words(k), v) for k, v in VERSIONS.items()]
+
+    def named(family: str, w: np.ndarray, first: int, start: int, end: int, last: int) -> str:
+        if family not in VERSIONED:
+            return family
+        low, high = max(first, start - NEAR // 2), min(last, end + NEAR)
+        for p in [*range(start, high), *range(low, start)]:              # after the clause's start first
+            for k, v in versions:
+                if np.array_equal(w[p:min(p + len(k), high)], k):
+                    return f"{family}-{v}"
+        return family
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         wide = np.concatenate([model.weights, np.zeros((1, len(FAMILIES)))])
         for batch in batches:
             for row, off, data in kernel.chunks(batch.column(1)):
-                w, line, first, base, begin, at, end = windows(off, data)
-                found: dict[int, dict[tuple, tuple]] = {}
+                w, first, starts = kernel.placed_hashes(off, data, _APART)
+                breaks = np.flatnonzero(data == 10)
+                text = np.searchsorted(off[1:-1], starts, side="right")
+                line = np.searchsorted(breaks, starts)
+                base = np.searchsorted(breaks, off[:-1])
+                found: dict[int, list[dict]] = {}
+                t = _triples(w)
+                # Paragraphs end at a line without words and with their text.
+                cut = np.flatnonzero((line[1:] - line[:-1] > 1) | (text[1:] != text[:-1])) + 1 if len(w) else np.zeros(0, np.int64)
+                begin = np.r_[0, cut] if len(w) else cut
+                size = np.diff(np.r_[begin, len(w)])
+                owner = np.repeat(np.arange(len(begin)), size)
+                sure, at, end = np.zeros(0, np.int64), begin, begin
                 if len(w):
-                    pair = np.concatenate([(_pairs(w) % np.uint64(BUCKETS)).astype(np.int64), [BUCKETS]])
-                    pair[np.append(line[1:] != line[:-1], True)] = BUCKETS      # no pair across lines
-                    one = np.cumsum(np.concatenate([np.zeros((1, len(FAMILIES))),
-                                                    wide[(w % np.uint64(BUCKETS)).astype(np.int64)]]), axis=0)
-                    two = np.cumsum(np.concatenate([np.zeros((1, len(FAMILIES))), wide[pair]]), axis=0)
-                    p = model.probabilities(one[end] - one[at] + two[end - 1] - two[at])
-                    best = p.argmax(axis=1)
-                    for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= MIN_PROB)):
-                        have = np.unique(_triples(w[at[i]:end[i]]))
-                        clause, share = max(((c, float(np.isin(t, have).mean())) for c, t in clauses[int(best[i])]),
-                                            key=lambda x: (x[1], -x[0]))
-                        if share < MIN_SHARED:
-                            continue
-                        text = int(np.searchsorted(first, at[i], side="right")) - 1
-                        key = (int(line[at[i]] - base[text]), FAMILIES[best[i]], clause)
-                        got = (float(p[i].max()), share, int(at[i] - begin[i]))
-                        mine = found.setdefault(text, {})
-                        if key not in mine or got[:2] > mine[key][:2]:
-                            mine[key] = got
-                lists = [[{"line": k[0], "word": v[2], "family": k[1], "prob": v[0], "clause": k[2], "shared": v[1]}
-                          for k, v in sorted(found.get(t, {}).items())] for t in range(len(off) - 1)]
-                kind = pa.list_(pa.struct([("line", pa.int64()), ("word", pa.int64()), ("family", pa.string()),
-                                           ("prob", pa.float64()), ("clause", pa.int32()), ("shared", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(lists)), pa.array(lists, kind)],
+                    pair = np.append((_pairs(w) % np.uint64(BUCKETS)).astype(np.int64), BUCKETS)
+                    pair[np.append(owner[1:] != owner[:-1], True)] = BUCKETS      # no pair across paragraphs
+                    one, two = np.zeros((len(w) + 1, len(FAMILIES))), np.zeros((len(w) + 1, len(FAMILIES)))
+                    np.cumsum(wide[(w % np.uint64(BUCKETS)).astype(np.int64)], axis=0, out=one[1:])
+                    np.cumsum(wide[pair], axis=0, out=two[1:])
+                    at, end = (np.concatenate(x) for x in zip(*(_windows(begin, size, n, step) for n, step in WINDOWS)))
+                    p = model.probabilities(one[end] - one[at] + two[np.maximum(end - 1, at)] - two[at])
+                    best, top = p.argmax(axis=1), p.max(axis=1)
+                    sure = np.flatnonzero((best > 0) & (top >= MIN_PROB))
+                hit = np.flatnonzero(np.isin(t, triples) & (owner[:-2] == owner[2:])) if len(sure) and len(t) else sure[:0]
+                for g in np.unique(owner[at[sure]]) if len(sure) else ():
+                    a, b = int(begin[g]), int(begin[g] + size[g])
+                    near = sure[(at[sure] >= a) & (at[sure] < b)]
+                    mine = hit[(hit >= a) & (hit < b)]
+                    last_end: dict[int, int] = {}
+                    seen = sorted(occurrences(known, mine, t[mine]), key=lambda o: (o[1], -(o[2] - o[1]), o[0].number))
+                    for c, s, e, share in seen:
+                        around = top[near[(best[near] == c.family) & (at[near] <= s) & (end[near] >= min(e, s + 12))]]
+                        if len(around) and s >= last_end.get(c.family, 0):
+                            last_end[c.family] = e
+                            x = int(text[s])
+                            found.setdefault(x, []).append({
+                                "line": int(line[s] - base[x]), "word": s - a, "family": named(FAMILIES[c.family], w, a, s, e, b),
+                                "prob": float(around.max()), "clause": c.number, "shared": share})
+                lists = [sorted(found.get(x, []), key=lambda f: (f["line"], f["word"], f["family"], f["clause"]))
+                         for x in range(len(off) - 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(lists)), pa.array(lists, _KIND)],
                                                  names=["doc_id", "found"])
     return run
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id and found: array of (line, word of the window, family, prob, clause, shared), in order.
+    """doc_id and found: array of (line, word of the paragraph, family, prob, clause, shared), in order.
 
-    Null and empty texts have none.  A clause of a family is reported once a line
-    (its most probable window; ties: the earlier).  Repeated rows give the same
-    result; other columns are not read.
+    ``prob`` is that of the most probable window around the clause.  Null and empty texts
+    have none.  Repeated rows give the same result; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)           # BUCKETS * families numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
