@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm import kernel
-from wayline.llm.common import arrow_map, stored
+from wayline.llm.common import arrow_map, free_name, stored
 from wayline.llm.components import components
 
 SHINGLE = 5
@@ -320,9 +320,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows of documents that are not the smallest id of their group."""
-    dropped = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows of documents that are not the smallest id of their group.
+
+    Rows without a doc_id and texts without words stay; repeated rows of a kept
+    document stay; an empty table stays empty; other columns, whatever their names,
+    come along.
+    """
+    gone = free_name(docs, "_gone")
+    dropped = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 ORACLE_SQL = r"""
