@@ -128,7 +128,7 @@ def _sort_number(child: DataFrame, name: str, ascending: bool) -> F.Column:
 
 
 def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple],
-                   part_size: int = 1000, scope: F.Column | None = None) -> DataFrame:
+                   part_size: int = 1000, scope: F.Column | None = None, bounds: dict[str, int] | None = None) -> DataFrame:
     """J8/S5 nested lead document, emitted in parts of at most ``part_size`` items.
 
     ``members`` maps a member name to ``(child_df, lead_key, sort_columns,
@@ -141,7 +141,8 @@ def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple]
     are grouped straight away: the JSON text moves once.  Which lists are longer is
     counted before from the keys alone (per-task sums first), and only their rows are
     placed with ``ordered_position`` (range partitions: a lead with millions of
-    children is spread over many tasks) and cut by position.  ``scope`` is a condition on
+    children is spread over many tasks) and cut by position.  ``bounds`` gives the most
+    items that a member can have for a lead (a history of five); such a list is not counted.  ``scope`` is a condition on
     leads, such as a staff member's own.  Output columns: ``lead_pk``,
     ``member``, ``part``, ``parts``, ``items`` (array of JSON objects).
     """
@@ -154,12 +155,16 @@ def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple]
         F.col("id").alias("lead_pk"), F.lit("lead").alias("member"), F.lit(0).alias("part"),
         F.lit(1).alias("parts"), F.array(F.to_json(F.struct(*head.columns))).alias("items"))
     live_ids = live.select(F.col("id").alias("_lid"))
-    keys = reduce(DataFrame.unionByName, [child.select(F.col(key).alias("_l"), F.lit(member).alias("_m"))
-                                          for member, (child, key, _, _) in members.items()])
-    checkpoint_dir(leads.sparkSession)
-    long_lists = (keys.groupBy("_l", "_m").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_size)
-                  .select("_l", "_m", F.ceil(F.col("_n") / part_size).cast("int").alias("_parts")).checkpoint(eager=True))
-    some_long = not long_lists.isEmpty()
+    bounds = bounds or {}
+    counted = [child.select(F.col(key).alias("_l"), F.lit(member).alias("_m"))
+               for member, (child, key, _, _) in members.items() if bounds.get(member, part_size + 1) > part_size]
+    some_long = bool(counted)
+    if some_long:
+        checkpoint_dir(leads.sparkSession)
+        lists = reduce(DataFrame.unionByName, counted).groupBy("_l", "_m").agg(F.count(F.lit(1)).alias("_n"))
+        long_lists = lists.where(F.col("_n") > part_size).select(
+            "_l", "_m", F.ceil(F.col("_n") / part_size).cast("int").alias("_parts")).checkpoint(eager=True)
+        some_long = not long_lists.isEmpty()
     rows = []
     for member, (child, key, sort_cols, ascending) in members.items():
         numbers = [_sort_number(child, c, ascending) for c in sort_cols] + [F.lit(0).cast("bigint")] * (2 - len(sort_cols))
@@ -169,8 +174,10 @@ def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple]
     # The rows meet their leads and then their lists by lead: the text moves once.
     stacked = reduce(DataFrame.unionByName, rows)
     stacked = stacked.join(live_ids, stacked["lead_pk"] == live_ids["_lid"], "left_semi")
-    same = (stacked["lead_pk"] == long_lists["_l"]) & (stacked["member"] == long_lists["_m"])
-    short = stacked.join(long_lists, same, "left_anti") if some_long else stacked
+    short = stacked
+    if some_long:
+        same = (stacked["lead_pk"] == long_lists["_l"]) & (stacked["member"] == long_lists["_m"])
+        short = stacked.join(long_lists, same, "left_anti")
     whole = (short.groupBy("lead_pk", "member").agg(F.sort_array(F.collect_list(F.struct("k1", "k2", "j"))).alias("arr"))
              .select("lead_pk", "member", F.lit(0).alias("part"), F.lit(1).alias("parts"),
                      F.transform("arr", lambda x: x["j"]).alias("items")))

@@ -148,7 +148,7 @@ def lead_documents(t, part_size, scope=None):
         "pinned_notes": (t.lead_notes, "lead_id", ["id"], False),
         "history": (history, "lead_pk", ["rnk"], True),
     }
-    docs = N.document_parts(t.leads, t.users, members, part_size, scope)
+    docs = N.document_parts(t.leads, t.users, members, part_size, scope, {"history": P.HISTORY_LIMIT})
     return docs.withColumn("items", F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")))
 
 
