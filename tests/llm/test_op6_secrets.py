@@ -107,3 +107,30 @@ def test_native_plan(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     plan = op.digests(op.scan(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_text_of_very_many_spans(spark, docs_of):
+    """Linear in the spans of a text: a hash list of 60,000 lines, and candidates beside base spans."""
+    import time
+
+    rng = random.Random(8)
+    lines = [rng.choice([f"{rng.getrandbits(64):016x}", f"token={rng.getrandbits(60):x}zzzzzzzzzzzz", "Zz9_" + "Ab1-" * 6,
+                         f"Qq8/{rng.getrandbits(70):018x}", "plain words"]) for _ in range(60_000)]
+    text = "\n".join(lines)
+    began = time.time()
+    one = docs_of([(1, text)]).select(op.base_spans(F.col("text")).alias("b"),
+                                      op._candidates(F.col("text"), op.base_spans(F.col("text"))).alias("c")).first()
+    took = time.time() - began
+    want = base(text)
+    assert [(s.start, s.kind, s.end) for s in one.b] == want and len(want) > 30_000
+    tokens = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text)
+              if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+    starts = [s for s, _, _ in want]
+    import bisect
+
+    def free(a, b):
+        i = bisect.bisect_left(starts, b)
+        return all(e <= a for _, _, e in want[max(0, i - 4):i])
+
+    assert [(c.start, c.end) for c in one.c] == [t for t in tokens if free(*t)] and len(one.c) > 5000
+    assert took < 30, took

@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tests.conftest import SF001
 from tests.llm.conftest import prose, vocabulary
@@ -63,3 +64,38 @@ def test_many_copies_leave_one_whole_text(spark, docs_of):
     assert left.keys() == {5, 80, 81, 82} | own.keys()
     assert left[5] == whole and left[80] == rows[24][1] and left[81] is None and left[82] == ""
     assert all(left[i].strip() == t for i, t in own.items())
+
+
+def test_mixture_order_reaches_the_output(spark):
+    from wayline.llm import op9_mixing
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    mixed = op9_mixing.mix(docs)
+    want = [(r.mix_block, r.mix_place, r.doc_id) for r in mixed.collect()]
+    got = [r.doc_id for r in dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, SF001).collect()]
+    assert got == [d for _, _, d in sorted(want)]
+
+
+def test_stages_on_edges(spark, docs_of):
+    """Null ids, texts and sources, repeated rows and clashing column names; and an empty table."""
+    rng = random.Random(14)
+    words = vocabulary(rng)
+    texts = [prose(rng, words, 40) for _ in range(12)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None)] * 2
+    rows += [(3, texts[3], "en", "s", 1)] * 2 + [(90, None, "en", None, None), (91, "", None, "s", 0), (92, texts[4], "en", None, 5)]
+    clash = ["_gone", "_lines", "n_tokens", "mix_block", "mix_place", "epoch", "h1", "kept", "n_lines", "_text", "gone", "src"]
+    docs = docs_of(rows)
+    for c in clash:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, table, ""), f"test-edge-{name}")
+            assert out.columns[:len(docs.columns)] == docs.columns or name == "encode"
+            if name != "encode":
+                assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in out.collect() for c in clash)
+                table = out
+        if table.isEmpty():
+            assert out.count() == 0
+    # Of the copies 4 and 92 the smaller id stays, repeated rows and rows without an id stay as they are.
+    ids = [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()]
+    assert sorted(ids, key=str) == sorted([*range(12), 3, 3, None, None, 90, 91], key=str)

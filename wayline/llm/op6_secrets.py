@@ -44,6 +44,8 @@ PRIOR = 5.0                        # pseudo-counts of a chain's character distri
 MIN_SAMPLE = 50                    # fewer random samples than this: no model, no added spans
 SAMPLE_DOCS, SAMPLE = 40_000, 20_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+SPAN = "struct<start:int,kind:int,end:int,hit:string>"
+BLOCK = 128                        # spans of a text that are put into one array at a time
 
 
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
@@ -52,7 +54,6 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     Starts come from the lengths of the pieces between the matches.
     """
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["b"])
@@ -61,8 +62,39 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
         return F.struct(end.alias("at"), F.when(keep(pair["h"]), F.concat(acc["out"], F.array(span)))
                         .otherwise(acc["out"]).alias("out"))
 
+    def moved(at: Column, span: Column) -> Column:
+        return F.struct((span["start"] + at).alias("start"), span["kind"].alias("kind"), (span["end"] + at).alias("end"),
+                        span["hit"].alias("hit"))
+
     pairs = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda b, h: F.struct(b.alias("b"), h.alias("h")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return _in_blocks(pairs, SPAN, step, lambda before, at: before + at, moved)
+
+
+def _in_blocks(items: Column, kind: str, step, joined, moved) -> Column:
+    """Running results over an array, in time linear in its length.
+
+    ``step`` folds an item into struct(at, out: array of ``kind``).  Growing one array copies it at every item, so blocks of
+    ``BLOCK`` items are folded apart, each from at = 0; ``joined(before, at)`` carries ``at`` over the blocks, and
+    ``moved(before, x)`` corrects the results of a block by what stood before it.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    none = F.array().cast(f"array<struct<at:int,out:array<{kind}>>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("parts"))
+
+    def blocks(a: Column) -> Column:
+        n = F.floor((F.size(a) - 1) / BLOCK).cast("int")
+        return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), n), lambda b: F.aggregate(
+            F.slice(a, b * BLOCK + 1, BLOCK), zero, step))).otherwise(none)
+
+    def put(acc: Column, b: Column) -> Column:
+        part = F.struct(acc["at"].alias("at"), b["out"].alias("out"))
+        return F.struct(joined(acc["at"], b["at"]).alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+
+    def whole(acc: Column) -> Column:
+        return F.flatten(F.transform(acc["parts"], lambda p: F.transform(p["out"], lambda x: moved(p["at"], x))))
+
+    # An array of one binds the items to a name, so that they are computed once.
+    return F.get(F.transform(F.array(items), lambda a: F.aggregate(blocks(a), start, put, whole)), F.lit(0))
 
 
 def base_spans(text: Column) -> Column:
@@ -83,7 +115,27 @@ def _candidates(text: Column, base: Column) -> Column:
         return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
 
     found = _spans(text, f"{TOKEN_CLASS}{{{MIN_TOKEN},}}", "markov", mixed)
-    return F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    base_kind = KINDS.index("markov")
+
+    def ahead(a: Column) -> Column:
+        """Spans by start, each with whether the next is a base span that begins inside it (candidates do not overlap)."""
+        def one(x: Column, i: Column) -> Column:
+            after = F.get(a, i + 1)
+            return F.struct(x.alias("x"), F.coalesce((after["kind"] < base_kind) & (after["start"] < x["end"]), F.lit(False)).alias("cut"))
+        return F.transform(a, one)
+
+    def step(acc: Column, e: Column) -> Column:
+        x = e["x"]
+        seen = F.struct(x.alias("x"), e["cut"].alias("cut"), acc["at"].alias("upto"))
+        return F.struct(F.when(x["kind"] < base_kind, F.greatest(acc["at"], x["end"])).otherwise(acc["at"]).alias("at"),
+                        F.when(x["kind"] == base_kind, F.concat(acc["out"], F.array(seen))).otherwise(acc["out"]).alias("out"))
+
+    def moved(at: Column, e: Column) -> Column:
+        return F.struct(e["x"].alias("x"), e["cut"].alias("cut"), F.greatest(at, e["upto"]).alias("upto"))
+
+    spans = F.get(F.transform(F.array(F.array_sort(F.concat(base, found))), ahead), F.lit(0))
+    swept = _in_blocks(spans, f"struct<x:{SPAN},cut:boolean,upto:int>", step, F.greatest, moved)
+    return F.transform(F.filter(swept, lambda e: ~e["cut"] & (e["upto"] <= e["x"]["start"])), lambda e: e["x"])
 
 
 def _labelled(text: Column) -> Column:
