@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.  The last returns the token ids and
 the decoded text of every copy that the mixture shows.
+
+All stages keep columns with other names, whatever they are called, and take
+null ids, texts and sources, repeated rows and an empty table: null and blank
+texts fail the quality rules; a null source is a source (host) of its own; rows
+without an id are no copies of each other; repeated rows are documents of their
+own for lines and for the mixture, and stay together in near_dedup.
 """
 
 from __future__ import annotations
@@ -36,8 +42,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's weight asks for."""
-    return op9_mixing.mix(docs).select(*docs.columns)
+    """Every document as often as its source's weight asks for, in mixture order: files hold ranges of blocks, and
+    rows stand by block and place in them, so each block read in turn has the wanted weights."""
+    mixed = op9_mixing.mix(docs)
+    order = mixed.columns[-2:]                                          # block, place in it
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
