@@ -14,8 +14,9 @@ phrase subsumes it.
   Bloom filter; pairs are hashed where both words are frequent, longer phrases where every pair may be.  Hash
   collisions and filter errors only send more stripes, thresholds are applied to exact merged counts.  A filter
   holds 16 bits a key up to 32 MB; a corpus with more frequent phrases has few rare ones left to hold back.
-* Stripes are cut into ``SHARDS`` by the next word, so a very common prefix is
-  merged in several tasks, and merging is Spark's hash aggregation, which spills.
+* Stripes of prefixes that end in a very common word (at least one in ``COMMON`` words of its language), and of the
+  empty prefix, are cut into ``SHARDS`` by the next word, so they are merged in several tasks; merging is
+  Spark's hash aggregation, which spills.
 * A phrase is inside a longer one of the same count only if it is inside one
   with one word more on either side: every phrase between the two has that count
   too.  So two maxima per phrase decide.
@@ -38,7 +39,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 UNKNOWN = "und"
-SHARDS = 8
+SHARDS, COMMON = 8, 512
 #: Bytes of text that a task counts at a time (one longer text is a block of its own).
 BLOCK = 8 * 2**20
 KEY_BITS, MAX_BITS = 16, 2**28
@@ -160,13 +161,18 @@ class _Block:
             rank[at] = np.where(ok, np.arange(len(codes)), -1)[inverse]
             yield length, at[first][ok], codes[ok], counts[ok], hashes[ok]
 
-    def stripes(self, length: int, place: np.ndarray, code: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        """Stripes of the phrases of ``length`` words at ``place``, from their codes (prefix, next)."""
+    def stripes(self, length: int, place: np.ndarray, code: np.ndarray, count: np.ndarray, common=None) -> pa.RecordBatch:
+        """Stripes of the phrases of ``length`` words at ``place``, from their codes (prefix, next).
+
+        ``common`` marks the keys of very common words; without it every stripe is cut into shards.
+        """
         prefix, key = np.divmod(code, self.n_keys)
         if length == 1:
             prefix = self.key_lang[key]
         word = self.key_word[key]
         shard = self.shard[word]
+        if common is not None and length > 1:
+            shard = np.where(common[self.key[place + length - 2]], shard, 0).astype(np.int32)
         order = np.lexsort((shard, prefix))
         prefix, shard, word = prefix[order], shard[order], word[order]
         start = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (shard[1:] != shard[:-1])][:len(prefix)])
@@ -223,7 +229,7 @@ def _keep(filters: dict):
     return lambda length, h: _holds(filters[length].value, h >> _CUT) if length in filters else np.ones(len(h), bool)
 
 
-def _longer(filters: dict, longest: int):
+def _longer(filters: dict, longest: int, common=None):
     """Stripes of prefixes of one word and more, of the phrases that may be frequent.
 
     Stripes of the blocks of a task are merged before they are sent; a task holds about ``HELD`` entries.
@@ -232,9 +238,10 @@ def _longer(filters: dict, longest: int):
         parts, size = [], 0
         for block in _texts(batches):
             b = _Block(*block)
+            often = None if common is None else np.isin(b.hash >> _CUT, common.value)
             for length, place, codes, counts, _ in b.phrases(longest, _keep(filters)):
                 if len(codes):
-                    parts.append(b.stripes(length, place, codes, counts))
+                    parts.append(b.stripes(length, place, codes, counts, often))
                     size += len(codes)
             del b
             if size >= HELD:
@@ -352,7 +359,11 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
         filters[2] = candidates(filters, 2, 2)
         if max_words > 2:
             filters |= dict.fromkeys(range(3, max_words + 1), candidates(filters, 3, max_words))
-        longer = merge_stripes(arrow_map(given, _longer(filters, max_words), STRIPE))
+        # At most COMMON words a language.
+        often = counts.join(totals, "lang").where(F.col("f") * COMMON >= F.col("n")).select("lang", "word")
+        keys = arrow_map(often, _word_keys, "key bigint").toPandas()["key"].to_numpy().astype(np.uint64)
+        common = spark.sparkContext.broadcast(keys)
+        longer = merge_stripes(arrow_map(given, _longer(filters, max_words, common), STRIPE))
         counts = counts.unionByName(stored(frequent(longer), "stripes-longer"))
     return totals, counts
 
