@@ -85,3 +85,33 @@ def test_filters_merge_without_false_negatives(spark, docs_of):
         hit &= ((packed[at >> 3] >> (7 - (at & 7))) & 1).astype(bool)
     assert all(hit[i] for i, n in enumerate(names) if len(held[n]) > 1)
     assert sum(hit[i] for i, n in enumerate(names) if len(held[n]) == 1) < 20
+
+
+def test_packed_filters_against_sets():
+    """Packed once and twice filters of a partition, and the memory that a large filter takes."""
+    import resource
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = ["\n".join(f"line {x}" for x in rng.integers(0, 4000, 30)).encode() for _ in range(300)]
+    batches = [pa.RecordBatch.from_pydict({"t": pa.array(texts[i:i + 70], pa.binary())}) for i in range(0, 300, 70)]
+    bits = 2**20
+    once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+    for t in texts:
+        _, _, h = op.line_keys(pa.array([t], pa.binary()))
+        for at in op._bits(h[:, 0], bits):
+            hit = np.unique(at)
+            twice[hit[once[hit]]] = True
+            once[hit] = True
+    got = {r["seg"]: r for b in op._local_filters(bits)(iter(batches)) for r in b.to_pylist()}
+    for k, name in ((once, "once"), (twice, "twice")):
+        packed = b"".join(got[s][name] if s in got else bytes(op.SEGMENT // 8) for s in range(bits // op.SEGMENT))
+        # The two hashes of a document are counted apart, so a bit may be set twice by one document: never too few.
+        mine = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        assert (mine >= k).all() and (mine != k).sum() <= 20
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for _ in op._local_filters(op.MOST_BITS)(iter(batches)):
+        pass
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 * 1024      # KB

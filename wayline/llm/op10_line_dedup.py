@@ -52,24 +52,36 @@ def _bits(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((u + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(HASHES)]
 
 
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    """Set bits at ascending places."""
+    byte, mask = at >> 3, (0x80 >> (at & 7)).astype(np.uint8)
+    if len(at):
+        start = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+        packed[byte[start]] |= np.bitwise_or.reduceat(mask, start)
+
+
+def _get(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
 def _local_filters(bits: int):
+    """Both filters of a partition, packed: bits / 4 bytes (256 MB at MOST_BITS) while it is read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             row, _, hashes = line_keys(batch.column(0))
             for at in _bits(hashes[:, 0], bits):
                 # a document counts once for each bit, however many of its keys meet there
                 pairs = np.unique(at * np.int64(len(batch)) + row) // np.int64(max(len(batch), 1))
                 hit, n = np.unique(pairs, return_counts=True)
-                twice[hit[(n > 1) | once[hit]]] = True
-                once[hit] = True
-        o, t = np.packbits(once), np.packbits(twice)
+                _set(twice, hit[(n > 1) | _get(once, hit)])
+                _set(once, hit)
         size = SEGMENT // 8
-        for s in range(0, len(o), size):
-            if o[s:s + size].any():
+        for s in range(0, len(once), size):
+            if once[s:s + size].any():
                 yield pa.RecordBatch.from_pydict({"seg": pa.array([s // size], pa.int64()),
-                                                  "once": [o[s:s + size].tobytes()],
-                                                  "twice": [t[s:s + size].tobytes()]})
+                                                  "once": [once[s:s + size].tobytes()],
+                                                  "twice": [twice[s:s + size].tobytes()]})
     return run
 
 
@@ -111,7 +123,7 @@ def _suspects(shared, bits: int):
             row, pos, hashes = line_keys(batch.column(3))
             known = np.ones(len(row), bool)
             for at in _bits(hashes[:, 0], bits):
-                known &= ((packed[at >> 3] >> (7 - (at & 7))) & 1).astype(bool)
+                known &= _get(packed, at)
             row_at = pa.array(row[known])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(row_at) for c in range(3)), pa.array(pos[known]),
