@@ -20,13 +20,14 @@ def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trained = op2_language.train(docs.where(~op2_language.held_out(F.col("doc_id"))).select("text", "lang"))
-    return op2_language.identify(docs, trained).withColumn("held_out", op2_language.held_out(F.col("doc_id")))
+    return op2_language.identify(docs, trained).select(
+        "doc_id", op2_language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits", "rejected")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality.assess(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words",
-        "base_failed", "kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lost_words")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
