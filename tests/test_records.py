@@ -195,3 +195,24 @@ def test_null_roles_are_forbidden(spark):
     res = M.apply_notes(notes, adds, drop)
     assert res["lead_notes"].count() == 1 and {r.reason for r in res["rejects"].collect()} == {"Forbidden"}
     assert M.apply_notes(notes, adds, drop.withColumn("actor_id", F.lit(2)))["lead_notes"].count() == 0
+
+
+# -- T2 without requests ------------------------------------------------------------------------------
+
+def test_a_stream_without_requests_has_empty_outputs(spark, tmp_path):
+    from tests.conftest import SF001
+    from wayline.sources.views import BASE_SCHEMAS
+    from wayline.streaming import change_stream as CS
+    from wayline.streaming.files import stream_table
+
+    events = spark.read.schema(BASE_SCHEMAS["events"]).parquet(f"{SF001}/events.parquet")
+    leads = df(spark, LEADS_DDL, [lead(1, "New Lead")])
+    for name, rows in (("none", events.limit(0)), ("few", events.limit(50))):
+        folder, out = str(tmp_path / name), str(tmp_path / f"{name}-out")
+        rows.write.parquet(folder)
+        requests = CS.conversation_requests(stream_table(spark, folder, events.schema), 1, 5)
+        CS.run_conversation_stream(spark, requests, leads, out, str(tmp_path / f"{name}-ckpt"), AS_OF)
+        got = {o: CS.read_output(spark, out, o) for o in CS.OUTPUTS}
+        assert all(d.columns for d in got.values())
+        assert (sum(d.count() for d in got.values()) > 0) == (name == "few")
+        assert CS.current_status(leads, got["lead_status_changes"]).count() == 1

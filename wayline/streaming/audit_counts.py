@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.sources.views import VIEWS
 from wayline.streaming.files import read_batches, run_available_now, stream_table, write_batch
 
 OUTPUT = "counts"
+COUNTS = T.StructType([T.StructField("window_start", T.TimestampNTZType()), T.StructField("window_end", T.TimestampNTZType()),
+                       T.StructField("action", T.StringType()), T.StructField("cnt", T.LongType())])
 
 
 def view_columns(view: str, names: list[str]) -> list[str]:
@@ -50,7 +53,7 @@ def run_counts(audit: DataFrame, out_path: str, checkpoint: str, window: str = "
 
 def final_counts(spark: SparkSession, out_path: str) -> DataFrame:
     """Counts over all batches."""
-    return (read_batches(spark, out_path, OUTPUT).groupBy("window_start", "window_end", "action")
+    return (read_batches(spark, out_path, OUTPUT, COUNTS).groupBy("window_start", "window_end", "action")
             .agg(F.sum("cnt").alias("cnt")))
 
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from wayline.operators.changes import apply_conversations
 from wayline.session import checkpoint_dir
-from wayline.streaming.files import read_batches, run_available_now, write_batch
+from wayline.streaming.files import has_batches, read_batches, run_available_now, write_batch
 
+NO_REQUESTS = -1         # the batch folder of a stream that met no request
 OUTPUTS = ("conversations", "followups", "activity_logs", "lead_status_changes", "rejects")
 
 
@@ -59,6 +60,8 @@ def run_conversation_stream(spark: SparkSession, requests: DataFrame, leads: Dat
             write_batch(df, out_path, name, batch_id)
 
     run_available_now(requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint), timeout_s)
+    if not all(has_batches(spark, out_path, name) for name in OUTPUTS):
+        per_batch(spark.createDataFrame([], requests.schema), NO_REQUESTS)      # no request came: outputs without rows
 
 
 def read_output(spark: SparkSession, out_path: str, name: str) -> DataFrame:

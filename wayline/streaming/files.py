@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is one file (an empty or absent folder is none); only names are listed."""
+    first = spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+    return bool(first) and first[0].path.endswith(path.split("://")[-1].rstrip("/"))
+
+
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 8) -> DataFrame:
     """File stream of a Parquet table, whether ``path`` is a folder of files or a single file."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if status.isDirectory():
+    if not _is_file(spark, path):
         return reader.parquet(path)
     return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
 
@@ -31,15 +36,23 @@ def write_batch(df: DataFrame, root: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(batch_folder(root, name, batch_id))
 
 
+def has_batches(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether any batch of an output was written."""
+    try:
+        return bool(spark.read.parquet(f"{root}/{name}").columns)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+
+
 def read_batches(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """All batches of an output; with ``schema``, an output without any batch is empty."""
-    path = f"{root}/{name}"
     if schema is None:
-        return spark.read.parquet(path).drop("batch_id")
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.read.parquet(f"{root}/{name}").drop("batch_id")
+    if not has_batches(spark, root, name):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).drop("batch_id")
+    return spark.read.schema(schema).parquet(f"{root}/{name}").drop("batch_id")
 
 
 def run_available_now(writer, timeout_s: float | None = None) -> None:
