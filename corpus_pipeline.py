@@ -46,7 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows stand by block and place in them, so each block read in turn has the wanted weights."""
     mixed = op9_mixing.mix(docs)
     order = mixed.columns[-2:]                                          # block, place in it
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    # As many files as came in: the encoder that follows runs a task a file.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(docs.inputFiles()))
+    return mixed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
