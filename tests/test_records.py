@@ -83,6 +83,58 @@ def test_duplicate_candidates_by_brute_force(spark):
     assert L.duplicate_candidates(leads, t.limit(0)).count() == 0 and L.duplicate_candidates(leads.limit(0), t).count() == 0
 
 
+def _rows_made(df):
+    """The most rows that any operator of a DataFrame's last run put out (its plan ran with AQE)."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind in ("AdaptiveSparkPlanExec",):
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            made = node.metrics().get("numOutputRows")
+            most = max(most, made.get().value() if made.isDefined() else 0)
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_duplicate_candidates_of_a_text_typed_often(spark):
+    # 400 leads hold a text that 900 requests look for: not one row for each of the 360,000 pairs.
+    leads = spark.range(400).select(
+        "id", F.concat(F.lit("LEAD-2026-"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("lead_id"), F.lit(None).cast("string").alias("customer_name"),
+        F.concat(F.lit("7"), F.lpad((F.col("id") * 7919).cast("string"), 9, "0")).alias("mobile"), F.lit(None).cast("string").alias("alt_mobile"),
+        F.lit("Tour Unity").alias("tour_name"), F.lit("New Lead").alias("status"), (F.col("id") % 3).alias("assigned_to"),
+        F.lit(ts(3)).cast("timestamp_ntz").alias("created_at"))
+    typed = spark.range(900).select(F.col("id").alias("typed_id"), F.lit("tour UNITY").alias("text"),
+                                    F.when(F.col("id") % 2 == 0, "staff").alias("role"), (F.col("id") % 5).alias("user_id"))
+    out = L.duplicate_candidates(leads, typed)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.typed_id, {})[r["rank"]] = r.id
+    newest = list(range(399, -1, -1))
+    for k in range(900):
+        mine = newest if k % 2 else [i for i in newest if i % 3 == k % 5]
+        assert [got.get(k, {}).get(n) for n in range(1, 21)] == (mine[:20] or [None] * 20)
+    assert 900 < _rows_made(out) <= 900 * 20
+
+
+def test_duplicate_candidates_of_repeated_rows(spark):
+    # A lead that is stored twice is found twice, and a request id's rows share one ranking.
+    leads = _candidate_leads(spark).where("id < 13")
+    typed = spark.createDataFrame([(1, "goa beach tour", "admin", 0), (1, "goa beach tour", "admin", 0), (1, "8000000005", "staff", 2),
+                                   (None, "LEAD-2026-00007", None, None), (3, "goa beach tour", "staff", None)],
+                                  "typed_id INT, text STRING, role STRING, user_id INT")
+    out = L.duplicate_candidates(leads.union(leads), typed).collect()
+    ones = sorted((r["rank"], r.id) for r in out if r.typed_id == 1)
+    # every lead is there 4 times (2 rows, 2 requests), newest first; lead 5 is also found by its second mobile
+    want = sorted(([i for i in range(1, 13) for _ in range(4)] + [5, 5]), key=lambda i: (1 + i % 20, i), reverse=True)[:20]
+    assert [i for _, i in ones] == want and [n for n, _ in ones] == list(range(1, 21))
+    assert sorted((r["rank"], r.id) for r in out if r.typed_id is None) == [(1, 7), (2, 7)]
+    assert not [r for r in out if r.typed_id == 3]
+
+
 # -- S6 ------------------------------------------------------------------------------------
 
 def test_a_retried_append_writes_once(spark, tmp_path):
