@@ -275,6 +275,23 @@ def test_lead_document_parts_reassemble(spark):
     assert mine.count() == 0
 
 
+def test_small_parts_are_cut_from_grouped_lists(spark, monkeypatch):
+    users, leads, conv, bookings, payments = _seed(spark)
+    members = {"conversations": (conv, "lead_id", ["created_at", "id"], False), "bookings": (bookings, "lead_id", ["id"], True)}
+
+    def parts(size):
+        return sorted((r.lead_pk, r.member, r.part, r.parts, *r["items"]) for r in L3.document_parts(leads, users, members, size).collect())
+
+    placed = []
+    position = L3.ordered_position
+    monkeypatch.setattr(L3, "ordered_position", lambda *a, **b: placed.append(1) or position(*a, **b))
+    cut = {size: parts(size) for size in (1, 2, 3, 7, 8)}
+    assert not placed                       # lists of seven are not moved to be placed, however small the parts
+    assert [r[2:4] for r in cut[3] if r[1] == "conversations"] == [(0, 3), (1, 3), (2, 3)]
+    monkeypatch.setattr(L3, "WHOLE_LIST", 3)
+    assert {size: parts(size) for size in cut} == cut and len(placed) == 3
+
+
 def test_with_previous_equals_lag_on_skewed_keys(spark):
     from wayline.operators.sequence import ordered_position, with_previous
 

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from wayline.operators.sequence import ordered_position, with_previous
 from wayline.session import checkpoint_dir
 
+# Fixed value: lists of up to so many items are grouped in one row and cut there, however small the parts.
+WHOLE_LIST = 1000
+
 HISTORY_COLUMNS = ["id", "lead_id", "customer_name", "tour_name", "status", "created_at"]
 
 
@@ -137,8 +140,9 @@ def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple]
     the JSON text, rising), and part ``p`` holds positions ``p * part_size + 1``
     and on, so the parts of a member are its list cut in order, at every size.
 
-    Every child row is serialised with ``to_json`` once.  Lists that fit one part
-    are grouped straight away: the JSON text moves once.  Which lists are longer is
+    Every child row is serialised with ``to_json`` once.  Lists that fit one part, or
+    have at most ``WHOLE_LIST`` items, are grouped straight away and cut in their row:
+    the JSON text moves once.  Which lists are longer is
     counted before from the keys alone (per-task sums first), and only their rows are
     placed with ``ordered_position`` (range partitions: a lead with millions of
     children is spread over many tasks) and cut by position.  ``bounds`` gives the most
@@ -156,13 +160,14 @@ def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple]
         F.lit(1).alias("parts"), F.array(F.to_json(F.struct(*head.columns))).alias("items"))
     live_ids = live.select(F.col("id").alias("_lid"))
     bounds = bounds or {}
+    whole_size = max(part_size, WHOLE_LIST)
     counted = [child.select(F.col(key).alias("_l"), F.lit(member).alias("_m"))
-               for member, (child, key, _, _) in members.items() if bounds.get(member, part_size + 1) > part_size]
+               for member, (child, key, _, _) in members.items() if bounds.get(member, whole_size + 1) > whole_size]
     some_long = bool(counted)
     if some_long:
         checkpoint_dir(leads.sparkSession)
         lists = reduce(DataFrame.unionByName, counted).groupBy("_l", "_m").agg(F.count(F.lit(1)).alias("_n"))
-        long_lists = lists.where(F.col("_n") > part_size).select(
+        long_lists = lists.where(F.col("_n") > whole_size).select(
             "_l", "_m", F.ceil(F.col("_n") / part_size).cast("int").alias("_parts")).checkpoint(eager=True)
         some_long = not long_lists.isEmpty()
     rows = []
@@ -179,8 +184,14 @@ def document_parts(leads: DataFrame, users: DataFrame, members: dict[str, tuple]
         same = (stacked["lead_pk"] == long_lists["_l"]) & (stacked["member"] == long_lists["_m"])
         short = stacked.join(long_lists, same, "left_anti")
     whole = (short.groupBy("lead_pk", "member").agg(F.sort_array(F.collect_list(F.struct("k1", "k2", "j"))).alias("arr"))
-             .select("lead_pk", "member", F.lit(0).alias("part"), F.lit(1).alias("parts"),
-                     F.transform("arr", lambda x: x["j"]).alias("items")))
+             .select("lead_pk", "member", F.transform("arr", lambda x: x["j"]).alias("items")))
+    if whole_size > part_size:
+        parts = F.ceil(F.size("items") / part_size).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.slice("items", p * part_size + 1, part_size))
+        whole = whole.select("lead_pk", "member", F.posexplode(pieces).alias("part", "items"), parts.alias("parts"))
+    else:
+        whole = whole.withColumns({"part": F.lit(0), "parts": F.lit(1)})
+    whole = whole.select("lead_pk", "member", "part", "parts", "items")
     out = lead.unionByName(whole)
     if some_long:
         placed = ordered_position(stacked.join(long_lists.drop("_parts"), same, "left_semi"), ["lead_pk", "member"],
