@@ -80,3 +80,12 @@ def test_stored_views_push_id_filters_to_the_scan(spark, tmp_path):
     text = df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "EqualTo(id,1001)" in text and "crm_packages" in text
+
+
+def test_apply_payments_joins_the_driver_tables_once(spark):
+    # The payments are written before their three uses; each use then reads one table.
+    df = QUERIES["apply_payments"](spark, SF01)
+    files = df.inputFiles()
+    assert any("crm_payments" in f for f in files) and not any("lineitem" in f for f in files)
+    # earlier payments, all payments and their requests: no further join to find the touched bookings
+    assert "LeftSemi" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -494,6 +494,19 @@ def test_a_payment_sent_twice_counts_once_and_gets_defaults(spark):
     assert float(res["bookings"].first().advance_paid) == 9.0 and res["rejects"].count() == 1
 
 
+def test_payments_recompute_touched_bookings_only(spark):
+    bookings = spark.createDataFrame([(1, 100, 1, 2), (2, 200, 3, 4), (2, 300, 5, 6), (3, 50, 7, 8), (None, 10, 9, 9)],
+                                     "id BIGINT, final_amount INT, advance_paid INT, balance INT")
+    pay = spark.createDataFrame([(1, money(10)), (2, money(20)), (3, money(30)), (None, money(40))], "booking_id BIGINT, amount DECIMAL(10,2)")
+    ch = spark.createDataFrame([(1, None, 1, 7), (2, 5, 2, 7), (9, 6, 3, 7), (None, 8, 4, 7)],
+                               "booking_id BIGINT, amount INT, seq BIGINT, actor_id BIGINT")
+    res = M.apply_payments(bookings, pay, ch, "2026-03-01 00:00:00")
+    # 1 is touched by a payment without an amount; 2 is stored twice, so its new payment is found twice; 3 and NULL keep their values
+    assert sorted(((r.id or 0, float(r.advance_paid), float(r.balance)) for r in res["bookings"].collect())) == [
+        (0, 9.0, 9.0), (1, 10.0, 90.0), (2, 30.0, 170.0), (2, 30.0, 270.0), (3, 7.0, 8.0)]
+    assert res["rejects"].count() == 2
+
+
 def test_latest_request_by_seq_sets_the_status_and_followups_get_ids(spark):
     leads = df(spark, LEADS_DDL, [lead(1)])
     old, new = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1)

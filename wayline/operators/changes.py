@@ -534,9 +534,11 @@ def apply_payments(bookings: DataFrame, payments: DataFrame, changes: DataFrame,
         else F.col(x) if x in acc.columns else defaults[x].alias(x)
         for x in payments.columns if x in acc.columns or x in defaults])
     all_pay = payments.unionByName(new_pay, allowMissingColumns=True)
-    touched = new_pay.select(F.col("booking_id").alias("_t")).distinct()
-    paid = (all_pay.join(touched, F.col("booking_id") == F.col("_t"), "left_semi")
-            .groupBy(F.col("booking_id").alias("_pb")).agg(F.sum("amount").alias("_paid")))
+    # One pass over the payments: a booking is touched if one of them is new.
+    sums = (payments.select("booking_id", "amount", F.lit(False).alias("_new"))
+            .unionByName(new_pay.select("booking_id", "amount", F.lit(True).alias("_new")))
+            .groupBy(F.col("booking_id").alias("_pb")).agg(F.sum("amount").alias("_paid"), F.max("_new").alias("_new")))
+    paid = sums.where("_new").drop("_new")
     j = bookings.join(paid, bookings["id"] == paid["_pb"], "left")
     hit = F.col("_pb").isNotNull()
     out = j.select(*[
